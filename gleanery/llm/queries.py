@@ -11,6 +11,7 @@ from .bpe import bpe_round_trip
 from .exact_dedup import exact_groups
 from .mixing import draws
 from .token_counts import length_histogram, limit_table, token_lengths
+from .topk import top_k
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "shards")
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_table(length_histogram(token_lengths(_read(spark, sf_dir, "documents"))))
 
@@ -38,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
+    "op9_topk": op9_topk,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -47,4 +54,11 @@ ORACLES: dict[str, str] = {
         select doc_id, first_value(doc_id) over best as keep_id, count(*) over (partition by norm) as group_size,
                row_number() over best = 1 as kept, sha256(norm) as text_sha256
         from n window best as (partition by norm order by chars desc, doc_id nulls last)""",
+    "op9_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+              from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+        r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+        select * from r where rank <= 20""",
 }
