@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-_SPACE_BYTES = np.zeros(256, bool)
-_SPACE_BYTES[[0x20, *range(0x09, 0x0E)]] = True
-
-MASK = (1 << 64) - 1
+#: Which bytes are white space.
+SPACE_BYTES = np.zeros(256, bool)
+SPACE_BYTES[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_groups
 from .mixing import draws
+from .ngram_join import near_duplicates
 from .token_counts import length_histogram, limit_table, token_lengths
 from .topk import top_k
 
@@ -22,6 +23,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_read(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
@@ -61,4 +67,15 @@ ORACLES: dict[str, str] = {
               from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
         r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
         select * from r where rank <= 20""",
+    "op6_ngram_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        g as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                  when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+        n as (select doc_id, count(*) as n from g group by doc_id),
+        p as (select x.doc_id as a, y.doc_id as b, count(*) as c from g x join g y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+        l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+        r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+        m as (select a, min(b) as least from r group by a)
+        select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) as component_id
+        from w left join n using (doc_id) left join m on m.a = w.doc_id""",
 }
