@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE_BYTES, Rolling, checkpointed, col, mix, partitions, pieces, utf8
 from .components import components
@@ -308,3 +309,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     named = named.join(roots, "root").select(F.col("class").alias("of"), "component_id")
     out = sets.join(named, F.col("class") == F.col("of"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: that of the smallest key, and every row without words.
+
+    Of rows that share the smallest key of a component, one stays (that with the smallest class). Rows with a null key
+    stay only where their component has no other rows, one for each class.
+    """
+    sets = shingle_sets(docs, words, text, key)
+    trees = class_links(docs, words, percent, text)
+    rows = sets.where("class is not null").join(trees, F.col("class") == F.col("node"), "left").select("doc_id", "class", F.coalesce("root", "class").alias("root"))
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.class").alias("_class"))
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            found = [set_hash(g) if len(g) else None for g in shingler.sets(*utf8(batch.column(batch.num_columns - 1)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*batch.schema.names[:-1], "_class_of"])
+
+    marked = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), col(key).cast("long").alias("_key"), col(text).cast("string").alias("_text"))
+    marked = marked.mapInArrow(classes, T.StructType([*marked.schema.fields[:-1], T.StructField("_class_of", T.LongType())]))
+    empty = marked.where("_class_of is null")
+    kept = marked.join(stays, F.col("_class_of").eqNullSafe(F.col("_class")) & F.col("_key").eqNullSafe(F.col("_id")), "left_semi").where("_class_of is not null")
+    one = F.row_number().over(Window.partitionBy("_class_of", "_key").orderBy("_key"))
+    kept = kept.withColumn("_nth", one).where("_nth = 1")
+    return kept.select("_row").unionByName(empty.select("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

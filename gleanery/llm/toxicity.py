@@ -264,3 +264,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 
     scored = noted.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Rows of one key are judged by their own texts: where a key repeats, all of its rows go if the highest of their scores
+    says so. Rows with a null key are kept: nothing can be said of them by key.
+    """
+    scores = toxicity_scores(docs, labels, text, key, label).where("predicted = 1").select(F.col("doc_id").alias("_rejected")).distinct()
+    return docs.join(scores, col(key) == F.col("_rejected"), "left_anti")
