@@ -1,5 +1,623 @@
-"""Queries by name."""
+"""Queries by name: each takes the session and the folder of the tables, and uses them whole."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import answers as A
+from .operators import attribution as P
+from .operators import certainty as Q
+from .operators import chunking as C
+from .operators import evidence as E
+from .operators import retrieval as R
+from .operators import statistics as B
+from .plans.runs import CENTRE, RetrievalRun, levels, records, scored_labels
+from .sources.tables import answer_records, hashed, table
+from .streaming.resume import missing
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+LEVELS = ["click", "error", "purchase", "signup", "view"]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    kinds = dict(df.dtypes)
+    fix = {"double": lambda c: F.round(c, digits).alias(c), "int": lambda c: F.col(c).cast("long").alias(c)}
+    return df.select(*[fix.get(kinds[c], F.col)(c) for c in df.columns])
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+# Corpus and data quality
+
+
+@query
+def corpus_summary(spark, d):
+    rows = RetrievalRun(spark, d).asked.groupBy("split")
+    return rows.agg(F.count(F.lit(1)).alias("n_questions"), F.count_if("answerable").alias("n_answerable"), F.count_if(~F.col("answerable")).alias("n_unanswerable"))
+
+
+@query
+def questions(spark, d):
+    return RetrievalRun(spark, d).asked
+
+
+@query
+def gold_text(spark, d):
+    run = RetrievalRun(spark, d)
+    rows = run.asked.join(run.docs, F.col("gold_doc") == F.col("doc_id"), "left")
+    return rows.select("question_id", F.coalesce(F.expr("substring(text, int(gold_start) + 1, int(gold_end - gold_start))"), F.lit("")).alias("gold_text"))
+
+
+@query
+def dq_gold_spans(spark, d):
+    run = RetrievalRun(spark, d)
+    rows = run.asked.where("answerable").join(run.docs, F.col("gold_doc") == F.col("doc_id"), "left")
+    reason = F.when(F.col("text").isNull(), "no document").when(F.col("gold_end") <= F.col("gold_start"), "empty span").when(F.col("gold_end") > F.length("text"), "beyond the text")
+    return rows.select("question_id", reason.alias("reason")).where("reason is not null")
+
+
+@query
+def candidates(spark, d):
+    return RetrievalRun(spark, d).candidates
+
+
+@query
+def stratified_sample(spark, d):
+    """Questions for generation: of each split and answerability, its share of 20, at least one, by a hash."""
+    from pyspark.sql import Window
+
+    rows = RetrievalRun(spark, d).asked
+    w = Window.partitionBy("split", "answerable")
+    rows = rows.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    rows = rows.withColumn("nth", F.row_number().over(w.orderBy(hashed(F.col("question_id"), F.lit(42)), "question_id")))
+    return rows.where(F.col("nth") <= F.greatest(F.lit(1), F.bround(20 * F.col("size") / F.col("total")))).select("question_id", "split", "answerable")
+
+
+# Segmentation
+
+
+@query
+def word_spans(spark, d):
+    return _rounded(C.word_spans(_docs(spark, d)))
+
+
+@query
+def fixed_chunks(spark, d):
+    return _rounded(C.word_windows(_docs(spark, d), 64, 0.0))
+
+
+@query
+def sliding_chunks(spark, d):
+    return _rounded(C.word_windows(_docs(spark, d), 64, 0.10))
+
+
+@query
+def sliding_chunks_512(spark, d):
+    return _rounded(C.word_windows(_docs(spark, d)))
+
+
+@query
+def chunk_texts(spark, d):
+    run = RetrievalRun(spark, d)
+    return C.chunk_texts(run.chunks, run.visible).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5("text").alias("text_md5"), "chunk_id", "label")
+
+
+@query
+def chunk_statistics(spark, d):
+    docs = _docs(spark, d)
+    return _rounded(C.chunk_statistics(C.word_windows(docs, 64, 0.10), docs))
+
+
+@query
+def segmentation_agreement(spark, d):
+    docs = _docs(spark, d)
+    return _rounded(C.agreement(C.word_windows(docs, 64, 0.0), C.word_windows(docs, 64, 0.10)))
+
+
+def _lines(text: str) -> list[tuple[int, int]]:
+    cuts = [0, *(i + 1 for i, c in enumerate(text) if c == "\n"), len(text)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def _sectioned(text: str) -> list[tuple[int, int]]:
+    return C.structural(text, _lines(text), 64, 0.10)
+
+
+def _plain(text: str) -> list[tuple[int, int]]:
+    return C.structural(text, None, 64, 0.10)
+
+
+def _hash_vectors(texts: list[str]) -> np.ndarray:
+    """Unit vectors of hashed word counts: the deterministic stand-in for a sentence encoder."""
+    from zlib import crc32
+
+    out = np.zeros((len(texts), 64))
+    for i, t in enumerate(texts):
+        for w in t.lower().split():
+            out[i, crc32(w.encode()) % 64] += 1
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def _semantic(text: str) -> list[tuple[int, int]]:
+    return C.semantic(text, _hash_vectors, 64, 0.10)
+
+
+@query
+def recursive_chunks(spark, d):
+    return C.split_by(_docs(spark, d), _sectioned)
+
+
+@query
+def recursive_chunks_plain(spark, d):
+    return C.split_by(_docs(spark, d), _plain)
+
+
+@query
+def semantic_chunks(spark, d):
+    return C.split_by(_docs(spark, d), _semantic)
+
+
+@query
+def query_excerpt(spark, d):
+    run = RetrievalRun(spark, d, 512)
+    rows = run.ranking("bm25").where("rnk = 1").join(run.texts, R.ROW).join(run.asked.select("question_id", "query"), "question_id")
+    return C.excerpts(rows.select("question_id", "text", "query"), 40).select("question_id", "excerpt")
+
+
+# Text functions
+
+
+@query
+def bm25_tokens(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(X.tokens(F.col("text")), " ")).alias("tokens_md5"))
+
+
+@query
+def content_tokens(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(X.content_tokens(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(X.content_tokens(F.col("text")), " ")).alias("tokens_md5"))
+
+
+@query
+def sentences(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+@query
+def syllables(spark, d):
+    words = _docs(spark, d).select(F.explode(X.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("word", "n", X.syllables(F.col("word")).cast("long").alias("syllables"))
+
+
+@query
+def readability(spark, d):
+    return _rounded(_docs(spark, d).select("doc_id", X.readability(F.col("text")).alias("r")).select("doc_id", "r.*"))
+
+
+@query
+def abstention(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", X.is_abstention(F.col("text")).alias("abstained"))
+
+
+def _cited(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant turns with citations and an evidence block written into them, as the tables have none."""
+    rows = table(spark, d, "conversations").where("role = 'assistant'")
+    n = (F.col("conv_id") + F.col("turn")) % 5
+    cite = F.when(n == 0, "").when(n == 1, F.concat(F.lit(" [swg"), F.col("conv_id"), F.lit("::chunk_1]"))).when(n == 2, F.concat(F.lit(" [swg"), F.col("conv_id"), F.lit("::chunk_1] and [nas2::chunk_3]")))
+    cite = cite.when(n == 3, " [a1::chunk_1] [b2::chunk_2] [c3::chunk_3]").otherwise(F.concat(F.lit("\nEvidence: [nas2::chunk_3] [swg"), F.col("conv_id")))
+    return rows.select("conv_id", "turn", F.concat("text", cite).alias("answer"))
+
+
+@query
+def answer_body(spark, d):
+    return _cited(spark, d).select("conv_id", "turn", X.answer_body(F.col("answer")).alias("body"))
+
+
+@query
+def citations(spark, d):
+    rows = _cited(spark, d)
+    return rows.select("conv_id", "turn", F.array_join(X.cited_segments(F.col("answer")), "|").alias("cited"), X.citation_count(F.col("answer")).cast("long").alias("n_cited"))
+
+
+# Retrieval
+
+
+@query
+def bm25_scores(spark, d):
+    return _rounded(RetrievalRun(spark, d).bm25)
+
+
+@query
+def bm25_topk(spark, d):
+    return _rounded(RetrievalRun(spark, d).ranking("bm25").where("rnk <= 5"))
+
+
+@query
+def dense_scores(spark, d):
+    return _rounded(RetrievalRun(spark, d).dense)
+
+
+@query
+def dense_topk(spark, d):
+    return _rounded(RetrievalRun(spark, d).ranking("dense").where("rnk <= 5"))
+
+
+@query
+def zscored_scores(spark, d):
+    return _rounded(R.zscored(RetrievalRun(spark, d).bm25), 5)
+
+
+@query
+def rrf_fusion(spark, d):
+    return _rounded(RetrievalRun(spark, d).ranking("hybrid_rrf"))
+
+
+@query
+def weighted_fusion(spark, d):
+    return _rounded(RetrievalRun(spark, d).ranking("hybrid_weighted").where("rnk <= 20"), 5)
+
+
+@query
+def rerank_lexical(spark, d):
+    return _rounded(RetrievalRun(spark, d).ranking("dense_reranked"))
+
+
+@query
+def complementarity(spark, d):
+    run = RetrievalRun(spark, d)
+    return _rounded(R.complementarity(run.trace("bm25"), run.trace("dense"), "recall_5"))
+
+
+@query
+def promotion(spark, d):
+    run = RetrievalRun(spark, d)
+    return R.promotion(run.trace("dense"), run.trace("dense_reranked"))
+
+
+@query
+def nearest_vectors(spark, d):
+    rows = table(spark, d, "embeddings")
+    return _rounded(R.nearest(rows, rows.where("vec_id % 10 = 0")))
+
+
+# Evidence
+
+
+@query
+def evidence_metrics(spark, d):
+    run = RetrievalRun(spark, d)
+    rows = run.asked.select("question_id", "answerable").join(run.trace("bm25"), "question_id", "left")
+    return _rounded(rows)
+
+
+@query
+def evidence_metrics_dense(spark, d):
+    return _rounded(RetrievalRun(spark, d).trace("dense"))
+
+
+@query
+def arm_means(spark, d):
+    metrics = ("coverage", "context_precision", "mrr", "recall_5", "recall_20", "ndcg_5")
+    return _rounded(RetrievalRun(spark, d).configurations().groupBy("configuration", "split").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in metrics]))
+
+
+@query
+def arm_summary(spark, d):
+    rows = RetrievalRun(spark, d).configurations(("bm25", "dense"))
+    long = rows.select("configuration", "question_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("coverage", "mrr", "ndcg_5")])).alias("s")).select("configuration", "question_id", "s.*")
+    return _rounded(B.bootstrap_ci(long, ["configuration", "metric"], "question_id", "x"))
+
+
+@query
+def segmentation_ceiling(spark, d):
+    return _rounded(RetrievalRun(spark, d).ceiling)
+
+
+@query
+def ceiling_summary(spark, d):
+    rows = RetrievalRun(spark, d).ceiling
+    return _rounded(rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("ceiling").alias("mean_ceiling"), F.min("ceiling").alias("min_ceiling"), F.avg((F.col("ceiling") < 0.8).cast("double")).alias("below")))
+
+
+# Answers
+
+
+@query
+def answer_scores(spark, d):
+    return _rounded(A.scored_answers(records(spark, d)).drop("question", "answer", "context", "gold"))
+
+
+@query
+def rouge_l(spark, d):
+    return _rounded(A.rouge_l(records(spark, d), "answer", "gold").select("conv_id", "turn", "rouge_l"))
+
+
+@query
+def abstention_table(spark, d):
+    rows = A.scored_answers(records(spark, d))
+    return _rounded(rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("abstained").cast("double")).alias("abstained"), F.avg("abstention_accuracy").alias("accuracy"), F.avg("groundedness").alias("groundedness")))
+
+
+@query
+def prompt_lengths(spark, d):
+    run = RetrievalRun(spark, d)
+    top = run.ranking("bm25").where("rnk <= 5").join(C.chunk_texts(run.chunks, run.visible).drop("chunk_id"), R.ROW)
+    rows = A.prompts(top)
+    at = lambda p: F.percentile("n_words", F.lit(p))
+    return _rounded(rows.agg(F.count(F.lit(1)).alias("n"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("n_words").alias("longest")))
+
+
+@query
+def prompt_segments(spark, d):
+    run = RetrievalRun(spark, d)
+    top = run.ranking("bm25").where("rnk <= 5").join(C.chunk_texts(run.chunks, run.visible).drop("chunk_id"), R.ROW)
+    return A.prompts(top).select("question_id", X.prompt_segments(F.col("prompt")).alias("segments"))
+
+
+@query
+def generated_answers(spark, d):
+    run = RetrievalRun(spark, d)
+    top = run.ranking("bm25").where("rnk <= 5").join(C.chunk_texts(run.chunks, run.visible).drop("chunk_id"), R.ROW)
+    rows = A.prompts(top).join(run.asked.select("question_id", "query"), "question_id").select("question_id", "prompt", "query")
+    return A.generate(rows).select("question_id", "answer")
+
+
+@query
+def batch_plan(spark, d):
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.length("text").alias("n"))
+    return A.planned_batches(rows, "id", "n", groups=4)
+
+
+@query
+def resume_antijoin(spark, d):
+    rows = answer_records(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "split")
+    return missing(rows, rows.where(hashed(F.col("question_id")) % 2 == 0))
+
+
+# Attribution
+
+
+@query
+def configuration_table(spark, d):
+    return _rounded(RetrievalRun(spark, d).configurations().select("configuration", "question_id", "split", "in_top_20", "in_top_5", "coverage", "ceiling"))
+
+
+@query
+def centre_identity(spark, d):
+    run = RetrievalRun(spark, d)
+    a, b = run.trace(CENTRE), RetrievalRun(spark, d).trace(CENTRE)
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).select("question_id")
+
+
+@query
+def stage_attribution(spark, d):
+    return P.attributed(RetrievalRun(spark, d).configurations()).select("configuration", "question_id", "stage")
+
+
+@query
+def stage_partition(spark, d):
+    return _rounded(P.partition(RetrievalRun(spark, d).configurations()))
+
+
+@query
+def stage_partition_by_split(spark, d):
+    return _rounded(P.partition(RetrievalRun(spark, d).configurations(), ("configuration", "split")))
+
+
+@query
+def stage_partition_ci(spark, d):
+    return _rounded(P.partition_ci(RetrievalRun(spark, d).configurations(("bm25", "dense"))))
+
+
+@query
+def stage_transitions(spark, d):
+    return P.transitions(RetrievalRun(spark, d).configurations(("bm25", "dense")), "bm25", "dense")
+
+
+@query
+def threshold_sweep(spark, d):
+    return _rounded(P.threshold_sweep(RetrievalRun(spark, d).configurations(("bm25", "dense"))))
+
+
+@query
+def stage_decomposition(spark, d):
+    rows = P.decomposition(RetrievalRun(spark, d).configurations(("bm25", "dense", "hybrid_rrf")), CENTRE)
+    return _rounded(rows)
+
+
+@query
+def dq_trace_defects(spark, d):
+    return P.trace_defects(RetrievalRun(spark, d).configurations())
+
+
+@query
+def dq_coverage_above_ceiling(spark, d):
+    return P.above_ceiling(RetrievalRun(spark, d).configurations(("bm25", "dense"))).select("configuration", "question_id")
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Generated answers at two arms: the gold text of the first chunk stands for the answer."""
+    run = RetrievalRun(spark, d)
+    gold = run.asked.where("answerable").join(run.docs, F.col("gold_doc") == F.col("doc_id")).select("question_id", F.expr("substring(text, int(gold_start) + 1, int(gold_end - gold_start))").alias("gold"))
+    rows = None
+    for arm in ("bm25", "dense"):
+        top = run.ranking(arm).where("rnk = 1").join(run.texts, R.ROW).join(gold, "question_id")
+        got = top.select(F.lit(arm).alias("configuration"), "question_id", A.token_f1(F.col("text"), F.col("gold")).alias("token_f1"), X.is_abstention(F.col("text")).alias("abstained"))
+        rows = got if rows is None else rows.unionByName(got)
+    stages = P.attributed(run.configurations(("bm25", "dense"))).select("configuration", "question_id", "stage")
+    return P.outcomes(rows, stages)
+
+
+@query
+def generation_outcomes(spark, d):
+    return _rounded(_outcomes(spark, d))
+
+
+@query
+def generation_summary(spark, d):
+    return _rounded(P.outcome_summary(_outcomes(spark, d)))
+
+
+@query
+def prompt_comparison(spark, d):
+    rows = A.scored_answers(records(spark, d)).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return _rounded(P.prompt_comparison(rows.select("split", "id", F.col("groundedness").alias("v")), rows.select("split", "id", F.col("token_f1").alias("v")), ["split"], "v", "id"))
+
+
+@query
+def calibrate_threshold(spark, d):
+    return _rounded(P.calibrated_threshold(scored_labels(spark, d).withColumn("pos", F.col("y") == 1), "score", "pos"))
+
+
+# Statistics
+
+
+@query
+def to_wide(spark, d):
+    return _rounded(B.to_wide(levels(spark, d), LEVELS))
+
+
+@query
+def repeated_measures(spark, d):
+    return _rounded(B.repeated_measures(levels(spark, d), len(LEVELS)))
+
+
+@query
+def bootstrap_ci(spark, d):
+    return _rounded(B.bootstrap_ci(levels(spark, d), ["level"], "id", "x"))
+
+
+@query
+def pairwise_baseline(spark, d):
+    return _rounded(B.against_baseline(levels(spark, d), "view"))
+
+
+@query
+def matched_contrast(spark, d):
+    return _rounded(B.matched_contrast(levels(spark, d), "view", len(LEVELS)))
+
+
+@query
+def holm(spark, d):
+    rows = levels(spark, d).groupBy("level").agg((hashed(F.col("level")) % 1000 / 10000.0).alias("p")).withColumn("family", F.lit(1))
+    return _rounded(B.holm(rows, ["family"], "p", "level"))
+
+
+@query
+def average_ranks(spark, d):
+    rows = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(B.average_rank(rows, ["o_orderstatus"], "n"))
+
+
+@query
+def factor_ranking(spark, d):
+    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("factor"), (F.col("user_id") % 7).alias("metric")).agg(F.round(F.avg("value"), 9).alias("effect"))
+    return _rounded(B.ranked_factors(rows))
+
+
+@query
+def normalised_heatmap(spark, d):
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
+    w = Window.partitionBy(F.lit(0))
+    unit = lambda c: F.when(F.max(c).over(w) > F.min(c).over(w), (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(0.5)
+    return _rounded(rows.select("l_returnflag", "l_linestatus", unit("quantity").alias("quantity"), unit("discount").alias("discount")))
+
+
+@query
+def cost_table(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("mean_cost"), F.percentile("l_extendedprice", F.lit(0.5)).alias("median_cost"), F.count(F.lit(1)).alias("n"))
+    return _rounded(rows, 4)
+
+
+# Certainty
+
+
+@query
+def certainty_signals(spark, d):
+    return _rounded(RetrievalRun(spark, d).signals, 5)
+
+
+@query
+def signal_audit(spark, d):
+    return _rounded(Q.univariate(RetrievalRun(spark, d).signals), 5)
+
+
+@query
+def auroc(spark, d):
+    return _rounded(Q.auroc(scored_labels(spark, d), ["split"], "score", "y"))
+
+
+@query
+def calibration_error(spark, d):
+    return _rounded(Q.calibration_error(scored_labels(spark, d), "score", "y"))
+
+
+@query
+def reliability(spark, d):
+    return _rounded(Q.binned(scored_labels(spark, d), "score", "y"))
+
+
+@query
+def certainty_bands(spark, d):
+    return _rounded(Q.band_table(scored_labels(spark, d), "score", "y"))
+
+
+@query
+def selective_answering(spark, d):
+    return _rounded(Q.selective(scored_labels(spark, d), "score", "y"))
+
+
+@query
+def base_rate_shift(spark, d):
+    m = scored_labels(spark, d).groupBy("split").agg(F.avg("y").alias("rate"))
+    a, b = m.where("split = 'train'").select(F.col("rate").alias("train_rate")), m.where("split = 'dev'").select(F.col("rate").alias("dev_rate"))
+    odds = lambda c: F.ln(F.col(c) / (1 - F.col(c)))
+    return _rounded(a.join(b, F.lit(True)).select("train_rate", "dev_rate", (odds("dev_rate") - odds("train_rate")).alias("shift")))
+
+
+@query
+def logistic_score(spark, d):
+    rows = scored_labels(spark, d).join(table(spark, d, "documents").select("doc_id", F.ln("n_chars").alias("log_chars")), "doc_id")
+    model = Q.Logistic(("score", "log_chars")).fit(rows.where("split = 'train'"), "y")
+    return _rounded(rows.where("split = 'dev'").select("doc_id", "y", model.score().alias("certainty")))
+
+
+@query
+def cross_fitted_scores(spark, d):
+    rows = scored_labels(spark, d).join(table(spark, d, "documents").select("doc_id", F.ln("n_chars").alias("log_chars")), "doc_id").withColumnRenamed("score", "s0")
+    return _rounded(Q.cross_fitted(rows, ("s0", "log_chars"), "y").select("doc_id", "split", "y", "score"))
+
+
+def _banded(spark: SparkSession, d: str) -> DataFrame:
+    rows = _cited(spark, d).withColumn("top_doc", F.concat(F.lit("swg"), F.col("conv_id")))
+    label = F.element_at(F.array(*map(F.lit, ("correct", "partial", "incorrect"))), (hashed(F.col("conv_id"), F.col("turn")) % 3 + 1).cast("int"))
+    return rows.select("conv_id", "turn", Q.citation_band(F.col("answer"), F.col("top_doc")).alias("band"), label.alias("label"))
+
+
+@query
+def citation_bands(spark, d):
+    return _banded(spark, d)
+
+
+@query
+def citation_band_table(spark, d):
+    return _rounded(Q.citation_table(_banded(spark, d), "label"))
+
+
+@query
+def joint_bands(spark, d):
+    rows = _banded(spark, d).join(scored_labels(spark, d).select(F.col("doc_id").alias("conv_id"), Q.band(F.col("score")).alias("certainty")), "conv_id")
+    return _rounded(rows.groupBy("certainty", "band").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == "correct").cast("double")).alias("correct")))
