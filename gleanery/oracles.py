@@ -1,5 +1,263 @@
-"""DuckDB SQL of the queries, by name."""
+"""DuckDB SQL of the queries, by name, written independently of the DataFrame code."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .functions.text import ABSTENTION_PHRASES, STOP_WORDS
+
+_HASH = "('0x' || substr(md5({}), 1, 8))::bigint"
+
+
+def _hash(*parts: str) -> str:
+    return _HASH.format("concat_ws('|', " + ", ".join(parts) + ")")
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS))) + "]"
+
+
+def _tokens(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9_./+-]+')"
+
+
+def _content(x: str) -> str:
+    return f"list_filter(list_transform({_tokens(x)}, lambda t: trim(t, './-+_')), lambda t: length(t) > 1 and not list_contains({_STOP}, t))"
+
+
+def _sentences(x: str) -> str:
+    return rf"list_filter(regexp_split_to_array(regexp_replace(coalesce({x}, ''), '([.!?])\s+', concat('\1', chr(10)), 'g'), '\n+'), lambda s: trim(regexp_replace(s, '\s', ' ', 'g')) <> '')"
+
+
+def _syllables(w: str) -> str:
+    b = f"regexp_replace(lower({w}), '[^a-z]', '', 'g')"
+    n = f"len(regexp_extract_all({b}, '[aeiouy]+'))"
+    return f"(case when {b} = '' then 0 else greatest(1, {n} - case when {b} like '%e' and {n} > 1 then 1 else 0 end) end)"
+
+
+def _abstains(x: str) -> str:
+    a = f"lower(trim(coalesce({x}, '')))"
+    said = " or ".join([f"contains(substr({a}, 1, 61), 'insufficient evidence')", *[f"contains(substr({a}, 1, 90), '{p}')" for p in ABSTENTION_PHRASES]])
+    return f"({a} = '' or {said})"
+
+
+def _windows(source: str, size: int, stride: int) -> str:
+    return f"""select doc_id, k as chunk_no, list_sum(len[1:lead + {2 * stride} * k])::bigint as s0,
+        list_sum(len[1:lead + 2 * least(k * {stride} + {size}, n) - 1])::bigint as char_end, least(k * {stride} + {size}, n) - k * {stride} as n_words
+        from (select doc_id, len, lead, n, unnest(range(0, case when n <= {size} then 1 else ceil((n - {size}) / {stride}.0)::bigint + 1 end)) as k
+              from (select doc_id, len, lead, (len(len) - lead + 1) // 2 as n
+                    from (select doc_id, list_transform(regexp_extract_all(text, '\\S+|\\s+'), lambda p: length(p)) as len, regexp_matches(text, '^\\s')::int as lead from {source})) where n > 0)"""
+
+
+def _chunks(source: str, size: int, stride: int) -> str:
+    return f"(select doc_id, chunk_no, coalesce(s0, 0) as char_start, char_end, n_words from ({_windows(source, size, stride)}))"
+
+
+#: What the evaluation queries share, in order of use.
+_BASE = {
+    "asked": """select b.item_id as question_id, array_to_string(string_split(b.text, ' ')[1:12], ' ') as query, case when b.item_id % 2 = 0 then 'train' else 'dev' end as split,
+        h.doc_id is not null as answerable, h.doc_id as gold_doc, (instr(h.text, b.text) - 1)::bigint as gold_start, (instr(h.text, b.text) - 1 + length(b.text))::bigint as gold_end
+        from benchmark b left join (select b.item_id, min(d.doc_id) as doc_id from benchmark b join documents d on contains(d.text, b.text) group by 1) m on m.item_id = b.item_id
+        left join documents h on h.doc_id = m.doc_id""",
+    "cands": f"""select distinct question_id, doc_id from (
+        select question_id, {_hash("question_id", "j")} % (select count(*) from documents) as doc_id from asked, range(1, 50) r(j)
+        union all select question_id, gold_doc from asked where gold_doc is not null) where doc_id in (select doc_id from documents)""",
+    "visible": "select doc_id, text from documents where doc_id in (select doc_id from cands)",
+    "chunks": _chunks("visible", 64, 58),
+    "texts": "select c.doc_id, chunk_no, substr(text, char_start + 1, char_end - char_start) as text from chunks c join visible v using (doc_id)",
+    "pairs": "select question_id, c.doc_id, chunk_no from cands q join chunks c using (doc_id)",
+    "post": f"select doc_id, chunk_no, term, count(*) as tf from (select doc_id, chunk_no, unnest({_tokens('text')}) as term from texts) group by all",
+    "terms": f"select distinct question_id, unnest({_tokens('query')}) as term from asked",
+    "weights": f"""select p.doc_id, p.chunk_no, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) as w
+        from post p join (select term, count(*) as df from post group by 1) using (term) join (select doc_id, chunk_no, len({_tokens('text')}) as dl from texts) using (doc_id, chunk_no),
+        (select count(*) as n, greatest(1, avg(len({_tokens('text')}))) as avgdl from texts)""",
+    "bm25": """select p.question_id, p.doc_id, p.chunk_no, round(coalesce(h.s, 0), 9) as score from pairs p left join
+        (select question_id, p.doc_id, p.chunk_no, sum(w) as s from pairs p join terms using (question_id) join weights w on w.doc_id = p.doc_id and w.chunk_no = p.chunk_no and w.term = terms.term group by all) h using (question_id, doc_id, chunk_no)""",
+    "qv": f"""select question_id, dim, c / sqrt(sum(c * c) over (partition by question_id)) as x from
+        (select question_id, {_hash("t")} % 64 as dim, count(*)::double as c from (select question_id, unnest({_tokens('query')}) as t from asked) group by all)""",
+    "cv": f"""select doc_id, chunk_no, dim, c / sqrt(sum(c * c) over (partition by doc_id, chunk_no)) as x from
+        (select doc_id, chunk_no, {_hash("t")} % 64 as dim, count(*)::double as c from (select doc_id, chunk_no, unnest({_tokens('text')}) as t from texts) group by all)""",
+    "dense": """select p.question_id, p.doc_id, p.chunk_no, round(coalesce(h.s, 0), 9) as score from pairs p left join
+        (select p.question_id, p.doc_id, p.chunk_no, sum(q.x * c.x) as s from pairs p join qv q using (question_id) join cv c on c.doc_id = p.doc_id and c.chunk_no = p.chunk_no and c.dim = q.dim group by all) h using (question_id, doc_id, chunk_no)""",
+    "r_bm25": "select *, row_number() over (partition by question_id order by score desc, doc_id, chunk_no) as rnk from bm25",
+    "r_dense": "select *, row_number() over (partition by question_id order by score desc, doc_id, chunk_no) as rnk from dense",
+    "r_rrf": """select * from (select *, row_number() over (partition by question_id order by score desc, doc_id, chunk_no) as rnk from
+        (select question_id, doc_id, chunk_no, round(sum(1.0::double / (60 + rnk)), 9) as score from (select * from r_bm25 where rnk <= 20 union all select * from r_dense where rnk <= 20) group by all)) where rnk <= 20""",
+    "z_bm25": "select question_id, doc_id, chunk_no, round(case when stddev_pop(score) over w > 1e-12 then (score - avg(score) over w) / stddev_pop(score) over w else 0 end, 9) as score from bm25 window w as (partition by question_id)",
+    "z_dense": "select question_id, doc_id, chunk_no, round(case when stddev_pop(score) over w > 1e-12 then (score - avg(score) over w) / stddev_pop(score) over w else 0 end, 9) as score from dense window w as (partition by question_id)",
+    "r_weighted": """select *, row_number() over (partition by question_id order by score desc, doc_id, chunk_no) as rnk from
+        (select question_id, doc_id, chunk_no, round(0.5::double * d.score + 0.5::double * b.score, 9) as score from z_dense d join z_bm25 b using (question_id, doc_id, chunk_no))""",
+    "r_reranked": f"""select *, row_number() over (partition by question_id order by score desc, doc_id, chunk_no) as rnk from
+        (select question_id, r.doc_id, r.chunk_no, round(case when len(q) > 0 then len(list_intersect(q, {_content('text')})) / len(q)::double else 0 end, 9) as score
+         from r_dense r join (select question_id, list_distinct({_content('query')}) as q from asked) using (question_id) join texts t on t.doc_id = r.doc_id and t.chunk_no = r.chunk_no where rnk <= 20)""",
+    "ranks": """select 'bm25' as configuration, * from r_bm25 union all select 'dense', * from r_dense union all select 'hybrid_rrf', * from r_rrf
+        union all select 'hybrid_weighted', * from r_weighted union all select 'dense_reranked', * from r_reranked""",
+    "top20": "select configuration, question_id, r.doc_id, chunk_no, rnk, char_start, char_end from ranks r join chunks using (doc_id, chunk_no) where rnk <= 20",
+    "gold_rank": """select configuration, question_id, doc_id, row_number() over (partition by configuration, question_id order by f) as gold_rank from
+        (select configuration, question_id, doc_id, min(rnk) as f from top20 group by all)""",
+    "ctx": """select t.*, gold_start, gold_end, gold_doc, doc_id = gold_doc and char_end > gold_start and char_start < gold_end as hit from top20 t join asked using (question_id) where rnk <= 5 and answerable""",
+    "cover": """select configuration, question_id, sum(greatest(0, b - greatest(a, coalesce(seen, a)))) / max(gold_end - gold_start) as coverage from
+        (select *, max(b) over (partition by configuration, question_id order by a, b rows between unbounded preceding and 1 preceding) as seen from
+         (select configuration, question_id, gold_start, gold_end, greatest(char_start, gold_start) as a, least(char_end, gold_end) as b from ctx where hit)) group by all""",
+    "traces": """select c.configuration, a.question_id, a.split, g.gold_rank, g.gold_rank is not null as in_top_20, coalesce(x.in5, false) as in_top_5, coalesce(v.coverage, 0) as coverage, coalesce(x.prec, 0) as context_precision,
+        coalesce(x.in5, false) and coalesce(v.coverage, 0) < 0.8 as boundary_loss, coalesce(1.0::double / g.gold_rank, 0) as mrr,
+        (coalesce(g.gold_rank, 99) <= 5)::int::double as recall_5, (coalesce(g.gold_rank, 99) <= 10)::int::double as recall_10, (coalesce(g.gold_rank, 99) <= 20)::int::double as recall_20,
+        case when g.gold_rank <= 5 then 0.2::double else 0 end as precision_5, case when g.gold_rank <= 10 then 0.1::double else 0 end as precision_10, case when g.gold_rank <= 20 then 0.05::double else 0 end as precision_20,
+        case when g.gold_rank <= 5 then 1 / log2(g.gold_rank + 1) else 0 end as ndcg_5, case when g.gold_rank <= 10 then 1 / log2(g.gold_rank + 1) else 0 end as ndcg_10, case when g.gold_rank <= 20 then 1 / log2(g.gold_rank + 1) else 0 end as ndcg_20
+        from asked a cross join (select unnest(['bm25', 'dense', 'hybrid_rrf', 'hybrid_weighted', 'dense_reranked']) as configuration) c
+        left join gold_rank g on g.configuration = c.configuration and g.question_id = a.question_id and g.doc_id = a.gold_doc
+        left join (select configuration, question_id, bool_or(doc_id = gold_doc) as in5, avg(hit::int) as prec from ctx group by all) x on x.configuration = c.configuration and x.question_id = a.question_id
+        left join cover v on v.configuration = c.configuration and v.question_id = a.question_id where a.answerable""",
+    "ceil": """select a.question_id, a.split, coalesce(sum(greatest(0, b - greatest(s, coalesce(seen, s)))) / max(gold_end - gold_start), 0) as ceiling, coalesce(max(b - s) / max(gold_end - gold_start)::double, 0) as best_single, count(s) as n_hits from asked a left join
+        (select *, max(b) over (partition by question_id order by s, b rows between unbounded preceding and 1 preceding) as seen from
+         (select question_id, greatest(char_start, gold_start) as s, least(char_end, gold_end) as b from asked a join chunks c on c.doc_id = a.gold_doc and char_end > gold_start and char_start < gold_end)) h using (question_id)
+        where a.answerable group by all""",
+    "staged": """select t.*, c.ceiling, case when coalesce(c.ceiling, 1) < 0.8 then 'S1' when not in_top_20 then 'S2' when not (in_top_5 and coverage >= 0.8) then 'S3' else 'R' end as stage from traces t left join ceil c using (question_id)""",
+    "recs": """select conv_id, turn, case when conv_id % 2 = 0 then 'train' else 'dev' end as split, text as question, answer, context, text as gold from
+        (select *, lead(role) over w as nr, lead(text) over w as answer, array_to_string(list(text) over (partition by conv_id order by turn rows unbounded preceding), ' ') as context from conversations window w as (partition by conv_id order by turn))
+        where role = 'user' and nr = 'assistant'""",
+    "cited": """select conv_id, turn, concat(text, case (conv_id + turn) % 5 when 0 then '' when 1 then concat(' [swg', conv_id, '::chunk_1]') when 2 then concat(' [swg', conv_id, '::chunk_1] and [nas2::chunk_3]')
+        when 3 then ' [a1::chunk_1] [b2::chunk_2] [c3::chunk_3]' else concat(chr(10), 'Evidence: [nas2::chunk_3] [swg', conv_id) end) as answer from conversations where role = 'assistant'""",
+    "lev": "select user_id as id, event_type as level, round(avg(value), 9) as x from events group by all",
+    "lab": f"""select doc_id, quality as y, round(0.6::double * least(1, n_chars / 4000.0::double) + 0.4::double * ({_hash("doc_id")} % 1000 / 1000.0::double), 9) as score, case when doc_id % 2 = 0 then 'train' else 'dev' end as split
+        from labels join documents using (doc_id)""",
+}
+
+
+def _needs(sql: str) -> list[str]:
+    import re
+
+    found: set[str] = set()
+    todo = [sql]
+    while todo:
+        for name in re.findall(r"[a-z_0-9]+", todo.pop()):
+            if name in _BASE and name not in found:
+                found.add(name)
+                todo.append(_BASE[name])
+    return [n for n in _BASE if n in found]
+
+
+def _sql(final: str) -> str:
+    names = _needs(final)
+    heads = ",\n".join(f"{n} as materialized ({_BASE[n]})" for n in names)
+    return f"with {heads}\n{final}" if names else final
+
+
+def _boot(rows: str, by: str, n: int = 200) -> str:
+    """Means of hash resamples of rows (by..., i from 0, x)."""
+    return f"""select {by}, b, avg(x) as mean from (select {by}, n, b, k from (select {by}, count(*) as n from ({rows}) group by all), range(0, {n}) r(b), lateral (select unnest(range(0, n)) as k))
+        join ({rows}) using ({by}) where i = {_hash("b", "k")} % n group by all"""
+
+
+def _ci(rows: str, by: str) -> str:
+    return f"""select {by}, n, round(m, 6) as mean, round(lo, 6) as lo, round(hi, 6) as hi from (select {by}, quantile_cont(mean, 0.025) as lo, quantile_cont(mean, 0.975) as hi from ({_boot(rows, by)}) group by all)
+        join (select {by}, count(*) as n, avg(x) as m from ({rows}) group by all) using ({by})"""
+
+
+def _paired(rows: str, by: str) -> str:
+    return f"""(select {by}, n, diff, lo, hi, p, dz from (select {by}, quantile_cont(mean, 0.025) as lo, quantile_cont(mean, 0.975) as hi,
+        least(1.0::double, 2 * least(avg((round(mean, 12) <= 0)::int), avg((round(mean, 12) >= 0)::int))) as p from ({_boot(rows, by)}) group by all)
+        join (select {by}, count(*) as n, avg(x) as diff, case when stddev_samp(x) > 1e-12 then avg(x) / stddev_samp(x) end as dz from ({rows}) group by all) using ({by}))"""
+
+
+_LEVELS = "('click', 'error', 'purchase', 'signup', 'view')"
+_FULL = "select * from lev where id in (select id from lev group by id having count(*) = 5)"
+_R = lambda c: f"round({c}, 6) as {c}"
+_METRICS = [*("coverage", "context_precision", "mrr"), *(f"{m}_{k}" for m in ("recall", "precision", "ndcg") for k in (5, 10, 20))]
+_TRACE = ", ".join(["split", "gold_rank", "in_top_20", "in_top_5", "boundary_loss", *map(_R, _METRICS)])
+_BODY = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(answer, ''), '(?ims)^[ \t]*\**evidence\**[ \t]*:.*\z', ''), '\[?\b[A-Za-z0-9]+::chunk_\d+\b\]?', '', 'g'), '\s{2,}', ' ', 'g'))"
+_CITED = r"regexp_extract_all(answer, '[A-Za-z0-9]+::chunk_\d+')"
+_CUT = r"regexp_extract(answer, '\[([A-Za-z]+[0-9A-Za-z]*)\s*\z', 1)"
+_ALLCITED = f"list_concat({_CITED}, case when length({_CUT}) > 3 then [concat({_CUT}, '::truncated')] else [] end)"
+
+_FINAL = {
+    "corpus_summary": "select split, count(*) as n_questions, count(*) filter (answerable) as n_answerable, count(*) filter (not answerable) as n_unanswerable from asked group by 1",
+    "questions": "select * from asked",
+    "gold_text": "select question_id, coalesce(substr(text, gold_start + 1, gold_end - gold_start), '') as gold_text from asked left join documents on gold_doc = doc_id",
+    "dq_gold_spans": "select question_id, 'beyond the text' as reason from asked join documents on gold_doc = doc_id where gold_end > length(text) or gold_end <= gold_start",
+    "candidates": "select * from cands",
+    "stratified_sample": f"""select question_id, split, answerable from (select *, count(*) over (partition by split, answerable) as size, count(*) over () as total,
+        row_number() over (partition by split, answerable order by {_hash("question_id", "42")}, question_id) as nth from asked) where nth <= greatest(1, round_even(20 * size / total, 0))""",
+    "word_spans": r"""select doc_id, row_number() over (partition by doc_id order by e) - 1 as word_no, e - length(p) as char_start, e as char_end from
+        (select doc_id, p, sum(length(p)) over (partition by doc_id order by i)::bigint as e from (select doc_id, unnest(p) as p, unnest(range(len(p))) as i from (select doc_id, regexp_extract_all(text, '\S+|\s+') as p from documents))) where not regexp_matches(p, '^\s')""",
+    "fixed_chunks": f"select * from {_chunks('documents', 64, 64)}",
+    "sliding_chunks": f"select * from {_chunks('documents', 64, 58)}",
+    "sliding_chunks_512": f"select * from {_chunks('documents', 512, 461)}",
+    "chunk_texts": "select doc_id, chunk_no, md5(text) as text_md5, concat(doc_id, '::', chunk_no) as chunk_id, concat(doc_id, '::chunk_', chunk_no) as label from texts",
+    "chunk_statistics": f"""select count(*) as n_chunks, round(count(*) / count(distinct doc_id), 6) as chunks_per_doc, round(avg(n_words), 6) as mean_words, round(quantile_cont(n_words::double, 0.5), 6) as median_words,
+        round(quantile_cont(n_words::double, 0.1), 6) as p10_words, round(quantile_cont(n_words::double, 0.9), 6) as p90_words, round(sum(char_end - char_start) / (select sum(length(text)) from documents), 6) as redundancy from {_chunks('documents', 64, 58)}""",
+    "segmentation_agreement": f"""select count(*) as n_docs, round(avg((x = y)::int), 6) as identical, round(avg((len(x) = 1)::int), 6) as single, round(avg((len(x) > 1)::int), 6) as several from
+        (select doc_id, list([char_start, char_end] order by char_start) as x from {_chunks('documents', 64, 64)} group by 1) join (select doc_id, list([char_start, char_end] order by char_start) as y from {_chunks('documents', 64, 58)} group by 1) using (doc_id)""",
+    "bm25_tokens": f"select doc_id, len({_tokens('text')})::bigint as n, md5(array_to_string({_tokens('text')}, ' ')) as tokens_md5 from documents",
+    "content_tokens": f"select doc_id, len(c)::bigint as n, md5(array_to_string(c, ' ')) as tokens_md5 from (select doc_id, {_content('text')} as c from documents)",
+    "sentences": f"select doc_id, len({_sentences('text')})::bigint as n_sentences from documents",
+    "syllables": f"select word, count(*) as n, {_syllables('word')}::bigint as syllables from (select unnest(regexp_extract_all(text, '\\S+')) as word from documents) group by word",
+    "readability": rf"""select doc_id, round(206.835 - 1.015 * nw / ns - 84.6 * syl / nw, 6) as reading_ease, round(0.39 * nw / ns + 11.8 * syl / nw - 15.59, 6) as grade, round(0.4 * (nw / ns + 100 * hard / nw), 6) as fog, round(tech / nw, 6) as technical_share, chars from
+        (select doc_id, len(w)::double as nw, ns::double as ns, list_sum(s)::double as syl, len(list_filter(s, lambda c: c >= 3))::double as hard, len(list_filter(w, lambda t: regexp_matches(t, '[0-9]|[a-z][A-Z]|/|_') or contains(trim(t, '.'), '.')))::double as tech, chars from
+         (select doc_id, w, list_transform(w, lambda x: {_syllables('x')}) as s, ns, chars from (select doc_id, regexp_extract_all(text, '\S+') as w, len({_sentences('text')}) as ns, length(text) as chars from documents)))""",
+    "abstention": f"select conv_id, turn, {_abstains('text')} as abstained from conversations",
+    "answer_body": f"select conv_id, turn, {_BODY} as body from cited",
+    "citations": f"""select conv_id, turn, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), '|') as cited, len(list_distinct({_CITED}))::bigint as n_cited from (select *, {_ALLCITED} as c from cited)""",
+    "bm25_scores": "select question_id, doc_id, chunk_no, round(score, 6) as score from bm25",
+    "bm25_topk": "select question_id, doc_id, chunk_no, round(score, 6) as score, rnk from r_bm25 where rnk <= 5",
+    "dense_scores": "select question_id, doc_id, chunk_no, round(score, 6) as score from dense",
+    "dense_topk": "select question_id, doc_id, chunk_no, round(score, 6) as score, rnk from r_dense where rnk <= 5",
+    "zscored_scores": "select question_id, doc_id, chunk_no, round(score, 5) as score from z_bm25",
+    "rrf_fusion": "select question_id, doc_id, chunk_no, round(score, 6) as score, rnk from r_rrf",
+    "weighted_fusion": "select question_id, doc_id, chunk_no, round(score, 5) as score, rnk from r_weighted where rnk <= 20",
+    "rerank_lexical": "select question_id, doc_id, chunk_no, round(score, 6) as score, rnk from r_reranked",
+    "complementarity": """select count(*) as n, round(avg((x and y)::int), 6) as both_found, round(avg((x and not y)::int), 6) as only_first, round(avg((y and not x)::int), 6) as only_second, round(avg((not x and not y)::int), 6) as neither,
+        round(avg((x or y)::int), 6) as union_ceiling, round(avg((x or y)::int) - greatest(avg(x::int), avg(y::int)), 6) as headroom from
+        (select question_id, bool_or(configuration = 'bm25' and recall_5 > 0) as x, bool_or(configuration = 'dense' and recall_5 > 0) as y from traces where configuration in ('bm25', 'dense') group by 1)""",
+    "promotion": """select count(*) as n, count(*) filter (not x.in_top_5 and y.in_top_5) as rescued, count(*) filter (x.in_top_5 and not y.in_top_5) as demoted, count(*) filter (not x.in_top_5 and y.in_top_5) - count(*) filter (x.in_top_5 and not y.in_top_5) as net,
+        count(*) filter (x.recall_20 <> y.recall_20) as recall_changed from traces x join traces y using (question_id) where x.configuration = 'dense' and y.configuration = 'dense_reranked'""",
+    "nearest_vectors": """select query_id, vec_id, round(score, 6) as score, rnk from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rnk from
+        (select q.vec_id as query_id, v.vec_id, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 9) as score from embeddings q join embeddings v on q.label = v.label and q.vec_id <> v.vec_id where q.vec_id % 10 = 0)) where rnk <= 5""",
+    "evidence_metrics": f"select question_id, answerable, t.* exclude (configuration, question_id) from asked a left join (select configuration, question_id, {_TRACE} from traces where configuration = 'bm25') t using (question_id)",
+    "evidence_metrics_dense": f"select question_id, {_TRACE} from traces where configuration = 'dense'",
+    "arm_means": f"select configuration, split, count(*) as n, {', '.join(f'round(avg({m}), 6) as {m}' for m in ('coverage', 'context_precision', 'mrr', 'recall_5', 'recall_20', 'ndcg_5'))} from traces group by all",
+    "segmentation_ceiling": f"select question_id, split, {_R('ceiling')}, {_R('best_single')}, n_hits from ceil",
+    "ceiling_summary": "select split, count(*) as n, round(avg(ceiling), 6) as mean_ceiling, round(min(ceiling), 6) as min_ceiling, round(avg((ceiling < 0.8)::int), 6) as below from ceil group by 1",
+    "resume_antijoin": f"select conv_id * 1000 + turn as question_id, split from recs where {_hash('conv_id * 1000 + turn')} % 2 <> 0",
+    "configuration_table": f"select configuration, question_id, split, in_top_20, in_top_5, {_R('coverage')}, {_R('ceiling')} from staged",
+    "centre_identity": "select question_id from asked where false",
+    "stage_attribution": "select configuration, question_id, stage from staged",
+    "stage_partition": "select configuration, count(*) as n, round(avg((stage = 'S1')::int), 6) as share_s1, round(avg((stage = 'S2')::int), 6) as share_s2, round(avg((stage = 'S3')::int), 6) as share_s3, round(avg((stage = 'R')::int), 6) as share_r, round(avg((stage <> 'R')::int), 6) as blocked from staged group by all",
+    "stage_partition_by_split": "select configuration, split, count(*) as n, round(avg((stage = 'S1')::int), 6) as share_s1, round(avg((stage = 'S2')::int), 6) as share_s2, round(avg((stage = 'S3')::int), 6) as share_s3, round(avg((stage = 'R')::int), 6) as share_r, round(avg((stage <> 'R')::int), 6) as blocked from staged group by all",
+    "stage_transitions": """select f.s as from_stage, t.s as to_stage, count(x.question_id) as n from (select unnest(['S1', 'S2', 'S3', 'R']) as s) f cross join (select unnest(['S1', 'S2', 'S3', 'R']) as s) t left join
+        (select a.question_id, b.stage as fs, a.stage as ts from staged a join staged b using (question_id) where a.configuration = 'bm25' and b.configuration = 'dense') x on fs = f.s and ts = t.s group by all""",
+    "threshold_sweep": """select configuration, threshold, round(avg((g = 'S1')::int), 6) as share_s1, round(avg((g = 'S2')::int), 6) as share_s2, round(avg((g = 'S3')::int), 6) as share_s3, round(avg((g = 'R')::int), 6) as share_r from
+        (select configuration, threshold, case when coalesce(ceiling, 1) < threshold then 'S1' when not in_top_20 then 'S2' when not (in_top_5 and coverage >= threshold) then 'S3' else 'R' end as g
+         from staged, (select unnest([0.5, 0.6, 0.7, 0.8, 0.9, 1.0])::double as threshold) where configuration in ('bm25', 'dense')) group by all""",
+    "dq_trace_defects": "select count(*) filter (in_top_5 and not in_top_20) as in_5_not_20, count(*) filter (coverage > 1e-4 and not in_top_5) as covered_not_in_5, count(*) filter (coverage < -1e-4 or coverage > 1 + 1e-4) as coverage_range, count(*) filter (mrr > 0 and not in_top_20) as mrr_not_in_20 from traces",
+    "dq_coverage_above_ceiling": "select configuration, question_id from staged where configuration in ('bm25', 'dense') and coverage > ceiling + 1e-4",
+    "to_wide": "select id, " + ", ".join(f"round(max(x) filter (level = '{v}'), 6) as \"{v}\"" for v in ("click", "error", "purchase", "signup", "view")) + f" from ({_FULL}) group by id",
+    "bootstrap_ci": _ci("select level, row_number() over (partition by level order by id) - 1 as i, x from lev", "level"),
+    "pairwise_baseline": f"""select level, n, round(diff, 6) as diff, round(dz, 6) as dz, round(hi, 6) as hi, round(lo, 6) as lo, round(p, 6) as p, round(max(s) over (order by p, level), 6) as p_holm from (select *, least(1, p * (count(*) over () - row_number() over (order by p, level) + 1)) as s from
+        {_paired("select a.level, row_number() over (partition by a.level order by a.id) - 1 as i, a.x - b.x as x from lev a join lev b using (id) where b.level = 'view' and a.level <> 'view'", "level")})""",
+    "holm": f"""select level, family, round(p, 6) as p, round(max(s) over (order by p, level), 6) as p_holm from (select *, least(1, p * (count(*) over () - row_number() over (order by p, level) + 1)) as s from
+        (select level, 1::bigint as family, {_hash("level")} % 1000 / 10000.0::double as p from lev group by 1))""",
+    "average_ranks": "select o_orderpriority, o_orderstatus, n, round(rank() over (partition by o_orderstatus order by n desc) + (count(*) over (partition by o_orderstatus, n) - 1) / 2.0::double, 6) as avg_rank from (select o_orderpriority, o_orderstatus, count(*) as n from orders group by all)",
+    "factor_ranking": """select factor, round(avg(effect), 6) as mean_effect, round(quantile_cont(effect, 0.5), 6) as median_effect, round(avg(r), 6) as mean_rank, count(*) filter (r = 1) as metrics_won, count(*) as n from
+        (select *, rank() over (partition by metric order by effect desc) + (count(*) over (partition by metric, effect) - 1) / 2.0::double as r from (select event_type as factor, user_id % 7 as metric, round(avg(value), 9) as effect from events group by all)) group by 1""",
+    "repeated_measures": f"""select n as n_ids, round(vl * cells, 6) as ss_level, round(vs * cells, 6) as ss_subject, round((v - vl - vs) * cells, 6) as ss_error, round(vl / 4 / ((v - vl - vs) / (4 * (n - 1))), 6) as f, round(vl / (v - vs), 6) as eta2,
+        round(range, 6) as range, round(range / sd, 6) as std_range, best, worst from (select var_pop(x) as v, count(*) as cells from ({_FULL})),
+        (select var_pop(m) as vl, max(m) - min(m) as range, arg_max(level, m) as best, arg_min(level, m) as worst, max(n) as n from (select level, avg(x) as m, count(*) as n from ({_FULL}) group by 1)), (select var_pop(m) as vs, stddev_samp(m) as sd from (select id, avg(x) as m from ({_FULL}) group by 1))""",
+    "normalised_heatmap": """select l_returnflag, l_linestatus, round((q - min(q) over ()) / (max(q) over () - min(q) over ()), 6) as quantity, round((d - min(d) over ()) / (max(d) over () - min(d) over ()), 6) as discount from
+        (select l_returnflag, l_linestatus, avg(l_quantity) as q, avg(l_discount) as d from lineitem group by all)""",
+    "cost_table": "select l_returnflag, round(avg(l_extendedprice), 4) as mean_cost, round(quantile_cont(l_extendedprice, 0.5), 4) as median_cost, count(*) as n from lineitem group by 1",
+    "auroc": """select split, count(*) as n, sum(y)::bigint as positives, round((sum(r) filter (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) as auroc from
+        (select *, rank() over (partition by split order by score) + (count(*) over (partition by split, score) - 1) / 2.0::double as r from lab) group by 1""",
+    "reliability": """select b.bin, count(y) as n, round(avg(score), 6) as mean_score, round(avg(y), 6) as rate from (select unnest(range(10)) as bin) b left join
+        (select *, len(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9], lambda i: score >= i * 0.1::double)) as bin from lab) using (bin) group by 1""",
+    "calibration_error": """select round((select avg((score - y) * (score - y)) from lab), 6) as brier, round(sum(n * abs(m - r)) / sum(n), 6) as ece from (select count(*) as n, avg(score) as m, avg(y) as r from lab
+        group by len(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9], lambda i: score >= i * 0.1::double)))""",
+    "certainty_bands": """select band, count(y) as n, round(count(y) / (select count(*) from lab), 6) as share, round(avg(score), 6) as mean_score, round(avg(y), 6) as rate from (select unnest(['insufficient', 'low', 'medium', 'high']) as band) left join
+        (select *, case when score >= 0.85 then 'high' when score >= 0.6 then 'medium' when score >= 0.35 then 'low' else 'insufficient' end as band from lab) using (band) group by 1""",
+    "selective_answering": """select count(*) as n, round(avg((score < 0.35)::int), 6) as withheld_share, count(*) filter (score < 0.35 and y <> 1) as caught, count(*) filter (score < 0.35 and y = 1) as lost,
+        round(avg(y) filter (score < 0.35), 6) as rate_withheld, round(avg(y) filter (score >= 0.35), 6) as rate_kept from lab""",
+    "base_rate_shift": "select round(a, 6) as train_rate, round(b, 6) as dev_rate, round(ln(b / (1 - b)) - ln(a / (1 - a)), 6) as shift from (select avg(y) filter (split = 'train') as a, avg(y) filter (split = 'dev') as b from lab)",
+    "citation_bands": f"""select conv_id, turn, case when {_abstains('answer')} or n = 0 or n >= 3 then 'low' when len(list_filter(c, lambda x: string_split(x, '::')[1] = concat('swg', conv_id))) > 0 then 'high' else 'medium' end as band,
+        ['correct', 'partial', 'incorrect'][{_hash("conv_id", "turn")} % 3 + 1] as label from (select *, list_distinct({_ALLCITED}) as c, len(list_distinct({_ALLCITED})) as n from cited)""",
+}
+_FINAL["citation_band_table"] = f"""select band, count(label) as n, count(*) filter (label = 'correct') as correct, count(*) filter (label = 'partial') as partial, count(*) filter (label = 'incorrect') as incorrect,
+    round(avg(case label when 'correct' then 1.0::double when 'partial' then 0.5::double when 'incorrect' then 0 end), 6) as credit from (select unnest(['high', 'medium', 'low']) as band) left join ({_FINAL['citation_bands']}) using (band) group by 1"""
+
+ORACLES: dict[str, str] = {name: _sql(sql) for name, sql in _FINAL.items()}

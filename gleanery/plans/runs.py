@@ -29,6 +29,7 @@ class RetrievalRun:
 
     def __init__(self, spark: SparkSession, folder: str, size: int = SIZE, overlap: float = OVERLAP):
         self.spark, self.folder, self.size, self.overlap = spark, folder, size, overlap
+        self._traces: dict[str, DataFrame] = {}
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -81,12 +82,15 @@ class RetrievalRun:
         raise ValueError(f"no such arm: {arm}")
 
     def trace(self, arm: str) -> DataFrame:
-        return E.evidence_metrics(self.asked, self.ranking(arm), self.chunks)
+        """One row for each question, kept like the base scores: it is what every later analysis reads."""
+        if arm not in self._traces:
+            self._traces[arm] = materialised(E.evidence_metrics(self.asked, self.ranking(arm), self.chunks))
+        return self._traces[arm]
 
     @cached_property
     def ceiling(self) -> DataFrame:
         gold = self.docs.join(self.asked.where("answerable").select(F.col("gold_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return E.segmentation_ceiling(self.asked, C.word_windows(gold, self.size, self.overlap))
+        return materialised(E.segmentation_ceiling(self.asked, C.word_windows(gold, self.size, self.overlap)))
 
     def configurations(self, arms: tuple[str, ...] = ARMS) -> DataFrame:
         """Traces of several arms with their ceiling, one row for each configuration and question."""
