@@ -197,8 +197,8 @@ _FINAL = {
     "citations": f"""select conv_id, turn, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), '|') as cited, len(list_distinct({_CITED}))::bigint as n_cited from (select *, {_ALLCITED} as c from cited)""",
     "bm25_scores": "select question_id, doc_id, chunk_no, round(score, 6) as score from bm25",
     "bm25_topk": "select question_id, doc_id, chunk_no, round(score, 6) as score, rnk from r_bm25 where rnk <= 5",
-    "dense_scores": "select question_id, doc_id, chunk_no, round(score, 6) as score from dense",
-    "dense_topk": "select question_id, doc_id, chunk_no, round(score, 6) as score, rnk from r_dense where rnk <= 5",
+    "dense_scores": "select question_id, doc_id, chunk_no, score from dense",
+    "dense_topk": "select question_id, doc_id, chunk_no, score, rnk from r_dense where rnk <= 5",
     "zscored_scores": "select question_id, doc_id, chunk_no, round(score, 5) as score from z_bm25",
     "rrf_fusion": "select question_id, doc_id, chunk_no, round(score, 6) as score, rnk from r_rrf",
     "weighted_fusion": "select question_id, doc_id, chunk_no, round(score, 5) as score, rnk from r_weighted where rnk <= 20",

@@ -245,12 +245,12 @@ def bm25_topk(spark, d):
 
 @query
 def dense_scores(spark, d):
-    return _rounded(RetrievalRun(spark, d).dense)
+    return _rounded(RetrievalRun(spark, d).dense, 9)
 
 
 @query
 def dense_topk(spark, d):
-    return _rounded(RetrievalRun(spark, d).ranking("dense").where("rnk <= 5"))
+    return _rounded(RetrievalRun(spark, d).ranking("dense").where("rnk <= 5"), 9)
 
 
 @query
