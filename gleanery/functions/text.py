@@ -20,6 +20,11 @@ EVIDENCE_BLOCK = r"(?ims)^[ \t]*\**evidence\**[ \t]*:.*\z"
 CITATION = r"\[?\b[A-Za-z0-9]+::chunk_\d+\b\]?"
 
 
+def bare(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -48,7 +53,7 @@ def sentences(text: Column) -> Column:
 
 def is_abstention(answer: Column) -> Column:
     """Whether an answer declines: empty, or the mark or a phrase near its beginning."""
-    a = F.lower(F.trim(F.coalesce(answer, F.lit(""))))
+    a = F.lower(bare(F.coalesce(answer, F.lit(""))))
     said = F.contains(F.substring(a, 1, len(ABSTENTION_MARK) + 40), F.lit(ABSTENTION_MARK))
     for phrase in ABSTENTION_PHRASES:
         said = said | F.contains(F.substring(a, 1, 90), F.lit(phrase))
@@ -58,7 +63,7 @@ def is_abstention(answer: Column) -> Column:
 def answer_body(answer: Column) -> Column:
     """An answer without its evidence block and citations, white space squeezed."""
     a = F.regexp_replace(F.coalesce(answer, F.lit("")), EVIDENCE_BLOCK, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(a, CITATION, ""), r"\s{2,}", " "))
+    return bare(F.regexp_replace(F.regexp_replace(a, CITATION, ""), r"\s{2,}", " "))
 
 
 def cited_segments(answer: Column) -> Column:

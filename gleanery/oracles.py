@@ -14,6 +14,9 @@ def _hash(*parts: str) -> str:
 _STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS))) + "]"
 
 
+_BLANK = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+
 def _tokens(x: str) -> str:
     return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9_./+-]+')"
 
@@ -33,7 +36,7 @@ def _syllables(w: str) -> str:
 
 
 def _abstains(x: str) -> str:
-    a = f"lower(trim(coalesce({x}, '')))"
+    a = f"lower(trim(coalesce({x}, ''), {_BLANK}))"
     said = " or ".join([f"contains(substr({a}, 1, 61), 'insufficient evidence')", *[f"contains(substr({a}, 1, 90), '{p}')" for p in ABSTENTION_PHRASES]])
     return f"({a} = '' or {said})"
 
@@ -162,7 +165,7 @@ _FULL = "select * from lev where id in (select id from lev group by id having co
 _R = lambda c: f"round({c}, 6) as {c}"
 _METRICS = [*("coverage", "context_precision", "mrr"), *(f"{m}_{k}" for m in ("recall", "precision", "ndcg") for k in (5, 10, 20))]
 _TRACE = ", ".join(["split", "gold_rank", "in_top_20", "in_top_5", "boundary_loss", *map(_R, _METRICS)])
-_BODY = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(answer, ''), '(?ims)^[ \t]*\**evidence\**[ \t]*:.*\z', ''), '\[?\b[A-Za-z0-9]+::chunk_\d+\b\]?', '', 'g'), '\s{2,}', ' ', 'g'))"
+_BODY = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(answer, ''), '(?ims)^[ \t]*\**evidence\**[ \t]*:.*\z', ''), '\[?\b[A-Za-z0-9]+::chunk_\d+\b\]?', '', 'g'), '\s{2,}', ' ', 'g'), " + _BLANK + ")"
 _CITED = r"regexp_extract_all(answer, '[A-Za-z0-9]+::chunk_\d+')"
 _CUT = r"regexp_extract(answer, '\[([A-Za-z]+[0-9A-Za-z]*)\s*\z', 1)"
 _ALLCITED = f"list_concat({_CITED}, case when length({_CUT}) > 3 then [concat({_CUT}, '::truncated')] else [] end)"
