@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, col, free_name, partitions
+from .common import SPACE, col, partitions
 
 #: Characters of the normalised text that go into the sampled splitters.
 HEAD = 32
@@ -40,6 +40,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", hot:
         hot = max(64, docs.count() // (8 * partitions(docs)))
     many = rows.groupBy("hash").count().where(F.col("count") > hot).select("hash")
 
+    many = F.broadcast(many)  # at most rows / hot numbers: eight for each partition by default
     cold = rows.join(many, "hash", "left_anti")
     cold = cold.withColumn("head", F.substring("norm", 1, HEAD)).repartitionByRange(partitions(docs), "head", "hash")
     same = Window.partitionBy("head", "hash", "norm")
@@ -63,11 +64,13 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", hot:
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Repeated rows and nulls as in ``exact_groups``."""
-    groups = exact_groups(docs, text, key).where("kept").select(F.col("doc_id").alias("stays"), F.col("text_sha256").alias("digest"))
-    row, at, n = free_name(docs, "row"), free_name(docs, "at"), free_name(docs, "nth")
-    raw = F.coalesce(col(text).cast("string"), F.lit(""))
-    keyed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias(row), col(key).alias(at), F.sha2(F.regexp_replace(raw, f"[{SPACE}]+", ""), 256).alias("sha"), F.length(raw).alias("chars"))
-    keyed = keyed.join(groups, keyed[at].eqNullSafe(groups.stays) & (keyed.sha == groups.digest), "left_semi")
-    # Repeated rows of the one that stays, and rows of the same key whose text has other white space: the longest stays.
-    keyed = keyed.withColumn(n, F.row_number().over(Window.partitionBy(at, "sha").orderBy(F.desc("chars")))).where(F.col(n) == 1)
+    name = lambda k, digest: F.concat_ws("|", F.coalesce(k.cast("string"), F.lit("-")), digest)
+    groups = exact_groups(docs, text, key).where("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("stays"))
+    row, raw = "row", F.coalesce(col(text).cast("string"), F.lit(""))
+    digest = F.sha2(F.regexp_replace(raw, f"[{SPACE}]+", ""), 256)
+    keyed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias(row), name(col(key), digest).alias("name"), F.length(raw).alias("chars"))
+    keyed = keyed.join(groups, F.col("name") == F.col("stays"), "left_semi")
+    # Repeated rows of the one that stays, and rows of its key whose text has other white space: the longest stays. The
+    # rows are already dealt by name, so this moves nothing.
+    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("chars")))).where("nth = 1")
     return keyed.select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
