@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import col
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries that each of a worker's tables of words and of pieces holds before it starts anew.
-REMEMBERED = 200_000
+#: Entries that a worker's tables of words and of pieces hold before they start anew. A word that is one piece, as most
+#: are, stands in the table of words only.
+REMEMBERED = 130_000
+PIECES = 20_000
 #: Longer words and pieces are encoded but not remembered.
 LONGEST = 64
 #: White space as Unicode has it.
@@ -153,11 +155,14 @@ class ForcedBpe:
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word of the normalised text."""
         ids: list[int] = []
-        for piece in self.fragments(self.units("".join(map(self.letters.__getitem__, word.encode())))):
+        pieces = list(self.fragments(self.units("".join(map(self.letters.__getitem__, word.encode())))))
+        if len(pieces) == 1:
+            return list(self.merged(pieces[0]))
+        for piece in pieces:
             if (got := self.pieces.get(piece)) is None:
                 got = self.merged(piece)
                 if len(piece) <= LONGEST:
-                    if len(self.pieces) >= REMEMBERED:
+                    if len(self.pieces) >= PIECES:
                         self.pieces.clear()
                     self.pieces[piece] = got
             ids += got
