@@ -146,9 +146,11 @@ def _plain(text: np.ndarray, size: int) -> np.ndarray:
         return out
     types = _types(text)
     leftmost = np.flatnonzero(types[1:] & ~types[:-1]) + 1
-    s, smaller = text.tolist(), types.tolist()
     ends = np.cumsum(np.bincount(text, minlength=size)).tolist()
-    heads = [0, *ends[:-1]]
+    heads, s = [0, *ends[:-1]], text.tolist()
+    # For each suffix, the character that it induces a larger (a smaller) suffix with, or -1; the last one is for no suffix.
+    left, kind = np.concatenate([[-1], text[:-1], [-1]]), np.concatenate([[False], types[:-1], [False]])
+    larger, smaller = np.where(kind, -1, left).tolist(), np.where(kind, left, -1).tolist()
 
     def induce(seeds: list[int]) -> list[int]:
         out = [-1] * n
@@ -159,16 +161,18 @@ def _plain(text: np.ndarray, size: int) -> np.ndarray:
             out[tail[c]] = i
         head = heads[:]
         for i in out:  # the list fills to the right of the place that is read
-            if i > 0 and not smaller[i - 1]:
-                c = s[i - 1]
-                out[head[c]] = i - 1
-                head[c] += 1
+            c = larger[i]
+            if c >= 0:
+                h = head[c]
+                out[h] = i - 1
+                head[c] = h + 1
         tail = ends[:]
         for i in reversed(out):  # and here to the left of it, over the seeds
-            if i > 0 and smaller[i - 1]:
-                c = s[i - 1]
-                tail[c] -= 1
-                out[tail[c]] = i - 1
+            c = smaller[i]
+            if c >= 0:
+                h = tail[c] - 1
+                out[h] = i - 1
+                tail[c] = h
         return out
 
     order = np.array(induce(leftmost.tolist()))
