@@ -14,7 +14,7 @@ from gleanery.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
 from gleanery.llm.components import components
 from gleanery.llm.exact_dedup import exact_dedup, exact_groups
 from gleanery.llm.language_id import identify_languages
-from gleanery.llm.line_dedup import dedup_lines
+from gleanery.llm.line_dedup import dedup_lines, line_classes
 from gleanery.llm.mixing import Mix, draws, mix_documents, targets
 from gleanery.llm.ngram_join import near_duplicates, without_near_duplicates
 from gleanery.llm.suffix_array import permuted_prefixes, suffix_array
@@ -237,3 +237,36 @@ def test_toxicity(spark, docs, empty):
     assert all(got[i].predicted == y for i, y in labels)
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity_scores(docs, none).count() == docs.count() and toxicity_scores(empty, none).count() == 0
+
+
+def brute_lines(lines):
+    """The place of the first line of each line's component, over all pairs."""
+    sets = [{x[k : k + 7] for k in range(max(1, len(x) - 6))} for x in lines]
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def line_roots(spark, lines):
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r.doc.key: r.keep_doc.key for r in line_classes(rows).collect()}
+    return [got[i] for i in range(len(lines))]
+
+
+def test_line_dedup_of_one_word_edits(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8)))
+    lines = []
+    for i in range(150):
+        line = []
+        while len(" ".join(line)) < 40 + i * 80 // 150:
+            line.append(word())
+        k = rng.randrange(len(line))
+        lines += [" ".join(line), " ".join([*line[:k], word(), *line[k + 1 :]])]
+    want = brute_lines(lines)
+    assert sum(r != i for i, r in enumerate(want)) > 75
+    assert line_roots(spark, lines) == want
