@@ -270,3 +270,15 @@ def test_line_dedup_of_one_word_edits(spark):
     want = brute_lines(lines)
     assert sum(r != i for i, r in enumerate(want)) > 75
     assert line_roots(spark, lines) == want
+
+
+def test_line_dedup_of_long_runs(spark):
+    rng = random.Random(12)
+    lines = []
+    for n in (60, 90, 120):
+        for letters in ([chr(0x4E00 + k) for k in range(3000)], list("abcdefghijklmnopqrstuvwxyz0123456789"), [chr(0x20000 + k) for k in range(3000)]):
+            run = "".join(rng.choice(letters) for _ in range(n))
+            lines += [run, run[:3] + rng.choice(letters) + run[3:], run[: n // 2] + run[n // 2 + 1 :]]
+    want = brute_lines(lines)
+    assert want == [i - i % 3 for i in range(len(lines))]
+    assert line_roots(spark, lines) == want
