@@ -14,7 +14,7 @@ from gleanery.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
 from gleanery.llm.components import components
 from gleanery.llm.exact_dedup import exact_dedup, exact_groups
 from gleanery.llm.language_id import identify_languages
-from gleanery.llm.line_dedup import dedup_lines, line_classes
+from gleanery.llm.line_dedup import _signed, dedup_lines, line_classes
 from gleanery.llm.mixing import Mix, draws, mix_documents, targets
 from gleanery.llm.ngram_join import near_duplicates, without_near_duplicates
 from gleanery.llm.suffix_array import permuted_prefixes, suffix_array
@@ -282,3 +282,20 @@ def test_line_dedup_of_long_runs(spark):
     want = brute_lines(lines)
     assert want == [i - i % 3 for i in range(len(lines))]
     assert line_roots(spark, lines) == want
+
+
+def test_line_dedup_within_large_buckets(spark):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template, lines = word(400), []
+    for _ in range(100):  # similarity 0.774 within a pair, 0.722 to all others; most buckets are of the template's shingles
+        pair = word(16)
+        lines += [template + pair + word(60), template + pair + word(60)]
+    assert brute_lines(lines) == [i - i % 2 for i in range(len(lines))]
+    bands = {}
+    for r in _signed(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect():
+        bands.setdefault(r.id, set()).add(r.band)
+    meet = [bool(bands[i] & bands[i + 1]) for i in range(0, len(lines), 2)]
+    assert sum(meet) >= 97
+    got = line_roots(spark, lines)
+    assert all(got[i] == i - i % 2 or (got[i] == i and not meet[i // 2]) for i in range(len(lines)))
