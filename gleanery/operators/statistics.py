@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import hashed
 
-RESAMPLES = 200
+#: As in the study; fewer make p and the bounds coarser.
+RESAMPLES = 5000
 
 
 def resampled_means(values: DataFrame, by: list[str], order: str, value: str, n_boot: int = RESAMPLES) -> DataFrame:

@@ -22,6 +22,8 @@ from .streaming.resume import missing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LEVELS = ["click", "error", "purchase", "signup", "view"]
+#: Resamples that the DuckDB SQL of the queries draws; the operators draw more unless told.
+ORACLE_RESAMPLES = 200
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -495,12 +497,12 @@ def repeated_measures(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
-    return _rounded(B.bootstrap_ci(levels(spark, d), ["level"], "id", "x"))
+    return _rounded(B.bootstrap_ci(levels(spark, d), ["level"], "id", "x", ORACLE_RESAMPLES))
 
 
 @query
 def pairwise_baseline(spark, d):
-    return _rounded(B.against_baseline(levels(spark, d), "view"))
+    return _rounded(B.against_baseline(levels(spark, d), "view", ORACLE_RESAMPLES))
 
 
 @query

@@ -103,3 +103,11 @@ def test_logistic_separates(spark):
 def test_citation_bands(spark):
     band = lambda a: value(spark, Q.citation_band(F.lit(a), F.lit("swg1")))
     assert [band("x [swg1::chunk_0]"), band("x [a::chunk_1] [b::chunk_2] [c::chunk_3]"), band("x [b2::chunk_2]"), band("")] == ["high", "low", "medium", "low"]
+
+
+def test_bootstrap_draws_as_many_resamples_as_the_study(spark):
+    rows = spark.createDataFrame([(i, float(i % 3)) for i in range(6)], "id int, x double").withColumn("g", F.lit(1))
+    assert B.resampled_means(rows, ["g"], "id", "x").count() == 5000
+    pairs = rows.select("g", "id", F.col("x").alias("a"), F.lit(0.4).alias("b"))
+    p = B.paired_bootstrap(pairs, ["g"], "id").first()["p"]
+    assert 0 < p < 1 and p * 2500 == pytest.approx(round(p * 2500)) and p * 100 != pytest.approx(round(p * 100))
