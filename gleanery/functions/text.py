@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ EVIDENCE_BLOCK = r"(?ims)^[ \t]*\**evidence\**[ \t]*:.*\z"
 CITATION = r"\[?\b[A-Za-z0-9]+::chunk_\d+\b\]?"
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is evaluated once however often ``f`` uses it, inside other lambdas too."""
+    return F.transform(F.array(value), f)[0]
+
+
 def bare(text: Column) -> Column:
     """A text without white space at its ends."""
     return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
@@ -86,22 +93,37 @@ def prompt_segments(prompt: Column) -> Column:
 
 def syllables(word: Column) -> Column:
     """Vowel groups, a final e not counted beside others; at least 1 if there is a letter a-z, else 0."""
-    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    groups = F.size(_all(w, "[aeiouy]+"))
-    return F.when(w == "", 0).otherwise(F.greatest(F.lit(1), groups - (w.endswith("e") & (groups > 1)).cast("int")))
+
+    def count(w: Column) -> Column:
+        return bind(F.size(_all(w, "[aeiouy]+")), lambda n: F.when(w == "", 0).otherwise(F.greatest(F.lit(1), n - (w.endswith("e") & (n > 1)).cast("int"))))
+
+    return bind(F.regexp_replace(F.lower(word), "[^a-z]", ""), count)
+
+
+def technical(word: Column) -> Column:
+    """Whether a word has a digit, an inner capital, a slash, an underscore, or a point inside."""
+    return word.rlike("[0-9]|[a-z][A-Z]|/|_") | F.contains(F.btrim(word, F.lit(".")), F.lit("."))
 
 
 def readability(text: Column) -> Column:
-    """Struct of reading ease, grade, fog, share of technical terms (null without words) and number of characters."""
-    w, n_s = words(text), F.size(sentences(text))
-    n_w = F.size(w)
-    counts = F.transform(w, syllables)
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    hard = F.size(F.filter(counts, lambda c: c >= 3))
-    odd = F.size(F.filter(w, lambda t: t.rlike("[0-9]|[a-z][A-Z]|/|_") | F.contains(F.btrim(t, F.lit(".")), F.lit("."))))
-    some = (n_w > 0) & (n_s > 0)
-    per = lambda x: F.when(some, x)
-    return F.struct(
-        per(206.835 - 1.015 * n_w / n_s - 84.6 * total / n_w).alias("reading_ease"), per(0.39 * n_w / n_s + 11.8 * total / n_w - 15.59).alias("grade"),
-        per(0.4 * (n_w / n_s + 100 * hard / n_w)).alias("fog"), per(odd / n_w).alias("technical_share"), F.length(F.coalesce(text, F.lit(""))).alias("chars"),
-    )
+    """Struct of reading ease, grade, fog, share of technical terms (null without words) and number of characters.
+
+    Words are found once and each is looked at once.
+    """
+
+    def measures(v: Column) -> Column:
+        n_w, n_s = v["n_w"].cast("double"), v["n_s"].cast("double")
+        some = (v["n_w"] > 0) & (v["n_s"] > 0)
+        per = lambda x: F.when(some, x)
+        return F.struct(
+            per(206.835 - 1.015 * n_w / n_s - 84.6 * v["all"] / n_w).alias("reading_ease"), per(0.39 * n_w / n_s + 11.8 * v["all"] / n_w - 15.59).alias("grade"),
+            per(0.4 * (n_w / n_s + 100 * v["hard"] / n_w)).alias("fog"), per(v["odd"] / n_w).alias("technical_share"), v["chars"].alias("chars"),
+        )
+
+    def counts(w: Column) -> Column:
+        start = F.struct(F.lit(0).alias("all"), F.lit(0).alias("hard"), F.lit(0).alias("odd"))
+        step = lambda a, t: bind(syllables(t), lambda n: F.struct((a["all"] + n).alias("all"), (a["hard"] + (n >= 3).cast("int")).alias("hard"), (a["odd"] + technical(t).cast("int")).alias("odd")))
+        sums = F.aggregate(w, start, step)
+        return bind(sums, lambda a: F.struct(F.size(w).alias("n_w"), F.size(sentences(text)).alias("n_s"), a["all"].alias("all"), a["hard"].alias("hard"), a["odd"].alias("odd"), F.length(F.coalesce(text, F.lit(""))).alias("chars")))
+
+    return bind(bind(words(text), counts), measures)

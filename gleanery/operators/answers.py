@@ -1,40 +1,52 @@
-"""Answer metrics: support by the context, agreement with a gold text, abstention."""
+"""Answer metrics: support by the context, agreement with a gold text, abstention; prompts, batches and generation."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import answer_body, citation_count, content_tokens, is_abstention, readability, sentences, tokens
+from ..functions.text import answer_body, bind, citation_count, content_tokens, is_abstention, readability, sentences, tokens
 
 SUPPORTED = 0.6
+#: What a prompt says when nothing can be answered, and its fixed parts (fixed values).
+ABSTAIN = "INSUFFICIENT EVIDENCE"
+PROMPT_WORDS, LEAST_WORDS, SHRINK = 3200, 64, 0.8
 
 
-def share_in(found: Column, among: Column) -> Column:
-    """Share of tokens, repeats included, that are among others; null without tokens."""
-    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda t: F.array_contains(among, t))) / F.size(found))
+def _within(found: Column, among: Column) -> Column:
+    """Share of tokens, repeats included, that are in the array ``among``; null without tokens. Arguments are variables."""
+    known = lambda k: F.size(F.filter(found, lambda t: F.array_contains(k, t))) / F.size(found)
+    return F.when(F.size(found) > 0, bind(F.array_intersect(found, among), known))
 
 
 def groundedness(answer: Column, context: Column) -> Column:
-    return share_in(content_tokens(answer), F.array_distinct(content_tokens(context)))
+    """Share of the answer's content tokens that the context has; null without tokens."""
+    return bind(F.struct(content_tokens(answer).alias("a"), content_tokens(context).alias("c")), lambda v: _within(v["a"], v["c"]))
+
+
+def _faithful(parts: Column, among: Column, threshold: float) -> Column:
+    shares = F.filter(F.transform(parts, lambda s: _within(s, among)), lambda x: x.isNotNull())
+    return bind(shares, lambda x: F.when(F.size(x) > 0, F.size(F.filter(x, lambda y: y >= threshold)) / F.size(x)))
 
 
 def faithfulness(answer: Column, context: Column, threshold: float = SUPPORTED) -> Column:
     """Share of sentences with content of which at least ``threshold`` is supported; null without such sentences."""
-    among = F.array_distinct(content_tokens(context))
-    shares = F.filter(F.transform(sentences(answer), lambda s: share_in(content_tokens(s), among)), lambda x: x.isNotNull())
-    return F.when(F.size(shares) > 0, F.size(F.filter(shares, lambda x: x >= threshold)) / F.size(shares))
+    parts = F.transform(sentences(answer), content_tokens)
+    return bind(F.struct(parts.alias("p"), F.array_distinct(content_tokens(context)).alias("c")), lambda v: _faithful(v["p"], v["c"], threshold))
 
 
-def token_f1(answer: Column, gold: Column) -> Column:
-    """Harmonic mean of precision and recall of content tokens as multisets; 0 if either has none."""
-    a, g = content_tokens(answer), content_tokens(gold)
+def _overlap_f1(a: Column, g: Column) -> Column:
     count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
     common = F.aggregate(F.array_intersect(a, g), F.lit(0), lambda n, t: n + F.least(count(a, t), count(g, t)))
-    return F.when((F.size(a) > 0) & (F.size(g) > 0) & (common > 0), 2.0 * common / (F.size(a) + F.size(g))).otherwise(0.0)
+    return bind(common, lambda c: F.when(c > 0, 2.0 * c / (F.size(a) + F.size(g))).otherwise(0.0))
+
+
+def token_f1(answer: Column, gold: Column) -> Column:
+    """Harmonic mean of precision and recall of content tokens as multisets; 0 if either has none."""
+    return bind(F.struct(content_tokens(answer).alias("a"), content_tokens(gold).alias("g")), lambda v: _overlap_f1(v["a"], v["g"]))
 
 
 def exact_match(answer: Column, gold: Column) -> Column:
@@ -73,36 +85,95 @@ def rouge_l(rows: DataFrame, answer: str, gold: str, into: str = "rouge_l") -> D
 
 
 def scored_answers(records: DataFrame) -> DataFrame:
-    """Records (keys, answer, context, gold or null) with all built-in answer metrics; support is null for abstentions."""
+    """Records (keys, answer, context, gold or null) with all built-in answer metrics; support is null for abstentions.
+
+    Body, context and gold are cut into tokens once for each record; an explode of one element keeps it so, as the
+    optimiser does not repeat what stands below a generator.
+    """
     body = answer_body(F.col("answer"))
-    rows = records.withColumn("body", body).withColumn("abstained", is_abstention(F.col("answer")) | is_abstention(body))
-    given = lambda c: F.when(~F.col("abstained"), c)
-    against = lambda c: F.when(F.coalesce("gold", F.lit("")) != "", c)
-    ground = groundedness(F.col("body"), F.col("context"))
-    read = readability(F.col("body"))
-    rows = rows.select(
-        *records.columns, "abstained", citation_count(F.col("answer")).alias("n_cited"), given(ground).alias("groundedness"), given(1 - ground).alias("hallucination"),
-        given(faithfulness(F.col("body"), F.col("context"))).alias("faithfulness"), against(exact_match(F.col("body"), F.col("gold"))).alias("exact_match"),
-        against(token_f1(F.col("body"), F.col("gold"))).alias("token_f1"), *[read[n].alias(n) for n in ("reading_ease", "grade", "fog", "technical_share", "chars")],
+    once = F.struct(body.alias("body"), (F.coalesce("gold", F.lit("")) != "").alias("answerable"))
+    rows = records.withColumn("_once", F.explode(F.array(once)))
+    text = F.col("_once.body")
+    parts = F.struct(
+        content_tokens(text).alias("a"), F.array_distinct(content_tokens(F.col("context"))).alias("c"), content_tokens(F.col("gold")).alias("g"),
+        F.transform(sentences(text), content_tokens).alias("s"), readability(text).alias("read"), (is_abstention(F.col("answer")) | is_abstention(text)).alias("abstained"),
+    )
+    rows = rows.withColumn("_t", F.explode(F.array(parts)))
+    given = lambda c: F.when(~F.col("_t.abstained"), c)
+    against = lambda c: F.when(F.col("_once.answerable"), c)
+    rows = rows.withColumn("_ground", F.explode(F.array(given(_within(F.col("_t.a"), F.col("_t.c"))))))
+    abstained = F.col("_t.abstained").cast("int")
+    return rows.select(
+        *records.columns, F.col("_t.abstained").alias("abstained"), citation_count(F.col("answer")).alias("n_cited"), F.col("_ground").alias("groundedness"),
+        (1 - F.col("_ground")).alias("hallucination"), given(_faithful(F.col("_t.s"), F.col("_t.c"), SUPPORTED)).alias("faithfulness"),
+        against(exact_match(text, F.col("gold"))).alias("exact_match"), against(_overlap_f1(F.col("_t.a"), F.col("_t.g"))).alias("token_f1"),
+        *[F.col("_t.read")[n].alias(n) for n in ("reading_ease", "grade", "fog", "technical_share", "chars")],
+        F.when(F.col("_once.answerable"), 1 - abstained).otherwise(abstained).alias("abstention_accuracy"), F.when(~F.col("_once.answerable"), 1 - abstained).alias("false_answer"),
+    )
+
+
+def abstention_table(scored: DataFrame, by: str) -> DataFrame:
+    """For each group: abstention on questions without and with a gold text, false answers, accuracy, and both counts."""
+    gold, said = F.coalesce("gold", F.lit("")) != "", F.col("abstained").cast("double")
+    share = F.avg(F.when(~gold, said))
+    return scored.groupBy(by).agg(
+        share.alias("abstention_on_unanswerable"), (1 - share).alias("false_answer_rate"), F.avg(F.when(gold, said)).alias("abstention_on_answerable"),
+        F.avg("abstention_accuracy").alias("abstention_accuracy"), F.count_if(~gold).alias("n_unanswerable"), F.count_if(gold).alias("n_answerable"),
     )
-    answerable = F.coalesce("gold", F.lit("")) != ""
-    return rows.withColumn("abstention_accuracy", F.when(answerable, 1 - F.col("abstained").cast("int")).otherwise(F.col("abstained").cast("int"))).withColumn("false_answer", F.when(~answerable, 1 - F.col("abstained").cast("int")))
 
 
-def prompts(chunks: DataFrame, budget: int = 3200) -> DataFrame:
-    """question_id, prompt, n_words: a question's labelled segments in rank order, as many words of each as the budget allows."""
-    share = F.greatest(F.lit(64), F.floor(F.lit(budget) / F.count(F.lit(1)).over(_of())).cast("int"))
-    part = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), F.lit(1), share), " ")
-    rows = chunks.select("question_id", "rnk", F.concat(F.lit("["), F.col("label"), F.lit("]\n"), part).alias("part"))
-    rows = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rnk", "part"))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n")
-    return rows.select("question_id", text.alias("prompt"), F.size(F.split(text, r"\s+")).alias("n_words"))
+def first_look(scored: DataFrame, by: str, threshold: float = 0.15) -> DataFrame:
+    """Of answerable questions, by group: share answered, share whose token F1 passes, and mean groundedness."""
+    rows = scored.where(F.coalesce("gold", F.lit("")) != "")
+    return rows.groupBy(by).agg(F.avg(1 - F.col("abstained").cast("int")).alias("answered"), F.avg(F.coalesce(F.col("token_f1") >= threshold, F.lit(False)).cast("double")).alias("passes"), F.avg("groundedness").alias("groundedness"))
+
 
+def readability_summary(scored: DataFrame, by: str) -> DataFrame:
+    """Mean readability of the answers of each group."""
+    return scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in ("reading_ease", "grade", "fog", "technical_share", "chars")])
 
-def _of():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("question_id")
+def detected(scored: DataFrame, detector: Callable[[list[str], list[str], list[str]], list[float]]) -> DataFrame:
+    """Rows (question, context, answer, abstained) with ``detector_rate``, a batch detector's share of unsupported characters.
+
+    ``detector`` gives the number of unsupported characters of each answer; the share is at most 1, and null for
+    abstentions.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            bad = detector(list(pdf["question"]), list(pdf["context"]), list(pdf["answer"]))
+            rate = [None if out else min(1.0, n / max(1, len(a or ""))) for n, a, out in zip(bad, pdf["answer"], pdf["abstained"])]
+            yield pdf.assign(detector_rate=pd.Series(rate, index=pdf.index, dtype="float64"))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema.fields)
+    return scored.mapInPandas(run, f"{schema}, detector_rate double")
+
+
+def prompt_version(strict: bool, budget: int) -> str:
+    """The tag of a prompt form."""
+    return f"{'strict' if strict else 'answer-first'}-{budget}"
+
+
+def prompts(chunks: DataFrame, budget: int = PROMPT_WORDS) -> DataFrame:
+    """question_id, prompt, n_words and share: a question's labelled segments in rank order.
+
+    Rows (question_id, rnk, label, text, and title if there is one). Each segment may give a share of the budget; where
+    the whole is too long, the share shrinks by a fifth until it fits or is ``LEAST_WORDS``, and the first words of each
+    segment are kept. How much each share would take is counted from the segments' lengths, so texts are joined once.
+    """
+    titled = F.col("title") if "title" in chunks.columns else F.lit("")
+    head = F.concat(F.lit("["), F.col("label"), F.lit("]"), F.when(F.coalesce(titled, F.lit("")) != "", F.concat(F.lit(" - "), titled)).otherwise(""))
+    rows = chunks.select("question_id", F.struct(F.col("rnk"), head.alias("head"), F.split(F.trim("text"), r"\s+").alias("w")).alias("part"))
+    rows = rows.groupBy("question_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    first = F.greatest(F.lit(LEAST_WORDS), F.floor(F.lit(budget) / F.size("parts")).cast("int"))
+    rows = rows.withColumn("first", first)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.greatest(F.lit(LEAST_WORDS), F.floor(F.col("first") * F.pow(F.lit(SHRINK), i)).cast("int")))
+    needs = lambda s: F.aggregate("parts", F.lit(0), lambda n, p: n + F.least(s, F.size(p["w"])) + 1)
+    fits = F.filter(steps, lambda s: (s <= LEAST_WORDS) | (needs(s) <= budget))
+    rows = rows.withColumn("share", fits[0])
+    text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], F.lit("\n"), F.array_join(F.slice(p["w"], F.lit(1), F.col("share")), " "))), "\n\n")
+    return rows.select("question_id", text.alias("prompt"), "share").select("question_id", "prompt", F.size(F.split("prompt", r"\s+")).alias("n_words"), "share")
 
 
 def planned_batches(rows: DataFrame, key: str, length: str, most: int = 12, budget: float = 4.5e7, groups: int = 1) -> DataFrame:
@@ -123,18 +194,42 @@ def planned_batches(rows: DataFrame, key: str, length: str, most: int = 12, budg
     return parts.groupBy("part").applyInPandas(plan, "part int, id long, n long, batch long")
 
 
-def generate(rows: DataFrame, generator=None) -> DataFrame:
+def halving(run: Callable[[list[str]], list[str]], prompts: list[str]) -> list[str]:
+    """Answers in order; a batch that runs out of memory is done in two halves, and a single prompt that does raises."""
+    try:
+        return run(prompts)
+    except Exception as problem:
+        if len(prompts) < 2 or not (isinstance(problem, MemoryError) or "out of memory" in str(problem).lower()):
+            raise
+    half = len(prompts) // 2
+    return halving(run, prompts[:half]) + halving(run, prompts[half:])
+
+
+def generate(rows: DataFrame, generator: Callable[[list[str], list[str]], list[str]] | None = None) -> DataFrame:
     """Rows (prompt, query) with an ``answer`` from a batch generator; the stand-in answers with the first sentence that has a query term."""
 
     def extract(prompt: str, query: str) -> str:
         terms = {w for w in query.lower().split() if len(w) > 3}
         lines = [s.strip() for s in prompt.replace("\n", " ").split(". ")]
-        return next((s for s in lines if terms & set(s.lower().split())), "INSUFFICIENT EVIDENCE")
+        return next((s for s in lines if terms & set(s.lower().split())), ABSTAIN)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            got = generator(list(pdf["prompt"]), list(pdf["query"])) if generator else [extract(p, q) for p, q in zip(pdf["prompt"], pdf["query"])]
-            yield pdf.assign(answer=got)
+            pairs = list(zip(pdf["prompt"], pdf["query"]))
+            made = (lambda part: generator([p for p, _ in part], [q for _, q in part])) if generator else (lambda part: [extract(p, q) for p, q in part])
+            yield pdf.assign(answer=halving(made, pairs))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(run, f"{schema}, answer string")
+
+
+def segments_of(chunks: DataFrame) -> DataFrame:
+    """question_id, segment_ids and context: labels and texts of a question's segments in rank order."""
+    rows = chunks.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rnk", "label", "text"))).alias("s"))
+    return rows.select("question_id", F.array_join(F.transform("s", lambda x: x["label"]), "|").alias("segment_ids"), F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("context"))
+
+
+def last_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row of each key, the first by ``order``; what ``dropDuplicates`` leaves open."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")

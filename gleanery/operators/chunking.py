@@ -1,7 +1,8 @@
 """Segmentation: documents into character intervals.
 
-Windows over words are built-in expressions on each row, without a shuffle; the recursive and semantic methods carry state
-from piece to piece and run on Arrow batches.
+Windows over words are built-in expressions on each row, without a shuffle. The structural and semantic methods work on a
+table of a document's words: how strongly the text breaks before each word decides its pieces, and a prefix sum over
+pieces tells where each chunk ends and the next one begins. They run on batches of documents.
 """
 
 from __future__ import annotations
@@ -11,33 +12,70 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import bind, tokens
 
 UNITS, OVERLAP = 512, 0.10
-#: Where a too long piece is broken, coarsest first.
-BREAKS = (r"\n[ \t]*\n\s*", r"\n", r"(?<=[.!?;:])\s+")
 CHUNK = "doc_id long, chunk_no int, char_start int, char_end int"
+#: Sums of this many neighbouring entries are kept beside an array, so that a prefix sum adds few numbers.
+STEP = 256
+
+# What breaks a text between two words, by falling strength - a blank line, a line end, the end of a sentence.
+BLANK_LINE = r"\n[ \t]*\n"
+LINE_END = "\n"
+SENTENCE_MARKS = ".!?;:"
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, b: a + b)
+
+
+def _block_sums(x: Column, size: int) -> Column:
+    """Sums of runs of ``size`` entries of an array variable, the last run maybe shorter."""
+    blocks = F.ceil(F.size(x) / size).cast("int")
+    return F.transform(F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>")), lambda k: _sum(F.slice(x, k * size + 1, F.lit(size))))
+
+
+def prefix_sums(x: Column, f: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``f`` of a function that sums the first n entries of the array ``x``, by sums of ``STEP`` and ``STEP`` squared entries."""
+
+    def upto(v: Column, n: Column) -> Column:
+        high, low = F.floor(n / (STEP * STEP)).cast("int"), F.floor(n / STEP).cast("int")
+        parts = _sum(F.slice(v["far"], F.lit(1), high)) + _sum(F.slice(v["near"], high * STEP + 1, low - high * STEP))
+        return parts + _sum(F.slice(v["x"], low * STEP + 1, n - low * STEP))
+
+    near = bind(x, lambda y: F.struct(y.alias("x"), _block_sums(y, STEP).alias("near")))
+    whole = bind(near, lambda v: F.struct(v["x"].alias("x"), v["near"].alias("near"), _block_sums(v["near"], STEP).alias("far")))
+    return bind(whole, lambda v: f(lambda n: upto(v, n)))
 
 
 def word_windows(docs: DataFrame, size: int = UNITS, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, chunk_no, char_start, char_end, n_words: windows of ``size`` words, the last one ending with the text.
 
-    Offsets are code points, summed from the lengths of words and of what stands between them.
+    Offsets are code points. A window's length is the sum of its own words and of what stands between them; its beginning
+    is a prefix sum over strides, so the work grows in proportion to the text. Only windows leave the row.
     """
     stride = max(1, round(size * (1 - overlap)))
-    parts = docs.select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(r"\S+|\s+"), F.lit(0)), F.length).alias("len"), F.regexp_like("text", F.lit(r"^\s")).cast("int").alias("lead"))
-    parts = parts.select("doc_id", "len", "lead", F.floor((F.size("len") - F.col("lead") + 1) / 2).cast("int").alias("n")).where("n > 0")
-    last = F.when(F.col("n") <= size, 0).otherwise(F.ceil((F.col("n") - size) / stride)).cast("int")
-    rows = parts.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    end = F.least(F.col("chunk_no") * stride + size, F.col("n"))
-    upto = lambda m: F.aggregate(F.slice("len", F.lit(1), m), F.lit(0), lambda a, x: a + x)
-    return rows.select(
-        "doc_id", "chunk_no", upto(F.col("lead") + 2 * stride * F.col("chunk_no")).alias("char_start"),
-        upto(F.col("lead") + 2 * end - 1).alias("char_end"), (end - stride * F.col("chunk_no")).alias("n_words"),
-    )
+
+    def windows(v: Column) -> Column:
+        words = F.floor((F.size(v["len"]) - v["lead"] + 1) / 2).cast("int")
+        strides = F.transform(F.sequence(F.lit(0), F.floor(words / stride).cast("int")), lambda k: _sum(F.slice(v["len"], v["lead"] + k * (2 * stride) + 1, F.lit(2 * stride))))
+        last = F.when(words <= size, 0).otherwise(F.ceil((words - size) / stride)).cast("int")
+        before = F.when(v["lead"] > 0, v["len"][0]).otherwise(0)
+
+        def window(start: Column, k: Column, n: Column) -> Column:
+            held = F.least(F.lit(size), n - k * stride)
+            end = start + _sum(F.slice(v["len"], v["lead"] + k * (2 * stride) + 1, 2 * held - 1))
+            return F.struct(k.alias("chunk_no"), start.alias("char_start"), end.alias("char_end"), held.alias("n_words"))
+
+        every = lambda n: prefix_sums(strides, lambda upto: F.transform(F.sequence(F.lit(0), last), lambda k: bind(before + upto(k), lambda start: window(start, k, n))))
+        return F.when(words > 0, bind(words, every)).otherwise(F.array().cast("array<struct<chunk_no:int,char_start:int,char_end:int,n_words:int>>"))
+
+    lengths = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+|\s+"), F.lit(0)), F.length)
+    row = F.struct(lengths.alias("len"), F.coalesce(F.regexp_like("text", F.lit(r"^\s")), F.lit(False)).cast("int").alias("lead"))
+    return docs.select("doc_id", F.explode(bind(row, windows)).alias("w")).select("doc_id", "w.*")
 
 
 def word_spans(docs: DataFrame) -> DataFrame:
@@ -55,117 +93,148 @@ def chunk_texts(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*chunks.columns, F.expr("substring(text, char_start + 1, char_end - char_start)").alias("text"), label("::").alias("chunk_id"), label("::chunk_").alias("label"))
 
 
-class Text:
-    """A text, and how many words begin in a stretch of it."""
+class Words:
+    """The words of a text: where they start and end, and how strongly the text breaks before each."""
 
     def __init__(self, text: str):
+        spans = [m.span() for m in re.finditer(r"\S+", text)]
         self.text = text
-        self.starts = np.fromiter((m.start() for m in re.finditer(r"\S+", text)), np.int64)
-
-    def units(self, a: int, b: int) -> int:
-        return int(np.searchsorted(self.starts, b) - np.searchsorted(self.starts, a))
-
-    def bare(self, a: int, b: int) -> tuple[int, int]:
-        """[a, b) without white space at its ends."""
-        part = self.text[a:b]
-        return (a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())) if part.strip() else (a, a)
-
-    def windows(self, a: int, b: int, size: int) -> list[tuple[int, int]]:
-        """Windows of ``size`` words of [a, b), without overlap."""
-        spans = [m.span() for m in re.compile(r"\S+").finditer(self.text, a, b)]
-        return [(spans[i][0], spans[min(i + size, len(spans)) - 1][1]) for i in range(0, len(spans), size)]
-
-    def pieces(self, a: int, b: int, size: int) -> list[tuple[int, int]]:
-        """[a, b) in pieces of at most ``size`` words: broken at the coarsest break first, a long rest into windows."""
-        work, out = [(a, b, 0)], []
-        while work:
-            a, b, level = work.pop()
-            if self.units(a, b) <= size:
-                out.append((a, b))
-            elif level == len(BREAKS):
-                out += self.windows(a, b, size)
-            else:
-                ends = [m.end() for m in re.compile(BREAKS[level]).finditer(self.text, a, b)]
-                cuts = [a, *(e for e in ends if a < e < b), b]
-                work += [(x, y, level + 1) for x, y in zip(cuts[-2::-1], cuts[:0:-1])]
-        return out
-
-    def packed(self, pieces: list[tuple[int, int]], size: int, overlap: float, hard: frozenset[int] = frozenset()) -> list[tuple[int, int]]:
-        """Neighbouring pieces together up to ``size`` words; a tail of up to ``overlap`` of that begins the next chunk.
-
-        A piece that begins at a hard break begins a chunk without a tail.
+        self.start, self.end = np.array(spans, np.int64).reshape(-1, 2).T
+        gaps = [text[a:b] for a, b in zip([0, *self.end[:-1]], self.start)]
+        lines = np.array([LINE_END in g for g in gaps], bool)
+        blank = np.array([line and re.search(BLANK_LINE, g) is not None for g, line in zip(gaps, lines)], bool)
+        marks = np.array([False, *(text[e - 1] in SENTENCE_MARKS for e in self.end[:-1])][: len(spans)], bool)
+        #: For each kind of break, coarsest first, whether it (or a coarser one) stands before each word.
+        self.breaks = [blank, blank | lines, blank | lines | marks]
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def within(self, a: int, b: int) -> tuple[int, int]:
+        """The range of words that start in the characters [a, b)."""
+        return int(np.searchsorted(self.start, a)), int(np.searchsorted(self.start, b))
+
+    def pieces(self, lo: int, hi: int, size: int) -> np.ndarray:
+        """The first words of the pieces of words [lo, hi).
+
+        A word belongs to the coarsest stretch around it that has at most ``size`` words: the whole range, a paragraph, a
+        line, a sentence; in a longer sentence pieces are runs of ``size`` words.
         """
-        tail, out, now = round(size * overlap), {}, []
-        for a, b in pieces:
-            n = self.units(a, b)
-            if not n:
-                continue
-            cut = bool(now) and a in hard
-            if now and (cut or sum(u for *_, u in now) + n > size):
-                out[self.bare(now[0][0], now[-1][1])] = None
-                left, keep = tail, []
-                for piece in [] if cut else now[::-1]:
-                    if piece[2] > left:
-                        break
-                    left -= piece[2]
-                    keep.append(piece)
-                now = keep[::-1]
-                while now and sum(u for *_, u in now) + n > size:
-                    now.pop(0)
-            now.append((a, b, n))
-        if now:
-            out[self.bare(now[0][0], now[-1][1])] = None
-        return [(a, b) for a, b in out if b > a]
+        n = hi - lo
+        if n <= size:
+            return np.array([lo] if n else [], np.int64)
+        settled, begins = np.zeros(n, bool), np.zeros(n, bool)
+        for breaks in self.breaks:
+            opens = breaks[lo:hi].copy()
+            opens[0] = True
+            of = np.cumsum(opens) - 1
+            short = (np.bincount(of) <= size)[of]
+            begins |= opens & short & ~settled
+            settled |= short
+        run = np.arange(n) - np.flatnonzero(opens)[of]
+        begins |= ~settled & (run % size == 0)
+        return np.flatnonzero(begins) + lo
+
+
+    def opens_at(self, at: int, lo: int, hi: int, size: int) -> bool:
+        """Whether the first piece of words [lo, hi) begins at the character ``at`` before it, with no break in between."""
+        gap = self.text[at : self.start[lo]]
+        if hi - lo <= size or not gap:
+            return True
+        between = [re.search(BLANK_LINE, gap) is not None, LINE_END in gap, at > 0 and self.text[at - 1] in SENTENCE_MARKS]
+        for k, breaks in enumerate(self.breaks):
+            if np.append(np.flatnonzero(breaks[lo + 1 : hi]) + 1, hi - lo)[0] <= size:
+                return not any(between[: k + 1])
+        return False
+
+
+def chunks_of(first: np.ndarray, past: np.ndarray, size: int, tail: int, forced: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Word ranges of chunks: neighbouring pieces [first, past) together, up to ``size`` words.
+
+    Piece j opens the next chunk when it does not fit, or where ``forced`` says so. Then the chunk also repeats the last
+    pieces before j that have at most ``tail`` words and leave room for j; a forced one repeats none. Ends and beginnings
+    are looked up in the running number of words.
+    """
+    total = np.concatenate([[0], np.cumsum(past - first)])
+    stops = np.append(np.flatnonzero(forced) if forced is not None else [], len(first)).astype(int)
+    out, begin, newest = [], 0, 0
+    while begin < len(first):
+        full = int(np.searchsorted(total, total[begin] + size, "right")) - 1  # the first piece that does not fit
+        stop = int(stops[np.searchsorted(stops, newest, "right")])
+        close = min(max(full, newest + 1), stop)
+        out.append((int(first[begin]), int(past[close - 1])))
+        if close == len(first):
+            break
+        if close == stop:
+            begin = close
+        else:
+            kept = int(np.searchsorted(total, total[close] - tail))
+            begin = min(close, max(kept, int(np.searchsorted(total, total[close + 1] - size))))
+        newest = close
+    return out
+
+
+def _spans(words: Words, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Characters from the first to the last word of each range, repeated ones once."""
+    return list(dict.fromkeys((int(words.start[a]), int(words.end[b - 1])) for a, b in ranges))
+
+
+def _cut(words: Words, lo: int, hi: int, size: int, tail: int) -> list[tuple[int, int]]:
+    first = words.pieces(lo, hi, size)
+    return chunks_of(first, np.append(first[1:], hi), size, tail) if len(first) else []
 
 
 def structural(text: str, sections: list[tuple[int, int]] | None, size: int = UNITS, overlap: float = OVERLAP) -> list[tuple[int, int]]:
-    """Chunks along sections, paragraphs, lines and sentences; overlap only within a section that had to be split."""
-    t = Text(text)
-    if not len(t.starts):
+    """Chunks along sections, paragraphs, lines and sentences; overlap only within a section that had to be split.
+
+    Sections are character ranges in order; one begins no earlier than the one before it ends. What lies between them is
+    cut into pieces too. A section that fits is one piece. One that does not is cut into chunks of its own, each of
+    which begins a chunk, and so does a piece that stands right behind it.
+    """
+    words, tail = Words(text), round(size * overlap)
+    if not len(words):
         return []
     if not sections:
-        return t.packed(t.pieces(0, len(text), size), size, overlap)
-    found, hard, at = set(), set(), 0
-    for a, b in sections:
-        if a > at:
-            found.update(t.pieces(at, a, size))
-        parts = t.pieces(a, b, size)
-        if len(parts) > 1:
-            parts = t.packed(parts, size, overlap)
-            hard |= {p[0] for p in parts} | {b}
-        found.update(parts)
+        return _spans(words, _cut(words, 0, len(words), size, tail))
+    rows: list[tuple[int, int, bool]] = []  # pieces: first word, word behind, begins a chunk
+    at, behind = 0, -1
+    for a, b in [*sections, (len(text), len(text))]:
+        a = max(a, at)
+        lo, hi = words.within(at, a)
+        first = words.pieces(lo, hi, size)
+        rows += [(int(i), int(j), k == 0 and at == behind and words.opens_at(at, lo, hi, size)) for k, (i, j) in enumerate(zip(first, np.append(first[1:], hi)))]
+        lo, hi = words.within(a, b)
+        if hi - lo > size:
+            rows += [(i, j, True) for i, j in _cut(words, lo, hi, size, tail)]
+            behind = b
+        elif hi > lo:
+            rows.append((lo, hi, a == behind))
         at = max(at, b)
-    if at < len(text):
-        found.update(t.pieces(at, len(text), size))
-    return t.packed(sorted(found), size, 0.0, frozenset(hard))
+    first, past, forced = (np.array(x) for x in zip(*rows))
+    return _spans(words, chunks_of(first, past, size, 0, forced))
 
 
 def semantic(text: str, encode: Callable[[list[str]], np.ndarray], size: int = UNITS, overlap: float = OVERLAP, percentile: float = 95, least: int = 16, piece: int = 64) -> list[tuple[int, int]]:
-    """Chunks cut where neighbouring sentences, each encoded with its neighbours, are further apart than ``percentile`` of them."""
-    t = Text(text)
-    parts = [p for p in t.pieces(0, len(text), piece) if t.units(*p)]
-    if len(parts) <= 2:
-        return t.packed(parts, size, overlap)
-    around = [text[parts[max(0, i - 1)][0] : parts[min(len(parts) - 1, i + 1)][1]] for i in range(len(parts))]
-    v = encode(around)
+    """Chunks cut where neighbouring sentences, each encoded with its neighbours, are further apart than ``percentile`` of them.
+
+    A stretch of fewer than ``least`` words stays with the one before it; one of more than ``size`` is cut by structure.
+    """
+    words, tail = Words(text), round(size * overlap)
+    first = words.pieces(0, len(words), piece)
+    past = np.append(first[1:], len(words))
+    if len(first) <= 2:
+        return _spans(words, chunks_of(first, past, size, tail)) if len(first) else []
+    lo, hi = words.start[np.append(first[0], first[:-1])], words.end[np.append(past[1:], past[-1]) - 1]
+    v = encode([text[a:b] for a, b in zip(lo, hi)])
     apart = 1 - (v[:-1] * v[1:]).sum(1)
-    far = apart > np.percentile(apart, percentile)
-    groups = [[*parts[0]]]
-    for p, cut in zip(parts[1:], far):
-        if cut:
-            groups.append([*p])
-        else:
-            groups[-1][1] = p[1]
-    merged: list[list[int]] = []
-    for a, b in groups:
-        if merged and t.units(a, b) < least:
-            merged[-1][1] = b
-        else:
-            merged.append([a, b])
-    out = []
-    for a, b in merged:
-        out += [t.bare(a, b)] if t.units(a, b) <= size else t.packed(t.pieces(a, b, size), size, overlap)
-    return [(a, b) for a, b in out if b > a]
+    opens = np.append(True, apart > np.percentile(apart, percentile))
+    heads = np.flatnonzero(opens)
+    count = np.add.reduceat(past - first, heads)
+    starts = first[heads[(count >= least) | (np.arange(len(heads)) == 0)]]
+    ranges: list[tuple[int, int]] = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(words)]):
+        ranges += [(a, b)] if b - a <= size else _cut(words, a, b, size, tail)
+    return [(int(words.start[a]), int(words.end[b - 1])) for a, b in ranges]
 
 
 def split_by(docs: DataFrame, cut: Callable[..., list[tuple[int, int]]], *columns: str) -> DataFrame:
@@ -190,23 +259,60 @@ def chunk_statistics(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return one.join(total, F.lit(True)).select("n_chunks", (F.col("n_chunks") / F.col("n_docs")).alias("chunks_per_doc"), "mean_words", "median_words", "p10_words", "p90_words", (F.col("kept") / F.col("chars")).alias("redundancy"))
 
 
-def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: share of documents that two methods cut alike, and shares with one chunk and with several in ``a``."""
-    spans = lambda c, n: c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end"))).alias(n))
-    both = spans(a, "x").join(spans(b, "y"), "doc_id", "full")
+def agreement(chunks: DataFrame, centre: str) -> DataFrame:
+    """method, n_docs, identical, single, several of chunks (method, doc_id, char_start, char_end): for each method, over the
+    documents that the ``centre`` method cuts, the share that it cuts alike, into one chunk, and into several."""
+    spans = chunks.groupBy("method", "doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end"))).alias("x"))
+    base = spans.where(F.col("method") == centre).select("doc_id", F.col("x").alias("y"))
+    rows = spans.select("method").distinct().join(base, F.lit(True)).join(spans, ["method", "doc_id"], "left")
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
-    return both.agg(F.count(F.lit(1)).alias("n_docs"), share(F.col("x") == F.col("y")).alias("identical"), share(F.size("x") == 1).alias("single"), share(F.size("x") > 1).alias("several"))
+    return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n_docs"), share(F.col("x") == F.col("y")).alias("identical"), share(F.size("x") == 1).alias("single"), share(F.size("x") > 1).alias("several"))
+
+
+def _best_run(hits: Column, width: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of the first place, from 1, of ``width`` entries of the array ``hits`` with the largest sum."""
+
+    def places(upto: Callable[[Column], Column]) -> Column:
+        sums = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(hits) - width + 1)), lambda i: F.struct((upto(F.least(i + width - 1, F.size(hits))) - upto(i - 1)).alias("n"), (-i).alias("i")))
+        return F.array_max(sums)
+
+    return bind(prefix_sums(hits, places), lambda best: f(-best["i"]))
 
 
 def excerpts(chunks: DataFrame, budget: int) -> DataFrame:
     """Rows (key columns, text, query) with the ``excerpt`` of ``budget`` words that holds most words with a query term, the first such."""
     terms = F.filter(F.array_distinct(tokens(F.col("query"))), lambda t: F.length(t) > 2)
-    parts = F.regexp_extract_all(F.trim("text"), F.lit(r"\S+"), F.lit(0))
-    rows = chunks.withColumn("_w", parts).withColumn("_t", terms)
-    hits = F.transform("_w", lambda w: F.exists("_t", lambda t: F.contains(F.lower(w), t)).cast("int"))
-    rows = rows.withColumn("_h", hits)
-    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - budget + 1))
-    best = F.array_max(F.transform(begins, lambda i: F.struct(F.aggregate(F.slice("_h", i, F.lit(budget)), F.lit(0), lambda a, x: a + x).alias("n"), (-i).alias("i"))))
-    rows = rows.withColumn("_b", best)
-    cut = F.when(F.size("_w") <= budget, F.array_join("_w", " ")).otherwise(F.array_join(F.slice("_w", -F.col("_b.i"), F.lit(budget)), " "))
-    return rows.withColumn("excerpt", cut).drop("_w", "_t", "_h", "_b")
+
+    def cut(v: Column) -> Column:
+        hits = F.transform(v["w"], lambda w: F.exists(v["t"], lambda t: F.contains(F.lower(w), t)).cast("int"))
+        best = lambda h: _best_run(h, F.lit(budget), lambda i: F.array_join(F.slice(v["w"], i, F.lit(budget)), " "))
+        return F.when(F.size(v["w"]) <= budget, F.array_join(v["w"], " ")).otherwise(bind(hits, best))
+
+    once = F.struct(F.regexp_extract_all(F.trim("text"), F.lit(r"\S+"), F.lit(0)).alias("w"), terms.alias("t"))
+    return chunks.withColumn("excerpt", bind(once, cut))
+
+
+def token_excerpts(chunks: DataFrame, budget: int, token: str = r"\w+|[^\w\s]") -> DataFrame:
+    """Rows (key columns, text, query) with the ``excerpt`` of ``budget`` tokens with most tokens of words that hold a query
+    term, the first such, cut from the text as it stands. ``token``: a pattern; a token never reaches over white space.
+    """
+    terms = F.filter(F.array_distinct(tokens(F.col("query"))), lambda t: F.length(t) > 2)
+
+    def cut(v: Column) -> Column:
+        inner = lambda w: F.regexp_extract_all(w, F.lit(token), F.lit(0))
+        hit = lambda w: F.exists(v["t"], lambda t: F.contains(F.lower(w), t)).cast("int")
+        marks = F.flatten(F.transform(v["w"], lambda w: bind(F.struct(hit(w).alias("h"), F.size(inner(w)).alias("n")), lambda x: F.array_repeat(x["h"], x["n"]))))
+        # Tokens with the white space before each, so that joining them gives the text between the first and the last.
+        spaced = F.regexp_extract_all(v["x"], F.lit(rf"\s*(?:{token})"), F.lit(0))
+        piece = lambda s: lambda h: _best_run(h, F.lit(budget), lambda i: F.trim(F.array_join(F.slice(s, i, F.lit(budget)), "")))
+        return bind(spaced, lambda s: F.when(F.size(s) <= budget, v["x"]).otherwise(bind(marks, piece(s))))
+
+    text = F.trim("text")
+    once = F.struct(text.alias("x"), F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)).alias("w"), terms.alias("t"))
+    return chunks.withColumn("excerpt", bind(once, cut))
+
+
+def clipped(text: Column, most: int, token: str = r"\w+|[^\w\s]") -> Column:
+    """The first ``most`` tokens of a text and `` [...]``; the text itself where it has no more."""
+    parts = F.regexp_extract_all(text, F.lit(rf"\s*(?:{token})"), F.lit(0))
+    return bind(parts, lambda p: F.when(F.size(p) <= most, text).otherwise(F.concat(F.array_join(F.slice(p, F.lit(1), F.lit(most)), ""), F.lit(" [...]"))))

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEPTH, CONTEXT, ENOUGH = 20, 5, 0.80
-#: Up to so many overlapping chunks every choice of five is tried.
-EXACT = 18
 
 
 def union_coverage(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,41 +45,37 @@ def evidence_metrics(asked: DataFrame, ranking: DataFrame, chunks: DataFrame) ->
     )
 
 
-def _covered(spans: list[tuple[int, int]], lo: int, hi: int) -> int:
-    total, end = 0, lo
-    for a, b in sorted(spans):
-        total += max(0, min(b, hi) - max(a, end))
-        end = max(end, min(b, hi))
-    return total
+def best_union(spans: Column, k: int = CONTEXT) -> Column:
+    """The most that k of an array's intervals (structs a, b in order of a, then b) cover together; exact for any number.
+
+    Chosen intervals can be taken in order with growing ends, as one inside another adds nothing. Then what a choice
+    covers grows, with each interval, by what lies beyond the end of the one chosen before it: k rounds over the pairs.
+    """
+    width = lambda s: (s["b"] - s["a"]).cast("long")
 
+    def longer(done: Column, x: Column, i: Column) -> Column:
+        earlier = F.filter(F.slice(F.arrays_zip(spans.alias("s"), done.alias("n")), F.lit(1), i), lambda p: p["s"]["b"] < x["b"])
+        return F.greatest(done[i], F.coalesce(F.array_max(F.transform(earlier, lambda p: p["n"] + x["b"] - F.greatest(x["a"], p["s"]["b"]))), F.lit(0)))
 
-def best_choice(spans: list[tuple[int, int]], lo: int, hi: int, k: int = CONTEXT) -> float:
-    """The largest share of [lo, hi) that k of the intervals cover: exact up to ``EXACT`` intervals, then by largest gain."""
-    if len(spans) <= k:
-        best = _covered(spans, lo, hi)
-    elif len(spans) <= EXACT:
-        best = max(_covered(list(c), lo, hi) for c in combinations(spans, k))
-    else:
-        chosen, rest = [], list(spans)
-        for _ in range(k):
-            rest.remove(pick := max(rest, key=lambda s: _covered([*chosen, s], lo, hi)))
-            chosen.append(pick)
-        best = _covered(chosen, lo, hi)
-    return best / max(1, hi - lo)
+    rounds = F.when(F.lit(k) > 1, F.sequence(F.lit(2), F.lit(max(2, k)))).otherwise(F.array().cast("array<int>"))
+    best = F.aggregate(rounds, F.transform(spans, width), lambda done, _: F.transform(spans, lambda x, i: longer(done, x, i)))
+    return F.coalesce(F.array_max(best), F.lit(0).cast("long"))
 
 
 def segmentation_ceiling(asked: DataFrame, chunks: DataFrame, k: int = CONTEXT) -> DataFrame:
-    """question_id, split, ceiling, best_single, n_hits: what any k chunks of the gold document cover of the gold span."""
+    """question_id, split, ceiling, best_single, n_hits, n_gold_chunks: what any k chunks of the gold document cover of the gold
+    span, the best that one covers, how many overlap it, and how many chunks the gold document has."""
     gold = asked.where("answerable").select("question_id", "split", "gold_doc", F.col("gold_start").alias("lo"), F.col("gold_end").alias("hi"))
-    hits = gold.join(chunks, (chunks.doc_id == gold.gold_doc) & (chunks.char_end > gold.lo) & (chunks.char_start < gold.hi))
-    hits = hits.select("question_id", "lo", "hi", F.col("char_start").alias("a"), F.col("char_end").alias("b"))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        spans = sorted(zip(pdf["a"], pdf["b"]))
-        single = max(_covered([s], lo, hi) for s in spans) / max(1, hi - lo)
-        return pd.DataFrame({"question_id": pdf["question_id"].iloc[:1], "ceiling": [best_choice(spans, lo, hi, k)], "best_single": [single], "n_hits": [len(spans)]})
-
-    found = hits.groupBy("question_id").applyInPandas(choose, "question_id long, ceiling double, best_single double, n_hits long")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return gold.join(found, "question_id", "left").select("question_id", "split", zero("ceiling"), zero("best_single"), zero("n_hits"))
+    of = gold.join(chunks, chunks.doc_id == gold.gold_doc)
+    inside = (F.col("char_end") > F.col("lo")) & (F.col("char_start") < F.col("hi"))
+    span = F.struct(F.greatest("char_start", "lo").alias("a"), F.least("char_end", "hi").alias("b"))
+    found = of.groupBy("question_id").agg(F.array_sort(F.collect_list(F.when(inside, span))).alias("s"), F.count(F.lit(1)).alias("n_gold_chunks"))
+    rows = gold.join(found, "question_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<a:bigint,b:bigint>>")))
+    width = F.greatest(F.lit(1), F.col("hi") - F.col("lo"))
+    single = F.coalesce(F.array_max(F.transform("s", lambda x: x["b"] - x["a"])), F.lit(0))
+    return rows.select("question_id", "split", (best_union(F.col("s"), k) / width).alias("ceiling"), (single / width).alias("best_single"), F.size("s").cast("long").alias("n_hits"), F.coalesce("n_gold_chunks", F.lit(0)).alias("n_gold_chunks"))
+
+
+def ceiling_summary(ceilings: DataFrame, by: list[str], enough: float = ENOUGH) -> DataFrame:
+    """Mean and least ceiling of each group, and the share below what counts as enough."""
+    return ceilings.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("ceiling").alias("mean_ceiling"), F.min("ceiling").alias("min_ceiling"), F.avg((F.col("ceiling") < enough).cast("double")).alias("below"))

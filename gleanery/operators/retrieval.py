@@ -6,10 +6,14 @@ go to the earlier chunk, so that a ranking does not depend on the order of sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_tokens, tokens
+from ..functions.text import bind, content_tokens, tokens
+from ..sources.sinks import materialised
 from ..sources.tables import hashed
 
 K1, B = 1.5, 0.75
@@ -24,8 +28,21 @@ def candidate_chunks(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """doc_id, chunk_no, term, tf."""
-    return texts.select(*ROW, F.explode(tokens(F.col("text"))).alias("term")).groupBy(*ROW, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """doc_id, chunk_no, dl, term, tf: terms of each chunk, its length in tokens, and how often it has each; one pass over texts."""
+    toks = texts.select(*ROW, F.explode(F.array(tokens(F.col("text")))).alias("t"))
+    return toks.select(*ROW, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(*ROW, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def index(texts: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of the ``terms`` that anybody asks for with their document frequency, and one row: n chunks, mean length.
+
+    The size comes from the postings of all terms; only those asked for keep their rows.
+    """
+    every = materialised(postings(texts))
+    size = texts.agg(F.count(F.lit(1)).alias("n")).join(every.agg(F.sum("tf").alias("total")), F.lit(True))
+    size = size.select("n", F.greatest(F.lit(1.0), F.coalesce(F.col("total"), F.lit(0)) / F.col("n")).alias("avgdl"))
+    used = every.join(terms.select("term").distinct(), "term", "left_semi")
+    return used.join(used.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term"), size
 
 
 def bm25(asked: DataFrame, pairs: DataFrame, texts: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -34,15 +51,10 @@ def bm25(asked: DataFrame, pairs: DataFrame, texts: DataFrame, k1: float = K1, b
     Only postings of terms that some question has are joined with candidates.
     """
     terms = asked.select("question_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    every = postings(texts)
-    length = texts.select(*ROW, F.size(tokens(F.col("text"))).alias("dl"))
-    size = length.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.avg("dl")).alias("avgdl"))
-    used = every.join(terms.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = used.join(df, "term").join(length, ROW).join(size, F.lit(True))
+    used, size = index(texts, terms)
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    weight = weight.select(*ROW, "term", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("w"))
+    weight = used.join(size, F.lit(True)).select(*ROW, "term", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("w"))
     hits = pairs.join(terms, "question_id").join(weight, [*ROW, "term"]).groupBy("question_id", *ROW).agg(F.sum("w").alias("score"))
     return pairs.join(hits, ["question_id", *ROW], "left").select("question_id", *ROW, F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
 
@@ -84,8 +96,11 @@ def zscored(scores: DataFrame) -> DataFrame:
 
 def rrf(a: DataFrame, b: DataFrame, limit: int = DEPTH, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of the first ``limit`` of two rankings."""
-    both = a.where(F.col("rnk") <= limit).unionByName(b.where(F.col("rnk") <= limit))
-    return ranked(both.groupBy("question_id", *ROW).agg(F.round(F.sum(1.0 / (k + F.col("rnk"))), 9).alias("score")), limit)
+    key = ["question_id", *ROW]
+    top = lambda df, n: df.where(F.col("rnk") <= limit).select(*key, (1.0 / (k + F.col("rnk"))).alias(n))
+    both = top(a, "x").join(top(b, "y"), key, "full")
+    share = lambda c: F.coalesce(c, F.lit(0.0))
+    return ranked(both.select(*key, F.round(share("x") + share("y"), 9).alias("score")), limit)
 
 
 def weighted(a: DataFrame, b: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -95,13 +110,36 @@ def weighted(a: DataFrame, b: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return ranked(both.select("question_id", *ROW, F.round(alpha * F.col("za") + (1 - alpha) * F.col("zb"), 9).alias("score")))
 
 
-def rerank(asked: DataFrame, texts: DataFrame, ranking: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The first ``depth`` of a ranking, ranked anew by a pair scorer: the share of the question's content tokens in the chunk."""
-    q = asked.select("question_id", F.array_distinct(content_tokens(F.col("query"))).alias("q"))
-    t = texts.select(*ROW, content_tokens(F.col("text")).alias("t"))
-    rows = ranking.where(F.col("rnk") <= depth).join(q, "question_id").join(t, ROW)
-    share = F.when(F.size("q") > 0, F.size(F.array_intersect("q", "t")) / F.size("q")).otherwise(0.0)
-    return ranked(rows.select("question_id", *ROW, F.round(share, 9).alias("score")))
+def lexical_share(query: Column, text: Column) -> Column:
+    """The stand-in for a pair scorer: the share of the question's distinct content tokens that the chunk has."""
+    return bind(F.array_distinct(content_tokens(query)), lambda q: F.when(F.size(q) > 0, F.size(F.array_intersect(q, content_tokens(text))) / F.size(q)).otherwise(0.0))
+
+
+def rerank(asked: DataFrame, texts: DataFrame, ranking: DataFrame, depth: int = DEPTH, scorer: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
+    """The first ``depth`` of a ranking, ranked anew by a pair scorer: a batch function of queries and texts, or the stand-in."""
+    rows = ranking.where(F.col("rnk") <= depth).join(asked.select("question_id", "query"), "question_id").join(texts.select(*ROW, "text"), ROW)
+    score = lexical_share(F.col("query"), F.col("text"))
+    if scorer is not None:
+        score = F.pandas_udf(lambda q, t: pd.Series(scorer(list(q), list(t)), dtype="float64"), "double")("query", "text")
+    return ranked(rows.select("question_id", *ROW, F.round(score, 9).alias("score")))
+
+
+def rerank_signals(ranking: DataFrame, depth: int = CONTEXT) -> DataFrame:
+    """question_id, rerank_top1, rerank_gap12 (0 with one score), rerank_std (of a sample) over the first ``depth`` scores."""
+    top = ranking.where(F.col("rnk") <= depth)
+    best = F.array_sort(F.collect_list(-F.col("score")))
+    rows = top.groupBy("question_id").agg(best.alias("s"), F.stddev_samp("score").alias("rerank_std"))
+    return rows.select("question_id", (-F.col("s")[0]).alias("rerank_top1"), F.when(F.size("s") > 1, F.get("s", F.lit(1)) - F.col("s")[0]).otherwise(0.0).alias("rerank_gap12"), "rerank_std")
+
+
+def reproduction(traces: DataFrame, published: dict[str, dict[str, float]], split: str = "train") -> DataFrame:
+    """configuration, metric, published, ours, difference: means over one split beside figures published elsewhere."""
+    spark = traces.sparkSession
+    known = spark.createDataFrame([(c, m, v) for c, row in published.items() for m, v in row.items()], "configuration string, metric string, published double")
+    metrics = sorted({m for row in published.values() for m in row})
+    rows = traces.where(F.col("split") == split).groupBy("configuration").agg(*[F.avg(m).alias(m) for m in metrics])
+    long = rows.select("configuration", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("ours")) for m in metrics])).alias("s")).select("configuration", "s.*")
+    return known.join(long, ["configuration", "metric"]).select("configuration", "metric", "published", "ours", (F.col("ours") - F.col("published")).alias("difference"))
 
 
 def complementarity(first: DataFrame, second: DataFrame, metric: str = "recall_20") -> DataFrame:
@@ -124,13 +162,22 @@ def promotion(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, vec_id, score, rnk: the k nearest vectors by dot product within the query's label.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """query_id, vec_id, score, rnk, same_label: the k nearest of all vectors by dot product for each row of a stated query set.
 
-    Only pairs of one label are formed; rankings over everything are the business of an index.
+    Every vector meets every query once: queries travel in arrays of at most ``block``, vectors stay in as many parts as
+    there are partitions, and each part gives k rows for a query at most. Labels only say whether a hit is relevant.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    both = q.join(vectors, (F.col("q_label") == F.col("label")) & (F.col("query_id") != F.col("vec_id")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    rows = both.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score"))
-    return rows.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = -(-queries.count() // block) or 1
+    asks = queries.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    asks = asks.groupBy("block").agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias("asks"))
+    asks = asks.select("asks", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "label", "embedding")
+    both = rows.join(asks, "part").select("part", "vec_id", "label", "embedding", F.explode("asks").alias("q"))
+    both = both.where(F.col("q.vec_id") != F.col("vec_id"))
+    score = F.round(dot(F.col("q.embedding"), F.col("embedding")), 9)
+    both = both.select("part", F.col("q.vec_id").alias("query_id"), "vec_id", score.alias("score"), F.col("q.label").eqNullSafe(F.col("label")).alias("same_label"))
+    best = lambda *by: Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id")
+    few = both.withColumn("nth", F.row_number().over(best("part"))).where(F.col("nth") <= k).drop("nth", "part")
+    return few.withColumn("rnk", F.row_number().over(best())).where(F.col("rnk") <= k)

@@ -1,53 +1,76 @@
 """Statistics over paired and repeated measures.
 
-Resamples are drawn by a hash of (resample, position), the same in any engine and on any partitioning; the resampled means
-are one aggregation by (group, resample), so nothing is gathered by group.
+Resamples are Poisson bootstraps: in each resample a unit counts as often as a hash of unit and resample says, once on
+average. Weighted sums of (group, resample) combine on the map side, so no group is numbered, sorted or gathered; what is
+shuffled are sums, as many as groups times resamples. The hash is the same in any engine and on any partitioning.
 """
 
 from __future__ import annotations
 
 import math
-
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import hashed
 
 #: As in the study; fewer make p and the bounds coarser.
 RESAMPLES = 5000
+#: The prime modulus of the hash, 2**31 - 1.
+MODULUS = (1 << 31) - 1
+
+
+def poisson_steps(most: int = 9) -> list[int]:
+    """Below how many of ``MODULUS`` a uniform number gives a Poisson count (mean 1) of at most 0, 1, ..."""
+    return [int(MODULUS * sum(math.exp(-1) / math.factorial(j) for j in range(n + 1))) for n in range(most)]
+
+
+def seeded(*unit: Column) -> Column:
+    """A unit's number below ``MODULUS``."""
+    return hashed(*unit) % MODULUS
 
 
-def resampled_means(values: DataFrame, by: list[str], order: str, value: str, n_boot: int = RESAMPLES) -> DataFrame:
-    """by, b, mean: means of resamples with replacement of each group's values, nulls left out."""
-    rows = values.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = rows.select(*by, (F.row_number().over(w) - 1).alias("i"), F.col(value).cast("double").alias("x"))
-    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    draws = size.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
-    draws = draws.select(*by, "b", (hashed(F.col("b"), F.col("k")) % F.col("n")).cast("int").alias("i"))
-    return draws.join(rows, [*by, "i"]).groupBy(*by, "b").agg(F.avg("x").alias("mean"))
+def draws(rows: DataFrame, unit: str, n_boot: int = RESAMPLES, into: str = "w") -> DataFrame:
+    """``rows`` once for each resample ``b`` that counts them, with their weight there; ``unit`` says what is drawn together."""
+    b = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda k: F.struct(k.alias("b"), (hashed(k, F.lit("t")) % (MODULUS - 1) + 1).alias("t"), (hashed(k, F.lit("r")) % MODULUS).alias("r"))))
+    every = F.broadcast(rows.sparkSession.range(1).select(b.alias("k")).select("k.*"))
+    both = rows.withColumn("_s", seeded(F.col(unit))).join(every, F.lit(True))
+    u = (F.col("_s") * F.col("t") + F.col("r")) % MODULUS
+    weight = sum(((u >= s).cast("int") for s in poisson_steps()), F.lit(0))
+    return both.withColumn(into, weight).where(F.col(into) > 0).drop("_s", "t", "r")
 
 
-def bootstrap_ci(values: DataFrame, by: list[str], order: str, value: str, n_boot: int = RESAMPLES) -> DataFrame:
+def resampled_means(values: DataFrame, by: list[str], unit: str, value: str, n_boot: int = RESAMPLES) -> DataFrame:
+    """by, b, mean: means of resamples of each group's values, nulls left out. A resample that draws nothing has no row."""
+    rows = values.where(F.col(value).isNotNull()).select(*by, F.col(unit).alias("_u"), F.col(value).cast("double").alias("x"))
+    return draws(rows, "_u", n_boot).groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
+
+
+def interval(value: str) -> list[Column]:
+    """The 95 % percentile interval of resampled values."""
+    return [F.percentile(value, F.lit(0.025)).alias("lo"), F.percentile(value, F.lit(0.975)).alias("hi")]
+
+
+def two_sided(value: str) -> Column:
+    """Twice the smaller share of resampled values on either side of 0, at most 1."""
+    tail = lambda c: F.avg(c.cast("double"))
+    return F.least(F.lit(1.0), 2 * F.least(tail(F.round(value, 12) <= 0), tail(F.round(value, 12) >= 0)))
+
+
+def bootstrap_ci(values: DataFrame, by: list[str], unit: str, value: str, n_boot: int = RESAMPLES) -> DataFrame:
     """by, n, mean, lo, hi: mean and 95 % percentile interval of each group."""
-    m = resampled_means(values, by, order, value, n_boot)
-    ci = m.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
+    ci = resampled_means(values, by, unit, value, n_boot).groupBy(*by).agg(*interval("mean"))
     base = values.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    return base.join(ci, by)
+    return base.join(ci, by, "left")
 
 
-def paired_bootstrap(pairs: DataFrame, by: list[str], order: str, n_boot: int = RESAMPLES) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, by: list[str], unit: str, n_boot: int = RESAMPLES) -> DataFrame:
     """by, n, diff, lo, hi, p, dz of pairs (a, b), pairs with a null left out: two-sided p and Cohen's dz (null without spread)."""
     rows = pairs.where("a is not null and b is not null").withColumn("d", F.col("a") - F.col("b"))
-    m = resampled_means(rows, by, order, "d", n_boot)
-    tail = lambda c: F.avg(c.cast("double"))
-    ci = m.groupBy(*by).agg(
-        F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"),
-        F.least(F.lit(1.0), 2 * F.least(tail(F.round("mean", 12) <= 0), tail(F.round("mean", 12) >= 0))).alias("p"),
-    )
+    ci = resampled_means(rows, by, unit, "d", n_boot).groupBy(*by).agg(*interval("mean"), two_sided("mean").alias("p"))
     sd = F.stddev_samp("d")
     base = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("diff"), F.when(sd > 1e-12, F.avg("d") / sd).alias("dz"))
-    return base.join(ci, by)
+    return base.join(ci, by, "left")
 
 
 def holm(rows: DataFrame, by: list[str], p: str, order: str, into: str = "p_holm") -> DataFrame:
@@ -58,10 +81,13 @@ def holm(rows: DataFrame, by: list[str], p: str, order: str, into: str = "p_holm
     return x.withColumn(into, F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_p", "_s")
 
 
-def complete(long: DataFrame, levels: int) -> DataFrame:
-    """Rows (id, level, x) of ids that have a value at every level."""
-    full = long.where("x is not null").groupBy("id").agg(F.countDistinct("level").alias("k")).where(F.col("k") == levels)
-    return long.join(full.select("id"), "id", "left_semi")
+def complete(long: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows (by, id, level, x) of ids that have a value at every level that their group has."""
+    known = long.where("x is not null")
+    levels = known.groupBy(*by).agg(F.countDistinct("level").alias("_all"))
+    have = known.groupBy(*by, "id").agg(F.countDistinct("level").alias("_k"))
+    full = (have.join(levels, by) if by else have.join(levels, F.lit(True))).where("_k = _all").select(*by, "id")
+    return known.join(full, [*by, "id"], "left_semi")
 
 
 def to_wide(long: DataFrame, levels: list[str]) -> DataFrame:
@@ -69,24 +95,36 @@ def to_wide(long: DataFrame, levels: list[str]) -> DataFrame:
     return long.groupBy("id").pivot("level", levels).agg(F.first("x", ignorenulls=True)).na.drop("any")
 
 
-def repeated_measures(long: DataFrame, levels: int) -> DataFrame:
-    """One row of a one-way repeated-measures analysis: sums of squares, F, partial eta squared, range of level means, the range
-    in standard deviations of subject means, best and worst level."""
-    rows = complete(long, levels)
-    per_level = rows.groupBy("level").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    per_id = rows.groupBy("id").agg(F.avg("x").alias("m"))
-    total = rows.agg(F.avg("x").alias("g"), F.var_pop("x").alias("v"), F.count(F.lit(1)).alias("cells"))
-    a = per_level.agg(F.var_pop("m").alias("vl"), (F.max("m") - F.min("m")).alias("range"), F.max_by("level", "m").alias("best"), F.min_by("level", "m").alias("worst"), F.max("n").alias("n"))
-    s = per_id.agg(F.var_pop("m").alias("vs"), F.stddev_samp("m").alias("sd"))
-    one = total.join(a, F.lit(True)).join(s, F.lit(True))
-    k = levels
+def repeated_measures(long: DataFrame, by: list[str] = [], n_boot: int = RESAMPLES) -> DataFrame:  # noqa: B006
+    """One row for each group of a one-way repeated-measures analysis over complete ids.
+
+    Sums of squares, F and its p, partial eta squared, range of level means with its interval, the range in standard
+    deviations of subject means, best and worst level, numbers of ids and levels, and the mean of all values. Resamples
+    draw ids, with all their levels.
+    """
+    rows = complete(long, by)
+    key = by or ["_one"]
+    rows = rows if by else rows.withColumn("_one", F.lit(1))
+    per_level = rows.groupBy(*key, "level").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
+    per_id = rows.groupBy(*key, "id").agg(F.avg("x").alias("m"))
+    total = rows.groupBy(*key).agg(F.avg("x").alias("grand_mean"), F.var_pop("x").alias("v"), F.count(F.lit(1)).alias("cells"))
+    a = per_level.groupBy(*key).agg(F.var_pop("m").alias("vl"), (F.max("m") - F.min("m")).alias("range"), F.max_by("level", "m").alias("best"), F.min_by("level", "m").alias("worst"), F.max("n").alias("n_ids"), F.count(F.lit(1)).alias("n_levels"))
+    s = per_id.groupBy(*key).agg(F.var_pop("m").alias("vs"), F.stddev_samp("m").alias("sd"))
+    means = resampled_means(rows, [*key, "level"], "id", "x", n_boot)
+    spread = means.groupBy(*key, "b").agg((F.max("mean") - F.min("mean")).alias("spread"))
+    ci = spread.groupBy(*key).agg(F.percentile("spread", F.lit(0.025)).alias("range_lo"), F.percentile("spread", F.lit(0.975)).alias("range_hi"))
+    one = total.join(a, key).join(s, key).join(ci, key, "left")
     ss_level, ss_id = F.col("vl") * F.col("cells"), F.col("vs") * F.col("cells")
     ss_err = F.col("v") * F.col("cells") - ss_level - ss_id
-    df_err = (k - 1) * (F.col("n") - 1)
-    return one.select(
-        F.col("n").alias("n_ids"), ss_level.alias("ss_level"), ss_id.alias("ss_subject"), ss_err.alias("ss_error"), F.when(ss_err > 0, ss_level / (k - 1) / (ss_err / df_err)).alias("f"),
-        F.when(ss_level + ss_err > 0, ss_level / (ss_level + ss_err)).alias("eta2"), "range", F.when(F.col("sd") > 0, F.col("range") / F.col("sd")).alias("std_range"), "best", "worst",
+    d1, d2 = F.col("n_levels") - 1, (F.col("n_levels") - 1) * (F.col("n_ids") - 1)
+    f = F.when((ss_err > 0) & (d2 > 0), ss_level / d1 / (ss_err / d2))
+    out = one.where("n_levels > 1").select(
+        *by, "n_ids", "n_levels", "grand_mean", ss_level.alias("ss_level"), ss_id.alias("ss_subject"), ss_err.alias("ss_error"), f.alias("f"),
+        F.when(ss_level + ss_err > 0, ss_level / (ss_level + ss_err)).alias("eta2"), "range", "range_lo", "range_hi",
+        F.when(F.col("sd") > 1e-12, F.col("range") / F.col("sd")).alias("std_range"), "best", "worst", d1.alias("_d1"), d2.alias("_d2"),
     )
+    tail = F.pandas_udf(lambda x, a, b: pd.Series([None if pd.isna(v) else f_p_value(v, int(i), int(j)) for v, i, j in zip(x, a, b)], dtype="float64"), "double")
+    return out.withColumn("p", tail("f", "_d1", "_d2")).drop("_d1", "_d2")
 
 
 def f_p_value(f: float, d1: int, d2: int) -> float:
@@ -119,25 +157,89 @@ def average_rank(rows: DataFrame, by: list[str], value: str, descending: bool =
     return rows.withColumn(into, F.rank().over(w) + (peers - 1) / 2)
 
 
-def against_baseline(long: DataFrame, baseline: str, n_boot: int = RESAMPLES) -> DataFrame:
-    """Each level against the baseline over common ids, with Holm's adjustment."""
-    base = long.where(F.col("level") == baseline).select("id", F.col("x").alias("b"))
-    pairs = long.where(F.col("level") != baseline).join(base, "id").select("level", "id", F.col("x").alias("a"), "b")
-    return holm(paired_bootstrap(pairs, ["level"], "id", n_boot).withColumn("all", F.lit(1)), ["all"], "p", "level").drop("all")
+def against_baseline(long: DataFrame, baseline: str, by: list[str] = [], n_boot: int = RESAMPLES) -> DataFrame:  # noqa: B006
+    """by, level, paired statistics, p_holm, significant: each level against the baseline over common ids, adjusted within ``by``."""
+    base = long.where(F.col("level") == baseline).select(*by, "id", F.col("x").alias("b"))
+    pairs = long.where(F.col("level") != baseline).join(base, [*by, "id"]).select(*by, "level", "id", F.col("x").alias("a"), "b")
+    rows = paired_bootstrap(pairs, [*by, "level"], "id", n_boot).withColumn("_all", F.lit(1))
+    return holm(rows, [*by, "_all"], "p", "level").drop("_all").withColumn("significant", F.col("p_holm") <= 0.05)
+
+
+def matched_contrast(long: DataFrame, baseline: str, by: list[str] = [], n_boot: int = RESAMPLES) -> DataFrame:  # noqa: B006
+    """by, best and paired statistics: the level with the best mean, other than the baseline, against it, over complete ids."""
+    rows = complete(long, by)
+    means = rows.where(F.col("level") != baseline).groupBy(*by, "level").agg(F.avg("x").alias("m"))
+    best = means.groupBy(*by).agg(F.max_by("level", F.struct("m", "level")).alias("best"))
+    on = lambda x, y: x.join(y, by) if by else x.join(y, F.lit(True))
+    a = on(rows, best).where(F.col("level") == F.col("best")).select(*by, "best", "id", F.col("x").alias("a"))
+    b = rows.where(F.col("level") == baseline).select(*by, "id", F.col("x").alias("b"))
+    return paired_bootstrap(a.join(b, [*by, "id"]), [*by, "best"], "id", n_boot)
+
+
+def pair_contrasts(long: DataFrame, pairs: list[tuple[str, str]], by: list[str], n_boot: int = RESAMPLES) -> DataFrame:
+    """by, level, baseline and paired statistics of given pairs of levels over the ids that have both."""
+    out = None
+    for level, baseline in pairs:
+        of = lambda v, n: long.where((F.col("level") == v) & F.col("x").isNotNull()).select(*by, "id", F.col("x").alias(n))  # noqa: B023, E731
+        both = of(level, "a").join(of(baseline, "b"), [*by, "id"]).withColumns({"level": F.lit(level), "baseline": F.lit(baseline)})
+        out = both if out is None else out.unionByName(both)
+    return paired_bootstrap(out, [*by, "level", "baseline"], "id", n_boot)
+
+
+def main_effects(long: DataFrame, baselines: dict[str, str], directions: dict[str, int], n_boot: int = RESAMPLES) -> DataFrame:
+    """One row for each factor and metric of rows (factor, metric, level, id, x).
+
+    The repeated-measures analysis, its p adjusted across the factors of a metric, the level that is best in the metric's
+    direction (1, or -1 where less is better), and the matched contrast against the factor's baseline.
+    """
+    by = ["factor", "metric"]
+    spark = long.sparkSession
+    rows = holm(repeated_measures(long, by, n_boot), ["metric"], "p", "factor").withColumn("significant", F.col("p_holm") <= 0.05)
+    sign = F.broadcast(spark.createDataFrame(list(directions.items()), "metric string, direction int"))
+    rows = rows.join(sign, "metric", "left").withColumn("best_for_metric", F.when(F.coalesce("direction", F.lit(1)) > 0, F.col("best")).otherwise(F.col("worst"))).drop("direction")
+    out = None
+    for factor, baseline in baselines.items():
+        got = matched_contrast(long.where(F.col("factor") == factor), baseline, by, n_boot)
+        out = got if out is None else out.unionByName(got)
+    matched = out.select(*by, F.col("best").alias("matched_best"), *[F.col(c).alias(f"matched_{c}") for c in ("diff", "lo", "hi", "p", "dz")])
+    return rows.join(matched, by, "left")
+
+
+def ranked_factors(effects: DataFrame, statistic: str = "std_range") -> DataFrame:
+    """factor and, over metrics, mean and median of the statistic, mean eta2, mean range, mean rank, metrics won and number, from
+    effects (factor, metric, statistic, eta2, range); the largest mean first."""
+    rows = average_rank(effects.where(F.col(statistic).isNotNull()), ["metric"], statistic)
+    out = rows.groupBy("factor").agg(
+        F.avg(statistic).alias("mean_statistic"), F.percentile(statistic, F.lit(0.5)).alias("median_statistic"), F.avg("eta2").alias("mean_eta2"), F.avg("range").alias("mean_range"),
+        F.avg("avg_rank").alias("mean_rank"), F.count_if(F.col("avg_rank") == 1).alias("metrics_won"), F.count(F.lit(1)).alias("n_metrics"),
+    )
+    return out.orderBy(F.desc("mean_statistic"), "factor")
+
+
+def metric_winners(effects: DataFrame, statistic: str = "std_range") -> DataFrame:
+    """metric and the factor with the largest statistic there."""
+    return effects.groupBy("metric").agg(F.max_by("factor", F.struct(statistic, "factor")).alias("factor"), F.max(statistic).alias("statistic"))
+
+
+def signed_contrasts(effects: DataFrame, directions: dict[str, int]) -> DataFrame:
+    """factor, mean_matched_diff (in each metric's direction), metrics whose interval leaves out 0, and their number."""
+    sign = F.broadcast(effects.sparkSession.createDataFrame(list(directions.items()), "metric string, direction int"))
+    rows = effects.where("matched_diff is not null").join(sign, "metric", "left")
+    return rows.groupBy("factor").agg(F.avg(F.col("matched_diff") * F.coalesce("direction", F.lit(1))).alias("mean_matched_diff"), F.count_if((F.col("matched_lo") > 0) | (F.col("matched_hi") < 0)).alias("resolved"), F.count(F.lit(1)).alias("n_metrics"))
 
 
-def matched_contrast(long: DataFrame, baseline: str, levels: int, n_boot: int = RESAMPLES) -> DataFrame:
-    """The level with the best mean, other than the baseline, against it, over complete ids."""
-    rows = complete(long, levels)
-    means = rows.where(F.col("level") != baseline).groupBy("level").agg(F.avg("x").alias("m"))
-    best = means.agg(F.max_by("level", F.struct("m", "level")).alias("best"))
-    a = rows.join(best, F.col("level") == F.col("best")).select("best", "id", F.col("x").alias("a"))
-    b = rows.where(F.col("level") == baseline).select("id", F.col("x").alias("b"))
-    return paired_bootstrap(a.join(b, "id"), ["best"], "id", n_boot)
+def leading_answer(ranking: DataFrame, winners: DataFrame) -> DataFrame:
+    """One row: the factor that ranks first by its mean statistic, by how much, and how many metrics it wins of all."""
+    place = F.row_number().over(Window.orderBy(F.desc("mean_statistic"), "factor"))
+    top = ranking.withColumn("place", place).where("place <= 2")
+    one = top.agg(F.max_by("factor", -F.col("place")).alias("factor"), F.max("mean_statistic").alias("mean_statistic"), F.min("mean_statistic").alias("next_statistic"))
+    won = winners.groupBy("factor").agg(F.count(F.lit(1)).alias("won"))
+    total = winners.agg(F.count(F.lit(1)).alias("metrics"))
+    return one.join(won, "factor", "left").join(total, F.lit(True)).select("factor", "mean_statistic", "next_statistic", F.coalesce("won", F.lit(0)).alias("won"), "metrics")
 
 
-def ranked_factors(effects: DataFrame) -> DataFrame:
-    """factor, mean_effect, mean_rank, metrics_won, n from effects (factor, metric, effect), best first."""
-    rows = average_rank(effects.where("effect is not null"), ["metric"], "effect")
-    out = rows.groupBy("factor").agg(F.avg("effect").alias("mean_effect"), F.percentile("effect", F.lit(0.5)).alias("median_effect"), F.avg("avg_rank").alias("mean_rank"), F.count_if(F.col("avg_rank") == 1).alias("metrics_won"), F.count(F.lit(1)).alias("n"))
-    return out.orderBy("mean_rank", "factor")
+def described(contrasts: DataFrame, digits: int = 4) -> DataFrame:
+    """Contrasts (level, diff, lo, hi, n) with a sentence, and whether the interval leaves out 0."""
+    clear = (F.col("lo") > 0) | (F.col("hi") < 0)
+    says = F.format_string(f"%s: %+.{digits}f [%+.{digits}f, %+.{digits}f], n = %d, %s", "level", "diff", "lo", "hi", "n", F.when(clear, "resolved").otherwise("not resolved"))
+    return contrasts.withColumn("resolved", clear).withColumn("text", says)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,12 +35,48 @@ def stamped(df: DataFrame, **facts: str) -> DataFrame:
     return df.withColumn("provenance", F.struct(*[F.lit(str(v)).alias(k) for k, v in sorted(facts.items())], F.current_timestamp().alias("at")))
 
 
+def save_markdown(df: DataFrame, path: str, digits: int = 4) -> None:
+    """A Markdown table as text, in the order of the rows; for small result tables, written by one task."""
+    kinds = dict(df.dtypes)
+    cell = lambda c: F.coalesce(F.format_string(f"%.{digits}f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit(""))
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    spark = df.sparkSession
+    head = spark.range(1).select(F.lit(-2).cast("long").alias("n"), line([F.lit(c) for c in df.columns]).alias("value"))
+    rule = spark.range(1).select(F.lit(-1).cast("long").alias("n"), line([F.lit("---") for _ in df.columns]).alias("value"))
+    rows = df.coalesce(1).select(F.monotonically_increasing_id().alias("n"), line([cell(c) for c in df.columns]).alias("value"))
+    head.unionByName(rule).unionByName(rows).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+
+
+def save_contexts(ranking: DataFrame, path: str, depth: int = 5) -> None:
+    """The first chunks of each question in rank order, one JSON row for each question."""
+    rows = ranking.where(F.col("rnk") <= depth).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rnk", "doc_id", "chunk_no"))).alias("context"))
+    rows.write.mode("overwrite").json(path)
+
+
+def read_through(spark: SparkSession, path: str, build, rows: int | None = None) -> DataFrame:
+    """A Parquet table that is there (with ``rows`` rows, where given), else what ``build`` gives, written there first."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        held = spark.read.parquet(path)
+        if rows is None or held.count() == rows:
+            return held
+    if build is None:
+        raise FileNotFoundError(f"nothing usable is kept at {path}")
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once to the folder that ``spark.checkpoint.dir`` names and read from there.
 
-    Where that setting is unset (tests, a laptop), a folder below the warehouse serves instead.
+    Where that setting is unset, only a local master gets a folder of its own, below the warehouse.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+from .sinks import finite
+
 #: Candidate documents that are drawn for each question, beside its gold document.
 DRAWN = 49
 
@@ -18,13 +21,44 @@ def hashed(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
+def _runs(words: F.Column, k: int) -> F.Column:
+    """Hashes of all runs of k neighbouring words of an array variable."""
+    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.lit(k), F.slice(words, i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def located(items: DataFrame, docs: DataFrame, most: int = 4) -> DataFrame:
+    """item_id, doc_id, at, n: where each item's text stands in each document that holds it, its first place only.
+
+    The inner words of an item are whole words of any document that holds it, so a document must share the item's first
+    run of up to ``most`` inner words: an equi-join on hashes. Only pairs that it leaves are compared. Items of one or two
+    words have no inner word; if there are any, they alone meet all documents.
+    """
+    words = F.split(F.col("text"), r"\s+")
+    inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.least(F.lit(most), F.size(words) - 2)))
+    keyed = items.where("text is not null").select("item_id", F.col("text").alias("item"), inner.alias("run"))
+    keyed = keyed.select("item_id", "item", F.size("run").alias("k"), F.xxhash64(F.size("run"), "run").alias("key"))
+    sizes = sorted(r["k"] for r in keyed.select("k").distinct().collect())  # at most as many as ``most`` and one
+    texts = docs.select("doc_id", "text")
+    out = None
+    if any(sizes):
+        every = bind(words, lambda w: F.array_distinct(F.flatten(F.array(*[_runs(w, k) for k in sizes if k]))))
+        shared = texts.select("doc_id", F.explode(every).alias("key")).join(keyed.where("k > 0"), "key").select("item_id", "item", "doc_id").distinct()
+        out = texts.join(shared, "doc_id").where(F.contains("text", "item"))
+    if 0 in sizes:
+        few = texts.join(keyed.where("k = 0").select("item_id", "item"), F.contains("text", "item"))
+        out = few if out is None else out.unionByName(few.select(*out.columns))
+    if out is None:
+        return items.sparkSession.createDataFrame([], "item_id long, doc_id long, at int, n int")
+    return out.select("item_id", "doc_id", F.instr("text", F.col("item")).alias("at"), F.length("item").alias("n"))
+
+
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """question_id, query, split, answerable, gold_doc, gold_start, gold_end: one row for each benchmark item.
 
     The query is the item's first 12 words; its gold span is where the item stands in the smallest document that holds it.
     """
     items, docs = table(spark, folder, "benchmark"), table(spark, folder, "documents")
-    found = items.join(docs, F.contains(docs.text, items.text)).groupBy("item_id").agg(F.min(F.struct("doc_id", F.instr(docs.text, items.text).alias("at"), F.length(items.text).alias("n"))).alias("hit"))
+    found = located(items, docs).groupBy("item_id").agg(F.min(F.struct("doc_id", "at", "n")).alias("hit"))
     first = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
     rows = items.join(found, "item_id", "left")
     return rows.select(
@@ -34,13 +68,33 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ring(docs: DataFrame, digits: int = 3) -> DataFrame:
+    """doc_id and place: documents numbered from 0 in the order of the MD5 of their id, in two levels by its first digits."""
+    from pyspark.sql import Window
+
+    rows = docs.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h")).withColumn("part", F.substring("h", 1, digits))
+    sums = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("h", "doc_id"))
+    return rows.join(sums.select("part", before.alias("before")), "part").select("doc_id", (F.col("before") + within - 1).alias("place"))
+
+
 def candidates(asked: DataFrame, docs: DataFrame, drawn: int = DRAWN) -> DataFrame:
-    """question_id, doc_id: the gold document and documents drawn by a hash; no question meets the whole corpus."""
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    draw = asked.select("question_id", F.explode(F.sequence(F.lit(1), F.lit(drawn))).alias("j")).join(total, F.lit(True))
-    draw = draw.select("question_id", (hashed(F.col("question_id"), F.col("j")) % F.col("n_docs")).alias("doc_id"))
-    gold = asked.where("gold_doc is not null").select("question_id", F.col("gold_doc").alias("doc_id"))
-    return draw.union(gold).distinct().join(docs.select("doc_id"), "doc_id", "left_semi").select("question_id", "doc_id")
+    """question_id, doc_id: the gold document and ``drawn`` others, or all others if there are fewer.
+
+    Documents stand in a ring by a hash of their id; a question takes those that follow its own hash. So no draw is lost or
+    repeated, whatever the ids are, and no question meets the whole corpus.
+    """
+    from pyspark.sql import Window
+
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    asks = asked.select("question_id", "gold_doc").join(total, F.lit(True)).where("n > 0")
+    asks = asks.select("question_id", "gold_doc", "n", F.explode(F.sequence(F.lit(0), F.least(F.lit(drawn), F.col("n") - 1).cast("int"))).alias("j"))
+    asks = asks.select("question_id", "gold_doc", "j", ((hashed(F.col("question_id")) + F.col("j")) % F.col("n")).alias("place"))
+    got = ring(docs).join(asks, "place").where(~F.col("doc_id").eqNullSafe(F.col("gold_doc")))
+    nth = F.row_number().over(Window.partitionBy("question_id").orderBy("j"))
+    got = got.withColumn("nth", nth).where(F.col("nth") <= drawn).select("question_id", "doc_id")
+    return got.unionByName(asked.where("gold_doc is not null").select("question_id", F.col("gold_doc").alias("doc_id")))
 
 
 def answer_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,6 +144,52 @@ def checkpoint_records(spark: SparkSession, path: str, schema: str, key: str = "
     return rows.withColumn("_nth", last).where("_nth = 1").drop("_nth")
 
 
+def result_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A CSV result with a header, or None where there is none yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def result_json(spark: SparkSession, path: str) -> DataFrame | None:
+    """A JSON result, or None where there is none yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.json(path) if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) else None
+
+
+def result_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The rows of a CSV result as strict JSON, one string each; no rows where there is none yet."""
+    rows = result_table(spark, path, schema)
+    empty = spark.createDataFrame([], "record string")
+    return empty if rows is None else finite(rows).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def required(rows: DataFrame | None, columns: set[str], name: str) -> DataFrame:
+    """``rows``, or an error that says what is missing."""
+    if rows is None:
+        raise FileNotFoundError(f"{name} is missing")
+    if gone := columns - set(rows.columns):
+        raise ValueError(f"{name} lacks {sorted(gone)}")
+    return rows
+
+
+def ceiling_table(spark: SparkSession, path: str) -> DataFrame:
+    """Ceilings by method and question from a CSV file; missing columns are an error."""
+    return required(result_table(spark, path), {"method", "question_id", "ceiling"}, path)
+
+
+def factor_traces(spark: SparkSession, folder: str, names: tuple[str, ...] = ("A", "B", "C")) -> dict[str, DataFrame]:
+    """The traces of each factor from CSV files ``factor<name>.csv``; a missing one is an error."""
+    return {n: required(result_table(spark, f"{folder}/factor{n}.csv"), {"question_id"}, f"factor{n}.csv") for n in names}
+
+
+def number(column: F.Column, missing: float) -> F.Column:
+    """A number from text; what is none counts as ``missing``."""
+    return F.coalesce(column.try_cast("double"), F.lit(missing))
+
+
 def method_chunks(spark: SparkSession, pattern: str) -> DataFrame:
     """Chunk tables of several files, the method taken from each file's name."""
     return spark.read.parquet(pattern).withColumn("method", F.regexp_extract(F.input_file_name(), r"chunks_([^/]+?)(?:\.parquet)?/[^/]*$|chunks_([^/]+)\.parquet$", 1))
