@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +13,18 @@ from .operators import attribution as P
 from .operators import certainty as Q
 from .operators import chunking as C
 from .operators import evidence as E
+from .operators import examples as N
+from .operators import models as M
 from .operators import retrieval as R
 from .operators import statistics as B
-from .plans.runs import CENTRE, RetrievalRun, levels, records, scored_labels
+from .plans.runs import ARMS, CENTRE, FACTOR_BASELINES, FACTOR_DIRECTIONS, PATH, RETRIEVERS, RetrievalRun, factors, hash_vectors, levels, lines, records, reviewed, scored_labels
 from .sources.tables import answer_records, hashed, table
 from .streaming.resume import missing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LEVELS = ["click", "error", "purchase", "signup", "view"]
-#: Resamples that the DuckDB SQL of the queries draws; the operators draw more unless told.
-ORACLE_RESAMPLES = 200
+#: Segmentations whose boundaries SQL can express too.
+WINDOWS = ("sliding_window", "fixed_window")
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -125,35 +126,20 @@ def chunk_statistics(spark, d):
 @query
 def segmentation_agreement(spark, d):
     docs = _docs(spark, d)
-    return _rounded(C.agreement(C.word_windows(docs, 64, 0.0), C.word_windows(docs, 64, 0.10)))
-
-
-def _lines(text: str) -> list[tuple[int, int]]:
-    cuts = [0, *(i + 1 for i, c in enumerate(text) if c == "\n"), len(text)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+    cut = lambda name, overlap: C.word_windows(docs, 64, overlap).select(F.lit(name).alias("method"), "doc_id", "char_start", "char_end")
+    return _rounded(C.agreement(cut("sliding_window", 0.10).unionByName(cut("fixed_window", 0.0)), "sliding_window"))
 
 
 def _sectioned(text: str) -> list[tuple[int, int]]:
-    return C.structural(text, _lines(text), 64, 0.10)
+    return C.structural(text, lines(text), 64, 0.10)
 
 
 def _plain(text: str) -> list[tuple[int, int]]:
     return C.structural(text, None, 64, 0.10)
 
 
-def _hash_vectors(texts: list[str]) -> np.ndarray:
-    """Unit vectors of hashed word counts: the deterministic stand-in for a sentence encoder."""
-    from zlib import crc32
-
-    out = np.zeros((len(texts), 64))
-    for i, t in enumerate(texts):
-        for w in t.lower().split():
-            out[i, crc32(w.encode()) % 64] += 1
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-
-
 def _semantic(text: str) -> list[tuple[int, int]]:
-    return C.semantic(text, _hash_vectors, 64, 0.10)
+    return C.semantic(text, hash_vectors, 64, 0.10)
 
 
 @query
@@ -171,11 +157,31 @@ def semantic_chunks(spark, d):
     return C.split_by(_docs(spark, d), _semantic)
 
 
+def _firsts(spark: SparkSession, d: str) -> DataFrame:
+    run = RetrievalRun(spark, d)
+    rows = run.ranking("bm25").where("rnk = 1").join(run.texts, R.ROW).join(run.asked.select("question_id", "query"), "question_id")
+    return rows.select("question_id", "text", "query")
+
+
 @query
 def query_excerpt(spark, d):
-    run = RetrievalRun(spark, d, 512)
-    rows = run.ranking("bm25").where("rnk = 1").join(run.texts, R.ROW).join(run.asked.select("question_id", "query"), "question_id")
-    return C.excerpts(rows.select("question_id", "text", "query"), 40).select("question_id", "excerpt")
+    return C.excerpts(_firsts(spark, d), 20).select("question_id", "excerpt")
+
+
+@query
+def token_excerpt(spark, d):
+    return C.token_excerpts(_firsts(spark, d), 24).select("question_id", "excerpt")
+
+
+@query
+def clipped_queries(spark, d):
+    return RetrievalRun(spark, d).asked.select("question_id", C.clipped(F.col("query"), 8).alias("clipped"))
+
+
+@query
+def late_chunk_vectors(spark, d):
+    run = RetrievalRun(spark, d)
+    return _rounded(M.late_vectors(run.labelled, run.visible))
 
 
 # Text functions
@@ -293,6 +299,28 @@ def nearest_vectors(spark, d):
     return _rounded(R.nearest(rows, rows.where("vec_id % 10 = 0")))
 
 
+@query
+def reproduction(spark, d):
+    published = {"bm25": {"recall_20": 0.7000, "coverage": 0.5618, "mrr": 0.4736, "ndcg_5": 0.4878}, "dense": {"recall_20": 0.8067, "coverage": 0.6307, "mrr": 0.5619, "ndcg_5": 0.5736}}
+    return _rounded(R.reproduction(RetrievalRun(spark, d).configurations(("bm25", "dense")), published))
+
+
+@query
+def sensitivity_arms(spark, d):
+    run = RetrievalRun(spark, d)
+    arms = {"depth 50": run.trace("dense_reranked", 50), "on hybrid": run.trace("hybrid_rrf_reranked")}
+    rows = None
+    for name, trace in arms.items():
+        got = trace.select(F.lit(name).alias("arm"), "question_id", "in_top_5", "coverage", "mrr")
+        rows = got if rows is None else rows.unionByName(got)
+    return _rounded(rows)
+
+
+@query
+def rerank_signals(spark, d):
+    return _rounded(R.rerank_signals(RetrievalRun(spark, d).ranking("dense_reranked")))
+
+
 # Evidence
 
 
@@ -316,20 +344,20 @@ def arm_means(spark, d):
 
 @query
 def arm_summary(spark, d):
-    rows = RetrievalRun(spark, d).configurations(("bm25", "dense"))
-    long = rows.select("configuration", "question_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("coverage", "mrr", "ndcg_5")])).alias("s")).select("configuration", "question_id", "s.*")
+    rows = RetrievalRun(spark, d).configurations()
+    metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("coverage", "mrr", "ndcg_5")]))
+    long = rows.select("configuration", "question_id", metrics.alias("s")).select("configuration", "question_id", "s.*")
     return _rounded(B.bootstrap_ci(long, ["configuration", "metric"], "question_id", "x"))
 
 
 @query
 def segmentation_ceiling(spark, d):
-    return _rounded(RetrievalRun(spark, d).ceiling)
+    return _rounded(RetrievalRun(spark, d).by_method(WINDOWS, "ceiling"))
 
 
 @query
 def ceiling_summary(spark, d):
-    rows = RetrievalRun(spark, d).ceiling
-    return _rounded(rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("ceiling").alias("mean_ceiling"), F.min("ceiling").alias("min_ceiling"), F.avg((F.col("ceiling") < 0.8).cast("double")).alias("below")))
+    return _rounded(E.ceiling_summary(RetrievalRun(spark, d).by_method(WINDOWS, "ceiling"), ["method", "split"]))
 
 
 # Answers
@@ -345,16 +373,35 @@ def rouge_l(spark, d):
     return _rounded(A.rouge_l(records(spark, d), "answer", "gold").select("conv_id", "turn", "rouge_l"))
 
 
+@query
+def generation_scores(spark, d):
+    return _rounded(RetrievalRun(spark, d).generated().drop("question", "answer", "context", "gold", "split", "answerable"))
+
+
 @query
 def abstention_table(spark, d):
-    rows = A.scored_answers(records(spark, d))
-    return _rounded(rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("abstained").cast("double")).alias("abstained"), F.avg("abstention_accuracy").alias("accuracy"), F.avg("groundedness").alias("groundedness")))
+    return _rounded(A.abstention_table(RetrievalRun(spark, d).generated(), "configuration"))
+
+
+@query
+def first_look(spark, d):
+    return _rounded(A.first_look(RetrievalRun(spark, d).generated(), "configuration"))
+
+
+@query
+def readability_summary(spark, d):
+    return _rounded(A.readability_summary(RetrievalRun(spark, d).generated(), "configuration"))
+
+
+@query
+def answer_relevancy(spark, d):
+    return _rounded(M.relevancy(RetrievalRun(spark, d).generated().withColumn("answer", X.answer_body(F.col("answer"))), ["configuration", "question_id"]))
 
 
 @query
 def prompt_lengths(spark, d):
     run = RetrievalRun(spark, d)
-    top = run.ranking("bm25").where("rnk <= 5").join(C.chunk_texts(run.chunks, run.visible).drop("chunk_id"), R.ROW)
+    top = run.ranking("bm25").where("rnk <= 5").join(run.labelled.select(*R.ROW, "label", "text"), R.ROW)
     rows = A.prompts(top)
     at = lambda p: F.percentile("n_words", F.lit(p))
     return _rounded(rows.agg(F.count(F.lit(1)).alias("n"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("n_words").alias("longest")))
@@ -363,14 +410,14 @@ def prompt_lengths(spark, d):
 @query
 def prompt_segments(spark, d):
     run = RetrievalRun(spark, d)
-    top = run.ranking("bm25").where("rnk <= 5").join(C.chunk_texts(run.chunks, run.visible).drop("chunk_id"), R.ROW)
+    top = run.ranking("bm25").where("rnk <= 5").join(run.labelled.select(*R.ROW, "label", "text"), R.ROW)
     return A.prompts(top).select("question_id", X.prompt_segments(F.col("prompt")).alias("segments"))
 
 
 @query
 def generated_answers(spark, d):
     run = RetrievalRun(spark, d)
-    top = run.ranking("bm25").where("rnk <= 5").join(C.chunk_texts(run.chunks, run.visible).drop("chunk_id"), R.ROW)
+    top = run.ranking("bm25").where("rnk <= 5").join(run.labelled.select(*R.ROW, "label", "text"), R.ROW)
     rows = A.prompts(top).join(run.asked.select("question_id", "query"), "question_id").select("question_id", "prompt", "query")
     return A.generate(rows).select("question_id", "answer")
 
@@ -396,10 +443,10 @@ def configuration_table(spark, d):
 
 
 @query
-def centre_identity(spark, d):
+def copy_defects(spark, d):
+    """Questions on which two arms that are taken for copies of one configuration differ."""
     run = RetrievalRun(spark, d)
-    a, b = run.trace(CENTRE), RetrievalRun(spark, d).trace(CENTRE)
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).select("question_id")
+    return P.identity_defects({"A": run.trace("dense"), "B": run.trace("dense"), "C": run.trace("dense_reranked")})
 
 
 @query
@@ -419,7 +466,7 @@ def stage_partition_by_split(spark, d):
 
 @query
 def stage_partition_ci(spark, d):
-    return _rounded(P.partition_ci(RetrievalRun(spark, d).configurations(("bm25", "dense"))))
+    return _rounded(P.partition_ci(RetrievalRun(spark, d).configurations()))
 
 
 @query
@@ -429,13 +476,17 @@ def stage_transitions(spark, d):
 
 @query
 def threshold_sweep(spark, d):
-    return _rounded(P.threshold_sweep(RetrievalRun(spark, d).configurations(("bm25", "dense"))))
+    return _rounded(P.threshold_sweep(RetrievalRun(spark, d).configurations()))
 
 
 @query
 def stage_decomposition(spark, d):
-    rows = P.decomposition(RetrievalRun(spark, d).configurations(("bm25", "dense", "hybrid_rrf")), CENTRE)
-    return _rounded(rows)
+    return _rounded(P.decomposition(RetrievalRun(spark, d).configurations(), CENTRE))
+
+
+@query
+def sophistication_path(spark, d):
+    return _rounded(P.sophistication_path(P.partition(RetrievalRun(spark, d).configurations()), PATH))
 
 
 @query
@@ -445,36 +496,56 @@ def dq_trace_defects(spark, d):
 
 @query
 def dq_coverage_above_ceiling(spark, d):
-    return P.above_ceiling(RetrievalRun(spark, d).configurations(("bm25", "dense"))).select("configuration", "question_id")
-
-
-def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Generated answers at two arms: the gold text of the first chunk stands for the answer."""
-    run = RetrievalRun(spark, d)
-    gold = run.asked.where("answerable").join(run.docs, F.col("gold_doc") == F.col("doc_id")).select("question_id", F.expr("substring(text, int(gold_start) + 1, int(gold_end - gold_start))").alias("gold"))
-    rows = None
-    for arm in ("bm25", "dense"):
-        top = run.ranking(arm).where("rnk = 1").join(run.texts, R.ROW).join(gold, "question_id")
-        got = top.select(F.lit(arm).alias("configuration"), "question_id", A.token_f1(F.col("text"), F.col("gold")).alias("token_f1"), X.is_abstention(F.col("text")).alias("abstained"))
-        rows = got if rows is None else rows.unionByName(got)
-    stages = P.attributed(run.configurations(("bm25", "dense"))).select("configuration", "question_id", "stage")
-    return P.outcomes(rows, stages)
+    return P.above_ceiling(RetrievalRun(spark, d).configurations()).select("configuration", "question_id")
 
 
 @query
 def generation_outcomes(spark, d):
-    return _rounded(_outcomes(spark, d))
+    return RetrievalRun(spark, d).outcomes()
 
 
 @query
 def generation_summary(spark, d):
-    return _rounded(P.outcome_summary(_outcomes(spark, d)))
+    return _rounded(P.outcome_summary(RetrievalRun(spark, d).outcomes(), CENTRE))
+
+
+@query
+def outcome_contrasts(spark, d):
+    return _rounded(P.outcome_contrasts(RetrievalRun(spark, d).outcomes(), CENTRE))
+
+
+@query
+def outcomes_by_stage(spark, d):
+    return _rounded(P.outcomes_by_stage(RetrievalRun(spark, d).outcomes(), ("configuration", "stage")))
+
+
+@query
+def outcome_totals(spark, d):
+    return _rounded(P.outcome_totals(RetrievalRun(spark, d).outcomes()))
 
 
 @query
 def prompt_comparison(spark, d):
-    rows = A.scored_answers(records(spark, d)).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    return _rounded(P.prompt_comparison(rows.select("split", "id", F.col("groundedness").alias("v")), rows.select("split", "id", F.col("token_f1").alias("v")), ["split"], "v", "id"))
+    run = RetrievalRun(spark, d)
+    return _rounded(P.prompt_comparison(run.outcomes(1), run.outcomes(2), CENTRE))
+
+
+@query
+def reviewed_outcomes(spark, d):
+    run = RetrievalRun(spark, d)
+    rows = reviewed(run, 1).withColumn("run", F.lit(1)).unionByName(reviewed(run, 2).withColumn("run", F.lit(2)))
+    return _rounded(P.reviewed_outcomes(rows, ["run"]))
+
+
+@query
+def reviewed_ablation(spark, d):
+    run = RetrievalRun(spark, d)
+    return P.ablation(reviewed(run, 1), reviewed(run, 2))
+
+
+@query
+def reviewed_check(spark, d):
+    return P.reviewed_check(reviewed(RetrievalRun(spark, d)))
 
 
 @query
@@ -492,22 +563,22 @@ def to_wide(spark, d):
 
 @query
 def repeated_measures(spark, d):
-    return _rounded(B.repeated_measures(levels(spark, d), len(LEVELS)))
+    return _rounded(B.repeated_measures(levels(spark, d)))
 
 
 @query
 def bootstrap_ci(spark, d):
-    return _rounded(B.bootstrap_ci(levels(spark, d), ["level"], "id", "x", ORACLE_RESAMPLES))
+    return _rounded(B.bootstrap_ci(levels(spark, d), ["level"], "id", "x"))
 
 
 @query
 def pairwise_baseline(spark, d):
-    return _rounded(B.against_baseline(levels(spark, d), "view", ORACLE_RESAMPLES))
+    return _rounded(B.against_baseline(levels(spark, d), "view"))
 
 
 @query
 def matched_contrast(spark, d):
-    return _rounded(B.matched_contrast(levels(spark, d), "view", len(LEVELS)))
+    return _rounded(B.matched_contrast(levels(spark, d), "view"))
 
 
 @query
@@ -522,10 +593,47 @@ def average_ranks(spark, d):
     return _rounded(B.average_rank(rows, ["o_orderstatus"], "n"))
 
 
+def _effects(spark: SparkSession, d: str) -> DataFrame:
+    return B.main_effects(factors(spark, d), FACTOR_BASELINES, FACTOR_DIRECTIONS)
+
+
+@query
+def main_effects(spark, d):
+    return _rounded(_effects(spark, d), 5)
+
+
 @query
 def factor_ranking(spark, d):
-    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("factor"), (F.col("user_id") % 7).alias("metric")).agg(F.round(F.avg("value"), 9).alias("effect"))
-    return _rounded(B.ranked_factors(rows))
+    return _rounded(B.ranked_factors(_effects(spark, d)), 5)
+
+
+@query
+def metric_winners(spark, d):
+    return _rounded(B.metric_winners(_effects(spark, d)), 5)
+
+
+@query
+def signed_contrasts(spark, d):
+    return _rounded(B.signed_contrasts(_effects(spark, d), FACTOR_DIRECTIONS), 5)
+
+
+@query
+def leading_factor(spark, d):
+    rows = _effects(spark, d)
+    return _rounded(B.leading_answer(B.ranked_factors(rows), B.metric_winners(rows)), 5)
+
+
+@query
+def level_contrasts(spark, d):
+    """Given pairs of levels, as a method is compared with its matched control."""
+    long = factors(spark, d).where("factor = 'type'").select("metric", "level", "id", "x")
+    return _rounded(B.pair_contrasts(long, [("click", "view"), ("purchase", "signup")], ["metric"]), 5)
+
+
+@query
+def described_contrasts(spark, d):
+    rows = B.against_baseline(levels(spark, d), "view")
+    return B.described(rows, 3).select("level", "resolved", "text")
 
 
 @query
@@ -557,6 +665,11 @@ def signal_audit(spark, d):
     return _rounded(Q.univariate(RetrievalRun(spark, d).signals), 5)
 
 
+@query
+def auroc_interval(spark, d):
+    return _rounded(Q.auroc_ci(scored_labels(spark, d), ["split"], "doc_id", "score", "y"))
+
+
 @query
 def auroc(spark, d):
     return _rounded(Q.auroc(scored_labels(spark, d), ["split"], "score", "y"))
@@ -597,10 +710,22 @@ def logistic_score(spark, d):
     return _rounded(rows.where("split = 'dev'").select("doc_id", "y", model.score().alias("certainty")))
 
 
+def _two_signals(spark: SparkSession, d: str) -> DataFrame:
+    rows = scored_labels(spark, d).join(table(spark, d, "documents").select("doc_id", F.ln("n_chars").alias("log_chars")), "doc_id")
+    return rows.withColumnRenamed("score", "s0")
+
+
 @query
 def cross_fitted_scores(spark, d):
-    rows = scored_labels(spark, d).join(table(spark, d, "documents").select("doc_id", F.ln("n_chars").alias("log_chars")), "doc_id").withColumnRenamed("score", "s0")
-    return _rounded(Q.cross_fitted(rows, ("s0", "log_chars"), "y").select("doc_id", "split", "y", "score"))
+    return _rounded(Q.cross_fitted(_two_signals(spark, d), ("s0", "log_chars"), "y").select("doc_id", "split", "y", "score", "score_shifted"))
+
+
+@query
+def evaluated_scores(spark, d):
+    rows = _two_signals(spark, d)
+    dev = Q.cross_fitted(rows, ("s0", "log_chars"), "y").where("split = 'dev'").withColumn("answerable", F.lit(True))
+    rate = rows.where("split = 'train'").agg(F.avg("y").alias("m")).first()["m"]
+    return _rounded(Q.evaluate(dev, "y", rate, "doc_id", "s0", "answerable"))
 
 
 def _banded(spark: SparkSession, d: str) -> DataFrame:
@@ -619,7 +744,125 @@ def citation_band_table(spark, d):
     return _rounded(Q.citation_table(_banded(spark, d), "label"))
 
 
+def _tested(spark: SparkSession, d: str) -> tuple[RetrievalRun, DataFrame]:
+    run = RetrievalRun(spark, d)
+    return run, Q.tested_answers(run.generated())
+
+
+def _retrieval_scores(run: RetrievalRun) -> DataFrame:
+    """The first similarity stands in for a fitted score, so that SQL has it too."""
+    return run.signals.select("question_id", F.coalesce("dense_top1", F.lit(0.0)).alias("score_shifted"))
+
+
+@query
+def citation_answers(spark, d):
+    return _rounded(_tested(spark, d)[1])
+
+
+@query
+def citation_correctness(spark, d):
+    return _rounded(Q.band_correctness(_tested(spark, d)[1], ["configuration"]))
+
+
+@query
+def citation_correctness_pooled(spark, d):
+    return _rounded(Q.band_correctness(_tested(spark, d)[1], []))
+
+
+@query
+def citation_high_minus_low(spark, d):
+    return _rounded(Q.high_minus_low(_tested(spark, d)[1], ["configuration"]))
+
+
+@query
+def citation_high_minus_low_pooled(spark, d):
+    return _rounded(Q.high_minus_low(_tested(spark, d)[1], []))
+
+
+@query
+def citation_auroc(spark, d):
+    return _rounded(Q.band_auroc(_tested(spark, d)[1], ["configuration"]))
+
+
+@query
+def citation_low_band(spark, d):
+    return _rounded(Q.low_band_shares(_tested(spark, d)[1]))
+
+
 @query
 def joint_bands(spark, d):
-    rows = _banded(spark, d).join(scored_labels(spark, d).select(F.col("doc_id").alias("conv_id"), Q.band(F.col("score")).alias("certainty")), "conv_id")
-    return _rounded(rows.groupBy("certainty", "band").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == "correct").cast("double")).alias("correct")))
+    run, rows = _tested(spark, d)
+    return _rounded(Q.joint_bands(rows.where(F.col("configuration") == CENTRE), _retrieval_scores(run)))
+
+
+@query
+def joint_rule(spark, d):
+    run, rows = _tested(spark, d)
+    return _rounded(Q.joint_rule(rows.where(F.col("configuration") == CENTRE), _retrieval_scores(run)))
+
+
+# Worked examples
+
+
+@query
+def chunking_example(spark, d):
+    return _rounded(N.chunking_example(RetrievalRun(spark, d).by_method(WINDOWS)))
+
+
+@query
+def retrieval_example(spark, d):
+    return _rounded(N.retrieval_example(RetrievalRun(spark, d).configurations(RETRIEVERS)))
+
+
+@query
+def reranking_example(spark, d):
+    run = RetrievalRun(spark, d)
+    return _rounded(N.reranking_example(run.trace(CENTRE), run.trace("dense_reranked")))
+
+
+@query
+def effects_example(spark, d):
+    run = RetrievalRun(spark, d)
+    return _rounded(N.effects_example(run.trace(CENTRE), run.trace("bm25")))
+
+
+@query
+def generation_example(spark, d):
+    return _rounded(N.generation_example(RetrievalRun(spark, d).generated(), CENTRE))
+
+
+@query
+def attribution_example(spark, d):
+    return _rounded(N.attribution_example(RetrievalRun(spark, d).configurations(), CENTRE))
+
+
+@query
+def prompt_example(spark, d):
+    return N.prompt_example(RetrievalRun(spark, d).outcomes(), CENTRE)
+
+
+@query
+def certainty_example(spark, d):
+    rows = RetrievalRun(spark, d).signals
+    return _rounded(N.certainty_example(rows.withColumn("score", F.coalesce("dense_top1", F.lit(0.0)))), 5)
+
+
+@query
+def citation_example(spark, d):
+    return _rounded(N.citation_example(_tested(spark, d)[1]))
+
+
+@query
+def segmentation_scenario(spark, d):
+    run = RetrievalRun(spark, d)
+    return _rounded(N.segmentation_scenario(run.by_method(WINDOWS), run.configurations(RETRIEVERS)))
+
+
+@query
+def attribution_scenario(spark, d):
+    return _rounded(N.attribution_scenario(RetrievalRun(spark, d).configurations(), CENTRE))
+
+
+@query
+def certainty_scenario(spark, d):
+    return _rounded(N.certainty_scenario(RetrievalRun(spark, d).signals.withColumn("score", F.col("dense_top1"))), 5)
