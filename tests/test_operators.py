@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import random
+import re
+from itertools import combinations
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,8 +14,11 @@ from gleanery.operators import attribution as P
 from gleanery.operators import certainty as Q
 from gleanery.operators import chunking as C
 from gleanery.operators import evidence as E
+from gleanery.operators import models as M
 from gleanery.operators import retrieval as R
 from gleanery.operators import statistics as B
+from gleanery.sources import sinks as K
+from gleanery.sources import tables as S
 
 
 def value(spark, column):
@@ -56,11 +64,76 @@ def test_structural_chunks_hold_every_word():
     assert all(len(text[a:b].split()) <= 4 for a, b in spans)
 
 
+def test_pieces_take_the_coarsest_break_that_fits():
+    text = "a b c. d e\nf g\n\nh i j k l m n"
+    cut = lambda size: [text[a:b] for a, b in C.structural(text, None, size, 0.0)]
+    assert cut(20) == [text]
+    assert cut(7) == ["a b c. d e\nf g", "h i j k l m n"]
+    assert cut(5) == ["a b c. d e", "f g", "h i j k l", "m n"]  # lines of the first paragraph, runs of the last
+    assert cut(3) == ["a b c.", "d e", "f g", "h i j", "k l m", "n"]
+
+
+def test_chunks_repeat_a_tail_that_leaves_room():
+    text = "a b. c d. e f. g h."
+    assert [text[a:b] for a, b in C.structural(text, None, 4, 0.5)] == ["a b. c d.", "c d. e f.", "e f. g h."]
+    assert [text[a:b] for a, b in C.structural(text, None, 4, 0.25)] == ["a b. c d.", "e f. g h."]
+
+
+def test_a_split_section_stands_alone():
+    text = "a b\nc d. e f. g h.\ni j\n"
+    sections = [(0, 4), (4, 19), (19, 23)]
+    assert [text[a:b] for a, b in C.structural(text, sections, 4, 0.0)] == ["a b", "c d. e f.", "g h.", "i j"]
+    assert [text[a:b] for a, b in C.structural(text, [(0, 4), (4, 13)], 20, 0.0)] == [text.strip()]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chunks_of_random_texts(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["a", "bb", "c.", "d!", "\n", "\n\n", " \n", "e;"]) + rng.choice([" ", "  ", ""]) for _ in range(120))
+    size = rng.choice([1, 3, 9])
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    spans = C.structural(text, None, size, 0.0)
+    assert [w for a, b in spans for w in words if a <= w[0] < b] == words
+    assert all(len(text[a:b].split()) <= size and text[a:b] == text[a:b].strip() for a, b in spans)
+    for (a, b), (_, d) in zip(spans, spans[1:]):  # no chunk could have been joined with the whole next one
+        assert len(text[a:d].split()) > size
+    vectors = lambda texts: np.eye(8)[[len(t) % 8 for t in texts]]
+    cut = C.semantic(text, vectors, size, 0.0, 50, 2, 2)
+    assert [w for a, b in cut for w in words if a <= w[0] < b] == words
+
+
+def test_semantic_cuts_where_sentences_differ():
+    text = "x x. x x. x x. y y. y y. y y."
+    vectors = lambda texts: np.array([[1.0, 0.0] if t.count("x") >= t.count("y") else [0.0, 1.0] for t in texts])
+    assert [text[a:b] for a, b in C.semantic(text, vectors, 20, 0.0, 80, 1, 2)] == ["x x. x x. x x.", "y y. y y. y y."]
+
+
+def test_windows_of_a_long_text(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice(["a", "bcd"]) + rng.choice([" ", "\n\n", "   "]) for _ in range(140_000))
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    rows = C.word_windows(spark.createDataFrame([(1, text)], "doc_id long, text string"), 7, 0.4).orderBy("chunk_no").collect()
+    want = [(spans[k][0], spans[min(k + 7, len(spans)) - 1][1]) for k in range(0, len(spans) - 3 + (-(len(spans) - 7)) % 4 * 0, 4)]
+    assert [(r.char_start, r.char_end) for r in rows] == want[: len(rows)] and rows[-1].char_end == spans[-1][1]
+    assert len(rows) == 1 + -(-(len(spans) - 7) // 4)
+
+
 @pytest.mark.parametrize(("spans", "lo", "hi", "want"), [([(0, 10), (5, 12), (20, 30)], 4, 25, 13 / 21), ([(0, 5), (5, 10)], 0, 10, 1.0)])
 def test_union_coverage(spark, spans, lo, hi, want):
     rows = spark.createDataFrame([(1, lo, hi, a, b) for a, b in spans], "q long, lo int, hi int, a int, b int")
     assert E.union_coverage(rows, ["q"]).first()["coverage"] == pytest.approx(want)
-    assert E.best_choice(spans, lo, hi) == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("n", "k"), [(0, 5), (1, 5), (3, 2), (6, 5), (12, 1), (18, 5), (19, 5)])
+def test_ceiling_equals_every_choice(spark, n, k):
+    rng = random.Random(n)
+    spans = [(a, a + rng.randrange(1, 30)) for a in (rng.randrange(100) for _ in range(n))]
+    asked = spark.createDataFrame([(1, "dev", True, 7, 10, 90), (2, "dev", True, 8, 0, 5), (3, "dev", False, None, None, None)], "question_id long, split string, answerable boolean, gold_doc long, gold_start long, gold_end long")
+    chunks = spark.createDataFrame([(7, i, a, b) for i, (a, b) in enumerate(spans)], "doc_id long, chunk_no int, char_start int, char_end int")
+    got = {r.question_id: r for r in E.segmentation_ceiling(asked, chunks, k).collect()}
+    covered = lambda chosen: len({x for a, b in chosen for x in range(max(a, 10), min(b, 90))})
+    assert got[1].ceiling == pytest.approx(max((covered(c) for c in combinations(spans, min(k, n))), default=0) / 80)
+    assert got[1].n_gold_chunks == n and got[2].ceiling == 0 and set(got) == {1, 2}
 
 
 def test_holm(spark):
@@ -79,7 +152,7 @@ def test_auroc_and_edges(spark):
     assert Q.auroc(rows, ["g"], "s", "y").first()["auroc"] == pytest.approx(0.875)
     edge = spark.createDataFrame([(0.3, 1)], "s double, y int")
     assert Q.binned(edge, "s", "y").where("n = 1").first()["bin"] == 2
-    assert [value(spark, Q.band(F.lit(x))) for x in (0.35, 0.349, 0.6, 0.85)] == ["low", "insufficient", "medium", "high"]
+    assert [value(spark, Q.band(F.lit(x))) for x in (0.35, 0.349, 0.6, 0.85)] == ["low", "insufficient", "probable", "certain"]
 
 
 @pytest.mark.parametrize(("row", "want"), [((0.79, True, True, 1.0), "S1"), ((0.9, False, False, 0.0), "S2"), ((0.9, True, True, 0.79), "S3"), ((None, True, True, 0.8), "R")])
@@ -105,9 +178,130 @@ def test_citation_bands(spark):
     assert [band("x [swg1::chunk_0]"), band("x [a::chunk_1] [b::chunk_2] [c::chunk_3]"), band("x [b2::chunk_2]"), band("")] == ["high", "low", "medium", "low"]
 
 
-def test_bootstrap_draws_as_many_resamples_as_the_study(spark):
-    rows = spark.createDataFrame([(i, float(i % 3)) for i in range(6)], "id int, x double").withColumn("g", F.lit(1))
-    assert B.resampled_means(rows, ["g"], "id", "x").count() == 5000
-    pairs = rows.select("g", "id", F.col("x").alias("a"), F.lit(0.4).alias("b"))
-    p = B.paired_bootstrap(pairs, ["g"], "id").first()["p"]
-    assert 0 < p < 1 and p * 2500 == pytest.approx(round(p * 2500)) and p * 100 != pytest.approx(round(p * 100))
+def test_resamples_are_poisson(spark):
+    rows = spark.range(400).select(F.col("id"), (F.col("id") % 7).cast("double").alias("x"), F.lit("g").alias("g"))
+    got = B.draws(rows, "id", 500).groupBy("b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("sq")).agg(F.count("b").alias("b"), F.avg("n").alias("n"), F.stddev("n").alias("sd"), F.avg("sq").alias("sq")).first()
+    assert got.b == 500 and got.n == pytest.approx(400, abs=5) and got.sd == pytest.approx(20, abs=4) and got.sq == pytest.approx(800, abs=20)
+    ci = B.bootstrap_ci(rows, ["g"], "id", "x").first()
+    assert (ci.hi - ci.lo) / 2 == pytest.approx(1.96 * 2.0 / 20, rel=0.15) and B.RESAMPLES == 5000
+    same = B.paired_bootstrap(rows.select("g", "id", F.col("x").alias("a"), F.col("x").alias("b")), ["g"], "id", 50).first()
+    assert (same["diff"], same.p, same.dz) == (0, 1, None)
+
+
+def test_auroc_over_many_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(40) / 7, rng.randrange(2)) for _ in range(500)]
+    want = sum((a > b) + (a == b) / 2 for a, y in rows for b, z in rows if y and not z) / (sum(y for _, y in rows) * sum(1 - y for _, y in rows))
+    for parts in (1, 5, 64):
+        assert Q.auroc(spark.createDataFrame(rows, "s double, y int"), [], "s", "y", parts).first()["auroc"] == pytest.approx(want)
+
+
+def test_items_are_located_in_every_document(spark):
+    texts = {1: "the quick brown fox jumps over it", 2: "xthe quick brown foxy", 3: None, 4: "", 5: "a  b", 6: "no quick"}
+    items = {1: "the quick brown fox", 2: "quick", 3: "brown fox", 4: "a  b", 5: "fox jumps over", 6: "missing words in all of them", 7: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.item_id, r.doc_id, r.at) for r in S.located(spark.createDataFrame(list(items.items()), "item_id long, text string"), docs).collect()}
+    assert got == {(i, d, t.index(x) + 1) for i, x in items.items() if x for d, t in texts.items() if t and x in t}
+
+
+def test_candidates_without_losses(spark):
+    docs = spark.createDataFrame([(10**12 + 7 * i,) for i in range(60)], "doc_id long")
+    asked = spark.createDataFrame([(1, 10**12), (2, None)], "question_id long, gold_doc long")
+    got = S.candidates(asked, docs, 49).collect()
+    assert len(got) == len(set(got)) == 50 + 49 and (1, 10**12) in got
+    assert S.candidates(asked, docs, 500).count() == 60 + 60
+
+
+def test_planted_defects(spark):
+    cols = "configuration string, question_id long, in_top_20 boolean, in_top_5 boolean, coverage double, mrr double, ceiling double"
+    rows = [("a", 1, False, True, 0.5, 0.0, 1.0), ("a", 2, True, False, 0.5, 0.1, 1.0), ("a", 3, True, True, 1.2, 1.0, 1.0), ("a", 4, False, False, 0.0, 0.5, 1.0), ("a", 5, True, True, 0.9, 1.0, 0.8)]
+    traces = spark.createDataFrame(rows, cols)
+    assert P.trace_defects(traces).first().asDict() == {"in_5_not_20": 1, "covered_not_in_5": 1, "coverage_range": 1, "mrr_not_in_20": 1}
+    assert [r.question_id for r in P.above_ceiling(traces).orderBy("question_id").collect()] == [3, 5]
+    other = traces.withColumn("coverage", F.when(F.col("question_id") == 2, 0.4).otherwise(F.col("coverage"))).where("question_id <> 4")
+    assert {r.question_id for r in P.identity_defects({"a": traces, "b": other}).collect()} == {2, 4}
+
+
+def test_lost_reach_is_counted_against_the_centre(spark):
+    rows = [("c", 1, "R", "OK"), ("c", 2, "R", "S4"), ("c", 3, "S2", "S2"), ("x", 1, "S3", "S3"), ("x", 2, "S2", "S2"), ("x", 3, "R", "S4")]
+    table = spark.createDataFrame([(c, q, s, False, o == "OK", o) for c, q, s, o in rows], "configuration string, question_id long, stage string, abstained boolean, correct boolean, outcome string")
+    got = {r.configuration: (r.lost_reach, r.lost_reach_s4) for r in P.outcome_summary(table, "c").collect()}
+    assert got == {"c": (0, 0), "x": (2, 1)}
+
+
+def test_best_answer_of_several_counts(spark):
+    answers = spark.createDataFrame([("c", 1, 0.1, False), ("c", 1, 0.9, True), ("c", 2, None, None)], "configuration string, question_id long, token_f1 double, abstained boolean")
+    stages = spark.createDataFrame([("c", 1, "R"), ("c", 2, "R")], "configuration string, question_id long, stage string")
+    assert {r.question_id: r.outcome for r in P.outcomes(answers, stages).collect()} == {1: "OK", 2: "S4"}
+
+
+def test_shift_of_a_score(spark):
+    assert Q.log_odds_shift(0.2, 1.0) == Q.log_odds_shift(None, 0.5) == 0
+    shift = Q.log_odds_shift(0.5, 0.8)
+    assert value(spark, Q.shifted(F.lit(0.5), shift)) == pytest.approx(0.8)
+
+
+def test_a_body_that_declines_is_low(spark):
+    said = "[swg1::chunk_0] [swg1::chunk_1]"
+    assert value(spark, Q.citation_band(F.lit(said), F.lit("swg1"))) == "low"
+
+
+def test_excerpts(spark):
+    rows = spark.createDataFrame([("a b target c d target target e", "Target now")], "text string, query string")
+    assert C.excerpts(rows, 3).first()["excerpt"] == "d target target"
+    assert C.token_excerpts(rows, 2).first()["excerpt"] == "target target"
+    assert value(spark, C.clipped(F.lit("one two-three four"), 3)) == "one two- [...]" and value(spark, C.clipped(F.lit("one two"), 3)) == "one two"
+
+
+def test_prompts_shrink_until_they_fit(spark):
+    rows = spark.createDataFrame([(1, r, f"d::chunk_{r}", "w " * 300) for r in range(3)], "question_id long, rnk int, label string, text string")
+    got = A.prompts(rows, 400).first()
+    assert got["share"] == 106 and got.n_words == 3 * 107
+    assert A.prompts(rows, 100).first()["share"] == 64 and got.prompt.startswith("[d::chunk_0]\nw w")
+
+
+def test_batches_are_halved():
+    calls = []
+
+    def run(prompts):
+        calls.append(len(prompts))
+        if len(prompts) > 2:
+            raise RuntimeError("CUDA out of memory")
+        return [p.upper() for p in prompts]
+
+    assert A.halving(run, list("abcde")) == list("ABCDE") and calls == [5, 2, 3, 1, 2]
+    with pytest.raises(MemoryError):
+        A.halving(lambda p: (_ for _ in ()).throw(MemoryError()), ["x"])
+
+
+def test_encoders(spark):
+    rows = spark.createDataFrame([(1, "bb"), (2, None), (3, "a")], "id long, text string")
+    load = lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])
+    got = {r.id: r.vector for r in M.encode_texts(rows, ["id"], "text", load, "q").collect()}
+    assert got[1] == pytest.approx([3 / 10**0.5, 1 / 10**0.5], abs=1e-6) and got[2] == pytest.approx([0.5**0.5] * 2, abs=1e-6)
+    docs = spark.createDataFrame([(1, "aa bb cc")], "doc_id long, text string")
+    chunks = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 6, 8)], "doc_id long, chunk_no int, char_start int, char_end int")
+    tokens = lambda: lambda texts: [(np.array([[0, 2], [3, 5]]), np.array([[1.0, 0.0], [0.0, 1.0]])) for _ in texts]
+    got = {r.chunk_no: (r.vector, r.beyond) for r in M.late_chunk_embeddings(chunks, docs, tokens).collect()}
+    assert got[0][0] == pytest.approx([0.5**0.5] * 2, abs=1e-6) and got[1][1] and not got[0][1]
+
+
+def test_results_on_disk(spark, tmp_path):
+    rows = spark.createDataFrame([("m", 1, 0.5, float("nan"))], "method string, question_id long, ceiling double, x double")
+    K.save_table(rows, f"{tmp_path}/c.csv")
+    assert S.ceiling_table(spark, f"{tmp_path}/c.csv").first()["ceiling"] == 0.5
+    assert S.result_table(spark, f"{tmp_path}/none.csv") is None and S.result_records(spark, f"{tmp_path}/none.csv").count() == 0
+    assert '"ceiling":0.5' in S.result_records(spark, f"{tmp_path}/c.csv").first()["record"]
+    with pytest.raises(ValueError, match="ceiling"):
+        S.required(rows.drop("ceiling"), {"ceiling"}, "c")
+    with pytest.raises(FileNotFoundError):
+        S.factor_traces(spark, str(tmp_path))
+    K.save_json(rows, f"{tmp_path}/c.json")
+    assert S.result_json(spark, f"{tmp_path}/c.json").first()["x"] is None
+    K.save_markdown(rows, f"{tmp_path}/c.md")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/c.md").collect()][0] == "| method | question_id | ceiling | x |"
+    made = lambda: spark.range(3)
+    assert K.read_through(spark, f"{tmp_path}/t", made).count() == 3 and K.read_through(spark, f"{tmp_path}/t", None).count() == 3
+    assert K.read_through(spark, f"{tmp_path}/t", lambda: spark.range(5), 5).count() == 5
+    with pytest.raises(FileNotFoundError):
+        K.read_through(spark, f"{tmp_path}/u", None)
