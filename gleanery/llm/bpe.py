@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, in_batches, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries that a worker's tables of words and of pieces hold before they start anew. A word that is one piece, as most
@@ -243,7 +243,7 @@ def bpe_round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", pat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(col(key).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_batches(rows).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_encode(docs: DataFrame, text: str = "text", into: str = "ids", path: str | None = None) -> DataFrame:

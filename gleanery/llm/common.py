@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import functools
+import gc
+import inspect
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every contract here, as a regular expression class: space and U+0009 to U+000D.
@@ -17,15 +25,110 @@ SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_written: dict[str, set[str]] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, only a local master gets one, below the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder that ``spark.checkpoint.dir`` names.
+    """Cut the lineage: the rows of ``df`` as a Parquet table in the shared folder, compressed and with statistics.
 
-    Only where that setting is unset (tests, a laptop) a folder below the warehouse serves instead.
+    Tables are deleted by ``released`` as soon as nothing needs them, and the rest when the interpreter ends.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    if not _written:
+        atexit.register(_clear)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables that ``checkpointed`` wrote; no frame that reads them may be used any more."""
+    for df in tables:
+        path, spark = getattr(df, "_table", None), df.sparkSession
+        if path:
+            _delete(spark, path)
+            _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in _written.pop(spark.sparkContext.applicationId, ()):
+            _delete(spark, path)
+
+
+#: Rows and bytes of the batches in which texts go to Python workers; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Python workers batches of bounded size, so that long texts do not add up."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = str(conf.get(name)).removesuffix("b")
+        if not held.isdecimal() or not 0 < int(held) <= most:
+            conf.set(name, str(most))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that is kept for later tasks should hold no more than it uses."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """``run`` on batches, giving memory back when the task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """``run`` on one group, giving memory back behind it; group functions have one or two arguments."""
+    if len(inspect.signature(run).parameters) == 1:
+
+        def one(table: pa.Table) -> pa.Table:
+            try:
+                return run(table)
+            finally:
+                give_back()
+
+        return one
+
+    def two(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return run(key, table)
+        finally:
+            give_back()
+
+    return two
 
 
 def partitions(df: DataFrame) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, released
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,17 +21,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     left = left.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = checkpointed(left)
     while not left.isEmpty():
-        hook = left.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("from"), "to")
-        hook = checkpointed(hook)
+        hook = checkpointed(left.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("from"), "to"))
         while True:  # roots that hook to roots that hook: halve until every path has one step
-            nxt = hook.alias("x").join(hook.select(F.col("from").alias("f2"), F.col("to").alias("t2")), F.col("to") == F.col("f2"), "left")
+            ahead = hook.select(F.col("from").alias("f2"), F.col("to").alias("t2"))
+            nxt = hook.select("from", "to").join(ahead, F.col("to") == F.col("f2"), "left")
             nxt = checkpointed(nxt.select("from", F.coalesce("t2", "to").alias("to"), F.col("t2").isNotNull().alias("moved")))
-            hook = nxt.select("from", "to")
+            released(hook)
+            hook = nxt
             if nxt.where("moved").isEmpty():
                 break
-        trees = checkpointed(trees.join(hook, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root")))
-        end = lambda name: hook.select(F.col("from").alias(f"{name}_from"), F.col("to").alias(f"{name}_to"))  # noqa: B023, E731
-        left = left.join(end("a"), F.col("a") == F.col("a_from"), "left").join(end("b"), F.col("b") == F.col("b_from"), "left")
-        left = left.select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")).where("a <> b")
-        left = checkpointed(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        step = hook.select("from", "to")
+        grown = checkpointed(trees.join(step, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root")))
+        end = lambda name: step.select(F.col("from").alias(f"{name}_from"), F.col("to").alias(f"{name}_to"))  # noqa: B023, E731
+        rest = left.join(end("a"), F.col("a") == F.col("a_from"), "left").join(end("b"), F.col("b") == F.col("b_from"), "left")
+        rest = rest.select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")).where("a <> b")
+        rest = checkpointed(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        released(hook, trees, left)
+        trees, left = grown, rest
+    released(left)
     return trees

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, in_batches, tidy
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.round().astype(np.int64).tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
     rows = docs.select(col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    parts = rows.mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("at", "x"))
+    parts = in_batches(rows).mapInArrow(tidy(run), "lang string, v array<long>").select("lang", F.posexplode("v").alias("at", "x"))
     sums = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v"))
     return {r["lang"]: np.array([x["x"] for x in r["v"]], float) for r in sums.collect()}
 
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(col(key).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return in_batches(rows).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:

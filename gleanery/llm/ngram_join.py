@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_BYTES, Rolling, checkpointed, col, mix, partitions, pieces, utf8
+from .common import SPACE_BYTES, Rolling, checkpointed, col, in_batches, mix, partitions, pieces, tidy, tidy_group, utf8
 from .components import components
 
 WORDS = 5
@@ -115,7 +115,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, text: str = "text", key: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64())], ["doc_id", "n_shingles", "class"])
 
     rows = docs.select(col(key).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return in_batches(rows).mapInArrow(tidy(run), "doc_id long, n_shingles long, class long")
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -168,7 +168,7 @@ def _segments(docs: DataFrame, words: int, text: str, fragments: int) -> DataFra
         if held:
             yield flush()
 
-    return docs.select(col(text).cast("string").alias("text")).mapInArrow(run, "fragment int, classes binary, sizes binary, counts binary, grams binary")
+    return in_batches(docs).select(col(text).cast("string").alias("text")).mapInArrow(tidy(run), "fragment int, classes binary, sizes binary, counts binary, grams binary")
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -268,8 +268,8 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tex
     """
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(col(text).cast("string"))), F.lit(0)).alias("n")).first()["n"]
     fragments = min(65_536, max(partitions(docs), math.ceil(n_bytes / FRAGMENT_BYTES)))
-    shared = _segments(docs, words, text, fragments).groupBy("fragment").applyInArrow(_shared(fragments), "bucket int, fragment int, classes binary, sizes binary, counts binary, grams binary, found binary")
-    active = checkpointed(shared.groupBy("bucket").applyInArrow(_active(percent), _ACTIVE_SQL))
+    shared = _segments(docs, words, text, fragments).groupBy("fragment").applyInArrow(tidy_group(_shared(fragments)), "bucket int, fragment int, classes binary, sizes binary, counts binary, grams binary, found binary")
+    active = checkpointed(shared.groupBy("bucket").applyInArrow(tidy_group(_active(percent)), _ACTIVE_SQL))
 
     sketch = active.select("class", "own", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(SKETCH - 1)).alias("k"), F.col("keys").alias("v"))).alias("at"))
     centre = sketch.groupBy("at").agg(F.min(F.struct("own", "class")).alias("c"), F.count(F.lit(1)).alias("many")).where("many > 1").select("at", F.col("c.class").alias("b"))
@@ -329,7 +329,7 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*batch.schema.names[:-1], "_class_of"])
 
     marked = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), col(key).cast("long").alias("_key"), col(text).cast("string").alias("_text"))
-    marked = marked.mapInArrow(classes, T.StructType([*marked.schema.fields[:-1], T.StructField("_class_of", T.LongType())]))
+    marked = in_batches(marked).mapInArrow(tidy(classes), T.StructType([*marked.schema.fields[:-1], T.StructField("_class_of", T.LongType())]))
     empty = marked.where("_class_of is null")
     kept = marked.join(stays, F.col("_class_of").eqNullSafe(F.col("_class")) & F.col("_key").eqNullSafe(F.col("_id")), "left_semi").where("_class_of is not null")
     one = F.row_number().over(Window.partitionBy("_class_of", "_key").orderBy("_key"))
