@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, col
+from .common import checkpointed, col, in_batches, released, tidy
 from .language_id import held_out
 
 #: Words that vote without any label.
@@ -34,8 +35,10 @@ LEXICON = (
     "asshole", "bastard", "bitch", "clown", "cretin", "disgusting", "dumb", "fool", "hate", "idiot", "imbecile", "jerk",
     "kill", "loser", "moron", "pathetic", "scum", "shit", "stupid", "trash", "ugly", "vermin", "worthless",
 )
-#: Labelled rows that suggest voters, and training rows that the classifier is fitted on.
+#: Labelled rows that suggest voters, and training rows that the classifier is fitted on; an argument of the operators.
 SAMPLE = 20_000
+#: Sampled toxic texts that a word or beginning must occur in to be a candidate.
+SUPPORT = 5
 #: Lengths of word beginnings that can be features.
 HEADS = (4, 5, 6, 7, 8)
 VOTERS = 256
@@ -66,7 +69,33 @@ def _counted(rows: DataFrame, wanted: list[str] | None) -> DataFrame:
                 n.update(found if among is None else found & among)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
 
-    return rows.mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return in_batches(rows).mapInArrow(tidy(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def sampled(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """``size`` rows, or all if there are fewer, by a hash of the key.
+
+    A share of the hashes that holds some more than ``size`` rows is cut out first, so that a task offers its part of
+    the sample and not ``size`` rows of its own.
+    """
+    n = rows.count()
+    share = min(1.0, (size + 8 * size**0.5) / max(1, n))
+    picked = rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return picked.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)
+
+
+class Model:
+    """What was learned: the vocabulary, and the classifier's weights and intercept."""
+
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, bias: float):
+        self.vocabulary, self.weights, self.bias = vocabulary, weights, bias
+
+    def score(self, found: list[list[int]]) -> np.ndarray:
+        """Scores of texts with these features."""
+        at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        of = np.array([i for f in found for i in f], int)
+        s = self.bias + np.bincount(at, self.weights[of], len(found))
+        return 1 / (1 + np.exp(-np.clip(s, -35, 35)))
 
 
 class Vocabulary:
@@ -99,7 +128,7 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     """
     base = (n_toxic + 1) / (n_toxic + n_clean + 2)
     odds = {f: np.log((t + 0.5) / (n_toxic + 1)) - np.log((clean.get(f, 0) + 0.5) / (n_clean + 1)) for f, t in toxic.items()}
-    sure = [f for f, t in toxic.items() if t >= 5 and (t + base) / (t + clean.get(f, 0) + 1) >= 0.75]
+    sure = [f for f, t in toxic.items() if t >= SUPPORT and (t + base) / (t + clean.get(f, 0) + 1) >= 0.75]
     voters: list[str] = [w for w in LEXICON if clean.get(w, 0) <= 3 * toxic.get(w, 0) + 1]
     has = set(voters)
     for f in sorted(sure, key=lambda f: (-toxic[f], len(f), f)):
@@ -109,7 +138,7 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
         if f not in has and not any(stem[:k] + "*" in has for k in HEADS if k < len(stem) or (k == len(stem) and not f.endswith("*"))):
             voters.append(f)
             has.add(f)
-    strength = sorted((f for f in odds if f not in has and toxic[f] >= 5), key=lambda f: (-abs(odds[f]) * toxic[f] ** 0.5, f))
+    strength = sorted((f for f in odds if f not in has and toxic[f] >= SUPPORT), key=lambda f: (-abs(odds[f]) * toxic[f] ** 0.5, f))
     return Vocabulary(voters + strength[: FEATURES - len(voters)], len(voters))
 
 
@@ -190,20 +219,14 @@ def logistic(rows: list[list[int]], target: np.ndarray, size: int, l2: float = 1
     return w, b
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted (score >= 0.5) for each row of ``docs``.
-
-    Null and empty texts get the score of a text without any feature. Labels that are null, or other than 0 and 1, teach
-    nothing; of several labels of a key the largest counts. Without labels the lexicon alone votes. A row with a null key
-    is in the held-out fold. Repeated rows are scored alike; an empty table gives no rows.
-    """
+def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> tuple[Model, DataFrame]:
+    """The model, and doc_id and found, the features of each row of ``docs``."""
     given = labels.select(col(key).cast("long").alias("l_id"), col(label).cast("int").alias("y")).where("l_id is not null and y in (0, 1)")
     given = given.where(~held_out(F.col("l_id"))).groupBy("l_id").agg(F.max("y").alias("y"))
     rows = docs.select(col(key).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
-    sample = given.orderBy(F.xxhash64("l_id", F.lit(11)), "l_id").limit(SAMPLE)
-    seen = checkpointed(rows.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("text", "y"))
+    seen = checkpointed(rows.join(F.broadcast(sampled(given, "l_id", sample, 11)), F.col("doc_id") == F.col("l_id")).select("text", "y"))
     n = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found = _counted(seen.where("y = 1").select("text"), None).where("n >= 5").orderBy(F.desc("n"), "feature").limit(50_000).collect()
+    found = _counted(seen.where("y = 1").select("text"), None).where(F.col("n") >= SUPPORT).collect()
     toxic = {r["feature"]: r["n"] for r in found}
     clean = {r["feature"]: r["n"] for r in _counted(seen.where("y = 0").select("text"), [*toxic, *LEXICON]).collect()}
     vocabulary = choose(toxic, clean, n.get(1, 0), n.get(0, 0))
@@ -213,7 +236,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
             got = [vocabulary.found(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "found"])
 
-    noted = checkpointed(rows.mapInArrow(look, "doc_id long, found array<int>"))
+    noted = checkpointed(in_batches(rows).mapInArrow(tidy(look), "doc_id long, found array<int>"))
     voters = vocabulary.voters
     votes = noted.select("doc_id", F.filter("found", lambda i: i < voters).alias("v")).join(given, F.col("doc_id") == F.col("l_id"), "left").select("doc_id", "y", "v")
 
@@ -248,29 +271,47 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
             anchors[number[tuple(r["pattern"])], r["y"]] += r["count"]
     share, prior = posteriors(np.array(patterns, int).reshape(-1, BLOCKS), free, anchors)
 
-    learn = noted.where("doc_id is not null").where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").limit(SAMPLE).collect()
+    learn = sampled(noted.where("doc_id is not null").where(~held_out(F.col("doc_id"))), "doc_id", sample, 12).collect()
     target = []
     for r in learn:
         c = np.bincount([block[i] for i in r["found"] if i < voters], minlength=BLOCKS)[:BLOCKS] if r["found"] else np.zeros(BLOCKS, int)
         target.append(share[number[tuple(int(x) for x in np.minimum(c, VOTES))]])
     weights, bias = logistic([list(r["found"]) for r in learn], np.array(target), len(vocabulary.names))
+    return Model(vocabulary, weights, bias), noted
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score (0 to 1) and predicted (score >= 0.5) for each row of ``docs``.
+
+    Null and empty texts get the score of a text without any feature. Labels that are null, or other than 0 and 1, teach
+    nothing; of several labels of a key the largest counts. Without labels the lexicon alone votes. A row with a null key
+    is in the held-out fold. Repeated rows are scored alike; an empty table gives no rows. ``sample``: how many labelled
+    rows suggest voters, and how many training rows the classifier is fitted on, at most.
+    """
+    model, noted = fitted(docs, labels, text, key, label, sample)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(1)
-            at = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(found.offsets)))
-            s = bias + np.bincount(at, weights[np.asarray(found.flatten())], batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
-    scored = noted.mapInArrow(score, "doc_id long, score double")
+    scored = noted.mapInArrow(tidy(score), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns.
 
-    Rows of one key are judged by their own texts: where a key repeats, all of its rows go if the highest of their scores
-    says so. Rows with a null key are kept: nothing can be said of them by key.
+    Each row is judged by its own text, whatever its key: rows with a null or repeated key too. Null and empty texts are
+    judged like a text without any feature.
     """
-    scores = toxicity_scores(docs, labels, text, key, label).where("predicted = 1").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(scores, col(key) == F.col("_rejected"), "left_anti")
+    model, noted = fitted(docs, labels, text, key, label, sample)
+    released(noted)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.score([model.vocabulary.found(t or "") for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["_row", "_score"])
+
+    marked = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), col(text).cast("string").alias("_text"))
+    marked = in_batches(marked).mapInArrow(tidy(judge), T.StructType([marked.schema.fields[0], T.StructField("_score", T.DoubleType())]))
+    return marked.where("_score < 0.5").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
