@@ -30,23 +30,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col, free_name, words
+from .common import checkpointed, col, free_name, partitions, words
 
 WEIGHTS = (5, 2, 1)
 #: Documents with more than this share of their source's words are drawn one by one.
 LARGE = 1000
+#: Words of one output shard where the mix does not set their number.
+SHARD_WORDS = 64_000_000
 #: Rows of one bucket of the running sums.
 BUCKET_ROWS = 20_000
 
 
 @dataclass(frozen=True)
 class Mix:
-    """What a mix asks for. ``volume``: words of the mix as a share of all words; ``repeat``: most uses of a document."""
+    """What a mix asks for. ``volume``: words of the mix as a share of all words; ``repeat``: most uses of a document;
+    ``shards``: by default as many as hold ``SHARD_WORDS`` words each."""
 
     weights: Sequence[float] = WEIGHTS
     volume: float = 1.5
     repeat: int = 2
-    shards: int = 16
+    shards: int | None = None
     block_words: int = 4096
     seed: int = 42
 
@@ -70,6 +73,18 @@ def targets(sizes: Sequence[int], mix: Mix = Mix()) -> list[float]:
     return out
 
 
+def hypergeometric(rng: np.random.Generator, have: np.ndarray, take: int) -> np.ndarray:
+    """How many of ``take`` blocks come from each source; beyond numpy's range, blocks are drawn in groups of equal size."""
+    unit = 1 + int(have.sum()) // 900_000_000
+    if unit == 1:
+        return rng.multivariate_hypergeometric(have, take, method="marginals")
+    whole = have // unit
+    out = rng.multivariate_hypergeometric(whole, min(take // unit, int(whole.sum())), method="marginals") * unit
+    for i in range(len(have)):  # what groups leave over: fewer blocks than a group for each source
+        out[i] += min(int(have[i] - out[i]), take - int(out.sum()))
+    return out
+
+
 def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Blocks of each source in each shard (shards x sources), from the quotas of all sources."""
     out = np.zeros((shards, len(quotas)), np.int64)
@@ -80,7 +95,7 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             return
         mid, total = (lo + hi) // 2, int(have.sum())
         rng = np.random.Generator(np.random.Philox(key=[seed, node]))
-        left = rng.multivariate_hypergeometric(have, total * (mid - lo) // (hi - lo), method="marginals")
+        left = hypergeometric(rng, have, total * (mid - lo) // (hi - lo))
         part(2 * node, lo, mid, left)
         part(2 * node + 1, mid, hi, have - left)
 
@@ -165,7 +180,8 @@ def draws(docs: DataFrame, mix: Mix = Mix(), text: str = "text", key: str = "doc
     quota = np.zeros(len(rows), np.int64)
     for r in last:
         quota[r["nr"]] = 0 if r["last"] is None else r["last"] + 1
-    ends = np.cumsum(split_tree(quota, mix.shards, mix.seed), axis=0).T if len(rows) else []
+    shards = mix.shards or max(1, math.ceil(int(quota.sum()) * mix.block_words / SHARD_WORDS))
+    ends = np.cumsum(split_tree(quota, shards, mix.seed), axis=0).T if len(rows) else []
     leaf = []
     for i, q in enumerate(quota):
         rng = np.random.Generator(np.random.Philox(key=[mix.seed, (1 << 32) + i]))
@@ -180,7 +196,8 @@ def draws(docs: DataFrame, mix: Mix = Mix(), text: str = "text", key: str = "doc
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix: rows of ``docs`` as often as drawn, with all their columns, and ``shard`` and ``place`` in it.
 
-    Rows come partitioned by shard and, within it, in their shuffled order. Rows of ``docs`` that are the same in key,
+    Rows come in ranges of (shard, place): a shard of any size is spread over as many partitions as its rows fill, and
+    read in order it is in its shuffled order. Rows of ``docs`` that are the same in key,
     source and text are drawn as one document each, and any of them may stand for the others.
     """
     drawn = draws(docs, mix, text, key, source).where("copies > 0")
@@ -191,7 +208,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), text: str = "text", key: st
     out = keyed.join(drawn, (F.col(hashed) == F.col("d_hash")) & F.col(at).eqNullSafe(F.col("d_id")))
     shard, place = free_name(docs, "shard"), free_name(docs, "place")
     out = out.select(*[F.col(row).getField(c).alias(c) for c in docs.columns], F.col("d_shard").alias(shard), F.xxhash64(F.lit(mix.seed + 1), "d_hash", "d_id").alias(place))
-    return out.repartition(mix.shards, shard).sortWithinPartitions(shard, place)
+    return out.repartitionByRange(partitions(docs), shard, place).sortWithinPartitions(shard, place)
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
