@@ -31,10 +31,14 @@ def seeded(*unit: Column) -> Column:
 
 
 def draws(rows: DataFrame, unit: str, n_boot: int = RESAMPLES, into: str = "w") -> DataFrame:
-    """``rows`` once for each resample ``b`` that counts them, with their weight there; ``unit`` says what is drawn together."""
+    """``rows`` once for each resample ``b`` that counts them, with their weight there; ``unit`` says what is drawn together.
+
+    Rows are dealt out first: few rows make many, and adaptive execution would leave few rows in one task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     b = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda k: F.struct(k.alias("b"), (hashed(k, F.lit("t")) % (MODULUS - 1) + 1).alias("t"), (hashed(k, F.lit("r")) % MODULUS).alias("r"))))
     every = F.broadcast(rows.sparkSession.range(1).select(b.alias("k")).select("k.*"))
-    both = rows.withColumn("_s", seeded(F.col(unit))).join(every, F.lit(True))
+    both = rows.withColumn("_s", seeded(F.col(unit))).repartition(parts, "_s").join(every, F.lit(True))
     u = (F.col("_s") * F.col("t") + F.col("r")) % MODULUS
     weight = sum(((u >= s).cast("int") for s in poisson_steps()), F.lit(0))
     return both.withColumn(into, weight).where(F.col(into) > 0).drop("_s", "t", "r")
