@@ -15,13 +15,13 @@ from gleanery.llm.components import components
 from gleanery.llm.exact_dedup import exact_dedup, exact_groups
 from gleanery.llm.language_id import identify_languages
 from gleanery.llm.line_dedup import _signed, dedup_lines, line_classes
-from gleanery.llm.mixing import Mix, draws, mix_documents, targets
+from gleanery.llm.mixing import Mix, draws, hypergeometric, mix_documents, split_tree, targets
 from gleanery.llm.ngram_join import near_duplicates, without_near_duplicates
 from gleanery.llm.suffix_array import permuted_prefixes, suffix_array
-from gleanery.llm.suffix_dedup import remove_repeats
+from gleanery.llm.suffix_dedup import parted, remove_repeats
 from gleanery.llm.token_counts import length_histogram, length_quantiles, limit_table, token_lengths, truncated_totals
 from gleanery.llm.topk import top_k
-from gleanery.llm.toxicity import toxicity_scores
+from gleanery.llm.toxicity import toxicity_scores, without_toxic
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash long, row string, `Size` int"
 
@@ -138,8 +138,9 @@ def test_remove_repeats(docs, empty):
                 cut[k : k + 400] = b"\1" * 400
         left = bytes(x for x, c in zip(b, cut) if not c)
         want.append((str(i), len(b), sum(cut), len(re.findall(b"\1+", bytes(cut))), hashlib.sha256(left).hexdigest()))
-    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()]
-    assert sorted(got) == sorted(want)
+    for hot in (1000, 1):
+        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, hot=hot).collect()]
+        assert sorted(got) == sorted(want)
     assert remove_repeats(empty).count() == 0
 
 
@@ -178,17 +179,18 @@ def test_mixing(docs, empty, spark):
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in v], "c") for i, v in enumerate(rng.normal(size=(300, 16)))]
-    rows += [(300, None, "c"), (301, [1.0, None], "c"), (302, [float("nan")] * 16, "c"), (303, rows[0][1], "c"), (304, [], "c")]
+    rows += [(300, None, "c"), (301, [1.0, None], "c"), (302, [float("nan")] * 16, "c"), (303, rows[0][1], "c"), (304, [], "c"), (305, [float("inf")] * 16, "c")]
+    rows += [(306, [4e7] * 4, "c"), (320, [-3e8, 1.0, 2.5e6], "c")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    whole = {i: np.floor(64 * np.array(v)) for i, v, _ in rows if i not in (300, 301, 302)}
+    whole = {i: np.floor(64 * np.array(v)) for i, v, _ in rows if i not in (300, 301, 302, 305)}
     got = {}
     for r in top_k(table, table.where("vec_id % 20 = 0"), 7).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert set(got) == set(range(0, 300, 20))
-    pad = lambda v: np.pad(v, (0, 16 - len(v)))
+    assert set(got) == {*range(0, 300, 20), 320}
     for q, have in got.items():
-        best = sorted((-int(pad(whole[q]) @ pad(v)), i) for i, v in whole.items() if i != q)[:7]
+        best = sorted((-sum(int(a) * int(b) for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:7]
         assert sorted(have) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert top_k(table.limit(0), table).count() == top_k(table, table.limit(0)).count() == 0
 
 
 def test_token_counts(docs, empty):
@@ -299,3 +301,89 @@ def test_line_dedup_within_large_buckets(spark):
     assert sum(meet) >= 97
     got = line_roots(spark, lines)
     assert all(got[i] == i - i % 2 or (got[i] == i and not meet[i // 2]) for i in range(len(lines)))
+
+
+def removed_by_brute_force(texts, length=400):
+    seen = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
+    out = []
+    for b in texts:
+        cut = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                cut[k : k + length] = b"\1" * length
+        out.append(sum(cut))
+    return out
+
+
+def test_a_passage_in_many_contexts_is_parted(spark):
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    short, long = letters(380), letters(520)  # the first is no repeat by itself, the second is
+    texts = [letters(200) + (short if i % 2 else long) + letters(150) for i in range(24)]
+    texts += [texts[1][:450] + letters(90), letters(30) + texts[2][100:], "y" * 700 + letters(50), letters(10) + "y" * 450]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = removed_by_brute_force([t.encode() for t in texts])
+    for hot in (3, 1000):
+        got = {r.doc_id: r.n_removed for r in remove_repeats(rows, hot=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert parted(5, 10, 0, 8) == [(0, 2, 4, 8), (2, 8, 0, 3)] and parted(3, 2, 0, 8) == [(0, 2, 0, 3)]
+
+
+def test_splitting_tree_keeps_quotas():
+    quotas = np.array([1000, 7, 0, 333])
+    got = split_tree(quotas, 13, 5)
+    assert (got.sum(axis=0) == quotas).all() and (got >= 0).all()
+    sizes = got.sum(axis=1)
+    assert sizes.max() - sizes.min() <= 2 and (got == split_tree(quotas, 13, 5)).all()
+    share = np.mean([split_tree(quotas, 2, seed)[0, 0] for seed in range(300)])
+    assert share == pytest.approx(500, abs=3)
+    rng = np.random.Generator(np.random.Philox(3))
+    have = np.array([4 * 10**9, 10**9, 3])
+    for take in (0, 10**9, int(have.sum())):
+        part = hypergeometric(rng, have, take)
+        assert part.sum() == take and (part <= have).all() and (part >= 0).all()
+
+
+def test_mix_is_its_draws(spark):
+    rows = [(i, words(1 + 5 * (i % 9), i), f"s{i % 3}") for i in range(300)]
+    rows[7] = (7, words(3000, 7), "s1")  # longer than many blocks
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = Mix(shards=5, block_words=16)
+    drawn = {r.doc_id: r for r in draws(docs, mix).collect()}
+    out = mix_documents(docs, mix).collect()
+    assert Counter(r.doc_id for r in out) == Counter({i: r.copies for i, r in drawn.items() if r.copies})
+    assert Counter((r.doc_id, r.shard) for r in out) == Counter((i, s) for i, r in drawn.items() for s in r.shards)
+    by_shard = Counter()
+    for r in out:
+        by_shard[r.shard] += len(r.text.split())
+    assert set(by_shard) <= set(range(5))
+    for s in ("s0", "s1", "s2"):
+        of = [r for r in drawn.values() if r.source == s]
+        assert abs(sum(r.copies * r["size"] for r in of) - of[0].target) <= max(r["size"] for r in of)
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    rng = random.Random(8)
+    bad = lambda i: words(12, i) + " grumpflig grumpfung " + words(12, i + 1)
+    rows = [(i, bad(i) if i % 5 == 0 else words(24, i), "c") for i in range(400)]
+    rows += [(None, bad(1000), "c"), (None, words(24, 1001), "c"), (1, bad(1002), "c"), (None, None, None), (900, "", "c")]
+    truth = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    table = spark.createDataFrame(rows, "doc_id long, text string, `_Row` string").repartition(3)
+    kept = sorted(without_toxic(table, truth).collect(), key=str)
+    assert kept == sorted((r for r in table.collect() if "grumpf" not in (r.text or "")), key=str) and rng
+
+
+def test_languages_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    pairs = [(a.score > b.score) + (a.score == b.score) / 2 for a in rows for b in rows if a.toxic == 1 and b.toxic == 0]
+    assert len(pairs) > 5000 and sum(pairs) >= 0.85 * len(pairs)
+    clean = [r for r in rows if r.toxic == 0]
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
