@@ -213,7 +213,7 @@ def _draws(rows: str, unit: str, n: int) -> str:
 
     steps = [int(_P * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(9)]
     w = " + ".join(f"(u >= {x})::int" for x in steps)
-    return f"""(select * from (select *, {w} as w from (select x.*, b, (s * t + r) % {_P} as u from (select *, {_hash(unit)} % {_P} as s from ({rows})) x,
+    return f"""(select * from (select *, {w} as w from (select x.*, b, (seed * t + r) % {_P} as u from (select *, {_hash(unit)} % {_P} as seed from ({rows})) x,
         (select b, {_hash("b", "'t'")} % {_P - 1} + 1 as t, {_hash("b", "'r'")} % {_P} as r from range(0, {n}) g(b)))) where w > 0)"""
 
 
@@ -403,9 +403,9 @@ _EFFECT_SUMS = """select factor, metric, n as n_ids, k as n_levels, g as grand_m
 _TAIL_P = "case n_levels when 5 then pow(y, h) * (1 + h * (1 - y)) else pow(y, h) end"
 _EFFECT_P = f"(select *, {_TAIL_P} as p from (select *, ((n_levels - 1) * (n_ids - 1)) / 2.0::double as h, ((n_levels - 1) * (n_ids - 1)) / (((n_levels - 1) * (n_ids - 1)) + (n_levels - 1) * f) as y from ({_EFFECT_SUMS})))"
 _RANGE = f"""(select factor, metric, quantile_cont(d, 0.025) as range_lo, quantile_cont(d, 0.975) as range_hi from (select factor, metric, b, max(mean) - min(mean) as d from ({_boot('select * from facfull', 'factor, metric, level')}) group by factor, metric, b) group by factor, metric)"""
-_MATCHED = _paired("""select factor, metric, level as best, a.id, a.x - b.x as x from facfull a join facfull b using (factor, metric, id)
-    semi join (select factor, metric, arg_max(level, (m, level)) as level from (select factor, metric, level, avg(x) as m from facfull where level not in ('view', 'part0') group by all) group by all) t using (factor, metric, level)
-    where b.level in ('view', 'part0')""", "factor, metric, best")
+_MATCHED = _paired("""select factor, metric, best, id, a.x - b.x as x from (select factor, metric, level as best, id, x from facfull semi join
+    (select factor, metric, arg_max(level, (m, level)) as level from (select factor, metric, level, avg(x) as m from facfull where level not in ('view', 'part0') group by all) group by all) t using (factor, metric, level)) a
+    join (select factor, metric, id, x from facfull where level in ('view', 'part0')) b using (factor, metric, id)""", "factor, metric, best")
 _BASE["effects"] = f"""select e.* exclude (s_, h, y), p_holm <= 0.05 as significant, case when metric = 'largest' then worst else e.best end as best_for_metric, range_lo, range_hi, m.best as matched_best, m.diff as matched_diff, m.lo as matched_lo, m.hi as matched_hi, m.p as matched_p, m.dz as matched_dz
     from {_holm(_EFFECT_P, 'metric', 'factor')} e join {_RANGE} using (factor, metric) join {_MATCHED} m using (factor, metric)"""
 _BASE["ranking"] = """select factor, avg(std_range) as mean_statistic, quantile_cont(std_range, 0.5) as median_statistic, avg(eta2) as mean_eta2, avg(range) as mean_range, avg(r) as mean_rank, count(*) filter (r = 1) as metrics_won, count(*) as n_metrics
