@@ -317,11 +317,10 @@ def high_minus_low(tested: DataFrame, by: list[str], n_boot: int = CITATION_RESA
     rows = tested.where("answerable")
     sums = lambda b: [F.count_if(F.col("band") == b).alias(f"n_{b}"), F.count_if((F.col("band") == b) & F.col("correct")).alias(f"c_{b}")]
     per = rows.groupBy(*by, "question_id").agg(*sums("high"), *sums("low"))
-    share = lambda b, w: F.sum(w * F.col(f"c_{b}")) / F.sum(w * F.col(f"n_{b}"))
-    one = F.lit(1)
-    base = per.groupBy(*by).agg(share("high", one).alias("high"), share("low", one).alias("low"))
+    share = lambda b, w: F.try_divide(F.sum(w * F.col(f"c_{b}")), F.sum(w * F.col(f"n_{b}")))  # noqa: E731  (null without answers)
+    base = per.groupBy(*by).agg(share("high", F.lit(1)).alias("high"), share("low", F.lit(1)).alias("low"))
     drawn = draws(per, "question_id", n_boot)
-    diffs = drawn.groupBy(*by, "b").agg((F.try_divide(F.sum(F.col("w") * F.col("c_high")), F.sum(F.col("w") * F.col("n_high"))) - F.try_divide(F.sum(F.col("w") * F.col("c_low")), F.sum(F.col("w") * F.col("n_low")))).alias("d")).where("d is not null")
+    diffs = drawn.groupBy(*by, "b").agg((share("high", F.col("w")) - share("low", F.col("w"))).alias("d")).where("d is not null")
     ci = diffs.groupBy(*by).agg(*interval("d"))
     out = base.join(ci, by, "left") if by else base.join(ci, F.lit(True), "left")
     return out.select(*by, "high", "low", (F.col("high") - F.col("low")).alias("diff"), "lo", "hi")

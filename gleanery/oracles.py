@@ -433,7 +433,7 @@ _BAND_SUMS = "select {by}question_id, count(*) filter (band = 'high') as nh, cou
 
 def _high_low(by: str) -> str:
     g, rows = (f"{by}, " if by else ""), _BAND_SUMS.format(by=f"{by}, " if by else "")
-    base = f"(select {g}sum(ch) / sum(nh)::double as high, sum(cl) / sum(nl)::double as low from ({rows}) {'group by ' + by if by else ''})"
+    base = f"(select {g}sum(ch) / nullif(sum(nh), 0)::double as high, sum(cl) / nullif(sum(nl), 0)::double as low from ({rows}) {'group by ' + by if by else ''})"
     diffs = f"(select {g}b, sum(w * ch) / nullif(sum(w * nh), 0)::double - sum(w * cl) / nullif(sum(w * nl), 0)::double as d from {_draws(rows, 'question_id', 1000)} group by {g}b)"
     ci = f"(select {g}quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi from {diffs} where d is not null {'group by ' + by if by else ''})"
     return f"select {g}{_SIX('high', 'low', 'lo', 'hi')}, round(high - low, 6) as diff from {base} left join {ci} {f'using ({by})' if by else 'on true'}"

@@ -62,6 +62,7 @@ class RetrievalRun:
     def __init__(self, spark: SparkSession, folder: str, size: int = SIZE, overlap: float = OVERLAP, method: str = CENTRE_METHOD):
         self.spark, self.folder, self.size, self.overlap, self.method = spark, folder, size, overlap, method
         self._traces: dict[str, DataFrame] = {}
+        self._kept: dict[tuple, DataFrame] = {}
         self._others: dict[str, RetrievalRun] = {method: self}
 
     @cached_property
@@ -190,16 +191,22 @@ class RetrievalRun:
         return rows.select(F.lit(arm).alias("configuration"), "question_id", "split", "answerable", "question", F.when(declines, A.ABSTAIN).otherwise(said).alias("answer"), "context", "segment_ids", "gold")
 
     def generated(self, version: int = 2, arms: tuple[str, ...] = ARMS) -> DataFrame:
-        """Scored answers at several arms."""
-        out = None
-        for arm in arms:
-            rows = self.answers(arm, version)
-            out = rows if out is None else out.unionByName(rows)
-        return materialised(A.scored_answers(out))
+        """Scored answers at several arms, kept."""
+        name = ("generated", version, arms)
+        if name not in self._kept:
+            out = None
+            for arm in arms:
+                rows = self.answers(arm, version)
+                out = rows if out is None else out.unionByName(rows)
+            self._kept[name] = materialised(A.scored_answers(out))
+        return self._kept[name]
 
     def outcomes(self, version: int = 2, arms: tuple[str, ...] = ARMS) -> DataFrame:
-        stages = P.attributed(self.configurations(arms)).select("configuration", "question_id", "stage")
-        return materialised(P.outcomes(self.generated(version, arms).where("answerable"), stages))
+        name = ("outcomes", version, arms)
+        if name not in self._kept:
+            stages = P.attributed(self.configurations(arms)).select("configuration", "question_id", "stage")
+            self._kept[name] = materialised(P.outcomes(self.generated(version, arms).where("answerable"), stages))
+        return self._kept[name]
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
