@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from functools import lru_cache
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gleanery import queries
 from gleanery.oracles import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,6 +19,15 @@ def test_names_agree():
     assert set(CORE) <= set(entry.queries())
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_run():
+    """Queries of one folder share a run here, so that what they have in common is computed once."""
+    original = queries.RetrievalRun
+    queries.RetrievalRun = lru_cache(None)(original)
+    yield
+    queries.RetrievalRun = original
+
+
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
