@@ -4,7 +4,8 @@
 between leftmost-smaller suffixes are sorted by inducing and named, the string of names is sorted recursively, and the
 whole array is induced from that order in linear time. Over small alphabets (bytes) the scans run bucket by bucket on
 numpy arrays: whatever a bucket induces into later buckets goes there at once, in order, and only runs of the bucket's own
-character need another round. Strings of names have many small buckets; there the scans are plain loops.
+character need another round. Strings of names have many small buckets; there the scans are plain loops, and the substrings
+are sorted by their characters and types, a place at a time.
 """
 
 from __future__ import annotations
@@ -175,16 +176,37 @@ def _plain(text: np.ndarray, size: int) -> np.ndarray:
                 tail[c] = h
         return out
 
-    order = np.array(induce(leftmost.tolist()))
-    is_leftmost = np.zeros(n, bool)
-    is_leftmost[leftmost] = True
-    order = order[is_leftmost[order]]
-    names, distinct = _names(text, leftmost, order)
-    if distinct < len(leftmost):
-        order = leftmost[_plain(names, distinct)]
+    names, distinct = _ranked(2 * text + types, leftmost)
+    order = leftmost[_plain(names, distinct) if distinct < len(leftmost) else np.argsort(names)]
     return np.array(induce(order.tolist()))
 
 
+def _ranked(key: np.ndarray, leftmost: np.ndarray) -> tuple[np.ndarray, int]:
+    """Names of leftmost-smaller substrings like ``_names``, from their characters and types (``key``), one place a round.
+
+    With types, a substring is never a proper beginning of another. A rank is the number of smaller substrings; only
+    substrings that still share a rank, and have not ended, are compared at the next place.
+    """
+    n, top = len(key), int(key.max()) + 2
+    length = np.diff(np.append(leftmost, n - 1)) + 1
+    rank, active, k = np.zeros(len(leftmost), np.int64), np.arange(len(leftmost)), 0
+    while len(active):
+        here = np.where(k < length[active], key[np.minimum(leftmost[active] + k, n - 1)] + 1, 0)
+        both = rank[active] * top + here
+        order = np.argsort(both, kind="stable")
+        active, both, here = active[order], both[order], here[order]
+        old, at = rank[active], np.arange(len(active))
+        opens = np.append(True, both[1:] != both[:-1])
+        first = np.maximum.accumulate(np.where(opens, at, 0))
+        base = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), at, 0))
+        rank[active] = old + first - base
+        alone = opens & np.append(opens[1:], True)
+        active = active[~alone & (here > 0)]
+        k += 1
+    number, names = np.unique(rank, return_inverse=True)
+    return names, len(number)
+
+
 def permuted_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
     """For each position, how long a prefix its suffix shares with the one before it in the array.
 
