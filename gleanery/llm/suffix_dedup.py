@@ -2,15 +2,17 @@
 
 ``length`` bytes are the shortest string that counts as repeated. All of the work is on windows of that length.
 
-1. Segments. A window's minimizer is the smallest hash of its ``SEED``-byte substrings. Neighbouring windows with the
-   same minimizer form a segment, the bytes that they cover; equal windows have equal minimizers, wherever they stand.
-   Segments are known by a hash of their bytes, and of equal ones a count is all that is kept.
-2. Shards. Minimizers that one segment has alone, without occurring in it twice, have no repeated window. The segments of
-   the other minimizers - one copy of each - are dealt to shards by minimizer, so that equal windows meet.
+1. Segments. A window's minimizer is the smallest hash of its ``SEED``-byte substrings, the leftmost of equal ones.
+   Neighbouring windows whose minimizer stands at the same place form a segment, the bytes that they cover; equal windows
+   have equal minimizers at equal offsets, wherever they stand. Segments are known by a 128-bit hash of their bytes, and
+   of equal ones a count is all that is kept.
+2. Shards. A minimizer that occurs in one segment only has no repeated window. The segments of the other minimizers - one
+   copy of each - are dealt to shards by minimizer, so that equal windows meet.
 3. Suffix arrays. Each shard joins its segments, sorts all suffixes by induced sorting, and computes permuted common
    prefixes; a window is repeated if it shares ``length`` bytes with a neighbour in the array, or if its segment has a
-   copy. Shards are bounded; a minimizer with more distinct segments than ``HOT`` (a passage in very many documents) is
-   split: its windows are counted by their hashes, combined on the map side, and no task holds the group.
+   copy. Shards are bounded: where a minimizer has more than ``HOT`` distinct segments (a passage in very many
+   documents), its windows are parted by the offset of the minimizer in them, and regrouped by the bytes that all
+   windows of a part share. A part of one offset is the window itself, so every group comes down to the bound.
 4. Removal. Repeated runs go back to every place where their segment stands, meet in their document, and are cut out.
 
 Texts are read twice and shuffled twice: to fetch the bytes of the segments in (2), and to cut in (4).
@@ -26,14 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from .common import Rolling, checkpointed, col, partitions, pieces, utf8
+from .common import Rolling, checkpointed, col, in_batches, partitions, pieces, tidy, tidy_group, utf8
 from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 400
 SEED = 64
-#: Distinct segments of one minimizer from which its windows are counted instead.
+#: Distinct segments of one group from which it is parted.
 HOT = 1000
+#: Parts of a range of offsets.
+WAYS = 4
 #: Bytes of segments for each shard.
 SHARD_BYTES = 1 << 20
 #: Bytes of a long text that are looked at together.
@@ -41,8 +46,8 @@ STRIDE = 1 << 20
 
 
 @lru_cache(1)
-def _rolling() -> tuple[Rolling, Rolling]:
-    return Rolling(3), Rolling(9)
+def _rolling() -> Rolling:
+    return Rolling(3)
 
 
 def _minima(x: np.ndarray, width: int) -> np.ndarray:
@@ -54,26 +59,33 @@ def _minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+_PLACE = np.uint64(21)
+
+
 def segments(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Of each segment of one text's bytes: minimizer, first window, number of windows, hash, and if the minimizer stands twice in it."""
+    """Of each segment of one text's bytes: minimizer, first window, number of windows, where the minimizer stands in the first."""
     n = len(data) - length + 1
     found: list[tuple] = []
-    first, second = _rolling()
     for lo in range(0, max(n, 0), STRIDE):  # a long text is cut into overlapping parts; a segment may be cut there too
         part = data[lo : min(len(data), lo + STRIDE + length - 1)]
-        a = first.prefix(part)
-        at = np.arange(len(part) - seed + 1)
-        hashes, width = first.between(a, at, at + seed), length - seed + 1
-        least = _minima(hashes, width)
+        prefix, at = _rolling().prefix(part), np.arange(len(part) - seed + 1)
+        hashes = _rolling().between(prefix, at, at + seed)
+        placed = hashes >> _PLACE << _PLACE | at.astype(np.uint64)  # the leftmost of equal hashes is the smallest
+        least = _minima(placed, length - seed + 1)
         start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        end = np.append(start[1:], len(least))
-        twice = [np.count_nonzero(hashes[i : j + width - 1] == x) > 1 for i, j, x in zip(start.tolist(), end.tolist(), least[start])]
-        found.append((least[start], start + lo, end - start, second.between(second.prefix(part), start, end + length - 1), np.array(twice)))
+        place = (least[start] & np.uint64((1 << 21) - 1)).astype(np.int64)
+        found.append((hashes[place], start + lo, np.diff(np.append(start, len(least))), place - start))
     if not found:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.uint64, bool))
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _digests(parts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of byte strings as two columns of numbers."""
+    both = np.frombuffer(b"".join(map(xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _name(raw: Column) -> Column:
     return F.xxhash64(raw)
 
@@ -85,7 +97,7 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _found(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """Segments of all documents: minimizer, digest, id, hash, start, windows, twice."""
+    """Segments of all documents: minimizer, d1 and d2 (the digest), id, hash, start, windows, off."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,16 +107,24 @@ def _found(rows: DataFrame, length: int, seed: int) -> DataFrame:
                 if not parts:
                     continue
                 row = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-                m, s, w, d, t = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+                m, s, w, o = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
+                first = (at[row] + s).tolist()
+                raw = memoryview(data)
+                d1, d2 = _digests(raw[x : x + n + length - 1] for x, n in zip(first, w.tolist()))
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int64)), pa.array(d.astype(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(s), pa.array(w), pa.array(t)], ["minimizer", "digest", "id", "hash", "start", "windows", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int64)), pa.array(d1), pa.array(d2), batch.column(0).take(take), batch.column(1).take(take), pa.array(s), *(pa.array(x.astype(np.int32)) for x in (w, o))], _FOUND)
 
-    return rows.mapInArrow(run, "minimizer long, digest long, id long, hash long, start long, windows long, twice boolean")
+    return in_batches(rows).mapInArrow(tidy(run), "minimizer long, d1 long, d2 long, id long, hash long, start long, windows int, off int")
+
+
+_FOUND = ["minimizer", "d1", "d2", "id", "hash", "start", "windows", "off"]
+_PIECE = ["k1", "k2", "d1", "d2", "copies", "off", "data"]
+_PIECE_SQL = "k1 long, k2 long, d1 long, d2 long, copies long, off int, data binary"
 
 
 def _bytes_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of segments (minimizer, digest, copies, id, hash, start, windows)."""
-    lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("minimizer", "digest", "copies", "hot", "start", "windows")).alias("want"))
+    """The bytes of segments (minimizer, d1, d2, copies, id, hash, start, windows, off), grouped by minimizer (k1)."""
+    lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("minimizer", "d1", "d2", "copies", "off", "start", "windows")).alias("want"))
     lists = lists.select(F.col("id").alias("w_id"), F.col("hash").alias("w_hash"), "want")
     one = rows.join(lists, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("hash") == F.col("w_hash"))).select("raw", "want")
 
@@ -113,19 +133,93 @@ def _bytes_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for raw, want in zip(batch.column(0), batch.column(1)):
                 data = raw.as_py().encode()
                 ask = want.as_py()
-                out = [[a[k] for a in ask] for k in ("minimizer", "digest", "copies", "hot")]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in out), pa.array([data[a["start"] : a["start"] + a["windows"] + length - 1] for a in ask], pa.binary())], ["minimizer", "digest", "copies", "hot", "data"])
+                m, d1, d2, c, o = ([a[k] for a in ask] for k in ("minimizer", "d1", "d2", "copies", "off"))
+                cut = [data[a["start"] : a["start"] + a["windows"] + length - 1] for a in ask]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((m, [0] * len(m), d1, d2, c, o, cut), kinds)], _PIECE)
+
+    return one.mapInArrow(tidy(run), _PIECE_SQL)
+
+
+def parted(off: int, windows: int, low: int, high: int, ways: int = WAYS) -> list[tuple[int, int, int, int]]:
+    """A piece's windows in ``ways`` parts, as (first window, windows, lowest offset, highest offset).
+
+    Window i has its minimizer at ``off - i``, and all offsets lie in [low, high], which is cut evenly.
+    """
+    edges = sorted({low + (high - low + 1) * k // ways for k in range(ways + 1)}, reverse=True)
+    out = []
+    for top, bottom in zip(edges, edges[1:]):  # offsets [bottom, top)
+        first, past = max(0, off - top + 1), min(windows, off - bottom + 1)
+        if past > first:
+            out.append((first, past - first, bottom, top - 1))
+    return out
+
+
+def _regrouped(hot: DataFrame, length: int) -> DataFrame:
+    """Parts of hot pieces: a piece by the bytes that all windows of its part share, of which piece (o1, o2) it is from which
+    window (shift), with the part's range of offsets (low, high)."""
 
-    return one.mapInArrow(run, "minimizer long, digest long, copies long, hot boolean, data binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k1, d1, d2, copies, off, data, low, high in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7, 8))):
+                for first, n, lo, hi in parted(off, len(data) - length + 1, low, high):
+                    cut, at = data[first : first + n + length - 1], off - first  # the minimizer stands at ``at`` in the part
+                    shared = cut[at - lo : at + length - hi]
+                    head = b"%d %d %d " % (k1, lo, hi)
+                    key, name = (np.frombuffer(xxh3_128_digest(head + x), "<i8").tolist() for x in (shared, b"piece " + cut))
+                    out.append((*key, *name, copies, at, cut, lo, hi, d1, d2, first))
+            kinds = (*[pa.int64()] * 5, pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            cols = list(zip(*out)) if out else [()] * 12
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], [*_PIECE, "low", "high", "o1", "o2", "shift"])
+
+    return hot.select(*_PIECE, "low", "high").mapInArrow(tidy(run), f"{_PIECE_SQL}, low int, high int, o1 long, o2 long, shift int")
+
+
+def _resolved(hot: DataFrame, length: int, seed: int, shards: int, most: int) -> DataFrame:
+    """Runs (d1, d2, lo, hi) of repeated windows of hot pieces, through the suffix arrays of groups that are small enough.
+
+    Each round parts what the one before it left too large; a range of 337 offsets is down to single ones after five.
+    """
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    hot = hot.withColumns({"low": F.lit(0), "high": F.lit(length - seed)})
+    while True:
+        parts = checkpointed(_regrouped(hot, length))
+        one = parts.groupBy("k1", "k2", "d1", "d2").agg(F.sum("copies").alias("all"), F.min(F.struct("o1", "o2", "shift")).alias("of"))
+        group = one.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.sum("all").alias("total")).where("total > 1")  # others repeat nothing
+        kept = checkpointed(one.join(group, ["k1", "k2"]).select("d1", "d2", "all", "of.*", (F.col("n") > most).alias("big")))
+        whole = parts.join(kept, ["d1", "d2", "o1", "o2", "shift"]).drop("copies").withColumnRenamed("all", "copies")
+        levels.append((parts, _runs(whole.where("not big").select(*_PIECE), length, shards)))
+        if kept.where("big").isEmpty():
+            break
+        hot = checkpointed(whole.where("big").select(*_PIECE, "low", "high"))
+    parts, runs = levels.pop()
+    runs = _placed(runs, parts)
+    while levels:
+        parts, found = levels.pop()
+        runs = _placed(found.unionByName(runs), parts)
+    return runs
+
+
+def _placed(runs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Runs of parts as runs of the pieces that they are parts of."""
+    back = runs.join(parts.select("d1", "d2", "o1", "o2", "shift"), ["d1", "d2"])
+    return back.select(F.col("o1").alias("d1"), F.col("o2").alias("d2"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
+
+
+def _runs(taken: DataFrame, length: int, shards: int) -> DataFrame:
+    """Runs (d1, d2, lo, hi) of repeated windows, by shards of whole groups."""
+    dealt = taken.withColumn("shard", F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(tidy_group(_shard(length)), "d1 long, d2 long, lo long, hi long")
 
 
 def _shard(length: int):
-    """For a shard: runs [lo, hi) of repeated windows of its segments."""
+    """For a shard: runs [lo, hi) of repeated windows of its pieces."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("minimizer", "ascending"), ("digest", "ascending")])
-        minimizer, digest = np.asarray(table.column("minimizer")), np.asarray(table.column("digest"))
-        copies = np.asarray(table.column("copies"))
+        table = table.sort_by([("k1", "ascending"), ("k2", "ascending"), ("d1", "ascending"), ("d2", "ascending")])
+        k1, k2, d1, d2, copies = (np.asarray(table.column(c)) for c in ("k1", "k2", "d1", "d2", "copies"))
+        opens = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) if len(k1) else np.zeros(0, bool)
         parts = [x.as_py() for x in table.column("data")]
         kept: list[tuple[int, np.ndarray]] = []
         group: list[int] = []
@@ -137,7 +231,7 @@ def _shard(length: int):
 
         size = 0
         for g in range(len(parts)):
-            if size > SHARD_BYTES and minimizer[g] != minimizer[group[-1]]:
+            if size > SHARD_BYTES and opens[g]:
                 flush()
                 size = 0
             group.append(g)
@@ -147,8 +241,8 @@ def _shard(length: int):
         out: list[tuple[int, int, int, int]] = []
         for g, flag in kept:
             edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.astype(np.int8), [0]])))
-            out += [(minimizer[g], digest[g], lo, hi) for lo, hi in zip(edge[::2], edge[1::2])]
-        return pa.table({n: pa.array([int(o[k]) for o in out], pa.int64()) for k, n in enumerate(("minimizer", "digest", "lo", "hi"))})
+            out += [(d1[g], d2[g], lo, hi) for lo, hi in zip(edge[::2], edge[1::2])]
+        return pa.table({n: pa.array([int(o[k]) for o in out], pa.int64()) for k, n in enumerate(("d1", "d2", "lo", "hi"))})
 
     return run
 
@@ -168,41 +262,21 @@ def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
     return [long[at : at + max(0, s - length + 1)] for s, at in zip(sizes, starts)]
 
 
-def _hot_windows(rows: DataFrame, length: int) -> DataFrame:
-    """Each window of hot segments by its hash: minimizer, digest, at, window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = _rolling()[1]
-        for batch in batches:
-            for m, d, c, x in zip(*(batch.column(k) for k in (0, 1, 2, 4))):
-                data = np.frombuffer(x.as_py(), np.uint8)
-                at = np.arange(len(data) - length + 1)
-                w = rolling.between(rolling.prefix(data), at, at + length).astype(np.int64)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m.as_py())), pa.array(np.full(n, d.as_py())), pa.array(np.full(n, c.as_py())), pa.array(at), pa.array(w)], ["minimizer", "digest", "copies", "at", "window"])
-
-    return rows.mapInArrow(run, "minimizer long, digest long, copies long, at long, window long")
-
-
-def repeated_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
     """id, hash (which name a document) and spans: its bytes [lo, hi) under repeated windows, by segment, unmerged."""
     rows = _rows(docs, text, key)
     found = checkpointed(_found(rows, length, seed))
-    one = found.groupBy("minimizer", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "hash", "start", "windows")).alias("p"))
-    group = found.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where((F.col("n") > 1) | F.col("twice"))
-    distinct = one.groupBy("minimizer").agg(F.count(F.lit(1)).alias("d"))
-    group = group.join(distinct, "minimizer").select("minimizer", (F.col("d") > HOT).alias("hot"))
-    wanted = one.join(group, "minimizer").select("minimizer", "digest", "copies", "hot", "p.*")
-    taken = checkpointed(_bytes_of(rows, wanted, length))
-    size = taken.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
+    one = found.groupBy("minimizer", "d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "hash", "start", "windows", "off")).alias("p"))
+    group = one.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("all")).where(F.col("all") > 1)
+    wanted = checkpointed(one.join(group, "minimizer").select("minimizer", "d1", "d2", "copies", (F.col("n") > hot).alias("hot"), "p.*"))
+    size = wanted.agg(F.coalesce(F.sum(F.col("windows") + (length - 1)), F.lit(0)).alias("n")).first()["n"]
     shards = max(partitions(docs), -(-size // (4 * SHARD_BYTES)))
-    cool = taken.where(~F.col("hot")).withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(shards)))
-    runs = cool.groupBy("shard").applyInArrow(_shard(length), "minimizer long, digest long, lo long, hi long")
-    windows = _hot_windows(taken.where("hot"), length)
-    many = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-    single = windows.join(many, "window", "left_semi").select("minimizer", "digest", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
-    runs = runs.unionByName(single).groupBy("minimizer", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    place = found.join(runs, ["minimizer", "digest"])
+    runs = _runs(_bytes_of(rows, wanted.where("not hot"), length), length, shards)
+    many = wanted.where("hot")
+    if not many.isEmpty():
+        runs = runs.unionByName(_resolved(_bytes_of(rows, many, length), length, seed, shards, hot))
+    runs = runs.groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    place = found.join(runs, ["d1", "d2"])
     spans = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start") + (length - 1)).alias("hi")))
     return place.select("id", "hash", spans.alias("s")).groupBy("id", "hash").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
@@ -218,14 +292,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
     """doc_id, spans (maximal removed byte runs [lo, hi)), n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256.
 
     Null text counts as empty. Strings are judged on the input and do not cross documents. Rows that are the same in key
     and text are different documents, whose whole text is repeated; a row with a null key is a document like others.
     What is left need not be valid UTF-8, as strings start at any byte. Texts shorter than ``length`` stay whole.
+    ``hot``: distinct segments of a group from which it is parted; it changes nothing in the result.
     """
-    runs = repeated_runs(docs, length, seed, text, key).select(F.col("id").alias("r_id"), F.col("hash").alias("r_hash"), "spans")
+    runs = repeated_runs(docs, length, seed, text, key, hot).select(F.col("id").alias("r_id"), F.col("hash").alias("r_hash"), "spans")
     rows = _rows(docs, text, key)
     rows = rows.join(runs, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("hash") == F.col("r_hash")), "left").select("id", "raw", "spans")
 
@@ -240,4 +315,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), *(pa.array(x, k) for x, k in zip(rest, kinds))], ["doc_id", "spans", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<lo:long,hi:long>>, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id long, spans array<struct<lo:long,hi:long>>, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

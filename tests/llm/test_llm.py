@@ -326,7 +326,11 @@ def test_a_passage_in_many_contexts_is_parted(spark):
     for hot in (3, 1000):
         got = {r.doc_id: r.n_removed for r in remove_repeats(rows, hot=hot).collect()}
         assert [got[i] for i in range(len(texts))] == want
-    assert parted(5, 10, 0, 8) == [(0, 2, 4, 8), (2, 8, 0, 3)] and parted(3, 2, 0, 8) == [(0, 2, 0, 3)]
+    assert parted(5, 6, 0, 8, 2) == [(0, 2, 4, 8), (2, 4, 0, 3)] and parted(3, 2, 0, 8, 2) == [(0, 2, 0, 3)]
+    for off, n in ((8, 9), (7, 3), (4, 5), (0, 1)):
+        got = parted(off, n, 0, 8)
+        assert [(i, off - i) for i in range(n)] == [(i, off - i) for f, k, lo, hi in got for i in range(f, f + k) if lo <= off - i <= hi]
+    assert parted(5, 1, 5, 5) == [(0, 1, 5, 5)]
 
 
 def test_splitting_tree_keeps_quotas():
