@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, col, partitions
+from .common import SPACE, checkpointed, col, partitions
 
 #: Characters of the normalised text that go into the sampled splitters.
 HEAD = 32
@@ -50,15 +50,19 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", hot:
         (F.row_number().over(best) == 1).alias("kept"), F.sha2("norm", 256).alias("text_sha256"),
     )
 
+    # Each task sends one row for each hot text of its own; the result has one for each hot text, eight for a partition at most.
     warm = rows.join(many, "hash", "left_semi")
     first = F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
     of = warm.groupBy("norm").agg(first.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    of = of.select(F.sha2("norm", 256).alias("text_sha256"), F.col("best.id").alias("keep_id"), F.col("best.less").alias("less"), "group_size")
-    warm = warm.select("doc_id", "chars", F.sha2("norm", 256).alias("text_sha256")).join(of, "text_sha256")
-    leads = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == -F.col("less"))
-    # Only repeated rows of the leader itself share a window here: the leader's rows have its id, all others their own.
-    one = F.row_number().over(Window.partitionBy("text_sha256", "doc_id", "chars").orderBy("doc_id"))
-    warm = warm.select("doc_id", "keep_id", "group_size", (leads & (one == 1)).alias("kept"), "text_sha256")
+    of = checkpointed(of.select(F.sha2("norm", 256).alias("text_sha256"), F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("most"), "group_size"))
+    if of.isEmpty():
+        return cold
+    # Rows that repeat the leader are told apart by a number that is written before it is compared.
+    warm = checkpointed(warm.select("doc_id", "chars", F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("place")))
+    leads = warm.join(F.broadcast(of), "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("most")))
+    one = leads.groupBy("text_sha256").agg(F.min("place").alias("stays"))
+    of = of.join(F.broadcast(one), "text_sha256").select("text_sha256", "keep_id", "group_size", "stays")
+    warm = warm.join(F.broadcast(of), "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("place") == F.col("stays")).alias("kept"), "text_sha256")
     return cold.unionByName(warm)
 
 
