@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import checkpointed, col, in_batches, tidy
 
 #: Lengths in one block of the suffix sums.
 BLOCK = 1024
@@ -43,12 +43,12 @@ def token_lengths(docs: DataFrame, text: str = "text", key: str = "doc_id", path
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     rows = docs.select(col(key).cast("long").alias("doc_id"), col(text).cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_tokens long")
+    return in_batches(rows).mapInArrow(tidy(count), "doc_id long, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """n_tokens and docs, the number of documents of that length."""
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
+    """n_tokens and docs, the number of documents of that length; written once, as every answer reads it more than once."""
+    return checkpointed(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")))
 
 
 def limit_table(histogram: DataFrame) -> DataFrame:
