@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .centroids import clusters
 from .exact_dedup import exact_groups
+from .hard_negatives import hard_negatives
 from .language_id import identify_languages
 from .line_dedup import dedup_lines
+from .lm_scoring import fold, lm_scores
 from .mixing import draws
 from .ngram_join import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -66,6 +69,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_table(length_histogram(token_lengths(_read(spark, sf_dir, "documents"))))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = lm_scores(docs, fold(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -77,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroids": op12_centroids,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
@@ -104,3 +126,35 @@ ORACLES: dict[str, str] = {
         select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) as component_id
         from w left join n using (doc_id) left join m on m.a = w.doc_id""",
 }
+
+ORACLES["op11_hard_negatives"] = """
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+                   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as anchor_id, c.vec_id, q.label = c.label as same, cast(list_dot_product(q.v, c.v) as bigint) as score
+              from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+        p as (select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as n from s where same),
+        r as (select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, n order by score desc, vec_id) as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+              from p join s using (anchor_id) where n <= 5 and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+        select * from r where rank <= 10"""
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds as common table expressions: c0, c1, ... the centroids, a0, a1, ... the assignments to them."""
+    square = "list_dot_product(list_transform(list_zip(v.v, c.v), lambda z: z[1] - z[2]), list_transform(list_zip(v.v, c.v), lambda z: z[1] - z[2]))"
+    parts = [
+        "v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        f"c0 as (select row_number() over (order by h) - 1 as c, v from (select sha256('2:' || vec_id) as h, v from v order by h limit {k}))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"d{n} as (select vec_id, v.v, c.c, cast({square} as bigint) as d from v cross join c{n} c)")
+        parts.append(f"a{n} as (select vec_id, any_value(v) as v, arg_min(c, d * 64 + c) as c, min(d) as d from d{n} group by vec_id)")
+        if n < rounds:
+            mean = "select c, list(m order by i) as v from (select c, i, floor(sum(v[i]::bigint)::double / count(*)) as m from (select c, v, unnest(range(1, 65)) as i from a%d) group by c, i) group by c" % n
+            parts.append(f"c{n + 1} as (select c{n}.c, coalesce(m.v, c{n}.v) as v from c{n} left join ({mean}) m using (c))")
+    return f"""with {", ".join(parts)}
+        select vec_id, cast(c as integer) as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+               sha256(array_to_string(list_transform(c{rounds}.v, lambda x: x::bigint), ',')) as centroid_sha256
+        from a{rounds} join c{rounds} using (c)"""
+
+
+ORACLES["op12_centroids"] = _lloyd_sql()
