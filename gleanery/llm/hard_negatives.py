@@ -156,13 +156,9 @@ def selected(state: DataFrame, blocks: DataFrame, shards: DataFrame, groups: int
         released(state)
         ended.append(after)
         state = checkpointed(after.where(~F.col("done")))
-    released(state)
-    every = None
+    every = state  # without rows
     for t in ended:
-        rows = t.where("done")
-        every = rows if every is None else every.unionByName(rows)
-    if every is None:
-        every = state
+        every = every.unionByName(t.where("done"))
 
     def gather(row: dict) -> Iterator[pa.RecordBatch]:
         ids, block = np.asarray(row["vec_id"].values), row["block"].as_py()
@@ -178,7 +174,7 @@ def selected(state: DataFrame, blocks: DataFrame, shards: DataFrame, groups: int
     found = _pass(every, blocks, shards, groups, gather, "block string, a int, p int, anchor_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy(*WINDOW).orderBy(F.desc("score"), "vec_id"))
     out = checkpointed(found.withColumn("rank", rank).where(F.col("rank") <= k).select(*WINDOW, "anchor_id", "rank", "vec_id", "score"))
-    released(*ended)
+    released(state, *ended)
     return out
 
 
