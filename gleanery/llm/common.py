@@ -38,6 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def _tidied(spark: SparkSession):
+    """Shuffle files of what runs here are deleted when it has ended: a written table needs them no more, and the next steps need
+    the disk. Where Spark has no such setting nothing changes."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows of ``df`` as a Parquet table in the shared folder, compressed and with statistics.
 
@@ -45,7 +58,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    with _tidied(spark):
+        df.write.parquet(path, compression="zstd")
     if not _written:
         atexit.register(_clear)
     _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
