@@ -38,6 +38,8 @@ BLOCK = 1 << 20
 FRAGMENT = 1 << 21
 #: Parts: documents that nothing is learned from, that are counted, and that are deleted from the counts.
 UNSEEN, COUNTED, LEFT_OUT = 0, 1, 2
+#: Bits by which hashes of two words and more are shorter than 64; those of single words are whole, as their counts are returned.
+SHORT = 8
 #: Buckets of context counts for each length of context.
 BUCKETS = 64
 #: Stand for the end of a text and for what comes before its beginning; no word has these hashes but by chance.
@@ -142,7 +144,7 @@ class Block:
             before = np.full(len(self.hash), BEGIN, np.uint64)
             before[back:] = np.where(self.place[back:] >= back, self.hash[:-back], BEGIN)
             out += before * factors[back]
-        return mix(out)
+        return mix(out) >> np.uint64(SHORT)
 
     def estimates(self, totals: list[np.ndarray], tokens: int, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bucket of each token's context, its estimates of order 1, 2, ... as rows, and how often it occurs itself.
@@ -166,14 +168,14 @@ class Block:
         return bucket, out, seen
 
 
-def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Which of ``n`` equal ranges each hash is in."""
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+def _ranges(hashes: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """Which of ``n`` equal ranges each hash of so many bits is in."""
+    return ((hashes >> np.uint64(bits - 32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _totals(blocks: DataFrame, order: int, fragments: int) -> DataFrame:
-    """Written once: block, part, fragment, and the counts of the block's n-grams there, in all training documents and without
-    the deleted part; types: on one row of each fragment, the distinct tokens that training documents have there."""
+    """Written once: block, part, fragment, and the counts of the block's n-grams there, in all training documents and, for blocks
+    of the deleted part, without that part; types: on one row of each fragment, the distinct tokens that training documents have there."""
     sent = ["fragment", "block", "part", "grams", "counts"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +184,7 @@ def _totals(blocks: DataFrame, order: int, fragments: int) -> DataFrame:
                 block = Block(row, order)
                 for n in range(1, order + 1):
                     grams, counts = np.unique(block.grams(n), return_counts=True)
-                    own = _ranges(grams, fragments)
+                    own = _ranges(grams, 64 if n == 1 else 64 - SHORT, fragments)
                     first = np.flatnonzero(np.diff(own, prepend=-1))
                     ends = np.append(first[1:], len(own))
                     gaps = np.diff(grams, prepend=np.uint64(0))
@@ -203,7 +205,9 @@ def _totals(blocks: DataFrame, order: int, fragments: int) -> DataFrame:
         types = [0] * table.num_rows
         types[0] = int((every > 0).sum()) if key[0].as_py() < fragments else 0
         spans = list(zip(np.append(0, ends[:-1]), ends))
-        cells = [table.column("block"), table.column("part"), table.column("fragment"), *[pa.array([pack(x[inverse[a:b]]) for a, b in spans], pa.binary()) for x in (every, kept)], pa.array(types, pa.int64())]
+        deleted = [p == LEFT_OUT for p in table.column("part").to_pylist()]
+        cells = [table.column("block"), table.column("part"), table.column("fragment"), pa.array([pack(every[inverse[a:b]]) for a, b in spans], pa.binary())]
+        cells += [pa.array([pack(kept[inverse[a:b]]) if d else None for (a, b), d in zip(spans, deleted)], pa.binary()), pa.array(types, pa.int64())]
         return pa.table(cells, ["block", "part", "fragment", "every", "kept", "types"])
 
     rows = blocks.select("block", "part", "sizes", "words", "tokens").mapInArrow(tidy(send), "fragment long, block string, part int, grams binary, counts binary")
@@ -277,7 +281,8 @@ def lm_scores(docs: DataFrame, learn: Column, text: str = "text", key: str = "do
     the key as text, one in ``deleted`` training documents learns the weights). A key of any type is returned as it is,
     other columns are ignored, whatever their names. Long texts are hashed in runs of 2 MiB. Without training documents
     every token has probability 1 in V + 1 = 1. An empty table gives no rows. Words are told apart by 64-bit hashes, so
-    at 10**10 distinct words a few share their counts.
+    at 10**10 distinct words a few share their counts; n-grams of two and more by 56 bits, so at 10**13 distinct ones one in
+    some 7,000 does.
     """
     learn = F.coalesce(learn, F.lit(False))
     part = F.when(~learn, UNSEEN).when(F.pmod(F.xxhash64(F.coalesce(col(key).cast("string"), F.lit(""))), F.lit(deleted)) == 0, LEFT_OUT).otherwise(COUNTED)
