@@ -205,19 +205,22 @@ def halving(run: Callable[[list[str]], list[str]], prompts: list[str]) -> list[s
     return halving(run, prompts[:half]) + halving(run, prompts[half:])
 
 
-def generate(rows: DataFrame, generator: Callable[[list[str], list[str]], list[str]] | None = None) -> DataFrame:
-    """Rows (prompt, query) with an ``answer`` from a batch generator; the stand-in answers with the first sentence that has a query term."""
+def extracted(prompt: Column, query: Column) -> Column:
+    """The stand-in for a model's answer: the prompt's first sentence with a query word of over three letters."""
+    of = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"\S+"), F.lit(0))
+    sentences = F.transform(F.split(F.replace(prompt, F.lit("\n"), F.lit(" ")), r"\. "), F.trim)
+    return bind(F.filter(of(query), lambda w: F.length(w) > 3), lambda terms: F.coalesce(F.get(F.filter(sentences, lambda s: F.arrays_overlap(of(s), terms)), F.lit(0)), F.lit(ABSTAIN)))
+
 
-    def extract(prompt: str, query: str) -> str:
-        terms = {w for w in query.lower().split() if len(w) > 3}
-        lines = [s.strip() for s in prompt.replace("\n", " ").split(". ")]
-        return next((s for s in lines if terms & set(s.lower().split())), ABSTAIN)
+def generate(rows: DataFrame, generator: Callable[[list[str], list[str]], list[str]] | None = None) -> DataFrame:
+    """Rows (prompt, query) with an ``answer`` from a batch generator of prompts and queries, else from ``extracted``."""
+    if generator is None:
+        return rows.withColumn("answer", extracted(F.col("prompt"), F.col("query")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            pairs = list(zip(pdf["prompt"], pdf["query"]))
-            made = (lambda part: generator([p for p, _ in part], [q for _, q in part])) if generator else (lambda part: [extract(p, q) for p, q in part])
-            yield pdf.assign(answer=halving(made, pairs))
+            made = lambda part: generator([p for p, _ in part], [q for _, q in part])
+            yield pdf.assign(answer=halving(made, list(zip(pdf["prompt"], pdf["query"]))))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(run, f"{schema}, answer string")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.text import answer_body, bind, cited_segments, is_abstention
 from ..sources.sinks import materialised
 from .retrieval import ROW, ranked
-from .statistics import draws, interval
+from .resampling import draws
+from .statistics import interval
 
 CUTS = (0.35, 0.60, 0.85)
 BANDS = ("insufficient", "low", "probable", "certain")
@@ -85,7 +86,7 @@ def auroc(rows: DataFrame, by: list[str], score: str, label: str, parts: int | N
 def auroc_ci(rows: DataFrame, by: list[str], unit: str, score: str, label: str, n_boot: int = AUROC_RESAMPLES) -> DataFrame:
     """by, n, positives, auroc, lo, hi: resamples draw units; those with one class only are left out."""
     x = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*by, F.col(unit).alias("_u"), F.col(score).cast("double").alias("s"), (F.col(label) == 1).cast("long").alias("y"))
-    drawn = draws(x, "_u", n_boot).groupBy(*by, "b", "s").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos"))
+    drawn = draws(x, "_u", n_boot, by).groupBy(*by, "b", "s").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     drawn = drawn.withColumn("r", F.col("pos") * (before + (F.col("n") + 1) / 2)).groupBy(*by, "b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("r").alias("r"))
     areas = drawn.select(*by, _area(F.col("n"), F.col("pos"), F.col("r")).alias("area")).where("area is not null")
@@ -319,7 +320,7 @@ def high_minus_low(tested: DataFrame, by: list[str], n_boot: int = CITATION_RESA
     per = rows.groupBy(*by, "question_id").agg(*sums("high"), *sums("low"))
     share = lambda b, w: F.try_divide(F.sum(w * F.col(f"c_{b}")), F.sum(w * F.col(f"n_{b}")))  # noqa: E731  (null without answers)
     base = per.groupBy(*by).agg(share("high", F.lit(1)).alias("high"), share("low", F.lit(1)).alias("low"))
-    drawn = draws(per, "question_id", n_boot)
+    drawn = draws(per, "question_id", n_boot, by)
     diffs = drawn.groupBy(*by, "b").agg((share("high", F.col("w")) - share("low", F.col("w"))).alias("d")).where("d is not null")
     ci = diffs.groupBy(*by).agg(*interval("d"))
     out = base.join(ci, by, "left") if by else base.join(ci, F.lit(True), "left")

@@ -1,53 +1,26 @@
 """Statistics over paired and repeated measures.
 
-Resamples are Poisson bootstraps: in each resample a unit counts as often as a hash of unit and resample says, once on
-average. Weighted sums of (group, resample) combine on the map side, so no group is numbered, sorted or gathered; what is
-shuffled are sums, as many as groups times resamples. The hash is the same in any engine and on any partitioning.
+Resamples are multinomial and of fixed size, by the splitting tree of ``resampling``.
 """
 
 from __future__ import annotations
 
 import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import hashed
+from .resampling import drawn_sums, draws
 
 #: As in the study; fewer make p and the bounds coarser.
 RESAMPLES = 5000
-#: The prime modulus of the hash, 2**31 - 1.
-MODULUS = (1 << 31) - 1
-
-
-def poisson_steps(most: int = 9) -> list[int]:
-    """Below how many of ``MODULUS`` a uniform number gives a Poisson count (mean 1) of at most 0, 1, ..."""
-    return [int(MODULUS * sum(math.exp(-1) / math.factorial(j) for j in range(n + 1))) for n in range(most)]
-
-
-def seeded(*unit: Column) -> Column:
-    """A unit's number below ``MODULUS``."""
-    return hashed(*unit) % MODULUS
-
-
-def draws(rows: DataFrame, unit: str, n_boot: int = RESAMPLES, into: str = "w") -> DataFrame:
-    """``rows`` once for each resample ``b`` that counts them, with their weight there; ``unit`` says what is drawn together.
-
-    Rows are dealt out first: few rows make many, and adaptive execution would leave few rows in one task.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    b = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda k: F.struct(k.alias("b"), (hashed(k, F.lit("t")) % (MODULUS - 1) + 1).alias("t"), (hashed(k, F.lit("r")) % MODULUS).alias("r"))))
-    every = F.broadcast(rows.sparkSession.range(1).select(b.alias("k")).select("k.*"))
-    both = rows.withColumn("_s", seeded(F.col(unit))).repartition(parts, "_s").join(every, F.lit(True))
-    u = (F.col("_s") * F.col("t") + F.col("r")) % MODULUS
-    weight = sum(((u >= s).cast("int") for s in poisson_steps()), F.lit(0))
-    return both.withColumn(into, weight).where(F.col(into) > 0).drop("_s", "t", "r")
 
 
 def resampled_means(values: DataFrame, by: list[str], unit: str, value: str, n_boot: int = RESAMPLES) -> DataFrame:
-    """by, b, mean: means of resamples of each group's values, nulls left out. A resample that draws nothing has no row."""
-    rows = values.where(F.col(value).isNotNull()).select(*by, F.col(unit).alias("_u"), F.col(value).cast("double").alias("x"))
-    return draws(rows, "_u", n_boot).groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
+    """by, b, mean: means of resamples of each group's units, nulls left out. Each resample draws as many as the group has."""
+    rows = values.where(F.col(value).isNotNull()).select(*by, F.col(unit).alias("_u"), F.col(value).alias("x"))
+    return drawn_sums(rows, by, "_u", "x", n_boot).select(*by, "b", (F.col("s") / F.col("n")).alias("mean"))
 
 
 def interval(value: str) -> list[Column]:
@@ -104,7 +77,7 @@ def repeated_measures(long: DataFrame, by: list[str] = [], n_boot: int = RESAMPL
 
     Sums of squares, F and its p, partial eta squared, range of level means with its interval, the range in standard
     deviations of subject means, best and worst level, numbers of ids and levels, and the mean of all values. Resamples
-    draw ids, with all their levels.
+    draw as many ids as there are, each with all its levels.
     """
     rows = complete(long, by)
     key = by or ["_one"]
@@ -114,7 +87,7 @@ def repeated_measures(long: DataFrame, by: list[str] = [], n_boot: int = RESAMPL
     total = rows.groupBy(*key).agg(F.avg("x").alias("grand_mean"), F.var_pop("x").alias("v"), F.count(F.lit(1)).alias("cells"))
     a = per_level.groupBy(*key).agg(F.var_pop("m").alias("vl"), (F.max("m") - F.min("m")).alias("range"), F.max_by("level", "m").alias("best"), F.min_by("level", "m").alias("worst"), F.max("n").alias("n_ids"), F.count(F.lit(1)).alias("n_levels"))
     s = per_id.groupBy(*key).agg(F.var_pop("m").alias("vs"), F.stddev_samp("m").alias("sd"))
-    means = resampled_means(rows, [*key, "level"], "id", "x", n_boot)
+    means = draws(rows.select(*key, "id", "level", "x"), "id", n_boot, key).groupBy(*key, "level", "b").agg(F.avg("x").alias("mean"))
     spread = means.groupBy(*key, "b").agg((F.max("mean") - F.min("mean")).alias("spread"))
     ci = spread.groupBy(*key).agg(F.percentile("spread", F.lit(0.025)).alias("range_lo"), F.percentile("spread", F.lit(0.975)).alias("range_hi"))
     one = total.join(a, key).join(s, key).join(ci, key, "left")

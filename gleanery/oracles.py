@@ -207,14 +207,33 @@ _BASE["facfull"] = "select * from fac semi join (select factor, metric, id from
 _P = 2147483647
 
 
-def _draws(rows: str, unit: str, n: int) -> str:
-    """Rows with their Poisson weight w in each resample b that counts them."""
-    from math import exp, factorial
-
-    steps = [int(_P * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(9)]
-    w = " + ".join(f"(u >= {x})::int" for x in steps)
-    return f"""(select * from (select *, {w} as w from (select x.*, b, (seed * t + r) % {_P} as u from (select *, {_hash(unit)} % {_P} as seed from ({rows})) x,
-        (select b, {_hash("b", "'t'")} % {_P - 1} + 1 as t, {_hash("b", "'r'")} % {_P} as r from range(0, {n}) g(b)))) where w > 0)"""
+def _heads(n: str, *key: str) -> str:
+    return f"coalesce(list_sum(list_transform(range(0, ({n} + 31) // 32), lambda w: bit_count({_hash(*key, 'w')} & case when {n} - 32 * w >= 32 then 4294967295 else (1::bigint << ({n} - 32 * w)::int) - 1 end)::bigint))::bigint, 0)"
+
+
+def _binomial(d: str, part: str, whole: str, *key: str) -> str:
+    one, h = f"a.rest * 2 >= {whole}", _heads("a.open", *key, "i.open")
+    step = f"{{'inside': a.inside + case when {one} then a.open - {h} else 0 end, 'open': case when {one} then {h} else a.open - {h} end, 'rest': a.rest * 2 - case when {one} then {whole} else 0 end}}"
+    drawn = f"list_reduce(list_transform(range(1, 33), lambda k: {{'inside': 0::bigint, 'open': k::bigint, 'rest': 0::bigint}}), lambda a, i: {step}, {{'inside': 0::bigint, 'open': {d}, 'rest': {part}}}).inside"
+    return f"case when {part} <= 0 then 0 when {part} >= {whole} then {d} else {drawn} end"
+
+
+def _draws(rows: str, unit: str, n: int, by: str = "") -> str:
+    """Rows with the resample b and how often it draws them (w): within each group (by...) as many draws as it has units, split down
+    a tree over ranges of the units' hashes, and drawn with replacement within a range."""
+    rows, by = (rows, by) if by else (f"select *, 1 as all_ from ({rows})", "all_")
+    sp_ = f"((({_hash("'p'", '3', 'nd_', 'b')} % {_P} * j + {_hash("'p'", '2', 'nd_', 'b')} % {_P}) % {_P} * j + {_hash("'p'", '1', 'nd_', 'b')} % {_P}) % {_P} * j + {_hash("'p'", '0', 'nd_', 'b')} % {_P}) % {_P}"
+    same = " and ".join(f"tree.{c.strip()} = sz_.{c.strip()}" for c in by.split(","))
+    return f"""(with recursive src_ as materialized ({rows}), un_ as materialized (select distinct {by}, {unit} as unit_, {_hash(unit)} as h_ from src_),
+        deep_ as materialized (select greatest(0, ceil(log2(greatest(1, ceil(max(n) / 128.0::double)))))::bigint as deep_ from (select count(*) as n from un_ group by {by})),
+        sz_ as materialized (select {by}, lv_, h_ >> (32 - lv_)::int as nd_, count(*) as m_ from un_, (select unnest(range(0, (select deep_ from deep_) + 1)) as lv_) group by all),
+        tree as (select {by}, 0::bigint as lv_, nd_, m_, m_ as d_, b from sz_, range(0, {n}) r(b) where lv_ = 0
+            union all select {by}, lv_ + 1, 2 * nd_ + sd_, case sd_ when 0 then lm_ else m_ - lm_ end, case sd_ when 0 then ld_ else d_ - ld_ end, b from
+                (select *, {_binomial('d_', 'lm_', 'm_', "'l'", 'lv_', 'nd_', 'b')} as ld_ from (select tree.*, coalesce(sz_.m_, 0) as lm_ from tree left join sz_ on {same} and sz_.lv_ = tree.lv_ + 1 and sz_.nd_ = 2 * tree.nd_ where tree.lv_ < (select deep_ from deep_))), (values (0), (1)) s(sd_)
+                where case sd_ when 0 then lm_ else m_ - lm_ end > 0),
+        placed as materialized (select *, row_number() over (partition by {by}, nd_ order by h_, unit_) - 1 as sp_ from (select *, h_ >> (32 - (select deep_ from deep_))::int as nd_ from un_)),
+        picked as (select {by}, nd_, b, (({sp_}) * m_) // {_P} as sp_ from (select {by}, nd_, m_, b, unnest(range(0, d_)) as j from tree where lv_ = (select deep_ from deep_) and d_ > 0))
+        select src_.*, b, w from (select {by}, unit_, b, count(*) as w from picked join placed using ({by}, nd_, sp_) group by all) join (select *, {unit} as unit_ from src_) src_ using ({by}, unit_))"""
 
 
 def _tables(sql: str) -> list[str]:
@@ -243,9 +262,9 @@ def _sql(final: str) -> str:
     return f"with {heads}\n{final}" if names else final
 
 
-def _boot(rows: str, by: str, unit: str = "id", n: int = 5000) -> str:
-    """Means of resamples of rows (by..., unit, x)."""
-    return f"select {by}, b, sum(w * x) / sum(w) as mean from {_draws(rows, unit, n)} group by {by}, b"
+def _boot(rows: str, by: str, unit: str = "id", n: int = 5000, within: str = "") -> str:
+    """Means of resamples of rows (by..., unit, x), drawn within groups, those of the means unless given."""
+    return f"select {by}, b, sum(w * x) / sum(w) as mean from {_draws(rows, unit, n, within or by)} group by {by}, b"
 
 
 def _ci(rows: str, by: str, unit: str = "id") -> str:
@@ -402,7 +421,7 @@ _EFFECT_SUMS = """select factor, metric, n as n_ids, k as n_levels, g as grand_m
     join (select factor, metric, var_pop(m) as vs, stddev_samp(m) as sd from (select factor, metric, id, avg(x) as m from facfull group by all) group by all) using (factor, metric)"""
 _TAIL_P = "case n_levels when 5 then pow(y, h) * (1 + h * (1 - y)) else pow(y, h) end"
 _EFFECT_P = f"(select *, {_TAIL_P} as p from (select *, ((n_levels - 1) * (n_ids - 1)) / 2.0::double as h, ((n_levels - 1) * (n_ids - 1)) / (((n_levels - 1) * (n_ids - 1)) + (n_levels - 1) * f) as y from ({_EFFECT_SUMS})))"
-_RANGE = f"""(select factor, metric, quantile_cont(d, 0.025) as range_lo, quantile_cont(d, 0.975) as range_hi from (select factor, metric, b, max(mean) - min(mean) as d from ({_boot('select * from facfull', 'factor, metric, level')}) group by factor, metric, b) group by factor, metric)"""
+_RANGE = f"""(select factor, metric, quantile_cont(d, 0.025) as range_lo, quantile_cont(d, 0.975) as range_hi from (select factor, metric, b, max(mean) - min(mean) as d from ({_boot('select * from facfull', 'factor, metric, level', within='factor, metric')}) group by factor, metric, b) group by factor, metric)"""
 _MATCHED = _paired("""select factor, metric, best, id, a.x - b.x as x from (select factor, metric, level as best, id, x from facfull semi join
     (select factor, metric, arg_max(level, (m, level)) as level from (select factor, metric, level, avg(x) as m from facfull where level not in ('view', 'part0') group by all) group by all) t using (factor, metric, level)) a
     join (select factor, metric, id, x from facfull where level in ('view', 'part0')) b using (factor, metric, id)""", "factor, metric, best")
@@ -420,7 +439,7 @@ def _areas(rows: str, by: str, unit: str, n: int = 2000) -> str:
     """AUROC (by..., auroc, n, positives, lo, hi) of rows (by..., unit, s, y)."""
     plain = f"""(select {by}, count(*) as n, sum(y)::bigint as positives, case when sum(y) > 0 and sum(y) < count(*) then (sum(r) filter (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) end as auroc from
         (select *, rank() over (partition by {by} order by s) + (count(*) over (partition by {by}, s) - 1) / 2.0::double as r from ({rows}) where s is not null) group by {by})"""
-    drawn = f"(select {by}, b, s, sum(w) as n, sum(w * y) as pos from {_draws(f'select * from ({rows}) where s is not null', unit, n)} group by {by}, b, s)"
+    drawn = f"(select {by}, b, s, sum(w) as n, sum(w * y) as pos from {_draws(f'select * from ({rows}) where s is not null', unit, n, by)} group by {by}, b, s)"
     ranks = f"(select *, coalesce(sum(n) over (partition by {by}, b order by s rows between unbounded preceding and 1 preceding), 0) as below from {drawn})"
     area = f"(select {by}, b, case when sum(pos) > 0 and sum(pos) < sum(n) then (sum(pos * (below + (n + 1) / 2.0::double)) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * (sum(n) - sum(pos))) end as area from {ranks} group by {by}, b)"
     return f"{plain} left join (select {by}, quantile_cont(area, 0.025) as lo, quantile_cont(area, 0.975) as hi from {area} where area is not null group by {by}) using ({by})"
@@ -434,7 +453,7 @@ _BAND_SUMS = "select {by}question_id, count(*) filter (band = 'high') as nh, cou
 def _high_low(by: str) -> str:
     g, rows = (f"{by}, " if by else ""), _BAND_SUMS.format(by=f"{by}, " if by else "")
     base = f"(select {g}sum(ch) / nullif(sum(nh), 0)::double as high, sum(cl) / nullif(sum(nl), 0)::double as low from ({rows}) {'group by ' + by if by else ''})"
-    diffs = f"(select {g}b, sum(w * ch) / nullif(sum(w * nh), 0)::double - sum(w * cl) / nullif(sum(w * nl), 0)::double as d from {_draws(rows, 'question_id', 1000)} group by {g}b)"
+    diffs = f"(select {g}b, sum(w * ch) / nullif(sum(w * nh), 0)::double - sum(w * cl) / nullif(sum(w * nl), 0)::double as d from {_draws(rows, 'question_id', 1000, by)} group by {g}b)"
     ci = f"(select {g}quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi from {diffs} where d is not null {'group by ' + by if by else ''})"
     return f"select {g}{_SIX('high', 'low', 'lo', 'hi')}, round(high - low, 6) as diff from {base} left join {ci} {f'using ({by})' if by else 'on true'}"
 
@@ -580,4 +599,16 @@ _FINAL |= {
 _FINAL["citation_band_table"] = _FINAL["citation_band_table"].replace(_abstains("answer"), f"{_abstains('answer')} or {_abstains(_BODY)}")
 del _FINAL["centre_identity"]
 
+
+def _extracted(prompt: str, query: str) -> str:
+    terms = f"list_filter(regexp_extract_all(lower({query}), '\\S+'), lambda w: length(w) > 3)"
+    return f"coalesce(list_filter(list_transform(string_split(replace({prompt}, chr(10), ' '), '. '), lambda s: trim(s)), lambda s: list_has_any(regexp_extract_all(lower(s), '\\S+'), {terms}))[1], 'INSUFFICIENT EVIDENCE')"
+
+
+_FINAL |= {
+    "corpus_from_json": "select doc_id::varchar as doc_id, coalesce(array_to_string(string_split(text, ' ')[1:5], ' '), '') as title, md5(coalesce(text, '')) as digest, length(coalesce(text, '')) as n_chars from documents where doc_id is not null",
+    "corpus_composition": "select split as part, count(*) as n from asked group by 1 union all select 'documents', count(*) from documents",
+    "resumed_generation": f"select conv_id * 1000 + turn as question_id, split, {_extracted('answer', 'question')} as answer from recs",
+}
+
 ORACLES: dict[str, str] = {name: _sql(sql) for name, sql in _FINAL.items()}

@@ -18,7 +18,10 @@ from .operators import models as M
 from .operators import retrieval as R
 from .operators import statistics as B
 from .plans.runs import ARMS, CENTRE, FACTOR_BASELINES, FACTOR_DIRECTIONS, PATH, RETRIEVERS, RetrievalRun, factors, hash_vectors, levels, lines, records, reviewed, scored_labels
+from .sources import sinks as K
+from .sources import tables as S
 from .sources.tables import answer_records, hashed, table
+from .streaming import resume as L
 from .streaming.resume import missing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +59,22 @@ def questions(spark, d):
     return RetrievalRun(spark, d).asked
 
 
+@query
+def corpus_from_json(spark, d):
+    """Documents by way of JSON maps, written by many tasks and read back in ranges of bytes."""
+    path = K.scratch(spark, "corpus")
+    docs = _docs(spark, d).withColumn("title", F.array_join(F.slice(F.split("text", " "), 1, 5), " "))
+    K.save_map(docs, path, "doc_id")
+    rows = S.corpus(spark, path, size=1 << 20)
+    return rows.select("doc_id", "title", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def corpus_composition(spark, d):
+    """Questions of each split, and documents."""
+    return S.composition(RetrievalRun(spark, d).asked, _docs(spark, d))
+
+
 @query
 def gold_text(spark, d):
     run = RetrievalRun(spark, d)
@@ -434,6 +453,20 @@ def resume_antijoin(spark, d):
     return missing(rows, rows.where(hashed(F.col("question_id")) % 2 == 0))
 
 
+@query
+def resumed_generation(spark, d):
+    """Answers to the questions of conversations, which arrive in files; a third of the questions arrive again in a later one."""
+    schema = "question_id long, split string, query string, prompt string"
+    rows = answer_records(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "split", F.col("question").alias("query"), F.col("answer").alias("prompt"))
+    part = F.explode(F.when(F.col("question_id") % 3 == 0, F.array(F.col("question_id") % 2, F.lit(2))).otherwise(F.array(F.col("question_id") % 2))).alias("part")
+    asked, said = K.scratch(spark, "questions"), K.scratch(spark, "answers")
+    rows.select("*", part).repartition("part").write.partitionBy("part").json(asked)
+    source = L.question_stream(spark, f"{asked}/part=*", schema)
+    answer = lambda batch: A.generate(batch).select("question_id", "split", "answer")
+    L.stream_records(source, answer, said, f"{said}/_stream", "question_id long, split string, answer string").awaitTermination()
+    return L.committed(spark, said, "question_id long, split string, answer string")
+
+
 # Attribution
 
 

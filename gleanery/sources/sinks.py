@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,17 +69,63 @@ def read_through(spark: SparkSession, path: str, build, rows: int | None = None)
     return spark.read.parquet(path)
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written once to the folder that ``spark.checkpoint.dir`` names and read from there.
+def save_map(df: DataFrame, path: str, key: str) -> None:
+    """Each part file a JSON map from ``key`` to the other columns. Rows with a null key are left out; repeated keys stay."""
+    rest = [c for c in df.columns if c != key]
+    rows = df.where(F.col(key).isNotNull()).select(F.to_json(F.array(F.col(key).cast("string"))).alias("k"), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("v"))
 
-    Where that setting is unset, only a local master gets a folder of its own, below the warehouse.
-    """
-    spark = df.sparkSession
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opens = "{"
+        for batch in batches:
+            found = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found.append(f"{opens}{k[1:-1]}: {v}")
+                opens = ", "
+            yield pa.RecordBatch.from_pydict({"value": pa.array(found, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": ["{}" if opens == "{" else "}"]})
+
+    rows.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
+_kept: dict[str, set[str]] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where that setting is unset, only a local master gets a folder of its own,
+    below the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder, deleted when the interpreter ends or by ``released``."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not _kept:
+        atexit.register(_clear)
+    _kept.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def released(spark: SparkSession, path: str) -> None:
+    """Delete what a path of ``scratch`` holds."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _kept.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in list(_kept.get(spark.sparkContext.applicationId, ())):
+            released(spark, path)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written once to the shared folder, compressed, and read from there."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
+from .json_map import RANGE, read_map
 from .sinks import finite
 
 #: Candidate documents that are drawn for each question, beside its gold document.
@@ -110,19 +111,36 @@ def answer_records(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.col("text").alias("question"), "answer", "context", F.when(F.col("conv_id") % 2 == 0, "train").otherwise("dev").alias("split"))
 
 
-def corpus(spark: SparkSession, path: str, sections: str | None = None) -> DataFrame:
-    """doc_id, title, text, sections of a JSON map id -> {title, text}; sections from another map, those out of range left out."""
-    body = "map<string,struct<title:string,text:string>>"
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", body)).alias("doc_id", "d"))
-    rows = raw.select("doc_id", F.coalesce("d.title", F.lit("")).alias("title"), F.coalesce("d.text", F.lit("")).alias("text"))
+def corpus(spark: SparkSession, path: str, sections: str | None = None, size: int = RANGE) -> DataFrame:
+    """doc_id, title, text, sections of JSON maps id -> {title, text}, read in ranges of ``size`` bytes.
+
+    Missing titles and texts are empty. Sections come from another map, id -> {sections: [{start, end}]}, in order; those
+    that do not lie within the text are left out.
+    """
+    d = F.from_json("value", "struct<title:string,text:string>")
+    rows = read_map(spark, path, size).select(F.col("key").alias("doc_id"), d.alias("d"))
+    rows = rows.select("doc_id", F.coalesce("d.title", F.lit("")).alias("title"), F.coalesce("d.text", F.lit("")).alias("text"))
     if sections is None:
         return rows.withColumn("sections", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    spans = spark.read.text(sections, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<sections:array<struct<start:int,end:int>>>>")).alias("doc_id", "s"))
+    spans = read_map(spark, sections, size).select(F.col("key").alias("doc_id"), F.from_json("value", "struct<sections:array<struct<start:int,end:int>>>").alias("s"))
     rows = rows.join(spans, "doc_id", "left")
     inside = F.filter("s.sections", lambda x: (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= F.length("text")))
     return rows.select("doc_id", "title", "text", F.array_sort(inside).alias("sections"))
 
 
+def composition(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """part, n: questions of each split, and documents."""
+    splits = asked.groupBy(F.col("split").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return splits.unionByName(docs.agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents").alias("part"), "n"))
+
+
+def composed(asked: DataFrame, docs: DataFrame, expected: dict[str, int]) -> None:
+    """An error that says which parts do not have the expected size, other parts included."""
+    found = {r["part"]: r["n"] for r in composition(asked, docs).collect()}
+    if wrong := {p: (found.get(p, 0), expected.get(p, 0)) for p in sorted(found.keys() | expected.keys()) if found.get(p, 0) != expected.get(p, 0)}:
+        raise ValueError(f"unlike the expected composition (found, expected): {wrong}")
+
+
 def question_files(spark: SparkSession, train: str, dev: str) -> DataFrame:
     """Questions of two JSON lists, with their split, the query (title and text) and offsets where they are numbers."""
     schema = "QUESTION_ID string, QUESTION_TITLE string, QUESTION_TEXT string, ANSWERABLE string, DOCUMENT string, START_OFFSET string, END_OFFSET string, DOC_IDS array<string>"
