@@ -10,11 +10,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+from ..sources.tables import hashed
 from .retrieval import encoded
 
+#: Components of the stand-in for an encoder of long contexts.
+LONG_DIMENSIONS = 128
+
 Encoder = Callable[[list[str]], np.ndarray]
 #: For each text, where its tokens start and end, and one vector for each token.
 TokenEncoder = Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]
@@ -67,47 +72,91 @@ def relevancy(answers: DataFrame, key: list[str]) -> DataFrame:
     return out.select(*key, F.when(F.col("_live"), F.coalesce("cosine", F.lit(0.0))).alias("relevancy"))
 
 
-def late_chunk_embeddings(chunks: DataFrame, docs: DataFrame, load: Callable[[], TokenEncoder]) -> DataFrame:
-    """doc_id, chunk_no, vector, beyond: each document is encoded whole and once; a chunk's vector is the mean of the vectors of
-    the tokens that overlap it, at unit length. A chunk beyond what the encoder reached gets the mean of all tokens."""
-    spans = chunks.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_no", "char_start", "char_end")).alias("spans"))
+def token_vectors(docs: DataFrame, load: Callable[[], TokenEncoder]) -> DataFrame:
+    """doc_id, token_no, char_start, char_end, vector of every token that an encoder gives for whole documents, in batches of texts.
+    Tokens without characters are left out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = once(load)
         for pdf in frames:
-            out = []
-            for doc, text, parts in pdf[["doc_id", "text", "spans"]].itertuples(index=False):
-                at, v = encode([text or ""])[0]
+            made = encode([t or "" for t in pdf["text"]])
+            for doc, (at, v) in zip(pdf["doc_id"], made):
                 at = np.asarray(at, np.int64).reshape(-1, 2)
-                whole = v.mean(0) if len(v) else np.zeros(v.shape[-1] if v.ndim > 1 else 1)
-                for p in parts:
-                    inside = (at[:, 1] > p["char_start"]) & (at[:, 0] < p["char_end"]) & (at[:, 1] > at[:, 0])
-                    out.append((doc, p["chunk_no"], unit(v[inside].mean(0) if inside.any() else whole).astype(np.float32), not inside.any()))
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "vector", "beyond"])
+                live = np.flatnonzero(at[:, 1] > at[:, 0])
+                if len(live):
+                    yield pd.DataFrame({"doc_id": doc, "token_no": live, "char_start": at[live, 0], "char_end": at[live, 1], "vector": list(np.asarray(v, np.float64)[live])})
 
-    return docs.select("doc_id", "text").join(spans, "doc_id").mapInPandas(run, "doc_id long, chunk_no int, vector array<float>, beyond boolean")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, token_no int, char_start int, char_end int, vector array<double>")
 
 
-def late_vectors(chunks: DataFrame, docs: DataFrame, weight: float = 0.5) -> DataFrame:
-    """doc_id, chunk_no, dim, x: the stand-in for late chunking. A token's vector is its hashed dimension plus ``weight`` times the
-    mean over its document; a chunk's is their mean, at unit length. ``chunks`` have their text."""
-    key = ["doc_id", "chunk_no"]
-    share = lambda df, by: _counts(df, by).withColumn("x", F.col("c") / F.col("n")).drop("c", "n")
-    own = share(chunks, key)
-    whole = share(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", "dim", (F.col("x") * weight).alias("x"))
-    spread = own.select(*key).distinct().join(whole, "doc_id").select(*key, "dim", "x")
-    both = own.unionByName(spread).groupBy(*key, "dim").agg(F.sum("x").alias("x"))
-    size = both.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    return both.join(size, key).select(*key, "dim", (F.col("x") / F.col("size")).alias("x"))
+def token_spans(docs: DataFrame, token: str = "[A-Za-z0-9_./+-]+") -> DataFrame:
+    """doc_id, token_no, char_start, char_end, token of what a character class matches in each text."""
+    inner = token.removeprefix("[").removesuffix("]+")
+    parts = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[{inner}]+|[^{inner}]+"), F.lit(0))).alias("token_no", "token"))
+    end = F.sum(F.length("token")).over(Window.partitionBy("doc_id").orderBy("token_no")).cast("int")
+    return parts.withColumn("char_end", end).where(F.regexp_like("token", F.lit(f"^[{inner}]"))).select("doc_id", "token_no", (F.col("char_end") - F.length("token")).alias("char_start"), "char_end", "token")
+
+
+def overlapping(tokens_: DataFrame, chunks: DataFrame, width: int = 1024) -> DataFrame:
+    """Tokens with the ``chunk_no`` of each chunk of their document that they overlap: an equi-join on bins of ``width`` characters.
+
+    A pair that shares several bins is kept in the first one that both have.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(a, b - 1) / width)))
+    left = tokens_.withColumn("bin", bins(F.col("char_start"), F.col("char_end")))
+    right = chunks.select("doc_id", "chunk_no", F.col("char_start").alias("_a"), F.col("char_end").alias("_b"), bins(F.col("char_start"), F.col("char_end")).alias("bin"))
+    both = left.join(right, ["doc_id", "bin"]).where((F.col("char_start") < F.col("_b")) & (F.col("char_end") > F.col("_a")))
+    first = F.greatest(F.floor(F.col("char_start") / width), F.floor(F.col("_a") / width))
+    return both.where(F.col("bin") == first).drop("bin", "_a", "_b")
+
+
+def _unit(v: Column) -> Column:
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return bind(size, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float")))
+
 
+def _mean(vectors: Column) -> Column:
+    """The mean of an array of vectors."""
+    add = F.aggregate(F.slice(vectors, F.lit(2), F.size(vectors)), vectors[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return F.transform(add, lambda x: x / F.size(vectors))
 
-def _counts(rows: DataFrame, by: list[str]) -> DataFrame:
-    from ..functions.text import tokens
-    from ..sources.tables import hashed
-    from .retrieval import DIMENSIONS
 
-    dims = rows.select(*by, F.explode(tokens(F.col("text"))).alias("t")).groupBy(*by, (hashed(F.col("t")) % DIMENSIONS).alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    return dims.join(dims.groupBy(*by).agg(F.sum("c").alias("n")), by)
+def late_chunk_embeddings(chunks: DataFrame, docs: DataFrame, load: Callable[[], TokenEncoder]) -> DataFrame:
+    """doc_id, chunk_no, vector, beyond: each document is encoded whole and once; a chunk's vector is the mean of the vectors of
+    the tokens that overlap it, at unit length. A chunk beyond what the encoder reached gets the mean of all its document's
+    tokens, and null where there is none.
+
+    Tokens meet chunks as intervals. A chunk's tokens, which its size bounds, are added in their order; the means of whole
+    documents are made by component, and only for documents that need one.
+    """
+    from ..sources.sinks import materialised
+
+    vectors = materialised(token_vectors(docs.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi"), load))
+    pooled = overlapping(vectors, chunks).groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("token_no", "vector"))).alias("t"))
+    pooled = pooled.select("doc_id", "chunk_no", _mean(F.col("t.vector")).alias("own"))
+    rows = chunks.select("doc_id", "chunk_no").join(pooled, ["doc_id", "chunk_no"], "left")
+    needs = rows.where("own is null").select("doc_id").distinct()
+    parts = vectors.join(needs, "doc_id", "left_semi").select("doc_id", F.posexplode("vector").alias("at", "x")).groupBy("doc_id", "at").agg(F.avg("x").alias("x"))
+    whole = parts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("whole"))
+    return rows.join(whole, "doc_id", "left").select("doc_id", "chunk_no", _unit(F.coalesce("own", "whole")).alias("vector"), F.isnull("own").alias("beyond"))
+
+
+def late_vectors(chunks: DataFrame, docs: DataFrame, weight: float = 0.5, dimensions: int = LONG_DIMENSIONS) -> DataFrame:
+    """doc_id, chunk_no, dim, x: the stand-in for late chunking, by the same join of tokens and chunks.
+
+    A token's vector is its hashed dimension plus ``weight`` times the mean over its document; a chunk's is the mean over the
+    tokens that overlap it, at unit length. Chunks without a token get the document's mean.
+    """
+    key = ["doc_id", "chunk_no"]
+    spans = token_spans(docs).withColumn("dim", hashed(F.lower("token")) % dimensions)
+    count = lambda df, by: df.groupBy(*by, "dim").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    share = lambda df, by: df.join(df.groupBy(*by).agg(F.sum("c").alias("n")), by).withColumn("x", F.col("c") / F.col("n")).drop("c", "n")
+    own = share(count(overlapping(spans, chunks), key), key).select(*key, "dim", "x")
+    whole = share(count(spans, ["doc_id"]), ["doc_id"]).select("doc_id", "dim", (F.col("x") * weight).alias("x"))
+    both = own.unionByName(chunks.select(*key).join(whole, "doc_id").select(*key, "dim", "x")).groupBy(*key, "dim").agg(F.sum("x").alias("x"))
+    size = both.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    return both.join(size, key).select(*key, "dim", (F.col("x") / F.col("size")).alias("x"))
 
 
 def query_text(query: Column, prefix: str = "Represent this sentence for searching relevant passages: ") -> Column:

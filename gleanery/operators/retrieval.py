@@ -59,17 +59,17 @@ def bm25(asked: DataFrame, pairs: DataFrame, texts: DataFrame, k1: float = K1, b
     return pairs.join(hits, ["question_id", *ROW], "left").select("question_id", *ROW, F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
 
 
-def encoded(rows: DataFrame, key: list[str], text: str) -> DataFrame:
+def encoded(rows: DataFrame, key: list[str], text: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """key, dim, x: unit vectors of hashed term counts, as rows of their components; the stand-in for a neural encoder."""
-    dims = rows.select(*key, F.explode(tokens(F.col(text))).alias("t")).groupBy(*key, (hashed(F.col("t")) % DIMENSIONS).alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    dims = rows.select(*key, F.explode(tokens(F.col(text))).alias("t")).groupBy(*key, (hashed(F.col("t")) % dimensions).alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     norm = dims.groupBy(*key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     return dims.join(norm, key).select(*key, "dim", (F.col("c") / F.col("norm")).alias("x"))
 
 
-def dense(asked: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Dot product of question and chunk vectors for each candidate."""
-    q = encoded(asked, ["question_id"], "query").withColumnRenamed("x", "q")
-    c = encoded(texts, ROW, "text")
+def dense(asked: DataFrame, pairs: DataFrame, texts: DataFrame, vectors: DataFrame | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Dot product of question and chunk vectors for each candidate; ``vectors`` (chunk, dim, x) where they are not the texts' own."""
+    q = encoded(asked, ["question_id"], "query", dimensions).withColumnRenamed("x", "q")
+    c = encoded(texts, ROW, "text", dimensions) if vectors is None else vectors
     hits = pairs.join(q, "question_id").join(c, [*ROW, "dim"]).groupBy("question_id", *ROW).agg(F.sum(F.col("q") * F.col("x")).alias("score"))
     return pairs.join(hits, ["question_id", *ROW], "left").select("question_id", *ROW, F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
 

@@ -55,6 +55,78 @@ def _chunks(source: str, size: int, stride: int) -> str:
     return f"(select doc_id, chunk_no, coalesce(s0, 0) as char_start, char_end, n_words from ({_windows(source, size, stride)}))"
 
 
+def _word_rows(source: str) -> str:
+    """Words with their characters, the strength of the break before them, and their line."""
+    return f"""(select doc_id, row_number() over (partition by doc_id order by i) - 1 as wn, (e - length(part))::bigint as s, e::bigint as e, line,
+        case when regexp_matches(gap, '\\n[ \\t]*\\n') then 3 when contains(gap, chr(10)) then 2 when before <> '' and contains('.!?;:', right(before, 1)) then 1 else 0 end as st
+        from (select doc_id, i, part, sum(length(part)) over w as e, coalesce(lag(part) over w, '') as gap, coalesce(lag(part, 2) over w, '') as before, coalesce(sum(length(part) - length(replace(part, chr(10), ''))) over (w rows between unbounded preceding and 1 preceding), 0) as line
+              from (select doc_id, unnest(p) as part, generate_subscripts(p, 1) as i from (select doc_id, regexp_extract_all(text, '\\S+|\\s+') as p from {source})) window w as (partition by doc_id order by i))
+        where not regexp_matches(part, '^\\s'))"""
+
+
+def _numbered(words: str, by: str, size: int) -> str:
+    """Words with the number of their piece (k) within by."""
+    return f"""(select *, sum(b_::int) over (partition by {by} order by wn) - 1 as k from (select *, f_ or case lv when 4 then false when 0 then run_ % {size} = 0 else st >= lv end as b_ from
+        (select *, case when n_ <= {size} then 4 when c3 <= {size} then 3 when c2 <= {size} then 2 when c1 <= {size} then 1 else 0 end as lv from
+         (select *, count(*) over (partition by {by}, s3) as c3, count(*) over (partition by {by}, s2) as c2, count(*) over (partition by {by}, s1) as c1, row_number() over (partition by {by}, s1 order by wn) - 1 as run_ from
+          (select *, sum((f_ or st >= 3)::int) over w as s3, sum((f_ or st >= 2)::int) over w as s2, sum((f_ or st >= 1)::int) over w as s1 from
+           (select *, count(*) over (partition by {by}) as n_, row_number() over (partition by {by} order by wn) = 1 as f_ from {words}) window w as (partition by {by} order by wn)))))) """
+
+
+def _pieces(words: str, by: str, size: int) -> str:
+    return f"(select {by}, k, count(*) as units, min(s) as s, max(e) as e from {_numbered(words, by, size)} group by {by}, k)"
+
+
+def _packed(pieces: str, by: str, size: int, tail: int, forced: str = "false") -> str:
+    """Chunks (by..., c, s, e) of pieces, by following from each chunk's end to the next."""
+    same = lambda a, b: " and ".join(f"{a}.{c.strip()} = {b}.{c.strip()}" for c in by.split(","))
+    return f"""(with recursive p_ as materialized (select * from {pieces}),
+        t_ as (select {by}, k, units, s, e, coalesce(sum(units) over (partition by {by} order by k rows between unbounded preceding and 1 preceding), 0)::bigint as total, {forced} as stops from p_
+               union all select {by}, max(k) + 1, null, null, null, sum(units)::bigint, true from p_ group by {by}),
+        u_ as (select *, max(k) over (partition by {by} order by total range between current row and {size} following) as full_, min(k) over (partition by {by} order by total range between {tail} preceding and current row) as kept,
+               min(k) over (partition by {by} order by total range between {size} preceding and current row) as room from t_),
+        v_ as (select *, lead(room) over (partition by {by} order by k) as next_room, min(case when stops then k end) over (partition by {by} order by k rows between 1 following and unbounded following) as stop from u_),
+        x_ as materialized (select *, case when stops or k = 0 then k else least(k, greatest(kept, next_room)) end as beg from v_),
+        y_ as materialized (select {", ".join("x_." + c.strip() for c in by.split(","))}, x_.k, x_.beg, least(greatest(b.full_, x_.k + 1), x_.stop) as nxt from x_ join x_ b on {same("x_", "b")} and b.k = x_.beg where x_.stop is not null),
+        z_ as (select {by}, 0 as c, beg, nxt from y_ where k = 0 union all select {", ".join("y_." + c.strip() for c in by.split(","))}, z_.c + 1, y_.beg, y_.nxt from z_ join y_ on {same("z_", "y_")} and y_.k = z_.nxt)
+        select {", ".join("z_." + c.strip() for c in by.split(","))}, z_.c, a.s, b.e, q.total - a.total as units from z_ join x_ a on {same("z_", "a")} and a.k = z_.beg join x_ b on {same("z_", "b")} and b.k = z_.nxt - 1 join x_ q on {same("z_", "q")} and q.k = z_.nxt)"""
+
+
+def _ordered(chunks: str, order: str = "c") -> str:
+    return f"(select doc_id, row_number() over (partition by doc_id order by o_) - 1 as chunk_no, s as char_start, e as char_end from (select doc_id, s, e, min(({order})) as o_ from {chunks} group by all))"
+
+
+def _plain_chunks(source: str, size: int, tail: int) -> str:
+    return _ordered(_packed(_pieces(_word_rows(source), "doc_id", size), "doc_id", size, tail))
+
+
+def _line_chunks(source: str, size: int, tail: int) -> str:
+    """Lines as sections: one that is too long is cut on its own, and both it and the line behind it begin chunks."""
+    words = f"(select *, count(*) over (partition by doc_id, line) > {size} as long from {_word_rows(source)})"
+    free = f"(select doc_id, line, 0 as k, count(*) as units, min(s) as s, max(e) as e from {words} where not long group by doc_id, line)"
+    cut = _packed(_pieces(f"(select * from {words} where long)", "doc_id, line", size), "doc_id, line", size, tail)
+    every = f"""(with l_ as materialized (select distinct doc_id, line from {words} where long)
+        select doc_id, row_number() over (partition by doc_id order by line, k) - 1 as k, units, s, e, forced from
+        (select f.doc_id, f.line, k, units, s, e, l_.line is not null as forced from {free} f left join l_ on l_.doc_id = f.doc_id and l_.line = f.line - 1 union all select doc_id, line, c, units, s, e, true from {cut}))"""
+    return _ordered(_packed(every, "doc_id", size, 0, "forced"))
+
+
+def _semantic_chunks(source: str, size: int, tail: int) -> str:
+    """Stretches between pieces of up to 64 words that are further apart than 95 % of their document's, each piece with its neighbours."""
+    by = "doc_id, part"
+    around = f"(select doc_id, k, substr(text, a + 1, b - a) as text from (select doc_id, k, coalesce(lag(s) over w, s) as a, coalesce(lead(e) over w, e) as b from many window w as (partition by doc_id order by k)) join {source} using (doc_id))"
+    vectors = f"(select doc_id, k, dim, c / sqrt(sum(c * c) over (partition by doc_id, k)) as x from (select doc_id, k, {_hash('t')} % 64 as dim, count(*)::double as c from (select doc_id, k, unnest({_tokens('text')}) as t from {around}) group by all))"
+    return f"""(with numbered as materialized (select * exclude (k), k as piece from {_numbered(_word_rows(source), 'doc_id', 64)}),
+        rows_ as materialized (select *, count(*) over (partition by doc_id) as n from (select doc_id, piece as k, count(*) as units, min(s) as s, max(e) as e from numbered group by all)),
+        many as materialized (select * from rows_ where n > 2), vec as materialized {vectors},
+        apart as materialized (select m.doc_id, m.k, round(1 - coalesce(y, 0), 9) as apart from many m left join (select a.doc_id, b.k, sum(a.x * b.x) as y from vec a join vec b on b.doc_id = a.doc_id and b.k = a.k + 1 and b.dim = a.dim group by all) using (doc_id, k) where m.k > 0),
+        opens as (select m.*, sum(coalesce(apart > lim, false)::int) over (partition by m.doc_id order by m.k) as g from many m left join apart using (doc_id, k) left join (select doc_id, round(quantile_cont(apart, 0.95), 9) as lim from apart group by 1) using (doc_id)),
+        heads as (select *, row_number() over (partition by doc_id, g order by k) = 1 and (sum(units) over (partition by doc_id, g) >= 16 or g = 0) as head from opens),
+        parts as (select doc_id, k as piece, sum(head::int) over (partition by doc_id order by k) as part from heads),
+        held as materialized (select numbered.* exclude (n_, f_, s1, s2, s3, c1, c2, c3, run_, lv, b_), part, count(*) over (partition by doc_id, part) as held from numbered join parts using (doc_id, piece))
+        select * from {_ordered(f"(select doc_id, 0 as part, c, s, e from {_packed('(select * from rows_ where n <= 2)', 'doc_id', size, tail)} union all select doc_id, part, 0, min(s), max(e) from held where held <= {size} group by all union all select doc_id, part, c, s, e from {_packed(_pieces(f'(select * exclude (held) from held where held > {size})', by, size), by, size, tail)})", "part, c")})"""
+
+
 #: What the evaluation queries share, in order of use.
 _BASE = {
     "asked": """select b.item_id as question_id, array_to_string(string_split(b.text, ' ')[1:12], ' ') as query, case when b.item_id % 2 = 0 then 'train' else 'dev' end as split,
@@ -134,18 +206,34 @@ _BASE = {
 _BODY = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(answer, ''), '(?ims)^[ \t]*\**evidence\**[ \t]*:.*\z', ''), '\[?\b[A-Za-z0-9]+::chunk_\d+\b\]?', '', 'g'), '\s{2,}', ' ', 'g'), " + _BLANK + ")"
 _CITED = r"regexp_extract_all(answer, '[A-Za-z0-9]+::chunk_\d+')"
 
-#: What depends on the segmentation, and comes again for windows without overlap under names that end in _fixed.
+#: What depends on the segmentation, and comes again for other methods under names with their ending.
 _CUT = ("chunks", "texts", "pairs", "post", "weights", "bm25", "cv", "dense", "r_bm25", "r_dense", "r_rrf", "z_bm25", "z_dense", "r_weighted", "r_reranked", "ranks", "top20", "gold_rank", "ctx", "cover", "traces", "hits", "d1", "d2", "d3", "d4", "d5", "ceil")
 
 
-def _renamed(sql: str) -> str:
-    return re.sub(r"(?<!')\b(" + "|".join(_CUT) + r")\b(?!')", r"\1_fixed", sql)
-
-
-_BASE |= {f"{n}_fixed": _chunks("visible", 64, 64) if n == "chunks" else _renamed(_BASE[n]) for n in _CUT}
-_BASE["staged"] = """select t.*, c.ceiling, case when coalesce(c.ceiling, 1) < 0.8 then 'S1' when not in_top_20 then 'S2' when not (in_top_5 and coverage >= 0.8) then 'S3' else 'R' end as stage
-    from (select * from traces union all select * replace ('fixed_window' as configuration) from traces_fixed where configuration = 'dense') t
-    left join (select 'x' as m, * from ceil union all select 'fixed_window', * from ceil_fixed) c on c.question_id = t.question_id and c.m = case when configuration = 'fixed_window' then 'fixed_window' else 'x' end"""
+def _renamed(sql: str, end: str, names: tuple[str, ...] = _CUT) -> str:
+    return re.sub(r"(?<!')\b(" + "|".join(names) + r")\b(?!')", rf"\1_{end}", sql)
+
+
+#: Other segmentations, and other vectors over the centre's chunks, by the ending of their names.
+_METHODS = {"fixed": "fixed_window", "lines": "recursive_structure", "sem": "semantic_breakpoint", "ctx": "sliding_window_longctx", "late": "late_chunking"}
+_OWN = {"fixed": _chunks("visible", 64, 64), "lines": f"select * from {_line_chunks('visible', 64, 6)}", "sem": f"select * from {_semantic_chunks('visible', 64, 6)}"}
+for _end in _OWN:
+    _BASE |= {f"{n}_{_end}": _OWN[_end] if n == "chunks" else _renamed(_BASE[n], _end) for n in _CUT}
+_LONG = ("qv", "cv", "dense", "r_dense", "ranks", "top20", "gold_rank", "ctx", "cover", "traces")
+for _end in ("ctx", "late"):
+    _BASE |= {f"{n}_{_end}": _renamed(_BASE[n].replace("% 64", "% 128"), _end, _LONG) for n in _LONG}
+    _BASE[f"ranks_{_end}"] = f"select 'dense' as configuration, * from r_dense_{_end}"
+_BASE["tok"] = rf"""select doc_id, e - length(part) as s, e, {_hash("lower(part)")} % 128 as dim from (select doc_id, part, sum(length(part)) over (partition by doc_id order by i) as e from
+    (select doc_id, unnest(p) as part, generate_subscripts(p, 1) as i from (select doc_id, regexp_extract_all(text, '[A-Za-z0-9_./+-]+|[^A-Za-z0-9_./+-]+') as p from visible))) where regexp_matches(part, '^[A-Za-z0-9_./+-]')"""
+_BASE["cv_late"] = """select doc_id, chunk_no, dim, x / sqrt(sum(x * x) over (partition by doc_id, chunk_no)) as x from (select doc_id, chunk_no, dim, sum(x) as x from
+    (select doc_id, chunk_no, dim, c / sum(c) over (partition by doc_id, chunk_no) as x from (select c.doc_id, chunk_no, dim, count(*)::double as c from chunks c join tok t on t.doc_id = c.doc_id and t.s < c.char_end and t.e > c.char_start group by all)
+     union all select c.doc_id, chunk_no, dim, 0.5::double * n / sum(n) over (partition by c.doc_id, chunk_no) from chunks c join (select doc_id, dim, count(*)::double as n from tok group by all) w on w.doc_id = c.doc_id) group by all)"""
+_ARM_TRACES = "select * from traces union all " + " union all ".join(f"select * replace ('{m}' as configuration) from traces_{e} where configuration = 'dense'" for e, m in _METHODS.items())
+_METHOD_TRACES = "select 'sliding_window' as method, * from traces where configuration = 'dense' union all " + " union all ".join(f"select '{m}' as method, * from traces_{e} where configuration = 'dense'" for e, m in _METHODS.items())
+_METHOD_CEILINGS = "select 'sliding_window' as method, * from ceil union all " + " union all ".join(f"select '{m}', * from ceil{'_' + e if e in _OWN else ''}" for e, m in _METHODS.items())
+_BASE["staged"] = f"""select t.*, c.ceiling, case when coalesce(c.ceiling, 1) < 0.8 then 'S1' when not in_top_20 then 'S2' when not (in_top_5 and coverage >= 0.8) then 'S3' else 'R' end as stage
+    from ({_ARM_TRACES}) t
+    left join ({_METHOD_CEILINGS}) c on c.question_id = t.question_id and c.method = case when configuration in ({", ".join(f"'{m}'" for m in _METHODS.values())}) then configuration else 'sliding_window' end"""
 
 
 def _scored(source: str, keys: str) -> str:
@@ -172,7 +260,7 @@ _ANSWER = """select c.configuration, q.question_id, q.split, q.answerable, q.que
 _BASE["shown"] = """select configuration, question_id, list(concat(doc_id, '::chunk_', chunk_no) order by rnk) as ids, array_to_string(list(concat(doc_id, '::chunk_', chunk_no) order by rnk), '|') as segment_ids,
     array_to_string(list(text order by rnk), ' ') as context, arg_min(text, rnk) as first from
     (select r.configuration, r.question_id, r.doc_id, r.chunk_no, r.rnk, t.text from ranks r join texts t using (doc_id, chunk_no) where rnk <= 5
-     union all select 'fixed_window', r.question_id, r.doc_id, r.chunk_no, r.rnk, t.text from r_dense_fixed r join texts_fixed t using (doc_id, chunk_no) where rnk <= 5) group by all"""
+     """ + " ".join(f"union all select '{m}', r.question_id, r.doc_id, r.chunk_no, r.rnk, t.text from r_dense_{e} r join texts{'_' + e if e in _OWN else ''} t using (doc_id, chunk_no) where rnk <= 5" for e, m in _METHODS.items()) + ") group by all"
 for _v, _most, _words in ((1, 3, 20), (2, 1, 40)):
     _declines, _cites = (_hash("question_id", "configuration", f"'{w}'") for w in ("declines", "cites"))
     _BASE[f"gen{_v}"] = _ANSWER.format(declines=_declines, most=_most, words=_words, cites=_cites)
@@ -259,7 +347,7 @@ def _needs(sql: str) -> list[str]:
 def _sql(final: str) -> str:
     names = _needs(final)
     heads = ",\n".join(f"{n} as materialized ({_BASE[n]})" for n in names)
-    return f"with {heads}\n{final}" if names else final
+    return f"with recursive {heads}\n{final}" if names else final
 
 
 def _boot(rows: str, by: str, unit: str = "id", n: int = 5000, within: str = "") -> str:
@@ -384,9 +472,9 @@ _FINAL = {
 _FINAL["citation_band_table"] = f"""select band, count(label) as n, count(*) filter (label = 'correct') as correct, count(*) filter (label = 'partial') as partial, count(*) filter (label = 'incorrect') as incorrect,
     round(avg(case label when 'correct' then 1.0::double when 'partial' then 0.5::double when 'incorrect' then 0 end), 6) as credit from (select unnest(['high', 'medium', 'low']) as band) left join ({_FINAL['citation_bands']}) using (band) group by 1"""
 
-_AGREE = f"(select 'sliding_window' as method, * from {_chunks('documents', 64, 58)} union all select 'fixed_window', * from {_chunks('documents', 64, 64)})"
-_CONF = "(select 'sliding_window' as method, * from traces where configuration = 'dense' union all select 'fixed_window', * from traces_fixed where configuration = 'dense')"
-_CEILS = "(select 'sliding_window' as method, * from ceil union all select 'fixed_window', * from ceil_fixed)"
+_AGREE = f"(select 'sliding_window' as method, * exclude (n_words) from {_chunks('documents', 64, 58)} union all select 'fixed_window', * exclude (n_words) from {_chunks('documents', 64, 64)} union all select 'recursive_structure', * from {_line_chunks('documents', 64, 6)} union all select 'semantic_breakpoint', * from {_semantic_chunks('documents', 64, 6)})"
+_CONF = f"({_METHOD_TRACES})"
+_CEILS = f"({_METHOD_CEILINGS})"
 _STAGES = ("S1", "S2", "S3", "R")
 _SHARES = ", ".join(f"round(avg((stage = '{x}')::int), 6) as share_{x.lower()}" for x in _STAGES) + ", round(avg((stage <> 'R')::int), 6) as blocked"
 _LONG = "select configuration, question_id, unnest([struct_pack(metric := 'coverage', x := coverage), struct_pack(metric := 'mrr', x := mrr), struct_pack(metric := 'ndcg_5', x := ndcg_5)], recursive := true) from staged"
@@ -479,8 +567,6 @@ def _traced(ranked: str, name: str) -> str:
 
 
 _PUBLISHED = "(values ('bm25', 'recall_20', 0.7), ('bm25', 'coverage', 0.5618), ('bm25', 'mrr', 0.4736), ('bm25', 'ndcg_5', 0.4878), ('dense', 'recall_20', 0.8067), ('dense', 'coverage', 0.6307), ('dense', 'mrr', 0.5619), ('dense', 'ndcg_5', 0.5736)) p(configuration, metric, published)"
-_LATE = f"select doc_id, chunk_no, dim, c / sum(c) over (partition by doc_id, chunk_no) as x from (select doc_id, chunk_no, {_hash('t')} % 64 as dim, count(*)::double as c from (select doc_id, chunk_no, unnest({_tokens('text')}) as t from texts) group by all)"
-_WHOLE = f"select doc_id, dim, 0.5::double * c / sum(c) over (partition by doc_id) as x from (select doc_id, {_hash('t')} % 64 as dim, count(*)::double as c from (select doc_id, unnest({_tokens('text')}) as t from visible) group by all)"
 _HASHED = lambda key, text, rows: f"(select {key}, dim, c / sqrt(sum(c * c) over (partition by {key})) as x from (select {key}, {_hash('t')} % 64 as dim, count(*)::double as c from (select {key}, unnest({_tokens(text)}) as t from {rows}) group by all))"
 _LIVE = "(select s.*, g.question from scored2 s join gen2 g using (configuration, question_id) where not abstained and trim(body) <> '')"
 
@@ -494,8 +580,10 @@ _FINAL |= {
     "query_excerpt": _excerpt(r"regexp_extract_all(text, '\S+')", rf"list_transform(regexp_extract_all(text, '\S+'), lambda x: {_HIT.format('x')})", 20, " ", "array_to_string(w, ' ')"),
     "token_excerpt": _excerpt(r"regexp_extract_all(text, '\s*(?:\w+|[^\w\s])')", rf"flatten(list_transform(regexp_extract_all(text, '\S+'), lambda x: list_transform(regexp_extract_all(x, '\w+|[^\w\s]'), lambda z: {_HIT.format('x')})))", 24, "", "text"),
     "clipped_queries": r"select question_id, case when len(p) <= 8 then query else concat(array_to_string(p[1:8], ''), ' [...]') end as clipped from (select question_id, query, regexp_extract_all(query, '\s*(?:\w+|[^\w\s])') as p from asked)",
-    "late_chunk_vectors": f"""select doc_id, chunk_no, dim, round(x / sqrt(sum(x * x) over (partition by doc_id, chunk_no)), 6) as x from (select doc_id, chunk_no, dim, sum(x) as x from
-        (select * from ({_LATE}) union all select c.doc_id, c.chunk_no, w.dim, w.x from (select distinct doc_id, chunk_no from ({_LATE})) c join ({_WHOLE}) w using (doc_id)) group by all)""",
+    "late_chunk_vectors": "select doc_id, chunk_no, dim, round(x, 6) as x from cv_late",
+    "recursive_chunks": f"select * from {_line_chunks('documents', 64, 6)}",
+    "recursive_chunks_plain": f"select * from {_plain_chunks('documents', 64, 6)}",
+    "semantic_chunks": f"select * from {_semantic_chunks('documents', 64, 6)}",
     "nearest_vectors": """select query_id, vec_id, round(score, 6) as score, same_label, rnk from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rnk from
         (select q.vec_id as query_id, v.vec_id, q.label is not distinct from v.label as same_label, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 9) as score from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 10 = 0)) where rnk <= 5""",
     "reproduction": f"""select configuration, metric, published::double as published, round(ours, 6) as ours, round(ours - published, 6) as difference from {_PUBLISHED} join (select configuration, unnest([struct_pack(metric := 'recall_20', ours := avg(recall_20)), struct_pack(metric := 'coverage', ours := avg(coverage)),

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from functools import cached_property
-from zlib import crc32
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,40 +13,30 @@ from ..operators import attribution as P
 from ..operators import certainty as Q
 from ..operators import chunking as C
 from ..operators import evidence as E
+from ..operators import models as M
 from ..operators import retrieval as R
+from ..operators import segmentation as G
 from ..sources import tables as S
 from ..sources.sinks import materialised
 
 SIZE, OVERLAP = 64, 0.10
 CENTRE_METHOD, CENTRE = "sliding_window", "dense"
 RETRIEVERS = ("bm25", "dense", "hybrid_rrf", "hybrid_weighted")
-#: Configurations: each differs from the centre in its segmentation, its retriever or its reranking.
-ARMS = (*RETRIEVERS, "dense_reranked", "fixed_window")
+#: Methods that keep the centre's boundaries and encode with the encoder of long contexts: chunks alone, or whole documents.
+CONTROL, LATE = "sliding_window_longctx", "late_chunking"
+#: Configurations: each differs from the centre in its segmentation, its encoder, its retriever or its reranking.
+ARMS = (*RETRIEVERS, "dense_reranked", "fixed_window", "recursive_structure", "semantic_breakpoint", CONTROL, LATE)
 PATH = ("bm25", CENTRE, "hybrid_rrf", "dense_reranked")
 
 
-def lines(text: str) -> list[tuple[int, int]]:
-    """The lines of a text as sections, as the tables have none."""
-    cuts = [0, *(i + 1 for i, c in enumerate(text) if c == "\n"), len(text)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
-
-
-def hash_vectors(texts: list[str]) -> np.ndarray:
-    """Unit vectors of hashed word counts: the deterministic stand-in for a sentence encoder."""
-    out = np.zeros((len(texts), 64))
-    for i, t in enumerate(texts):
-        for w in t.lower().split():
-            out[i, crc32(w.encode()) % 64] += 1
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-
-
-#: Segmentations by name: documents, words of a chunk and overlap to chunks. Late chunking keeps the sliding boundaries.
+#: Segmentations by name: documents, words of a chunk and overlap to chunks. Lines stand in for sections, as the tables have none.
 METHODS = {
     "fixed_window": lambda docs, size, overlap: C.word_windows(docs, size, 0.0),
     "sliding_window": C.word_windows,
-    "late_chunking": C.word_windows,
-    "recursive_structure": lambda docs, size, overlap: C.split_by(docs, lambda t: C.structural(t, lines(t), size, overlap)),
-    "semantic_breakpoint": lambda docs, size, overlap: C.split_by(docs, lambda t: C.semantic(t, hash_vectors, size, overlap)),
+    CONTROL: C.word_windows,
+    LATE: C.word_windows,
+    "recursive_structure": lambda docs, size, overlap: G.structural(docs.withColumn("sections", G.line_sections(F.col("text"))), size, overlap, "sections"),
+    "semantic_breakpoint": lambda docs, size, overlap: G.semantic(docs, None, size, overlap),
 }
 
 
@@ -64,6 +52,7 @@ class RetrievalRun:
         self._traces: dict[str, DataFrame] = {}
         self._kept: dict[tuple, DataFrame] = {}
         self._others: dict[str, RetrievalRun] = {method: self}
+        self._twin: RetrievalRun | None = None
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -82,6 +71,8 @@ class RetrievalRun:
         if method not in self._others:
             run = RetrievalRun(self.spark, self.folder, self.size, self.overlap, method)
             run.asked, run.candidates = self.asked, self.candidates
+            if METHODS[method] is METHODS[self.method]:  # the same boundaries
+                run._twin = self
             self._others[method] = run
         return self._others[method]
 
@@ -95,12 +86,12 @@ class RetrievalRun:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return materialised(self.segmented(self.visible))
+        return self._twin.chunks if self._twin else materialised(self.segmented(self.visible))
 
     @cached_property
     def labelled(self) -> DataFrame:
         """Chunks with their text and label; written once, as every scorer and every prompt reads it."""
-        return materialised(C.chunk_texts(self.chunks, self.visible))
+        return self._twin.labelled if self._twin else materialised(C.chunk_texts(self.chunks, self.visible))
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -116,7 +107,8 @@ class RetrievalRun:
 
     @cached_property
     def dense(self) -> DataFrame:
-        return materialised(R.dense(self.asked, self.pairs, self.texts))
+        vectors = M.late_vectors(self.chunks, self.visible) if self.method == LATE else None
+        return materialised(R.dense(self.asked, self.pairs, self.texts, vectors, M.LONG_DIMENSIONS if self.method in (CONTROL, LATE) else R.DIMENSIONS))
 
     def ranking(self, arm: str, depth: int = R.DEPTH) -> DataFrame:
         if arm == "bm25":
@@ -144,6 +136,8 @@ class RetrievalRun:
 
     @cached_property
     def ceiling(self) -> DataFrame:
+        if self._twin:
+            return self._twin.ceiling
         gold = self.docs.join(self.asked.where("answerable").select(F.col("gold_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
         return materialised(E.segmentation_ceiling(self.asked, self.segmented(gold)))
 

@@ -16,8 +16,9 @@ from .operators import evidence as E
 from .operators import examples as N
 from .operators import models as M
 from .operators import retrieval as R
+from .operators import segmentation as G
 from .operators import statistics as B
-from .plans.runs import ARMS, CENTRE, FACTOR_BASELINES, FACTOR_DIRECTIONS, PATH, RETRIEVERS, RetrievalRun, factors, hash_vectors, levels, lines, records, reviewed, scored_labels
+from .plans.runs import ARMS, CENTRE, FACTOR_BASELINES, FACTOR_DIRECTIONS, METHODS, PATH, RETRIEVERS, RetrievalRun, factors, levels, records, reviewed, scored_labels
 from .sources import sinks as K
 from .sources import tables as S
 from .sources.tables import answer_records, hashed, table
@@ -26,8 +27,8 @@ from .streaming.resume import missing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LEVELS = ["click", "error", "purchase", "signup", "view"]
-#: Segmentations whose boundaries SQL can express too.
-WINDOWS = ("sliding_window", "fixed_window")
+#: Segmentations with boundaries of their own; late chunking and its control have those of the sliding window.
+SEGMENTATIONS = ("sliding_window", "fixed_window", "recursive_structure", "semantic_breakpoint")
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -144,36 +145,26 @@ def chunk_statistics(spark, d):
 
 @query
 def segmentation_agreement(spark, d):
-    docs = _docs(spark, d)
-    cut = lambda name, overlap: C.word_windows(docs, 64, overlap).select(F.lit(name).alias("method"), "doc_id", "char_start", "char_end")
-    return _rounded(C.agreement(cut("sliding_window", 0.10).unionByName(cut("fixed_window", 0.0)), "sliding_window"))
-
-
-def _sectioned(text: str) -> list[tuple[int, int]]:
-    return C.structural(text, lines(text), 64, 0.10)
-
-
-def _plain(text: str) -> list[tuple[int, int]]:
-    return C.structural(text, None, 64, 0.10)
-
-
-def _semantic(text: str) -> list[tuple[int, int]]:
-    return C.semantic(text, hash_vectors, 64, 0.10)
+    docs, out = _docs(spark, d), None
+    for name in SEGMENTATIONS:
+        rows = METHODS[name](docs, 64, 0.10).select(F.lit(name).alias("method"), "doc_id", "char_start", "char_end")
+        out = rows if out is None else out.unionByName(rows)
+    return _rounded(C.agreement(out, "sliding_window"))
 
 
 @query
 def recursive_chunks(spark, d):
-    return C.split_by(_docs(spark, d), _sectioned)
+    return METHODS["recursive_structure"](_docs(spark, d), 64, 0.10)
 
 
 @query
 def recursive_chunks_plain(spark, d):
-    return C.split_by(_docs(spark, d), _plain)
+    return G.structural(_docs(spark, d), 64, 0.10)
 
 
 @query
 def semantic_chunks(spark, d):
-    return C.split_by(_docs(spark, d), _semantic)
+    return G.semantic(_docs(spark, d), None, 64, 0.10)
 
 
 def _firsts(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +191,7 @@ def clipped_queries(spark, d):
 @query
 def late_chunk_vectors(spark, d):
     run = RetrievalRun(spark, d)
-    return _rounded(M.late_vectors(run.labelled, run.visible))
+    return _rounded(M.late_vectors(run.chunks, run.visible))
 
 
 # Text functions
@@ -371,12 +362,12 @@ def arm_summary(spark, d):
 
 @query
 def segmentation_ceiling(spark, d):
-    return _rounded(RetrievalRun(spark, d).by_method(WINDOWS, "ceiling"))
+    return _rounded(RetrievalRun(spark, d).by_method(tuple(METHODS), "ceiling"))
 
 
 @query
 def ceiling_summary(spark, d):
-    return _rounded(E.ceiling_summary(RetrievalRun(spark, d).by_method(WINDOWS, "ceiling"), ["method", "split"]))
+    return _rounded(E.ceiling_summary(RetrievalRun(spark, d).by_method(tuple(METHODS), "ceiling"), ["method", "split"]))
 
 
 # Answers
@@ -839,7 +830,7 @@ def joint_rule(spark, d):
 
 @query
 def chunking_example(spark, d):
-    return _rounded(N.chunking_example(RetrievalRun(spark, d).by_method(WINDOWS)))
+    return _rounded(N.chunking_example(RetrievalRun(spark, d).by_method(tuple(METHODS))))
 
 
 @query
@@ -888,7 +879,7 @@ def citation_example(spark, d):
 @query
 def segmentation_scenario(spark, d):
     run = RetrievalRun(spark, d)
-    return _rounded(N.segmentation_scenario(run.by_method(WINDOWS), run.configurations(RETRIEVERS)))
+    return _rounded(N.segmentation_scenario(run.by_method(tuple(METHODS)), run.configurations(RETRIEVERS)))
 
 
 @query

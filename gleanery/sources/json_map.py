@@ -154,7 +154,9 @@ class JsonMapReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         return [Range(*x) for x in json.loads(self.states)] if self.states else ranges(self.path, self.size)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # a folder without files
+            return
         if not self.states:
             found = [(e.odd, e.inside, e.levels) for e in scanned(part)]
             yield pa.RecordBatch.from_pydict({"path": [part.path], "start": [part.start], "end": [part.end], "effects": [json.dumps(found)]})

@@ -57,57 +57,6 @@ def test_windows_of_nothing(spark):
     assert C.word_windows(docs).count() == 0
 
 
-def test_structural_chunks_hold_every_word():
-    text = "One two. Three four five.\nSix seven eight nine ten.\n\nEleven twelve"
-    spans = C.structural(text, [(0, 25), (26, 51)], 4, 0.0)
-    assert " ".join(text[a:b] for a, b in spans).split() == text.split()
-    assert all(len(text[a:b].split()) <= 4 for a, b in spans)
-
-
-def test_pieces_take_the_coarsest_break_that_fits():
-    text = "a b c. d e\nf g\n\nh i j k l m n"
-    cut = lambda size: [text[a:b] for a, b in C.structural(text, None, size, 0.0)]
-    assert cut(20) == [text]
-    assert cut(7) == ["a b c. d e\nf g", "h i j k l m n"]
-    assert cut(5) == ["a b c. d e", "f g", "h i j k l", "m n"]  # lines of the first paragraph, runs of the last
-    assert cut(3) == ["a b c.", "d e", "f g", "h i j", "k l m", "n"]
-
-
-def test_chunks_repeat_a_tail_that_leaves_room():
-    text = "a b. c d. e f. g h."
-    assert [text[a:b] for a, b in C.structural(text, None, 4, 0.5)] == ["a b. c d.", "c d. e f.", "e f. g h."]
-    assert [text[a:b] for a, b in C.structural(text, None, 4, 0.25)] == ["a b. c d.", "e f. g h."]
-
-
-def test_a_split_section_stands_alone():
-    text = "a b\nc d. e f. g h.\ni j\n"
-    sections = [(0, 4), (4, 19), (19, 23)]
-    assert [text[a:b] for a, b in C.structural(text, sections, 4, 0.0)] == ["a b", "c d. e f.", "g h.", "i j"]
-    assert [text[a:b] for a, b in C.structural(text, [(0, 4), (4, 13)], 20, 0.0)] == [text.strip()]
-
-
-@pytest.mark.parametrize("seed", range(40))
-def test_chunks_of_random_texts(seed):
-    rng = random.Random(seed)
-    text = "".join(rng.choice(["a", "bb", "c.", "d!", "\n", "\n\n", " \n", "e;"]) + rng.choice([" ", "  ", ""]) for _ in range(120))
-    size = rng.choice([1, 3, 9])
-    words = [m.span() for m in re.finditer(r"\S+", text)]
-    spans = C.structural(text, None, size, 0.0)
-    assert [w for a, b in spans for w in words if a <= w[0] < b] == words
-    assert all(len(text[a:b].split()) <= size and text[a:b] == text[a:b].strip() for a, b in spans)
-    for (a, b), (_, d) in zip(spans, spans[1:]):  # no chunk could have been joined with the whole next one
-        assert len(text[a:d].split()) > size
-    vectors = lambda texts: np.eye(8)[[len(t) % 8 for t in texts]]
-    cut = C.semantic(text, vectors, size, 0.0, 50, 2, 2)
-    assert [w for a, b in cut for w in words if a <= w[0] < b] == words
-
-
-def test_semantic_cuts_where_sentences_differ():
-    text = "x x. x x. x x. y y. y y. y y."
-    vectors = lambda texts: np.array([[1.0, 0.0] if t.count("x") >= t.count("y") else [0.0, 1.0] for t in texts])
-    assert [text[a:b] for a, b in C.semantic(text, vectors, 20, 0.0, 80, 1, 2)] == ["x x. x x. x x.", "y y. y y. y y."]
-
-
 def test_windows_of_a_long_text(spark):
     rng = random.Random(5)
     text = "".join(rng.choice(["a", "bcd"]) + rng.choice([" ", "\n\n", "   "]) for _ in range(140_000))
@@ -178,16 +127,6 @@ def test_citation_bands(spark):
     assert [band("x [swg1::chunk_0]"), band("x [a::chunk_1] [b::chunk_2] [c::chunk_3]"), band("x [b2::chunk_2]"), band("")] == ["high", "low", "medium", "low"]
 
 
-def test_resamples_are_poisson(spark):
-    rows = spark.range(400).select(F.col("id"), (F.col("id") % 7).cast("double").alias("x"), F.lit("g").alias("g"))
-    got = B.draws(rows, "id", 500).groupBy("b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("sq")).agg(F.count("b").alias("b"), F.avg("n").alias("n"), F.stddev("n").alias("sd"), F.avg("sq").alias("sq")).first()
-    assert got.b == 500 and got.n == pytest.approx(400, abs=5) and got.sd == pytest.approx(20, abs=4) and got.sq == pytest.approx(800, abs=20)
-    ci = B.bootstrap_ci(rows, ["g"], "id", "x").first()
-    assert (ci.hi - ci.lo) / 2 == pytest.approx(1.96 * 2.0 / 20, rel=0.15) and B.RESAMPLES == 5000
-    same = B.paired_bootstrap(rows.select("g", "id", F.col("x").alias("a"), F.col("x").alias("b")), ["g"], "id", 50).first()
-    assert (same["diff"], same.p, same.dz) == (0, 1, None)
-
-
 def test_auroc_over_many_ranges(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(40) / 7, rng.randrange(2)) for _ in range(500)]
