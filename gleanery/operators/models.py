@@ -93,7 +93,8 @@ def token_vectors(docs: DataFrame, load: Callable[[], TokenEncoder]) -> DataFram
 def token_spans(docs: DataFrame, token: str = "[A-Za-z0-9_./+-]+") -> DataFrame:
     """doc_id, token_no, char_start, char_end, token of what a character class matches in each text."""
     inner = token.removeprefix("[").removesuffix("]+")
-    parts = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[{inner}]+|[^{inner}]+"), F.lit(0))).alias("token_no", "token"))
+    dealt = docs.select("doc_id", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    parts = dealt.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[{inner}]+|[^{inner}]+"), F.lit(0))).alias("token_no", "token"))
     end = F.sum(F.length("token")).over(Window.partitionBy("doc_id").orderBy("token_no")).cast("int")
     return parts.withColumn("char_end", end).where(F.regexp_like("token", F.lit(f"^[{inner}]"))).select("doc_id", "token_no", (F.col("char_end") - F.length("token")).alias("char_start"), "char_end", "token")
 

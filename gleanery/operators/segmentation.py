@@ -33,9 +33,15 @@ def strength(gap: Column, mark: Column) -> Column:
     return F.when(F.regexp_like(gap, F.lit(BLANK_LINE)), BLANK).when(F.contains(gap, F.lit(LINE_END)), LINE).when(marked, SENTENCE).otherwise(NONE)
 
 
+def by_document(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by document once, before they become many; the windows and groups within documents that follow need no other
+    exchange."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def word_table(docs: DataFrame) -> DataFrame:
     """doc_id, word_no, char_start, char_end, before (the word before), gap (the white space between), strength of every word."""
-    parts = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+|\s+"), F.lit(0))).alias("i", "part"))
+    parts = by_document(docs.select("doc_id", "text")).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+|\s+"), F.lit(0))).alias("i", "part"))
     w = Window.partitionBy("doc_id").orderBy("i")
     rows = parts.select("doc_id", "i", "part", F.sum(F.length("part")).over(w).cast("int").alias("char_end"), F.coalesce(F.lag("part").over(w), F.lit("")).alias("gap"), F.coalesce(F.lag("part", 2).over(w), F.lit("")).alias("before"))
     rows = rows.where(~F.regexp_like("part", F.lit(r"^\s")))
@@ -49,16 +55,18 @@ def numbered(words: DataFrame, by: list[str], size: int) -> DataFrame:
     sentence; in a longer sentence pieces are runs of ``size`` words.
     """
     w, every = Window.partitionBy(*by).orderBy("word_no"), Window.partitionBy(*by)
-    rows = words.withColumn("_n", F.count(F.lit(1)).over(every)).withColumn("_first", F.row_number().over(w) == 1)
+    later = Window.partitionBy(*by).orderBy(F.desc("word_no")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = words.withColumns({"_n": F.count(F.lit(1)).over(every), "_end": F.max("word_no").over(every) + 1, "_first": F.row_number().over(w) == 1})
+    at = lambda k: F.when(F.col("_first") | (F.col("strength") >= k), F.col("word_no"))  # noqa: E731  (where a stretch begins)
+    kinds = (BLANK, LINE, SENTENCE)
+    rows = rows.withColumns({f"_a{k}": F.max(at(k)).over(w) for k in kinds} | {f"_b{k}": F.coalesce(F.min(at(k)).over(later), "_end") for k in kinds})
     level = F.when(F.col("_n") <= size, WHOLE)
-    for k in (BLANK, LINE, SENTENCE):
-        rows = rows.withColumn(f"_s{k}", F.sum((F.col("_first") | (F.col("strength") >= k)).cast("int")).over(w))
-        rows = rows.withColumn(f"_n{k}", F.count(F.lit(1)).over(Window.partitionBy(*by, f"_s{k}")))
-        level = level.when(F.col(f"_n{k}") <= size, k)
-    run = F.row_number().over(Window.partitionBy(*by, f"_s{SENTENCE}").orderBy("word_no")) - 1
-    rows = rows.withColumn("level", level.otherwise(NONE)).withColumn("_run", run)
-    begins = F.col("_first") | F.when(F.col("level") == WHOLE, False).when(F.col("level") == NONE, F.col("_run") % size == 0).otherwise(F.col("strength") >= F.col("level"))
-    return rows.withColumn("k", (F.sum(begins.cast("int")).over(w) - 1).cast("int")).drop("_n", "_first", "_run", *[f"_{x}{k}" for x in "sn" for k in (BLANK, LINE, SENTENCE)])
+    for k in kinds:
+        level = level.when(F.col(f"_b{k}") - F.col(f"_a{k}") <= size, k)
+    rows = rows.withColumn("level", level.otherwise(NONE))
+    run = F.col("word_no") - F.col(f"_a{SENTENCE}")
+    begins = F.col("_first") | F.when(F.col("level") == WHOLE, False).when(F.col("level") == NONE, run % size == 0).otherwise(F.col("strength") >= F.col("level"))
+    return rows.withColumn("k", (F.sum(begins.cast("int")).over(w) - 1).cast("int")).drop("_n", "_end", "_first", *[f"_{x}{k}" for x in "ab" for k in kinds])
 
 
 def pieces(words: DataFrame, by: list[str], size: int) -> DataFrame:
@@ -76,6 +84,7 @@ def packed(rows: DataFrame, by: list[str], size: int, tail: int, forced: str | N
     pieces before it that have at most ``tail`` words and leave room for it; a forced one repeats none.
     """
     w = Window.partitionBy(*by).orderBy("k")
+    later = Window.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce(F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stops = F.col(forced) if forced else F.lit(False)
     inner = rows.select(*by, "k", "units", "char_start", "char_end", total.alias("total"), stops.alias("stops"))
@@ -83,7 +92,7 @@ def packed(rows: DataFrame, by: list[str], size: int, tail: int, forced: str | N
     inner = inner.unionByName(last.withColumn("stops", F.lit(True)), allowMissingColumns=True)  # the place behind the last piece
     reach = Window.partitionBy(*by).orderBy("total")
     rows = inner.withColumns({"full": F.max("k").over(reach.rangeBetween(0, size)), "kept": F.min("k").over(reach.rangeBetween(-tail, 0)), "room": F.min("k").over(reach.rangeBetween(-size, 0))})
-    rows = rows.withColumns({"room": F.lead("room").over(w), "stop": F.min(F.when(F.col("stops"), F.col("k"))).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    rows = rows.withColumns({"room": F.lead("room").over(w), "stop": F.min(F.when(F.col("stops"), F.col("k"))).over(later)})
     begin = F.when(F.col("stops") | (F.col("k") == 0), F.col("k")).otherwise(F.least("k", F.greatest("kept", "room")))
     held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", begin.cast("int").alias("begin"), F.col("full").cast("int").alias("full"), F.col("stop").cast("int").alias("stop"), "total", "char_start", "char_end"))).alias("p"))
     p = F.col("p")
@@ -168,10 +177,10 @@ def distances(rows: DataFrame, docs: DataFrame, load: Callable[[], Encoder] | No
     texts = around.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "k", F.expr("substring(text, a + 1, b - a)").alias("text"))
     ahead = lambda df: df.withColumn("k", F.col("k") + 1)
     if load is None:
-        v = encoded(texts, ["doc_id", "k"], "text")
+        v = materialised(encoded(texts, ["doc_id", "k"], "text"))
         both = v.join(ahead(v).withColumnRenamed("x", "y"), ["doc_id", "k", "dim"]).groupBy("doc_id", "k").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
     else:
-        v = encode_texts(texts, ["doc_id", "k"], "text", load)
+        v = materialised(encode_texts(texts, ["doc_id", "k"], "text", load))
         both = v.join(ahead(v).withColumnRenamed("vector", "before"), ["doc_id", "k"]).select("doc_id", "k", dot(F.col("vector"), F.col("before")).alias("cosine"))
     later = rows.where("k > 0").select("doc_id", "k").join(both, ["doc_id", "k"], "left")
     return later.select("doc_id", "k", F.round(1 - F.coalesce("cosine", F.lit(0.0)), 9).alias("apart"))
@@ -190,7 +199,7 @@ def semantic(docs: DataFrame, load: Callable[[], Encoder] | None = None, size: i
     rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
     few = packed(rows.where("n <= 2"), ["doc_id"], size, tail).select("doc_id", F.lit(0).alias("part"), "c", "char_start", "char_end")
     many = rows.where("n > 2")
-    apart = distances(many, docs, load)
+    apart = materialised(distances(many, docs, load))
     limit = F.round(F.percentile("apart", F.lit(percentile)).over(Window.partitionBy("doc_id")), 9)
     opens = many.join(apart.withColumn("opens", F.col("apart") > limit), ["doc_id", "k"], "left")
     w = Window.partitionBy("doc_id").orderBy("k")
@@ -198,9 +207,10 @@ def semantic(docs: DataFrame, load: Callable[[], Encoder] | None = None, size: i
     opens = opens.withColumn("g", group)
     head = F.row_number().over(Window.partitionBy("doc_id", "g").orderBy("k")) == 1
     opens = opens.withColumn("head", head & ((F.sum("units").over(Window.partitionBy("doc_id", "g")) >= least) | (F.col("g") == 0)))
-    parts = opens.select("doc_id", F.col("k").alias("piece"), F.sum(F.col("head").cast("int")).over(w).alias("part"))
+    numbers = opens.select("doc_id", "k", F.sum(F.col("head").cast("int")).over(w).alias("part")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"))
     by = ["doc_id", "part"]
-    held = materialised(words.drop("level").join(parts, ["doc_id", "piece"]).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(*by))))
+    held = by_document(words.drop("level")).join(by_document(numbers), "doc_id").withColumn("part", F.get("parts", F.col("piece"))["part"]).drop("parts")
+    held = materialised(held.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(*by))))
     short = held.where(F.col("held") <= size).groupBy(*by).agg(F.lit(0).alias("c"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
-    long = packed(pieces(held.where(F.col("held") > size), by, size), by, size, tail).select(*by, "c", "char_start", "char_end")
+    long = packed(pieces(by_document(held.where(F.col("held") > size)), by, size), by, size, tail).select(*by, "c", "char_start", "char_end")
     return _in_order(few.unionByName(short.select(*few.columns)).unionByName(long), ["part", "c"])

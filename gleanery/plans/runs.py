@@ -138,8 +138,8 @@ class RetrievalRun:
     def ceiling(self) -> DataFrame:
         if self._twin:
             return self._twin.ceiling
-        gold = self.docs.join(self.asked.where("answerable").select(F.col("gold_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return materialised(E.segmentation_ceiling(self.asked, self.segmented(gold)))
+        gold = self.asked.where("answerable").select(F.col("gold_doc").alias("doc_id")).distinct()
+        return materialised(E.segmentation_ceiling(self.asked, self.chunks.join(gold, "doc_id", "left_semi")))  # gold documents are candidates
 
     def by_method(self, methods: tuple[str, ...], what: str = "trace") -> DataFrame:
         """Traces of the centre's retriever (or ceilings) of several segmentations, with ``method``."""
