@@ -19,7 +19,7 @@ from ..sources.sinks import materialised
 from ..sources.tables import hashed
 
 #: Units of a range, on average at most, and resamples that a row holds.
-RANGE, CHUNK = 128, 64
+RANGE, CHUNK = 512, 64
 #: Binary digits that decide a draw's side; what is still undecided then goes right.
 DIGITS = 32
 #: The prime modulus of the draws, 2**31 - 1.
@@ -50,7 +50,8 @@ def binomial(d: Column, part: Column, whole: Column, *key: Column) -> Column:
         return bind(heads(a["open"], *key, i), lambda h: F.struct((a["inside"] + F.when(one, a["open"] - h).otherwise(0)).alias("inside"), F.when(one, h).otherwise(a["open"] - h).alias("open"), (a["rest"] * 2 - F.when(one, whole).otherwise(0)).alias("rest")))
 
     start = F.struct(F.lit(0).cast("long").alias("inside"), d.alias("open"), part.alias("rest"))
-    drawn = F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(DIGITS).cast("long")), start, digit, lambda a: a["inside"])
+    step = lambda a, i: F.when(a["open"] == 0, a).otherwise(digit(a, i))
+    drawn = F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(DIGITS).cast("long")), start, step, lambda a: a["inside"])
     return F.when(part <= 0, F.lit(0).cast("long")).when(part >= whole, d).otherwise(drawn)
 
 
@@ -58,7 +59,7 @@ def _places(d: Column, units: Column, node: Column, b: Column) -> Column:
     """d draws with replacement from the places 0 .. units - 1."""
     factors = F.array(*[hashed(F.lit("p"), F.lit(k), node, b) % MODULUS for k in range(4)])
     at = lambda c, j: (((c[3] * j + c[2]) % MODULUS * j + c[1]) % MODULUS * j + c[0]) % MODULUS
-    return bind(factors, lambda c: F.transform(_upto(d), lambda j: F.floor(at(c, j) * units / MODULUS).cast("int")))
+    return bind(factors, lambda c: F.transform(_upto(d), lambda j: F.shiftright(at(c, j) * units, 31).cast("int")))
 
 
 def levels_of(most: int) -> int:

@@ -313,14 +313,14 @@ def _draws(rows: str, unit: str, n: int, by: str = "") -> str:
     sp_ = f"((({_hash("'p'", '3', 'nd_', 'b')} % {_P} * j + {_hash("'p'", '2', 'nd_', 'b')} % {_P}) % {_P} * j + {_hash("'p'", '1', 'nd_', 'b')} % {_P}) % {_P} * j + {_hash("'p'", '0', 'nd_', 'b')} % {_P}) % {_P}"
     same = " and ".join(f"tree.{c.strip()} = sz_.{c.strip()}" for c in by.split(","))
     return f"""(with recursive src_ as materialized ({rows}), un_ as materialized (select distinct {by}, {unit} as unit_, {_hash(unit)} as h_ from src_),
-        deep_ as materialized (select greatest(0, ceil(log2(greatest(1, ceil(max(n) / 128.0::double)))))::bigint as deep_ from (select count(*) as n from un_ group by {by})),
+        deep_ as materialized (select greatest(0, ceil(log2(greatest(1, ceil(max(n) / 512.0::double)))))::bigint as deep_ from (select count(*) as n from un_ group by {by})),
         sz_ as materialized (select {by}, lv_, h_ >> (32 - lv_)::int as nd_, count(*) as m_ from un_, (select unnest(range(0, (select deep_ from deep_) + 1)) as lv_) group by all),
         tree as (select {by}, 0::bigint as lv_, nd_, m_, m_ as d_, b from sz_, range(0, {n}) r(b) where lv_ = 0
             union all select {by}, lv_ + 1, 2 * nd_ + sd_, case sd_ when 0 then lm_ else m_ - lm_ end, case sd_ when 0 then ld_ else d_ - ld_ end, b from
                 (select *, {_binomial('d_', 'lm_', 'm_', "'l'", 'lv_', 'nd_', 'b')} as ld_ from (select tree.*, coalesce(sz_.m_, 0) as lm_ from tree left join sz_ on {same} and sz_.lv_ = tree.lv_ + 1 and sz_.nd_ = 2 * tree.nd_ where tree.lv_ < (select deep_ from deep_))), (values (0), (1)) s(sd_)
                 where case sd_ when 0 then lm_ else m_ - lm_ end > 0),
         placed as materialized (select *, row_number() over (partition by {by}, nd_ order by h_, unit_) - 1 as sp_ from (select *, h_ >> (32 - (select deep_ from deep_))::int as nd_ from un_)),
-        picked as (select {by}, nd_, b, (({sp_}) * m_) // {_P} as sp_ from (select {by}, nd_, m_, b, unnest(range(0, d_)) as j from tree where lv_ = (select deep_ from deep_) and d_ > 0))
+        picked as (select {by}, nd_, b, (({sp_}) * m_) >> 31 as sp_ from (select {by}, nd_, m_, b, unnest(range(0, d_)) as j from tree where lv_ = (select deep_ from deep_) and d_ > 0))
         select src_.*, b, w from (select {by}, unit_, b, count(*) as w from picked join placed using ({by}, nd_, sp_) group by all) join (select *, {unit} as unit_ from src_) src_ using ({by}, unit_))"""
 
 
