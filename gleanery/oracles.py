@@ -693,7 +693,12 @@ def _extracted(prompt: str, query: str) -> str:
     return f"coalesce(list_filter(list_transform(string_split(replace({prompt}, chr(10), ' '), '. '), lambda s: trim(s)), lambda s: list_has_any(regexp_extract_all(lower(s), '\\S+'), {terms}))[1], 'INSUFFICIENT EVIDENCE')"
 
 
+_BASE["prompts"] = """select question_id, array_to_string(list(concat('[', doc_id, '::chunk_', chunk_no, ']', chr(10), array_to_string(regexp_extract_all(text, '\\S+')[1:greatest(64, 3200 // n)], ' ')) order by rnk), chr(10) || chr(10)) as prompt
+    from (select r.*, t.text, count(*) over (partition by question_id) as n from r_bm25 r join texts t using (doc_id, chunk_no) where rnk <= 5) group by 1"""
 _FINAL |= {
+    "prompt_lengths": "select count(*) as n, round(quantile_cont(w, 0.5), 6) as median, round(quantile_cont(w, 0.95), 6) as p95, max(w) as longest from (select len(regexp_split_to_array(prompt, '\\s+')) as w from prompts)",
+    "prompt_segments": r"select question_id, array_to_string(regexp_extract_all(prompt, '(?m)^\[([^\]]+::chunk_\d+)\]', 1), '|') as segments from prompts",
+    "generated_answers": f"select question_id, {_extracted('prompt', 'query')} as answer from prompts join asked using (question_id)",
     "corpus_from_json": "select doc_id::varchar as doc_id, coalesce(array_to_string(string_split(text, ' ')[1:5], ' '), '') as title, md5(coalesce(text, '')) as digest, length(coalesce(text, '')) as n_chars from documents where doc_id is not null",
     "corpus_composition": "select split as part, count(*) as n from asked group by 1 union all select 'documents', count(*) from documents",
     "resumed_generation": f"select conv_id * 1000 + turn as question_id, split, {_extracted('answer', 'question')} as answer from recs",
