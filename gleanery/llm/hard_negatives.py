@@ -5,13 +5,14 @@ gathering the rows: integer histograms over the highest digit of the scores loca
 over the next digit refine that bucket, and so on, over the digits of the ids where scores tie. What is found in the end
 is the exact last place that qualifies; one more pass gathers only rows up to there.
 
-Vectors are packed into shards and anchors into blocks. A pass joins every shard with the windows of every block of the
-stated anchors, and computes the scores of both as products. Of a window's histogram a shard sends what its own k best
+Vectors are packed into shards and anchors into blocks. A pass brings the windows of every block of the stated anchors
+to every shard, and computes the scores of both as products. Of a window's histogram a shard sends what its own k best
 rows need, as the kth of all cannot be behind the kth of one shard: at most k buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from .packs import EXACT, numbers, packed_vectors, usable, vectors_of, whole
 SHARD = 8192
 BLOCK = 512
 AT_ONCE = 128
+#: Full blocks that are broadcast together.
+SLICE = 32
 #: Bits of a digit.
 DIGIT = 8
 #: Scores end here; those beyond count as the nearest of these.
@@ -56,20 +59,25 @@ def shift_of(lo: int, hi: int) -> int:
     return max(0, (hi - lo).bit_length() - DIGIT)
 
 
-def _pass(state: DataFrame, blocks: DataFrame, shards: DataFrame, groups: int, run, schema: str) -> DataFrame:
-    """``run(shard row, block row)`` on every shard and every block of windows. Blocks are small, so they are what is sent to every
-    group of shards; the rows that are joined hold thousands of vectors each."""
+def _pass(state: DataFrame, blocks: DataFrame, shards: DataFrame, slices: int, run, schema: str) -> DataFrame:
+    """``run(shard row, block row)`` on every shard and every block of windows. Shards stay where they are; blocks are broadcast, a
+    slice of about ``SLICE`` at a time, each once."""
     asked = state.groupBy("block").agg(F.collect_list(F.struct(*[F.col(c) for c in state.columns if c != "block"])).alias("windows"))
     asks = blocks.select(F.col("pack").alias("block"), F.col("n").alias("n_a"), F.col("dims").alias("dims_a"), F.col("x").alias("x_a"), F.col("vec_id").alias("ids_a"), F.col("label").alias("labels_a"))
-    asks = asks.join(asked, "block").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    held = shards.withColumn("g", F.pmod(F.xxhash64("pack"), F.lit(groups)).cast("int"))
+    asks = asks.join(asked.hint("merge"), "block")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from run({name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)})
 
-    return in_batches(held.join(asks, "g").drop("g")).mapInArrow(tidy(each), schema)
+    out = None
+    for k in range(slices):
+        few = asks.where(F.pmod(F.xxhash64("block"), F.lit(slices)) == k)
+        got = in_batches(shards.crossJoin(F.broadcast(few))).mapInArrow(tidy(each), schema)
+        got = got if slices == 1 else checkpointed(got)  # one slice after the other
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def _windows(row: dict, upto: str) -> Iterator[tuple[dict, np.ndarray, np.ndarray, int]]:
@@ -135,7 +143,7 @@ def refined(w: dict, counts: list[tuple[int, int]]) -> dict:
     return w | {"done": n == w["need"] or w["id_lo"] == w["id_hi"]}
 
 
-def selected(state: DataFrame, blocks: DataFrame, shards: DataFrame, groups: int, k: int) -> DataFrame:
+def selected(state: DataFrame, blocks: DataFrame, shards: DataFrame, slices: int, k: int) -> DataFrame:
     """Written once: block, a, p, anchor_id, rank, vec_id, score - the k best rows of each window, by score, then smaller id.
 
     Digits are refined until every window's last place is known; windows that are done take no part in later passes.
@@ -149,7 +157,7 @@ def selected(state: DataFrame, blocks: DataFrame, shards: DataFrame, groups: int
             yield pa.RecordBatch.from_pylist(rows, pa.schema([batch.schema.field(c) for c in fields]))
 
     while not state.isEmpty():
-        counts = _pass(state, blocks, shards, groups, _histograms, "block string, a int, p int, bucket int, n long")
+        counts = _pass(state, blocks, shards, slices, _histograms, "block string, a int, p int, bucket int, n long")
         counts = counts.groupBy(*WINDOW, "bucket").agg(F.sum("n").alias("n"))
         counts = counts.groupBy(*WINDOW).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("counts"))
         after = checkpointed(state.join(counts, [*WINDOW], "left").select(*fields, "counts").mapInArrow(tidy(step), STATE))
@@ -171,7 +179,7 @@ def selected(state: DataFrame, blocks: DataFrame, shards: DataFrame, groups: int
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names)
 
-    found = _pass(every, blocks, shards, groups, gather, "block string, a int, p int, anchor_id long, vec_id long, score long")
+    found = _pass(every, blocks, shards, slices, gather, "block string, a int, p int, anchor_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy(*WINDOW).orderBy(F.desc("score"), "vec_id"))
     out = checkpointed(found.withColumn("rank", rank).where(F.col("rank") <= k).select(*WINDOW, "anchor_id", "rank", "vec_id", "score"))
     released(state, *ended)
@@ -193,7 +201,9 @@ def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, nega
     positives, or rows within the windows there are no rows.
     """
     rows = rows_of(vectors, key, vector, label, scale)
-    shards = packed_vectors(rows, SHARD, ["vec_id", "label"])
+    packed = packed_vectors(rows, SHARD, ["vec_id", "label"])
+    shards = checkpointed(packed.repartition(partitions(vectors)))  # a file for each few of them, however few tasks packed them
+    released(packed)
     asks = rows_of(vectors.where(F.coalesce(anchors, F.lit(False))), key, vector, label, scale)
     asks = asks.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("m")).select("vec_id", "m.label", "m.v")
     blocks = packed_vectors(asks, BLOCK, ["vec_id", "label"])
@@ -201,17 +211,17 @@ def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, nega
     facts, most = rows.agg(square, F.min("vec_id").alias("a"), F.max("vec_id").alias("b")).first(), asks.agg(square).first()["square"]
     furthest = min(FURTHEST, int(min(facts["square"] or 0, 1e300) ** 0.5 * min(most or 0, 1e300) ** 0.5 * 1.000001) + 2)  # Cauchy-Schwarz
     ids = (facts["a"] or 0, facts["b"] or 0)
-    groups = partitions(vectors)
+    slices = max(1, math.ceil((blocks.agg(F.sum("n")).first()[0] or 0) / (SLICE * BLOCK)))
     fixed = [F.lit(ids[0]).cast("long").alias("id_lo"), F.lit(ids[1]).cast("long").alias("id_hi")]
 
     state = blocks.select(F.col("pack").alias("block"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"))
     state = state.select("block", "a", F.lit(0).alias("p"), F.lit(furthest).cast("long").alias("top"), F.lit(-furthest).cast("long").alias("lo"), F.lit(furthest).cast("long").alias("hi"), *fixed, F.lit(positives).alias("need"), F.lit(True).alias("same"), F.lit(False).alias("done"))
-    best = selected(state, blocks, shards, groups, positives)
+    best = selected(state, blocks, shards, slices, positives)
 
     share = lambda percent, up: F.expr(f"(score - pmod(score, 100)) div 100 * {percent} + (pmod(score, 100) * {percent} + {up}) div 100")
     lo, hi = share(low, 99), share(high, 0)
     state = best.select("block", "a", F.col("rank").alias("p"), hi.alias("top"), lo.alias("lo"), hi.alias("hi"), *fixed, F.lit(negatives).alias("need"), F.lit(False).alias("same"), F.lit(False).alias("done"))
-    found = selected(state.where("lo <= hi"), blocks, shards, groups, negatives)
+    found = selected(state.where("lo <= hi"), blocks, shards, slices, negatives)
     of = best.select("block", "a", F.col("rank").alias("p"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     out = found.join(of, [*WINDOW]).select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
     released(shards, blocks)

@@ -61,6 +61,24 @@ def test_hard_negatives(spark, monkeypatch):
     assert got
 
 
+def test_anchors_of_hard_negatives_travel_once(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK", 2)
+    run, plans = H._pass, []
+
+    def spied(*args):
+        plans.append((out := run(*args))._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(H, "_pass", spied)
+    rows = some_vectors(120)
+    table = spark.createDataFrame(rows, VECTORS)
+    assert sorted(tuple(r) for r in H.hard_negatives(table, F.col("vec_id") % 50 == 0).collect()) == brute_negatives(rows, 50)
+    assert plans and not any("Generate explode" in p for p in plans)  # once for each partition outgrew the broadcast
+    monkeypatch.setattr(H, "SLICE", 1)
+    assert sorted(tuple(r) for r in H.hard_negatives(table, F.col("vec_id") % 50 == 0).collect()) == brute_negatives(rows, 50)
+    assert any("Union" in p for p in plans)
+
+
 def test_hard_negatives_of_wide_vectors_and_empty_tables(spark):
     rows = [(100, [3e9, 2.0, 1.0], 0, "s", 1), (1, [1e9, 5.0], 0, "s", 1), (2, [5e8, -7.0, 3.0], 1, "s", 1), (3, [5e8, -7.0, 3.0], 1, "s", 1), (4, [-1e9], 1, "s", 1)]
     table = spark.createDataFrame(rows, VECTORS)
