@@ -267,3 +267,15 @@ def test_nearest_vectors(spark):
     rows = got.collect()
     assert len(rows) == len(want) and {(r["query_id"], r["vec_id"], r["score"], r["rnk"], r["same_label"]) for r in rows} == want
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # queries once for each part outgrew the driver
+
+
+def test_documents_in_sight_are_written_once(spark):
+    from gleanery.plans.runs import RetrievalRun
+
+    run = RetrievalRun(spark, "/root/testdata/sf0.001")
+    other = run.other("recursive_structure")
+    assert other.visible is run.visible
+    assert run.visible.inputFiles() and not any("documents.parquet" in f for f in run.visible.inputFiles())
+    gold = run.asked.where("answerable").select(F.col("gold_doc").alias("doc_id"))
+    assert gold.count() and gold.join(run.visible, "doc_id", "left_anti").isEmpty()
+    assert {r[0] for r in run.visible.select("doc_id").collect()} == {r[0] for r in run.candidates.select("doc_id").collect()}
