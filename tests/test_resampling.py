@@ -102,3 +102,13 @@ def test_resamples_without_spread_have_no_interval_to_speak_of(spark):
     rows = spark.createDataFrame([("g", i, 2.5) for i in range(200)] + [("h", 1, None)], "g string, id int, x double")
     [r] = B.bootstrap_ci(rows, ["g"], "id", "x", 100).collect()
     assert (r.g, r.n, r.mean, r.lo, r.hi) == ("g", 200, 2.5, 2.5, 2.5)
+
+
+def test_coins_and_shares_are_counted_in_tasks():
+    """The operator's coins are plain numbers in tasks of Arrow batches, not expressions for each coin; they agree with those above."""
+    from gleanery.operators import resampling
+
+    for n in (0, 1, 31, 32, 33, 64, 1000):
+        assert resampling.heads(n, "l|3|17|4999|2") == heads(n, "l", 3, 17, 4999, 2)
+    for d, part, whole in ((0, 3, 7), (5, 0, 7), (5, 7, 7), (900, 3, 7), (900, 1, 512), (70, 511, 512), (40, 4, 8)):
+        assert resampling.binomial(d, part, whole, "l|0|0|12") == binomial(d, part, whole, "l", 0, 0, 12)
