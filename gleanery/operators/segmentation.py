@@ -1,23 +1,31 @@
-"""Structural and semantic segmentation over a table of words.
+"""Structural and semantic segmentation.
 
 How strongly a text breaks before each word - a blank line, a line end, the end of a sentence - decides its pieces: a word
-belongs to the coarsest stretch around it that is short enough. Stretches are running sums of breaks, so pieces are window
-functions, as are the two things that packing needs of each piece: how far a chunk that begins there reaches, and where
-the next one begins when a chunk ends there. What is left is one walk along a document's pieces, from end to end of its
-chunks. All windows are within documents, on one exchange; a long document is one task's work, as its chunks are in order.
+belongs to the coarsest stretch around it that is short enough. Pieces are found within the text, so that only they become
+rows. Stretches of pieces and the two things that packing needs of each - how far a chunk that begins there reaches, and
+where the next one begins when a chunk ends there - are window functions. What is left is one walk along a document's
+pieces, from end to end of its chunks. All windows are within documents, on one exchange; a long document is one task's
+work, as its chunks are in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import LEXICAL
 from ..sources.sinks import materialised
 from .chunking import OVERLAP, UNITS, prefix_sums
 from .models import Encoder, encode_texts
-from .retrieval import dot, encoded
+from .retrieval import DIMENSIONS, dot
 
 # What breaks a text between two words, by falling strength - a blank line, a line end, the end of a sentence.
 BLANK_LINE = r"\n[ \t]*\n"
@@ -39,41 +47,135 @@ def by_document(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
-def word_table(docs: DataFrame) -> DataFrame:
-    """doc_id, word_no, char_start, char_end, before (the word before), gap (the white space between), strength of every word."""
-    parts = by_document(docs.select("doc_id", "text")).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+|\s+"), F.lit(0))).alias("i", "part"))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    rows = parts.select("doc_id", "i", "part", F.sum(F.length("part")).over(w).cast("int").alias("char_end"), F.coalesce(F.lag("part").over(w), F.lit("")).alias("gap"), F.coalesce(F.lag("part", 2).over(w), F.lit("")).alias("before"))
-    rows = rows.where(~F.regexp_like("part", F.lit(r"^\s")))
-    return rows.select("doc_id", (F.row_number().over(w) - 1).alias("word_no"), (F.col("char_end") - F.length("part")).alias("char_start"), "char_end", "before", "gap", strength(F.col("gap"), F.right("before", F.lit(1))).alias("strength"))
+#: White space, as words are parted by it, and characters that end a sentence, among bytes of UTF-8.
+_SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+_MARKS = np.isin(np.arange(256), np.frombuffer(SENTENCE_MARKS.encode(), np.uint8))
+#: Bytes of text whose words are in arrays at once; a longer text stands alone.
+SLICE = 1 << 20
+
+
+@lru_cache(1 << 17)
+def _dimension(token: str) -> int:
+    """What ``hashed(token) % DIMENSIONS`` gives."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIMENSIONS
+
+
+def _words(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    """Of every word of texts that lie one behind the other: its text (doc), bytes (a, b), characters, the byte where the white
+    space before it begins, whether it is its text's first, and its strength."""
+    space, edges = _SPACES[raw], np.zeros(len(raw) + 1, bool)
+    edges[at] = True
+    a = np.flatnonzero(~space & (edges[:-1] | np.r_[True, space[:-1]]))
+    b = np.flatnonzero(~space & (edges[1:] | np.r_[space[1:], True])) + 1
+    doc = np.searchsorted(at, a, "right") - 1
+    head = np.r_[True, doc[1:] != doc[:-1]][: len(a)]
+    gap = np.where(head, at[doc], np.r_[0, b[:-1]][: len(a)])
+    lines = np.flatnonzero(raw == 10)
+    other = np.r_[0, np.cumsum(~np.isin(raw, (9, 10, 32)))]
+    row = np.searchsorted(at, lines, "right")
+    blank = lines[1:][(other[lines[1:]] == other[lines[:-1]]) & (row[1:] == row[:-1])]
+    some = lambda places: np.searchsorted(places, a) > np.searchsorted(places, gap)
+    marked = ~head & _MARKS[raw[np.maximum(gap - 1, 0)]]
+    kind = np.where(some(blank), BLANK, np.where(some(lines), LINE, np.where(marked, SENTENCE, NONE)))
+    chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+    return {"doc": doc, "a": a, "b": b, "gap": gap, "head": head, "strength": kind, "char_start": chars[a] - chars[at[doc]], "char_end": chars[b] - chars[at[doc]]}
+
+
+def _parts(w: dict[str, np.ndarray], sections: pa.Array) -> np.ndarray:
+    """The part of each word: odd ones are sections, even ones what lies behind them, 0 what lies before, -1 a text without sections."""
+    n = pc.fill_null(pc.list_value_length(sections), 0).to_numpy(zero_copy_only=False)
+    doc, flat, far = np.repeat(np.arange(len(n)), n), sections.flatten(), 1 << 40
+    j = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    start, end = (pc.fill_null(pc.struct_field(flat, i).cast(pa.int64()), -1).to_numpy(zero_copy_only=False) for i in (0, 1))
+    ended = np.maximum.accumulate(doc * far + np.maximum(end, 0)) if len(doc) else doc
+    start = np.maximum(start, np.where(j > 0, np.r_[0, ended[:-1]][: len(doc)] - doc * far, 0))
+    live = start < end
+    key, doc_of, j, end = (doc * far + start)[live], doc[live], j[live], end[live]
+    i = np.searchsorted(key, w["doc"] * far + w["char_start"], "right") - 1
+    if not len(key):
+        part = np.zeros(len(i), np.int64)
+    else:
+        within = (i >= 0) & (doc_of[i] == w["doc"])
+        part = np.where(within, 2 * j[i] + np.where(w["char_start"] < end[i], 1, 2), 0)
+    return np.where(n[w["doc"]] > 0, part, -1)
 
 
-def numbered(words: DataFrame, by: list[str], size: int) -> DataFrame:
-    """Words with ``k``, the number of their piece in their range, and ``level``, what bounds it.
+def _begins(head: np.ndarray, strength: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words begin a piece of their range, whose first word is a ``head``, and the level of each word.
 
     A word belongs to the coarsest stretch around it that has at most ``size`` words: its whole range, a paragraph, a line, a
     sentence; in a longer sentence pieces are runs of ``size`` words.
     """
-    w, every = Window.partitionBy(*by).orderBy("word_no"), Window.partitionBy(*by)
-    later = Window.partitionBy(*by).orderBy(F.desc("word_no")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = words.withColumns({"_n": F.count(F.lit(1)).over(every), "_end": F.max("word_no").over(every) + 1, "_first": F.row_number().over(w) == 1})
-    at = lambda k: F.when(F.col("_first") | (F.col("strength") >= k), F.col("word_no"))  # noqa: E731  (where a stretch begins)
-    kinds = (BLANK, LINE, SENTENCE)
-    rows = rows.withColumns({f"_a{k}": F.max(at(k)).over(w) for k in kinds} | {f"_b{k}": F.coalesce(F.min(at(k)).over(later), "_end") for k in kinds})
-    level = F.when(F.col("_n") <= size, WHOLE)
-    for k in kinds:
-        level = level.when(F.col(f"_b{k}") - F.col(f"_a{k}") <= size, k)
-    rows = rows.withColumn("level", level.otherwise(NONE))
-    run = F.col("word_no") - F.col(f"_a{SENTENCE}")
-    begins = F.col("_first") | F.when(F.col("level") == WHOLE, False).when(F.col("level") == NONE, run % size == 0).otherwise(F.col("strength") >= F.col("level"))
-    return rows.withColumn("k", (F.sum(begins.cast("int")).over(w) - 1).cast("int")).drop("_n", "_end", "_first", *[f"_{x}{k}" for x in "ab" for k in kinds])
-
-
-def pieces(words: DataFrame, by: list[str], size: int) -> DataFrame:
-    """by, k, units, char_start, char_end, and of the first word level, gap and before: the pieces of each range, in order."""
-    rows = numbered(words, by, size)
-    first = lambda c: F.min_by(c, "word_no").alias(c)
-    return rows.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("units"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), first("level"), first("gap"), first("before"))
+    level, nth = np.full(len(head), NONE), np.arange(len(head))
+    begins = head.copy()
+    for kind in (SENTENCE, LINE, BLANK, WHOLE):  # coarser ones take precedence
+        opens = head | (strength >= kind)
+        first = np.flatnonzero(opens)
+        stretch = np.cumsum(opens) - 1
+        fits = np.diff(np.r_[first, len(head)])[stretch] <= size
+        if kind == SENTENCE:
+            begins |= (nth - first[stretch]) % size == 0
+        level[fits], begins[fits] = kind, opens[fits]
+    return begins, level
+
+
+def _cosines(tokens_: list[list[int]], head: np.ndarray) -> np.ndarray:
+    """The cosine of hashed terms of each piece, with its neighbours, and the piece before it, likewise; nan where there is none."""
+    n = np.array([len(t) for t in tokens_])
+    flat = np.repeat(np.arange(len(n)), n) * DIMENSIONS + np.fromiter((x for t in tokens_ for x in t), np.int64, int(n.sum()))
+    own = np.bincount(flat, minlength=len(n) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float64)
+    around = own.copy()
+    around[1:] += np.where(head[1:, None], 0, own[:-1])
+    around[:-1] += np.where(head[1:, None], 0, own[1:])
+    norm = np.sqrt((around * around).sum(1, keepdims=True))
+    x = around / np.where(norm > 0, norm, 1)
+    return np.r_[np.nan, np.where(head[1:], np.nan, (x[1:] * x[:-1]).sum(1))]
+
+
+def pieces(docs: DataFrame, size: int, sections: str | None = None, cosines: bool = False) -> DataFrame:
+    """doc_id, part, held (words of the part), k, n (pieces of the part), units, char_start, char_end, level, and of the first word of
+    a part gap (the white space before it) and before (the word before that): the pieces of each part, in order; ``cosine``, where
+    asked for.
+
+    A text is cut where it is, so that no table of words is needed: a task works on the arrays of a slice of its texts.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ints = ("part", "held", "k", "n", "units", "char_start", "char_end", "level")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+        _, offsets, data = text.buffers()
+        at = np.frombuffer(offsets, np.int64, len(text) + 1, text.offset * 8)
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+        w = _words(raw, at - at[0])
+        part = np.full(len(w["a"]), -1) if sections is None else _parts(w, batch.column("sections"))
+        head = w["head"] | np.r_[True, part[1:] != part[:-1]][: len(part)]
+        begins, level = _begins(head, w["strength"], size)
+        first = np.flatnonzero(begins)
+        last = np.r_[first[1:], len(head)][: len(first)] - 1
+        opens = np.flatnonzero(head[first])  # pieces that are the first of their part
+        nth, n = np.cumsum(head[first]) - 1, np.diff(np.r_[opens, len(first)])
+        held = np.diff(np.r_[first[opens], len(head)])
+        out = {"part": part[first], "held": held[nth], "k": np.arange(len(first)) - opens[nth], "n": n[nth], "units": last - first + 1, "char_start": w["char_start"][first], "char_end": w["char_end"][last], "level": level[first]}
+        whole = raw.tobytes()
+        ahead = [(w["gap"][i], w["a"][i], w["a"][i] if w["head"][i] else w["a"][i - 1]) if out["k"][p] == 0 and part[i] > 0 else (0, 0, 0) for p, i in enumerate(first)] if sections else [(0, 0, 0)] * len(first)
+        cols = [batch.column("doc_id").take(pa.array(w["doc"][first])), *[pa.array(out[c], pa.int32()) for c in ints]]
+        cols += [pa.array([whole[g:a].decode() for g, a, _ in ahead], pa.string()), pa.array([whole[b:g].decode() for g, _, b in ahead], pa.string())]
+        if cosines:
+            said = [[_dimension(t) for t in re.findall(LEXICAL, whole[a:b].decode().lower())] for a, b in zip(w["a"][first].tolist(), w["b"][last].tolist())]
+            cols.append(pa.array(_cosines(said, head[first]) if said else [], pa.float64(), from_pandas=True))
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", *ints, "gap", "before", *["cosine"] * cosines])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, i = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)), 0
+            while i < len(ends):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE, "right")))
+                yield cut(batch.slice(i, j - i))
+                i = j
+
+    rows = by_document(docs.select("doc_id", "text", *[F.col(c).alias("sections") for c in [sections] if c]))
+    return rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} int' for c in ints)}, gap string, before string{', cosine double' * cosines}")
 
 
 def packed(rows: DataFrame, by: list[str], size: int, tail: int, forced: str | None = None) -> DataFrame:
@@ -87,9 +189,10 @@ def packed(rows: DataFrame, by: list[str], size: int, tail: int, forced: str | N
     later = Window.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce(F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stops = F.col(forced) if forced else F.lit(False)
-    inner = rows.select(*by, "k", "units", "char_start", "char_end", total.alias("total"), stops.alias("stops"))
-    last = inner.groupBy(*by).agg((F.max("k") + 1).alias("k"), (F.sum("units")).alias("total"))
-    inner = inner.unionByName(last.withColumn("stops", F.lit(True)), allowMissingColumns=True)  # the place behind the last piece
+    inner = rows.select(*by, "k", "units", "char_start", "char_end", total.alias("total"), stops.alias("stops"), F.lead("k").over(w).isNull().alias("last"))
+    place = F.struct("k", "units", "char_start", "char_end", "total", "stops")
+    behind = F.struct((F.col("k") + 1).alias("k"), F.lit(None).alias("units"), F.lit(None).alias("char_start"), F.lit(None).alias("char_end"), (F.col("total") + F.col("units")).alias("total"), F.lit(True).alias("stops"))
+    inner = inner.select(*by, F.inline(F.when(F.col("last"), F.array(place, behind)).otherwise(F.array(place))))  # and the place behind the last piece
     reach = Window.partitionBy(*by).orderBy("total")
     rows = inner.withColumns({"full": F.max("k").over(reach.rangeBetween(0, size)), "kept": F.min("k").over(reach.rangeBetween(-tail, 0)), "room": F.min("k").over(reach.rangeBetween(-size, 0))})
     rows = rows.withColumns({"room": F.lead("room").over(w), "stop": F.min(F.when(F.col("stops"), F.col("k"))).over(later)})
@@ -127,34 +230,26 @@ def structural(docs: DataFrame, size: int = UNITS, overlap: float = OVERLAP, sec
     of its own, each of which begins a chunk, and so does a piece that stands right behind it. Documents without words
     have no chunks, null sections are none.
     """
-    tail = round(size * overlap)
+    tail, by = round(size * overlap), ["doc_id", "part"]
     if sections is None:
-        return _in_order(packed(pieces(word_table(docs), ["doc_id"], size), ["doc_id"], size, tail), ["c"])
-    some = F.coalesce(F.size(sections), F.lit(0)) > 0
-    plain, docs, by = structural(docs.where(~some), size, overlap), docs.where(some), ["doc_id", "part"]
-    words = word_table(docs)
+        return _in_order(packed(by_document(pieces(docs, size)), ["doc_id"], size, tail), ["c"])
+    parts = materialised(pieces(docs, size, sections))
+    split = (F.col("part") % 2 == 1) & (F.col("held") > size)
+    plain = _in_order(packed(by_document(parts.where("part < 0")), ["doc_id"], size, tail), ["c"])
+    parts = parts.where("part >= 0")
+    cut = packed(by_document(parts.where(split)), by, size, tail).select(*by, F.col("c").alias("k"), "units", "char_start", "char_end", F.lit(True).alias("forced"))
+    # Where the last section that was split ends, before each section and up to it.
     order = Window.partitionBy("doc_id").orderBy("j")
-    spans = docs.select("doc_id", F.posexplode(sections).alias("j", "s")).select("doc_id", "j", F.col("s.start").alias("a"), F.col("s.end").alias("b"))
+    long = parts.where(split & (F.col("k") == 0)).select("doc_id", ((F.col("part") - 1) / 2).cast("int").alias("j"), F.lit(True).alias("long"))
+    spans = by_document(docs.join(long.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col(sections).alias("sections")))
+    spans = spans.select("doc_id", F.posexplode("sections").alias("j", "s")).select("doc_id", "j", F.col("s.start").alias("a"), F.col("s.end").alias("b"))
     ended = F.coalesce(F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = spans.select("doc_id", "j", F.greatest("a", ended).alias("a"), "b", F.max("b").over(order).alias("at"))
-    # Words and beginnings of sections in one order: a word is in the section that began last, if that has not ended.
-    events = words.select("*", F.col("char_start").alias("pos"), F.lit(None).cast("struct<j:int,b:int>").alias("s"))
-    events = events.unionByName(spans.where("a < b").select("doc_id", F.col("a").alias("pos"), F.struct("j", "b").alias("s")), allowMissingColumns=True)
-    open_ = F.last("s", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos", F.isnotnull("word_no")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = events.withColumn("s", open_).where("word_no is not null")
-    inside = F.coalesce(F.col("char_start") < F.col("s.b"), F.lit(False))
-    # Parts: odd ones are sections, even ones what lies behind them; sections without words in between do not matter.
-    rows = rows.withColumn("part", F.when(F.isnull("s"), 0).otherwise(2 * F.col("s.j") + F.when(inside, 1).otherwise(2))).drop("s", "pos")
-    rows = rows.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    split = (F.col("part") % 2 == 1) & (F.col("held") > size)
-    parts = materialised(pieces(rows, [*by, "held"], size))
-    cut = packed(parts.where(split), by, size, tail).select(*by, F.col("c").alias("k"), "units", "char_start", "char_end", F.lit(True).alias("forced"))
-    # Where the last section that was split ends, before each section and up to it.
-    known = spans.join(parts.where(split & (F.col("k") == 0)).select("doc_id", ((F.col("part") - 1) / 2).cast("int").alias("j"), F.lit(True).alias("long")), ["doc_id", "j"], "left")
+    known = spans.join(long, ["doc_id", "j"], "left")
     behind = F.last(F.when(F.col("long"), F.col("b")), ignorenulls=True)
     known = known.select("doc_id", "j", "a", "at", behind.over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before_"), behind.over(order).alias("upto"))
     ends = known.select("doc_id", (2 * F.col("j") + 1).alias("part"), F.col("a").alias("from"), F.col("before_").alias("behind")).unionByName(known.select("doc_id", (2 * F.col("j") + 2).alias("part"), F.col("at").alias("from"), F.col("upto").alias("behind")))
-    free = parts.where(~split).join(ends, by, "left")
+    free = parts.where(~split).join(ends.where("behind is not null"), by, "left")
     # White space between that end and the first word, and whether it breaks the text where the piece's own level would.
     gap = F.right("gap", F.least(F.length("gap"), F.col("char_start") - F.col("from")))
     mark = F.substr(F.concat("before", "gap"), F.length("before") + F.length("gap") - (F.col("char_start") - F.col("from")), F.lit(1))
@@ -166,24 +261,17 @@ def structural(docs: DataFrame, size: int = UNITS, overlap: float = OVERLAP, sec
     return plain.unionByName(_in_order(packed(every, ["doc_id"], size, 0, "forced"), ["c"]))
 
 
-def distances(rows: DataFrame, docs: DataFrame, load: Callable[[], Encoder] | None = None) -> DataFrame:
-    """doc_id, k, apart: one less the cosine of each piece, with its neighbours, and the piece before it, likewise.
+def distances(rows: DataFrame, docs: DataFrame, load: Callable[[], Encoder]) -> DataFrame:
+    """``rows`` with ``cosine`` of each piece, with its neighbours, and the piece before it, likewise.
 
-    ``load`` makes a batch encoder: pieces of all documents go to it together, in batches, longest first. Without it hashed
-    terms stand in.
+    ``load`` makes a batch encoder: pieces of all documents go to it together, in batches, longest first.
     """
     w = Window.partitionBy("doc_id").orderBy("k")
     around = rows.select("doc_id", "k", F.coalesce(F.lag("char_start").over(w), "char_start").alias("a"), F.coalesce(F.lead("char_end").over(w), "char_end").alias("b"))
     texts = around.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "k", F.expr("substring(text, a + 1, b - a)").alias("text"))
-    ahead = lambda df: df.withColumn("k", F.col("k") + 1)
-    if load is None:
-        v = materialised(encoded(texts, ["doc_id", "k"], "text"))
-        both = v.join(ahead(v).withColumnRenamed("x", "y"), ["doc_id", "k", "dim"]).groupBy("doc_id", "k").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
-    else:
-        v = materialised(encode_texts(texts, ["doc_id", "k"], "text", load))
-        both = v.join(ahead(v).withColumnRenamed("vector", "before"), ["doc_id", "k"]).select("doc_id", "k", dot(F.col("vector"), F.col("before")).alias("cosine"))
-    later = rows.where("k > 0").select("doc_id", "k").join(both, ["doc_id", "k"], "left")
-    return later.select("doc_id", "k", F.round(1 - F.coalesce("cosine", F.lit(0.0)), 9).alias("apart"))
+    v = materialised(encode_texts(texts, ["doc_id", "k"], "text", load))
+    ahead = v.select("doc_id", (F.col("k") + 1).alias("k"), F.col("vector").alias("before"))
+    return rows.join(v.join(ahead, ["doc_id", "k"]).select("doc_id", "k", dot(F.col("vector"), F.col("before")).alias("cosine")), ["doc_id", "k"], "left")
 
 
 def semantic(docs: DataFrame, load: Callable[[], Encoder] | None = None, size: int = UNITS, overlap: float = OVERLAP, percentile: float = 0.95, least: int = 16, piece: int = 64) -> DataFrame:
@@ -193,24 +281,23 @@ def semantic(docs: DataFrame, load: Callable[[], Encoder] | None = None, size: i
     A stretch of fewer than ``least`` words stays with the one before it; one of more than ``size`` is cut by structure.
     Documents of one or two pieces are packed.
     """
-    tail = round(size * overlap)
-    words = materialised(numbered(word_table(docs), ["doc_id"], piece).withColumnRenamed("k", "piece"))
-    rows = words.groupBy("doc_id", F.col("piece").alias("k")).agg(F.count(F.lit(1)).alias("units"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    few = packed(rows.where("n <= 2"), ["doc_id"], size, tail).select("doc_id", F.lit(0).alias("part"), "c", "char_start", "char_end")
-    many = rows.where("n > 2")
-    apart = materialised(distances(many, docs, load))
+    tail, by = round(size * overlap), ["doc_id", "part"]
+    rows = materialised(pieces(docs, piece, cosines=load is None))
+    few = packed(by_document(rows.where("n <= 2")), ["doc_id"], size, tail).select("doc_id", "char_start", "char_end")
+    many = by_document(rows.where("n > 2"))
+    many = many if load is None else distances(many, docs, load)
+    # The first piece has none before it, and percentiles leave nulls out.
+    many = many.withColumn("apart", F.when(F.col("k") > 0, F.round(1 - F.coalesce("cosine", F.lit(0.0)), 9)))
     limit = F.round(F.percentile("apart", F.lit(percentile)).over(Window.partitionBy("doc_id")), 9)
-    opens = many.join(apart.withColumn("opens", F.col("apart") > limit), ["doc_id", "k"], "left")
     w = Window.partitionBy("doc_id").orderBy("k")
+    opens = many.withColumn("opens", F.col("apart") > limit)
     group = F.sum(F.coalesce(F.col("opens"), F.lit(False)).cast("int")).over(w)
-    opens = opens.withColumn("g", group)
-    head = F.row_number().over(Window.partitionBy("doc_id", "g").orderBy("k")) == 1
-    opens = opens.withColumn("head", head & ((F.sum("units").over(Window.partitionBy("doc_id", "g")) >= least) | (F.col("g") == 0)))
-    numbers = opens.select("doc_id", "k", F.sum(F.col("head").cast("int")).over(w).alias("part")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"))
-    by = ["doc_id", "part"]
-    held = by_document(words.drop("level")).join(by_document(numbers), "doc_id").withColumn("part", F.get("parts", F.col("piece"))["part"]).drop("parts")
-    held = materialised(held.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(*by))))
-    short = held.where(F.col("held") <= size).groupBy(*by).agg(F.lit(0).alias("c"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
-    long = packed(pieces(by_document(held.where(F.col("held") > size)), by, size), by, size, tail).select(*by, "c", "char_start", "char_end")
-    return _in_order(few.unionByName(short.select(*few.columns)).unionByName(long), ["part", "c"])
+    stretches = opens.withColumn("g", group).groupBy("doc_id", "g").agg(F.sum("units").alias("units"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    heads = F.sum(((F.col("units") >= least) | (F.col("g") == 0)).cast("int")).over(Window.partitionBy("doc_id").orderBy("g"))
+    parts = stretches.withColumn("part", heads).groupBy(*by).agg(F.sum("units").alias("held"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    parts = materialised(parts)
+    short = parts.where(F.col("held") <= size).select("doc_id", "char_start", "char_end")
+    ranges = parts.where(F.col("held") > size).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("char_start").alias("start"), F.col("char_end").alias("end")))).alias("sections"))
+    again = pieces(docs.select("doc_id", "text").join(ranges, "doc_id"), size, "sections").where("part % 2 = 1")
+    long = packed(by_document(again), by, size, tail).select("doc_id", "char_start", "char_end")
+    return _in_order(few.unionByName(short).unionByName(long), ["char_start"])

@@ -138,6 +138,19 @@ def test_segmentation_of_nothing(spark):
     assert G.structural(none).count() == G.semantic(none).count() == 0
 
 
+def executed(df):
+    """The plan of ``df`` as text."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_do_not_become_rows(spark):
+    docs = spark.createDataFrame([(1, "a b. c d\n\n" * 500), (2, "été. " * 300)], "doc_id long, text string")
+    rows = G._in_order(G.packed(G.pieces(docs, 20), ["doc_id"], 20, 2), ["c"])
+    assert "Generate posexplode" not in executed(G.structural(docs, 20, 0.1)).split("MapInArrow")[-1]
+    assert executed(rows).count("MapInArrow") == 1 == executed(G.structural(docs, 20, 0.1)).count("MapInArrow")
+    assert [tuple(r) for r in G.pieces(docs, 20).where("doc_id = 2 and k < 2").select("held", "k", "n", "units", "char_start", "char_end").orderBy("k").collect()] == [(300, 0, 300, 1, 0, 4), (300, 1, 300, 1, 5, 9)]
+
+
 def word_encoder():
     """Two components for each word: its length, and its place; blind beyond 40 characters."""
 
