@@ -98,10 +98,13 @@ def agreement(chunks: DataFrame, centre: str) -> DataFrame:
     """method, n_docs, identical, single, several of chunks (method, doc_id, char_start, char_end): for each method, over the
     documents that the ``centre`` method cuts, the share that it cuts alike, into one chunk, and into several."""
     spans = chunks.groupBy("method", "doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end"))).alias("x"))
-    base = spans.where(F.col("method") == centre).select("doc_id", F.col("x").alias("y"))
-    rows = spans.select("method").distinct().join(base, F.lit(True)).join(spans, ["method", "doc_id"], "left")
-    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
-    return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n_docs"), share(F.col("x") == F.col("y")).alias("identical"), share(F.size("x") == 1).alias("single"), share(F.size("x") > 1).alias("several"))
+    centred = F.col("method") == centre
+    # The centre's chunks meet the others' within their document, so that each method is cut once.
+    rows = spans.withColumn("y", F.max(F.when(centred, F.col("x"))).over(Window.partitionBy("doc_id")))
+    kinds = {"identical": F.col("x") == F.col("y"), "single": F.size("x") == 1, "several": F.size("x") > 1}
+    found = rows.groupBy("method").agg(F.sum(centred.cast("long")).alias("n_docs"), *[F.count(F.when(F.isnotnull("y") & c, 1)).alias(n) for n, c in kinds.items()])
+    found = found.withColumn("n_docs", F.sum("n_docs").over(Window.partitionBy())).where("n_docs > 0")
+    return found.select("method", "n_docs", *[(F.col(n) / F.col("n_docs")).alias(n) for n in kinds])
 
 
 def _best_run(hits: Column, width: Column, f: Callable[[Column], Column]) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import models as M
 from gleanery.operators import segmentation as G
+from gleanery.operators.chunking import agreement
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import this module
 
@@ -151,6 +152,14 @@ def test_words_do_not_become_rows(spark):
     assert [tuple(r) for r in G.pieces(docs, 20).where("doc_id = 2 and k < 2").select("held", "k", "n", "units", "char_start", "char_end").orderBy("k").collect()] == [(300, 0, 300, 1, 0, 4), (300, 1, 300, 1, 5, 9)]
 
 
+def test_agreement_cuts_each_method_once(spark):
+    rows = [("a", 1, 0, 5), ("a", 2, 0, 3), ("a", 2, 3, 9), ("b", 1, 0, 5), ("b", 3, 0, 1), ("c", 3, 0, 1), ("d", 2, 0, 4), ("d", 2, 3, 9)]
+    got = agreement(spark.createDataFrame(rows, "method string, doc_id long, char_start int, char_end int"), "a")
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 1.0, 0.5, 0.5), ("b", 2, 0.5, 0.5, 0.0), ("c", 2, 0.0, 0.0, 0.0), ("d", 2, 0.0, 0.0, 0.5)}
+    assert executed(got).split("== Initial Plan ==")[0].count("Scan ExistingRDD") == 1
+    assert agreement(spark.createDataFrame(rows, "method string, doc_id long, char_start int, char_end int"), "z").count() == 0
+
+
 def word_encoder():
     """Two components for each word: its length, and its place; blind beyond 40 characters."""
 
