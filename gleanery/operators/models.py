@@ -6,15 +6,18 @@ without a model are DataFrame functions over hashed tokens.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
-from ..sources.tables import hashed
 from .retrieval import encoded
 
 #: Components of the stand-in for an encoder of long contexts.
@@ -24,6 +27,16 @@ Encoder = Callable[[list[str]], np.ndarray]
 #: For each text, where its tokens start and end, and one vector for each token.
 TokenEncoder = Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]
 
+#: What ``token_spans`` takes for a token, too.
+TOKEN = re.compile("[A-Za-z0-9_./+-]+")
+
+
+@lru_cache(1 << 17)
+def hash_of(token: str) -> int:
+    """What ``hashed`` gives for a token."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+
+
 _loaded: dict[object, object] = {}
 
 
@@ -144,20 +157,37 @@ def late_chunk_embeddings(chunks: DataFrame, docs: DataFrame, load: Callable[[],
 
 
 def late_vectors(chunks: DataFrame, docs: DataFrame, weight: float = 0.5, dimensions: int = LONG_DIMENSIONS) -> DataFrame:
-    """doc_id, chunk_no, dim, x: the stand-in for late chunking, by the same join of tokens and chunks.
+    """doc_id, chunk_no, dim, x: the stand-in for late chunking, in one pass over texts that have met their chunks.
 
     A token's vector is its hashed dimension plus ``weight`` times the mean over its document; a chunk's is the mean over the
-    tokens that overlap it, at unit length. Chunks without a token get the document's mean.
+    tokens that overlap it, at unit length. Chunks without a token get the document's mean. Tokens are in order, so those
+    that overlap a chunk are a run of them.
     """
-    key = ["doc_id", "chunk_no"]
-    spans = token_spans(docs).withColumn("dim", hashed(F.lower("token")) % dimensions)
-    count = lambda df, by: df.groupBy(*by, "dim").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    share = lambda df, by: df.join(df.groupBy(*by).agg(F.sum("c").alias("n")), by).withColumn("x", F.col("c") / F.col("n")).drop("c", "n")
-    own = share(count(overlapping(spans, chunks), key), key).select(*key, "dim", "x")
-    whole = share(count(spans, ["doc_id"]), ["doc_id"]).select("doc_id", "dim", (F.col("x") * weight).alias("x"))
-    both = own.unionByName(chunks.select(*key).join(whole, "doc_id").select(*key, "dim", "x")).groupBy(*key, "dim").agg(F.sum("x").alias("x"))
-    size = both.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    return both.join(size, key).select(*key, "dim", (F.col("x") / F.col("size")).alias("x"))
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+    held = chunks.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_no", "char_start", "char_end")).alias("c"))
+    rows = held.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").repartition("doc_id")
+
+    def vectors(text: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        spans = [(m.start(), m.end(), hash_of(m.group().lower()) % dimensions) for m in TOKEN.finditer(text)]
+        if not spans:
+            return np.zeros((len(a), dimensions))
+        start, end, dim = np.array(spans, np.int64).T
+        i, j = np.searchsorted(end, a, "right"), np.searchsorted(start, b)
+        own = np.stack([np.bincount(dim[x:y], minlength=dimensions) / max(1, y - x) for x, y in zip(i.tolist(), j.tolist())])
+        x = own + np.bincount(dim, minlength=dimensions) / len(dim) * weight
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                spans = batch.column("c")[row].values
+                at = {c: spans.field(c) for c in ("chunk_no", "char_start", "char_end")}
+                x = vectors(batch.column("text")[row].as_py(), np.asarray(at["char_start"], np.int64), np.asarray(at["char_end"], np.int64))
+                chunk, dim = np.nonzero(x)
+                if len(chunk):
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.full(len(chunk), row))), at["chunk_no"].take(pa.array(chunk)), pa.array(dim, pa.int64()), pa.array(x[chunk, dim])], ["doc_id", "chunk_no", "dim", "x"])
+
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, chunk_no {kinds['chunk_no']}, dim bigint, x double")
 
 
 def query_text(query: Column, prefix: str = "Represent this sentence for searching relevant passages: ") -> Column:

@@ -2,20 +2,19 @@
 
 How strongly a text breaks before each word - a blank line, a line end, the end of a sentence - decides its pieces: a word
 belongs to the coarsest stretch around it that is short enough. Pieces are found within the text, so that only they become
-rows. Stretches of pieces and the two things that packing needs of each - how far a chunk that begins there reaches, and
-where the next one begins when a chunk ends there - are window functions. What is left is one walk along a document's
-pieces, from end to end of its chunks. All windows are within documents, on one exchange; a long document is one task's
-work, as its chunks are in order.
+rows. Stretches of pieces are window functions. Packing is one walk along a document's sorted pieces, from end to end of its
+chunks; how far a chunk that begins at a piece reaches, and where the next one begins when a chunk ends there, is searched in
+the sums of words, for all pieces of a batch at once. All of it is within documents; a long document is one task's work, as
+its chunks are in order.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.text import LEXICAL
 from ..sources.sinks import materialised
 from .chunking import OVERLAP, UNITS, prefix_sums
-from .models import Encoder, encode_texts
+from .models import Encoder, encode_texts, hash_of
 from .retrieval import DIMENSIONS, dot
 
 # What breaks a text between two words, by falling strength - a blank line, a line end, the end of a sentence.
@@ -43,8 +42,8 @@ def strength(gap: Column, mark: Column) -> Column:
 
 def by_document(rows: DataFrame) -> DataFrame:
     """Rows dealt out by document once, before they become many; the windows and groups within documents that follow need no other
-    exchange."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    exchange. Without a number of partitions, small tables are dealt to few tasks."""
+    return rows.repartition("doc_id")
 
 
 #: White space, as words are parted by it, and characters that end a sentence, among bytes of UTF-8.
@@ -54,12 +53,6 @@ _MARKS = np.isin(np.arange(256), np.frombuffer(SENTENCE_MARKS.encode(), np.uint8
 SLICE = 1 << 20
 
 
-@lru_cache(1 << 17)
-def _dimension(token: str) -> int:
-    """What ``hashed(token) % DIMENSIONS`` gives."""
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIMENSIONS
-
-
 def _words(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Of every word of texts that lie one behind the other: its text (doc), bytes (a, b), characters, the byte where the white
     space before it begins, whether it is its text's first, and its strength."""
@@ -162,7 +155,7 @@ def pieces(docs: DataFrame, size: int, sections: str | None = None, cosines: boo
         cols = [batch.column("doc_id").take(pa.array(w["doc"][first])), *[pa.array(out[c], pa.int32()) for c in ints]]
         cols += [pa.array([whole[g:a].decode() for g, a, _ in ahead], pa.string()), pa.array([whole[b:g].decode() for g, _, b in ahead], pa.string())]
         if cosines:
-            said = [[_dimension(t) for t in re.findall(LEXICAL, whole[a:b].decode().lower())] for a, b in zip(w["a"][first].tolist(), w["b"][last].tolist())]
+            said = [[hash_of(t) % DIMENSIONS for t in re.findall(LEXICAL, whole[a:b].decode().lower())] for a, b in zip(w["a"][first].tolist(), w["b"][last].tolist())]
             cols.append(pa.array(_cosines(said, head[first]) if said else [], pa.float64(), from_pandas=True))
         return pa.RecordBatch.from_arrays(cols, ["doc_id", *ints, "gap", "before", *["cosine"] * cosines])
 
@@ -178,32 +171,75 @@ def pieces(docs: DataFrame, size: int, sections: str | None = None, cosines: boo
     return rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} int' for c in ints)}, gap string, before string{', cosine double' * cosines}")
 
 
+def _walk(table: pa.Table, by: list[str], size: int, tail: int) -> pa.Table:
+    """Chunks of the pieces of whole groups, in their order; a group begins with its piece 0."""
+    k, units = (np.asarray(table.column(c), np.int64) for c in ("k", "units"))
+    heads = np.flatnonzero(k == 0)
+    n = np.diff(np.r_[heads, len(k)])
+    g = np.repeat(np.arange(len(n)), n + 1)  # a place for each piece, and one behind the last of each group
+    place = np.arange(len(g))
+    first, behind = heads + np.arange(len(n)), heads + np.arange(len(n)) + n
+    inner = np.ones(len(g), bool)
+    inner[behind] = False
+    total = np.zeros(len(g), np.int64)
+    total[1:][inner[:-1]] = np.cumsum(units)
+    total[behind] = np.cumsum(units)[heads + n - 1]
+    total -= np.repeat(np.r_[0, np.cumsum(units)][heads], n + 1)
+    total[first] = 0
+    stops = ~inner
+    stops[inner] = np.asarray(table.column("stops"), bool)
+    key = total + g * (int(total.max(initial=0)) + size + tail + 1)
+    full, kept, room = np.searchsorted(key, key + size, "right") - 1, np.searchsorted(key, key - tail), np.searchsorted(key, key - size)
+    begin = np.where(stops, place, np.minimum(place, np.maximum(kept, np.r_[room[1:], len(g)])))
+    begin[first] = first
+    held = np.flatnonzero(stops)
+    stop = np.r_[held, len(g)][np.searchsorted(held, place, "right")]
+    end = np.minimum(np.maximum(full[begin], place + 1), stop)
+    # From piece to piece: only where the last chunk ended does the next one begin.
+    out, at, ends, last = [], 0, end.tolist(), (~inner).tolist()
+    while at < len(ends):
+        if last[at]:
+            at += 1
+        else:
+            out.append(at)
+            at = ends[at]
+    at = np.array(out, np.int64)
+    a, b, of = begin[at], end[at], g[at]
+    c = np.arange(len(at)) - np.searchsorted(of, of)
+    pieces_ = table.select(by).take(pa.array(a - of))
+    ints = {"c": pa.array(c, pa.int32()), "units": pa.array(total[b] - total[a], pa.int64()), "char_start": table.column("char_start").take(pa.array(a - of)), "char_end": table.column("char_end").take(pa.array(b - 1 - of))}
+    return pa.table({**{x: pieces_.column(x) for x in by}, **ints})
+
+
 def packed(rows: DataFrame, by: list[str], size: int, tail: int, forced: str | None = None) -> DataFrame:
     """by, c, units, char_start, char_end: chunks of neighbouring pieces (by, k from 0, units, char_start, char_end) of up to ``size``
     words, in order.
 
     A piece opens the next chunk when it does not fit, or where ``forced`` says so. Then the chunk also repeats the last
-    pieces before it that have at most ``tail`` words and leave room for it; a forced one repeats none.
+    pieces before it that have at most ``tail`` words and leave room for it; a forced one repeats none. Pieces are dealt out
+    by document and sorted; a task walks along them in batches and holds one group that is not complete.
     """
-    w = Window.partitionBy(*by).orderBy("k")
-    later = Window.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.coalesce(F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stops = F.col(forced) if forced else F.lit(False)
-    inner = rows.select(*by, "k", "units", "char_start", "char_end", total.alias("total"), stops.alias("stops"), F.lead("k").over(w).isNull().alias("last"))
-    place = F.struct("k", "units", "char_start", "char_end", "total", "stops")
-    behind = F.struct((F.col("k") + 1).alias("k"), F.lit(None).alias("units"), F.lit(None).alias("char_start"), F.lit(None).alias("char_end"), (F.col("total") + F.col("units")).alias("total"), F.lit(True).alias("stops"))
-    inner = inner.select(*by, F.inline(F.when(F.col("last"), F.array(place, behind)).otherwise(F.array(place))))  # and the place behind the last piece
-    reach = Window.partitionBy(*by).orderBy("total")
-    rows = inner.withColumns({"full": F.max("k").over(reach.rangeBetween(0, size)), "kept": F.min("k").over(reach.rangeBetween(-tail, 0)), "room": F.min("k").over(reach.rangeBetween(-size, 0))})
-    rows = rows.withColumns({"room": F.lead("room").over(w), "stop": F.min(F.when(F.col("stops"), F.col("k"))).over(later)})
-    begin = F.when(F.col("stops") | (F.col("k") == 0), F.col("k")).otherwise(F.least("k", F.greatest("kept", "room")))
-    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", begin.cast("int").alias("begin"), F.col("full").cast("int").alias("full"), F.col("stop").cast("int").alias("stop"), "total", "char_start", "char_end"))).alias("p"))
-    p = F.col("p")
-    end = lambda x: F.least(F.greatest(F.get(p, x["begin"])["full"], x["k"] + 1), x["stop"])
-    # From piece to piece: only where the last chunk ended does the next one begin.
-    ends = F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out")), lambda s, x: F.when(x["k"] == s["at"], F.struct(end(x).alias("at"), F.array_append(s["out"], F.struct(x["begin"].alias("a"), end(x).alias("b"))).alias("out"))).otherwise(s), lambda s: s["out"])
-    chunks = held.select(*by, "p", F.posexplode(ends).alias("c", "x"))
-    return chunks.select(*by, "c", (F.get("p", F.col("x.b"))["total"] - F.get("p", F.col("x.a"))["total"]).alias("units"), F.get("p", F.col("x.a"))["char_start"].alias("char_start"), F.get("p", F.col("x.b") - 1)["char_end"].alias("char_end"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    stops = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
+    rows = by_document(rows.select(*by, "k", "units", "char_start", "char_end", stops.alias("stops"))).sortWithinPartitions(*by, "k")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # frames of whole numbers have no nulls
+    schema = pa.schema([*[(c, pa.string() if c == "doc_id" else pa.int64()) for c in [*by, "k", "units", "char_start", "char_end"]], ("stops", pa.bool_())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pa.RecordBatch] = []
+        for frame in frames:
+            batch = pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
+            heads = np.flatnonzero(frame["k"].to_numpy() == 0)
+            if len(heads) and (held or heads[-1]):
+                last = int(heads[-1])
+                yield _walk(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks(), by, size, tail).to_pandas()
+                batch, held = batch.slice(last), []
+            held.append(batch)
+        if sum(map(len, held)):
+            yield _walk(pa.Table.from_batches(held).combine_chunks(), by, size, tail).to_pandas()
+
+    out = rows.mapInPandas(run, f"{', '.join(f'{c} string' if c == 'doc_id' else f'{c} {kinds[c]}' for c in by)}, c int, units bigint, char_start {kinds['char_start']}, char_end {kinds['char_end']}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kinds["doc_id"]))
 
 
 def _in_order(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -232,12 +268,12 @@ def structural(docs: DataFrame, size: int = UNITS, overlap: float = OVERLAP, sec
     """
     tail, by = round(size * overlap), ["doc_id", "part"]
     if sections is None:
-        return _in_order(packed(by_document(pieces(docs, size)), ["doc_id"], size, tail), ["c"])
+        return _in_order(packed(pieces(docs, size), ["doc_id"], size, tail), ["c"])
     parts = materialised(pieces(docs, size, sections))
     split = (F.col("part") % 2 == 1) & (F.col("held") > size)
-    plain = _in_order(packed(by_document(parts.where("part < 0")), ["doc_id"], size, tail), ["c"])
+    plain = _in_order(packed(parts.where("part < 0"), ["doc_id"], size, tail), ["c"])
     parts = parts.where("part >= 0")
-    cut = packed(by_document(parts.where(split)), by, size, tail).select(*by, F.col("c").alias("k"), "units", "char_start", "char_end", F.lit(True).alias("forced"))
+    cut = packed(parts.where(split), by, size, tail).select(*by, F.col("c").alias("k"), "units", "char_start", "char_end", F.lit(True).alias("forced"))
     # Where the last section that was split ends, before each section and up to it.
     order = Window.partitionBy("doc_id").orderBy("j")
     long = parts.where(split & (F.col("k") == 0)).select("doc_id", ((F.col("part") - 1) / 2).cast("int").alias("j"), F.lit(True).alias("long"))
@@ -283,7 +319,7 @@ def semantic(docs: DataFrame, load: Callable[[], Encoder] | None = None, size: i
     """
     tail, by = round(size * overlap), ["doc_id", "part"]
     rows = materialised(pieces(docs, piece, cosines=load is None))
-    few = packed(by_document(rows.where("n <= 2")), ["doc_id"], size, tail).select("doc_id", "char_start", "char_end")
+    few = packed(rows.where("n <= 2"), ["doc_id"], size, tail).select("doc_id", "char_start", "char_end")
     many = by_document(rows.where("n > 2"))
     many = many if load is None else distances(many, docs, load)
     # The first piece has none before it, and percentiles leave nulls out.
@@ -299,5 +335,5 @@ def semantic(docs: DataFrame, load: Callable[[], Encoder] | None = None, size: i
     short = parts.where(F.col("held") <= size).select("doc_id", "char_start", "char_end")
     ranges = parts.where(F.col("held") > size).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("char_start").alias("start"), F.col("char_end").alias("end")))).alias("sections"))
     again = pieces(docs.select("doc_id", "text").join(ranges, "doc_id"), size, "sections").where("part % 2 = 1")
-    long = packed(by_document(again), by, size, tail).select("doc_id", "char_start", "char_end")
+    long = packed(again, by, size, tail).select("doc_id", "char_start", "char_end")
     return _in_order(few.unionByName(short).unionByName(long), ["char_start"])
