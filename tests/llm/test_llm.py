@@ -14,7 +14,7 @@ from gleanery.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
 from gleanery.llm.components import components
 from gleanery.llm.exact_dedup import exact_dedup, exact_groups
 from gleanery.llm.language_id import identify_languages
-from gleanery.llm.line_dedup import _signed, dedup_lines, line_classes
+from gleanery.llm.line_dedup import _near, _signed, _unmet, dedup_lines, line_classes
 from gleanery.llm.mixing import Mix, draws, hypergeometric, mix_documents, split_tree, targets
 from gleanery.llm.ngram_join import near_duplicates, without_near_duplicates
 from gleanery.llm.suffix_array import permuted_prefixes, suffix_array
@@ -303,6 +303,28 @@ def test_line_dedup_within_large_buckets(spark):
     assert all(got[i] == i - i % 2 or (got[i] == i and not meet[i // 2]) for i in range(len(lines)))
 
 
+def test_short_lines_meet_in_some_bucket(spark):
+    rng = random.Random(14)
+    lines = []
+    for _ in range(600):  # 17 shingles each, 15 of them shared by a pair: similarity 0.789
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(21))
+        lines += [line + "ab", line + "yz"]
+    bands = {}
+    for r in _signed(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect():
+        bands.setdefault(r.id, set()).add(r.band)
+    assert sum(bool(bands[i] & bands[i + 1]) for i in range(0, len(lines), 2)) >= 0.985 * 600
+
+
+def test_lines_of_different_buckets_are_not_paired(spark):
+    line = words(12, 15)
+    lines = spark.createDataFrame([(i, line + end) for i, end in enumerate(("", " a", " bc", " def"))], "id long, line string")
+    inner = spark.createDataFrame([(7, 0), (7, 1), (8, 2), (8, 3)], "band long, id long")
+    near = _near(lines, inner.select("id"))
+    assert {r.id: r.n for r in near.collect()} == {i: len({x[k : k + 7] for k in range(len(x) - 6)}) for i, x in lines.collect()}
+    pairs = _unmet(inner, spark.createDataFrame([], "node long, root long"), near, 75)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1, 0), (3, 2)}
+
+
 def removed_by_brute_force(texts, length=400):
     seen = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
     out = []
