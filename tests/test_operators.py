@@ -143,6 +143,22 @@ def test_items_are_located_in_every_document(spark):
     assert got == {(i, d, t.index(x) + 1) for i, x in items.items() if x for d, t in texts.items() if t and x in t}
 
 
+def test_items_are_located_without_dealing_out_texts(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ab\u00e9\u65e5") for _ in range(rng.randrange(1, 4)))
+    texts = {i: "".join(word() + rng.choice([" ", "  ", "\t", "\n"]) for _ in range(rng.randrange(60))) for i in range(80)}
+    items = {}
+    for i in range(120):  # of every length, from a text or from none
+        text = texts[rng.randrange(80)] if i % 4 else "".join(word() + " " for _ in range(20))
+        at = rng.randrange(len(text) + 1)
+        items[i] = text[at : at + 1 + i % 60]
+    items = {i: x for i, x in items.items() if x}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = S.located(spark.createDataFrame(list(items.items()), "item_id long, text string"), docs)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.item_id, r.doc_id, r.at, r.n) for r in got.collect()} == {(i, d, t.index(x) + 1, len(x)) for i, x in items.items() for d, t in texts.items() if x in t}
+
+
 def test_candidates_without_losses(spark):
     docs = spark.createDataFrame([(10**12 + 7 * i,) for i in range(60)], "doc_id long")
     asked = spark.createDataFrame([(1, 10**12), (2, None)], "question_id long, gold_doc long")
