@@ -6,11 +6,13 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from gleanery.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
+from gleanery.llm.common import checkpointed
 from gleanery.llm.components import components
 from gleanery.llm.exact_dedup import exact_dedup, exact_groups
 from gleanery.llm.language_id import identify_languages
@@ -325,6 +327,17 @@ def test_lines_of_different_buckets_are_not_paired(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == {(1, 0), (3, 2)}
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def held():
+        folder = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+        return {f.name for f in folder.rglob("shuffle_*")}
+
+    before = held()
+    table = checkpointed(spark.range(1000).repartition(7, "id"))
+    assert held() == before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def removed_by_brute_force(texts, length=400):
     seen = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
     out = []
