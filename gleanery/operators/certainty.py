@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import answer_body, bind, cited_segments, is_abstention
 from ..sources.sinks import materialised
 from .retrieval import ROW, ranked
-from .resampling import draws
+from .resampling import drawn_ranks, draws
 from .statistics import interval
 
 CUTS = (0.35, 0.60, 0.85)
@@ -22,6 +22,8 @@ RERANK_SIGNALS = ("rerank_top1", "rerank_gap12", "rerank_std")
 CITATION_BANDS = ("low", "medium", "high")
 #: Resamples of AUROC intervals and of the citation test.
 AUROC_RESAMPLES, CITATION_RESAMPLES = 2000, 1000
+#: Rows of a part of the scores, about, that a task ranks in a chunk of resamples.
+PART = 8192
 
 
 def signals(asked: DataFrame, dense: DataFrame, lexical: DataFrame, traces: DataFrame, k: int = 5) -> DataFrame:
@@ -86,10 +88,14 @@ def auroc(rows: DataFrame, by: list[str], score: str, label: str, parts: int | N
 def auroc_ci(rows: DataFrame, by: list[str], unit: str, score: str, label: str, n_boot: int = AUROC_RESAMPLES) -> DataFrame:
     """by, n, positives, auroc, lo, hi: resamples draw units; those with one class only are left out."""
     x = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*by, F.col(unit).alias("_u"), F.col(score).cast("double").alias("s"), (F.col(label) == 1).cast("long").alias("y"))
-    drawn = draws(x, "_u", n_boot, by).groupBy(*by, "b", "s").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = drawn.withColumn("r", F.col("pos") * (before + (F.col("n") + 1) / 2)).groupBy(*by, "b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("r").alias("r"))
-    areas = drawn.select(*by, _area(F.col("n"), F.col("pos"), F.col("r")).alias("area")).where("area is not null")
+    key = by or ["_one"]
+    x = materialised(x if by else x.withColumn("_one", F.lit(1)))
+    most = x.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-most // PART)
+    ends = F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(1.0))
+    cuts = x.groupBy(*key).agg(F.array_distinct(F.percentile_approx("s", ends, F.lit(max(1000, 10 * parts)))).alias("cuts"))
+    drawn = drawn_ranks(x, key, "_u", "s", "y", n_boot, cuts)
+    areas = drawn.select(*key, _area(F.col("n"), F.col("pos"), F.col("r")).alias("area")).where("area is not null")
     ci = areas.groupBy(*by).agg(*interval("area"))
     base = auroc(rows, by, score, label)
     return base.join(ci, by, "left") if by else base.join(ci, F.lit(True), "left")
@@ -242,13 +248,16 @@ def evaluate(scored: DataFrame, label: str, fitted_rate: float, unit: str, top:
     form, n, base rates, AUROC with interval, of the first signal alone, and among answerable questions; Brier score, that
     of the fitted base rate, skill, calibration error, and mean score.
     """
-    long = None
-    for form, c in (("as fitted", "score"), ("shifted", "score_shifted")):
-        rows = scored.select(F.lit(form).alias("form"), F.col(unit).alias("unit"), F.col(c).alias("p"), F.col(label).cast("double").alias("y"), F.col(top).alias("top"), F.col(answerable).alias("ok"))
-        long = rows if long is None else long.unionByName(rows)
+    forms = {"as fitted": "score", "shifted": "score_shifted"}
+    rows = scored.select(F.col(unit).alias("unit"), F.col(label).cast("double").alias("y"), F.col(top).cast("double").alias("top"), F.col(answerable).alias("ok"), *forms.values())
+    rows = materialised(rows)  # several steps read it
+    of = lambda form, c: rows.select(F.lit(form).alias("form"), "unit", F.col(c).alias("p"), "y", "ok")
+    long = of("as fitted", "score").unionByName(of("shifted", "score_shifted"))
     by = ["form"]
-    area = auroc_ci(long, by, "unit", "p", "y", n_boot).select("form", "auroc", F.col("lo").alias("auroc_lo"), F.col("hi").alias("auroc_hi"))
-    first = auroc_ci(long, by, "unit", "top", "y", n_boot).select("form", F.col("auroc").alias("auroc_top1_only"), F.col("lo").alias("auroc_top1_lo"), F.col("hi").alias("auroc_top1_hi"))
+    # Both forms and the first signal draw the same units, so one call makes their draws once.
+    areas = materialised(auroc_ci(long.unionByName(of("top", "top")), by, "unit", "p", "y", n_boot))
+    area = areas.where("form <> 'top'").select("form", "auroc", F.col("lo").alias("auroc_lo"), F.col("hi").alias("auroc_hi"))
+    first = areas.where("form = 'top'").select(F.col("auroc").alias("auroc_top1_only"), F.col("lo").alias("auroc_top1_lo"), F.col("hi").alias("auroc_top1_hi"))
     only = auroc(long.where("ok"), by, "p", "y").select("form", F.col("auroc").alias("auroc_answerable_only"))
     base = F.lit(float(fitted_rate))
     p, y = F.col("p"), F.col("y")
@@ -256,7 +265,7 @@ def evaluate(scored: DataFrame, label: str, fitted_rate: float, unit: str, top:
     one = one.withColumn("base_rate_fit", base).withColumn("brier_skill", F.when(F.col("brier_base_rate") > 0, 1 - F.col("brier") / F.col("brier_base_rate")))
     bins = long.groupBy("form", bin_of(p, BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("p") - F.avg("y")).alias("gap"))
     ece = bins.groupBy("form").agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
-    return one.join(area, by).join(first, by).join(only, by, "left").join(ece, by)
+    return one.join(area, by).join(first, F.lit(True)).join(only, by, "left").join(ece, by)
 
 
 def citation_features(answer: Column, top_doc: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,43 @@ def test_coins_and_shares_are_counted_in_tasks():
         assert resampling.heads(n, "l|3|17|4999|2") == heads(n, "l", 3, 17, 4999, 2)
     for d, part, whole in ((0, 3, 7), (5, 0, 7), (5, 7, 7), (900, 3, 7), (900, 1, 512), (70, 511, 512), (40, 4, 8)):
         assert resampling.binomial(d, part, whole, "l|0|0|12") == binomial(d, part, whole, "l", 0, 0, 12)
+
+
+def test_areas_of_resamples_are_ranked_in_parts(spark, monkeypatch):
+    """AUROC intervals come from counts of each range, ranked in parts of the scores, not from a row for each draw."""
+    from gleanery.operators import certainty as Q
+
+    monkeypatch.setattr(Q, "PART", 100)
+    data = [(g, u, float(u * 7 % 40) if g == "a" else 1.0, (u * 5 + k) % 3 == 0) for g, n in (("a", 700), ("b", 30)) for u in range(n) for k in range(1 + u % 2)]
+    rows = spark.createDataFrame([(g, u, s, int(y)) for g, u, s, y in data], "g string, u int, s double, y int")
+    drawn = M.drawn_ranks(rows, ["g"], "u", "s", "y", 70, spark.createDataFrame([("a", [3.0, 9.0, 9.5, 30.0]), ("b", [1.0])], "g string, cuts array<double>"))
+    assert "w" not in drawn.columns
+    got = {(r.g, r.b): (r.n, r.pos, r.r) for r in drawn.collect()}
+    assert len(got) == 140
+    area = {}
+    for g, n in (("a", 700), ("b", 30)):
+        for b in range(70):
+            w = weights(list(range(n)), b, 700)
+            count, pos = Counter(), Counter()
+            for h, u, s, y in data:
+                if h == g:
+                    count[s] += w[u]
+                    pos[s] += w[u] * y
+            before = ranks = 0
+            for s in sorted(count):
+                ranks, before = ranks + pos[s] * (before + (count[s] + 1) / 2), before + count[s]
+            p = sum(pos.values())
+            assert got[g, b] == (before, p, ranks)
+            area[g, b] = (ranks - p * (p + 1) / 2) / (p * (before - p))
+    ci = {r.g: (r.lo, r.hi) for r in Q.auroc_ci(rows, ["g"], "u", "s", "y", 70).collect()}
+    assert ci["b"] == (0.5, 0.5)
+    a = sorted(area["a", b] for b in range(70))
+    at = lambda q: a[int(69 * q)] + (a[int(69 * q) + 1] - a[int(69 * q)]) * (69 * q % 1)
+    assert ci["a"] == pytest.approx((at(0.025), at(0.975)))
+
+
+def test_many_coins_are_counted_at_once():
+    asked = [(d, part, whole, f"l|{k}|{k * 7}|{k * k}") for k, (d, part, whole) in enumerate([(0, 3, 7), (5, 0, 7), (5, 7, 7), (900, 3, 7), (900, 1, 512), (70, 511, 512), (40, 4, 8), (100000, 333, 1000)])]
+    asked.append((50, 3, 7, "l|" + "9" * 60))
+    d, part, whole = (np.array([x[k] for x in asked]) for k in range(3))
+    assert M.binomials(d, part, whole, [x[3].encode() for x in asked]).tolist() == [binomial(x[0], x[1], x[2], *x[3].split("|")) for x in asked]
