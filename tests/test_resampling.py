@@ -153,3 +153,21 @@ def test_many_coins_are_counted_at_once():
     asked.append((50, 3, 7, "l|" + "9" * 60))
     d, part, whole = (np.array([x[k] for x in asked]) for k in range(3))
     assert M.binomials(d, part, whole, [x[3].encode() for x in asked]).tolist() == [binomial(x[0], x[1], x[2], *x[3].split("|")) for x in asked]
+
+
+def test_repeated_measures_sum_levels_within_ranges(spark, monkeypatch):
+    """Resampled level means come from sums of each range; no row is made for each draw, and groups with the same units share a tree."""
+    monkeypatch.setattr(M, "draws", None)
+    assert not hasattr(B, "draws")
+    data = [(g, level, u, float(u * k % 11 + (k if g == "y" else 0))) for g in "xy" for u in range(600) for k, level in enumerate("pqr", 1)]
+    long = spark.createDataFrame([*data, ("x", "p", 600, 1.0), ("x", "q", 5, None)], "g string, level string, id int, x double")
+    got = {r.g: r for r in B.repeated_measures(long, ["g"], 9).collect()}
+    for g in "xy":
+        x = np.array([[v for h, level, u, v in data if h == g and level == k] for k in "pqr"])
+        spread = []
+        for b in range(9):
+            w = weights(list(range(600)), b)
+            means = x @ np.array([w[u] for u in range(600)]) / 600
+            spread.append(means.max() - means.min())
+        assert (got[g].n_ids, got[g].n_levels) == (600, 3)
+        assert (got[g].range_lo, got[g].range_hi) == pytest.approx((np.quantile(spread, 0.025), np.quantile(spread, 0.975)))
